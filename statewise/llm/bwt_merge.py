@@ -5,7 +5,7 @@ shard's rotations are sorted once, to a fixed depth.  Shards are merged without
 sorting suffixes again: the interleave (which shard the next rotation in merged
 order comes from) is correct to depth 0 at the start; one stable distribution
 of it by the transforms' symbols makes it correct one step deeper, a step being
-the two symbols before a rotation.  Intervals of rotations that agree to the
+the symbols of the bytes before a rotation.  Intervals of rotations that agree to the
 current depth split in place, so the depth of a split is the common prefix of
 its two neighbours, and the intervals left at the last depth are the repeats.
 """
@@ -18,12 +18,12 @@ import numpy as np
 
 #: Never a byte of UTF-8 text.
 TERMINATOR = 0xFF
-STEP = 2
+STEP = 4
 
 
 @dataclass
 class Transform:
-    """Rotation order of a shard and, in that order, the two bytes before each rotation as one symbol."""
+    """Rotation order of a shard and, in that order, the STEP bytes before each rotation as one symbol."""
 
     order: np.ndarray
     symbols: np.ndarray
@@ -38,7 +38,7 @@ def transform(text: np.ndarray, depth: int) -> Transform:
         key = (key << np.uint64(8)) | wide[j : j + n]
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.zeros(n, np.uint64)
         change = np.zeros(n, bool)
@@ -48,7 +48,9 @@ def transform(text: np.ndarray, depth: int) -> Transform:
             break
         key = (rank << np.uint64(32)) | np.roll(rank, -known % n)
         known *= 2
-    before = (np.roll(text, 2).astype(np.uint16) << np.uint16(8)) | np.roll(text, 1).astype(np.uint16)
+    before = np.zeros(n, np.uint32)
+    for j in range(STEP, 0, -1):
+        before = (before << np.uint32(8)) | np.roll(text, j)
     return Transform(order, before[order])
 
 
@@ -59,21 +61,22 @@ def merge(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray, n
     neighbours agree that far.
     """
     sizes = np.array([len(p.order) for p in parts])
-    symbols = np.concatenate([p.symbols for p in parts])
+    alphabet, symbols = np.unique(np.concatenate([p.symbols for p in parts]), return_inverse=True)
+    symbols = symbols.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)  # dense, so that a step is a radix pass
     base = np.concatenate([[0], np.cumsum(sizes)])
     shard = np.repeat(np.arange(len(parts), dtype=np.uint8 if len(parts) < 256 else np.uint32), sizes)
-    interval = np.zeros(len(shard), np.int64)
+    interval = np.zeros(len(shard), np.int32)
     common = np.full(len(shard), -1, np.int32)
     for known in range(0, depth, STEP):
         place = _places(shard, base)
         symbol = symbols[place]
-        moved = np.argsort(symbol, kind="stable")  # a radix pass: no comparison of suffixes
+        moved = np.argsort(symbol, kind="stable")  # distribution by symbol: no comparison of suffixes
         symbol, came_from = symbol[moved], interval[moved]
         split = np.zeros(len(shard), bool)
         split[1:] = (symbol[1:] != symbol[:-1]) | (came_from[1:] != came_from[:-1])
         refined = shard[moved]
         common[split & (common < 0)] = known
-        fresh = np.cumsum(split)
+        fresh = np.cumsum(split, dtype=np.int32)
         if known and fresh[-1] == interval[-1] and np.array_equal(refined, shard) and np.array_equal(fresh, interval):
             break
         shard, interval = refined, fresh
@@ -85,10 +88,9 @@ def merge(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _places(shard: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Place in the concatenated transforms: a shard's rotations come in its own order."""
     place = np.empty(len(shard), np.int64)
-    for z in range(len(base) - 1):
-        own = np.flatnonzero(shard == z)
-        place[own] = base[z] + np.arange(len(own))
+    place[np.argsort(shard, kind="stable")] = np.arange(len(shard))
     return place
 
 
@@ -110,7 +112,7 @@ def repeated_windows(segments: list[bytes], owners: np.ndarray, starts: np.ndarr
         parts.append(part)
         of_segment.append((which + at)[part.order])
         of_offset.append(offset[part.order])
-    shard, place, interval, _ = merge(parts, length + length % STEP)
+    shard, place, interval, _ = merge(parts, -(-length // STEP) * STEP)
     base = np.concatenate([[0], np.cumsum([len(p.order) for p in parts])])
     flat = base[shard] + place
     segment, offset = np.concatenate(of_segment)[flat], np.concatenate(of_offset)[flat]
