@@ -71,7 +71,7 @@ def _segments(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return row[first], start - offsets[row[first]], windows, grams[anchor[first]], spans(start, start + windows - 1 + length)
 
 
-def _chunks(column: pa.Array, length: int, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _chunks(column: pa.Array, length: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, bytes before, buffer, offsets): a slice as it is, a single very long row in overlapping chunks."""
     buf, offsets = pack(column)
     if len(buf) <= 2 * limit or len(offsets) > 2:

@@ -26,7 +26,7 @@ _BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def slices(batch: pa.RecordBatch, text_col: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most `limit` text bytes (a longer row stands alone)."""
     if batch.num_rows == 0:
         return
@@ -60,13 +60,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, grown by doubling and kept."""
+    """base**0 .. base**(n-1) modulo 2**64, kept for the next slice."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+        size = -(-n // 65536) * 65536
         have = np.ones(1, np.uint64)
         while len(have) < size:
-            have = np.concatenate([have, have * _U(pow(base, len(have), 1 << 64))])
+            have = np.concatenate([have, have[: size - len(have)] * _U(pow(base, len(have), 1 << 64))])
         _POWERS[base] = have
     return have[:n]
 
