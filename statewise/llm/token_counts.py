@@ -156,7 +156,7 @@ def _per_document(limit: int):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 32 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 12 << 20) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
     `tokenizer_path` must be readable on every executor.  `buckets` (tasks that
