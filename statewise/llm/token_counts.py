@@ -107,7 +107,7 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{chr(raw[0])}", offset=1).astype(np.int64)
 
 
-def _sum_pieces(tokenizer_path: str, most_known: int = 1_000_000):
+def _sum_pieces(tokenizer_path: str, most_known: int = 300_000):
     """Rows of some buckets -> per block the documents' sums of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,8 @@ def _sum_pieces(tokenizer_path: str, most_known: int = 1_000_000):
         tokenizer, known = Tokenizer.from_file(tokenizer_path), {}
         for batch in batches:
             blocks, rows, sums = [], [], []
-            for r in batch.drop_columns(["ids", "sizes"]).to_pylist():
+            slim = batch.drop_columns(["ids", "sizes"])
+            for r in (slim.slice(i, 1).to_pylist()[0] for i in range(slim.num_rows)):  # one at a time: a row holds a block's lists
                 blocks.append(r["block"])
                 own, counts = _unpack(r["rows"]), _unpack(r["counts"])
                 if r["bucket"] >= 0:
@@ -125,8 +126,8 @@ def _sum_pieces(tokenizer_path: str, most_known: int = 1_000_000):
                     if len(known) > most_known:  # bounds memory; a pre-token is then counted again
                         known = {}
                     new = [t for t in tokens if t not in known]
-                    for at in range(0, len(new), 20_000):
-                        some = new[at : at + 20_000]
+                    for at in range(0, len(new), 4_000):
+                        some = new[at : at + 4_000]
                         known.update(zip(some, (len(e) for e in tokenizer.encode_batch(some, add_special_tokens=False))))
                     pieces = np.fromiter((known[t] for t in tokens), np.int64, len(tokens))
                     counts = counts * np.repeat(pieces, _unpack(r["spread"]))
@@ -156,7 +157,7 @@ def _per_document(limit: int):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 12 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 6 << 20) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
     `tokenizer_path` must be readable on every executor.  `buckets` (tasks that
