@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import bin_half_even
-from ..operators import align, hierarchy, inference, pairs, panel, patterns
+from ..models import glmm, hmm
+from ..operators import align, clustering, hierarchy, inference, pairs, panel, patterns
 from ..operators import sequences as q
 from ..sources import tables
 from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WORD, table, v_atlas, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
@@ -307,3 +308,28 @@ _query("parse_list", "SELECT user_id, round(list_sum(list(value)), 4) AS total F
 )
 _query("label_token_map", "SELECT c_custkey, string_split(c_name, '#')[2] AS token FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", tables.label_token(F.col("c_name"), 1, "#").alias("token")))
 _query("model_name_parse", "SELECT o_orderkey, o_orderkey % 20 AS n_states FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", tables.model_states(F.concat(F.lit("both_"), (F.col("o_orderkey") % 20).cast("string"), F.lit("states"))).alias("n_states")))
+
+# iterative models: no SQL form, tested by properties and by enumeration
+
+
+def _standardised(s: SparkSession, d: str) -> DataFrame:
+    return q.zscore(v_seq(s, d)).select("subject", "t", F.array(F.coalesce("z", F.lit(0.0))).alias("x"))
+
+
+def _hmm_decode(s: SparkSession, d: str) -> DataFrame:
+    data = _standardised(s, d)
+    params, _ = hmm.fit(data, 2, restarts=2, most_rounds=5)
+    return hmm.decode(data, params)
+
+
+def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
+    seq = v_seq(s, d)
+    feature = seq.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f"))
+    design = panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), feature, ["f"])
+    terms = {"all": ["group_coded", "f", "group_f_interaction", "y_lag1"], "f": ["group_coded", "f"]}
+    return inference.posterior_summary(glmm.term_table(s, glmm.fit(design, terms, rounds=6), terms))
+
+
+_query("hmm_decode", None)(_hmm_decode)
+_query("glmm_terms", None)(_glmm_terms)
+_query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patterns(s, d), 0.6))
