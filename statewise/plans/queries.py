@@ -226,12 +226,12 @@ _query("effective_dim", f"WITH {_CV} SELECT state, round(sum(cov) FILTER (f1 = f
 
 def _intervals(s: SparkSession, d: str) -> DataFrame:
     half = 1.96 * F.col("std") / F.sqrt("n")
-    return patterns.state_feature_stats(v_obs(s, d)).select(F.col("state").alias("pattern"), "feature", "mean", (F.col("mean") - half).alias("ci_lower"), (F.col("mean") + half).alias("ci_upper"), (1 - F.col("state") / 10).alias("stability"))
+    return patterns.state_feature_stats(v_obs(s, d)).select(F.col("state").alias("pattern"), "feature", "mean", (F.col("mean") - half).alias("ci_lower"), (F.col("mean") + half).alias("ci_upper"), (1 - F.col("state") / 1000).alias("stability"))
 
 
-_IV = f"{_SF}, iv AS (SELECT state AS pattern, feature, mean, mean - 1.96 * std / sqrt(n) AS lo, mean + 1.96 * std / sqrt(n) AS hi, 1 - state / 10.0 AS stability FROM sf)"
+_IV = f"{_SF}, iv AS (SELECT state AS pattern, feature, mean, mean - 1.96 * std / sqrt(n) AS lo, mean + 1.96 * std / sqrt(n) AS hi, 1 - state / 1000.0 AS stability FROM sf)"
 _query("reliable_patterns", f"WITH {_IV} SELECT pattern, round(max(abs(mean)), 6) AS peak, round(max(hi - lo), 6) AS width, round(max(stability), 6) AS stability FROM iv GROUP BY 1 HAVING max(abs(mean)) >= 0.02 AND max(hi - lo) <= 0.2 AND max(stability) >= 0.5")(lambda s, d: patterns.reliable(_intervals(s, d), 0.02, 0.2, 0.5))
-_query("significant_features", f"WITH {_IV} SELECT pattern, feature FROM iv WHERE mean > 0.05 AND lo > 0.1 * (1 - stability)")(lambda s, d: patterns.significant_features(_intervals(s, d), 0.05).select("pattern", "feature"))
+_query("significant_features", f"WITH {_IV} SELECT pattern, feature FROM iv WHERE mean > 0.01 AND lo > 0.1 * (1 - stability)")(lambda s, d: patterns.significant_features(_intervals(s, d), 0.01).select("pattern", "feature"))
 _query("sorted_state_index", f"WITH {SEQ}, o AS (SELECT s.subject, st.state, count(*) FILTER (s.state = st.state) / count(*)::DOUBLE AS o FROM seq s, st GROUP BY 1, 2), m AS (SELECT state, avg(o) AS o FROM o GROUP BY 1) SELECT state, round(o, 6) AS occupancy, row_number() OVER (ORDER BY o DESC, state) - 1 AS sorted_index FROM m")(lambda s, d: patterns.sorted_index(q.occupancy(v_seq(s, d), K)))
 
 
