@@ -128,3 +128,9 @@ def threshold_sweep(found: DataFrame, series: DataFrame, value: str = "agreement
     low, high = F.round((F.col("a") - 0.05) / step).cast("int"), F.round(F.col("b") / step).cast("int")
     steps = grid.select(F.explode(F.sequence(low, high)).alias("k")).withColumn("threshold", F.round(F.col("k") * step, 2))
     return steps.join(found, F.col("prominence") >= F.col("threshold"), "left").groupBy("threshold").agg(F.count("prominence").alias("n_peaks"))
+
+
+def annotation_totals(words: DataFrame, flags: list[str]) -> DataFrame:
+    """Words, stories, and count and share of each flag."""
+    parts = [x for f in flags for x in (F.sum(F.col(f).cast("int")).alias(f"n_{f}"), F.avg(F.col(f).cast("double")).alias(f"share_{f}"))]
+    return words.agg(F.count("*").alias("n_words"), F.count_distinct("story").alias("n_stories"), *parts)

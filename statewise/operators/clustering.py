@@ -53,3 +53,27 @@ def average_linkage(patterns: DataFrame, threshold: float, most_rounds: int = 20
         pairs = _cut_lineage(even.groupBy("p", "q").agg((F.sum(F.col("d") * F.col("n1") * F.col("n2")) / F.sum(F.col("n1") * F.col("n2"))).alias("d"), total("m1", "n1").alias("na"), total("m2", "n2").alias("nb")).select(F.col("p").alias("a"), F.col("q").alias("b"), "na", "nb", "d"))
         home = _cut_lineage(home.join(merges.withColumnRenamed("old", "cluster"), "cluster", "left").select("item", F.coalesce("new", "cluster").alias("cluster")))
     return member.join(home, "item").select("pattern_id", "cluster")
+
+
+def threshold_stats(assigned: DataFrame) -> DataFrame:
+    """(threshold, id, cluster) -> by threshold: clusters, patterns, largest and mean size, clusters per pattern."""
+    sizes = assigned.groupBy("threshold", "cluster").agg(F.count("*").alias("n"))
+    return sizes.groupBy("threshold").agg(F.count("*").alias("n_clusters"), F.sum("n").alias("n_patterns"), F.max("n").alias("max_size"), F.avg("n").alias("mean_size"), (F.count("*") / F.sum("n")).alias("fragmentation"))
+
+
+def lifecycles(assigned: DataFrame) -> DataFrame:
+    """By pattern over the thresholds: how many hold it, first and last, gaps, changes of cluster, trend of its cluster's size (beyond 20 %)."""
+    steps = assigned.select("threshold").distinct().withColumn("step", F.row_number().over(W.orderBy("threshold")))
+    sized = assigned.join(F.broadcast(steps), "threshold").withColumn("size", F.count("*").over(W.partitionBy("threshold", "cluster")))
+    own = W.partitionBy("id").orderBy("step")
+    moved = sized.withColumn("changed", F.coalesce((F.lag("cluster").over(own) != F.col("cluster")).cast("int"), F.lit(0)))
+    first, last = F.min_by("size", "step"), F.max_by("size", "step")
+    return moved.groupBy("id").agg(
+        F.count("*").alias("persistence"), F.min("threshold").alias("first"), F.max("threshold").alias("last"), (F.max("step") - F.min("step") + 1 > F.count("*")).alias("has_gaps"), F.sum("changed").alias("cluster_changes"),
+        F.when(last > 1.2 * first, "growing").when(last < 0.8 * first, "shrinking").otherwise("stable").alias("size_trend"),
+    )
+
+
+def first_model(members: DataFrame, group: str) -> DataFrame:
+    """(cluster, grp, n_states, state) -> of each cluster the group's member from the smallest model, ties to the least state."""
+    return members.filter(F.col("grp") == group).groupBy("cluster").agg(F.min(F.struct("n_states", "state")).alias("m")).select("cluster", "m.n_states", "m.state")

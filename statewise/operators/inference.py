@@ -127,3 +127,16 @@ def loo_summary(loo: DataFrame) -> DataFrame:
     part = lambda g: F.when(F.col("grp") == g, F.col("coef"))
     m = loo.groupBy("term").agg(F.avg(part("a")).alias("mean_a"), F.avg(part("b")).alias("mean_b"), F.stddev_samp(part("a")).alias("sd_a"), F.stddev_samp(part("b")).alias("sd_b"))
     return m.withColumn("stability", F.least("sd_a", "sd_b") / F.greatest("sd_a", "sd_b"))
+
+
+def format_effects(terms: DataFrame) -> DataFrame:
+    """Printed forms: probability within <0.001 and >0.999, and stars at Bayes factors 3, 10 and 100."""
+    p, b = F.col("prob"), F.col("bayes_factor")
+    stars = F.when(b > 100, "***").when(b > 10, "**").when(b > 3, "*").otherwise("")
+    return terms.withColumn("prob_text", F.when(p > 0.999, ">0.999").when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", p))).withColumn("stars", stars)
+
+
+def effect_order(effects: DataFrame) -> DataFrame:
+    """Terms that both groups have, by their largest |odds ratio - 1|."""
+    m = effects.groupBy("term").agg(F.max(F.abs(F.col("odds_ratio") - 1)).alias("size"), F.count_distinct("grp").alias("n")).filter("n = 2")
+    return m.select("term", "size", F.row_number().over(W.orderBy(F.desc("size"), "term")).alias("place"))

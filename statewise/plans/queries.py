@@ -333,3 +333,28 @@ def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
 _query("hmm_decode", None)(_hmm_decode)
 _query("glmm_terms", None)(_glmm_terms)
 _query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patterns(s, d), 0.6))
+
+# clusters over thresholds, totals and printed forms
+
+
+def _assigned(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("vec_id % (i + 2) <> 0")
+    return e.select((0.6 + F.col("i") / 10).alias("threshold"), F.col("vec_id").alias("id"), (F.col("label") % (F.col("i") * 3 + 4)).alias("cluster"))
+
+
+_ASG = "asg AS (SELECT i, round(0.6::DOUBLE + i / 10.0::DOUBLE, 6) AS threshold, vec_id AS id, label % (i * 3 + 4) AS cluster FROM embeddings, range(3) r(i) WHERE vec_id % (i + 2) <> 0)"
+_query("threshold_stats", f"WITH {_ASG}, z AS (SELECT threshold, cluster, count(*) AS n FROM asg GROUP BY 1, 2) SELECT threshold, count(*) AS n_clusters, sum(n)::BIGINT AS n_patterns, max(n) AS max_size, round(avg(n), 6) AS mean_size, round(count(*) / sum(n)::DOUBLE, 6) AS fragmentation FROM z GROUP BY 1")(lambda s, d: clustering.threshold_stats(_assigned(s, d)))
+_query(
+    "lifecycle",
+    f"WITH {_ASG}, z AS (SELECT *, count(*) OVER (PARTITION BY i, cluster) AS size, coalesce((lag(cluster) OVER (PARTITION BY id ORDER BY i) <> cluster)::INT, 0) AS ch FROM asg) SELECT id, count(*) AS persistence, min(threshold) AS first, max(threshold) AS last, max(i) - min(i) + 1 > count(*) AS has_gaps, sum(ch)::BIGINT AS cluster_changes, CASE WHEN arg_max(size, i) > 1.2 * arg_min(size, i) THEN 'growing' WHEN arg_max(size, i) < 0.8 * arg_min(size, i) THEN 'shrinking' ELSE 'stable' END AS size_trend FROM z GROUP BY id".replace("AS first", 'AS "first"').replace("AS last", 'AS "last"'),
+)(lambda s, d: clustering.lifecycles(_assigned(s, d)))
+_query("first_model", "SELECT label::BIGINT AS cluster, min(vec_id % 20) AS n_states, arg_min(vec_id, (vec_id % 20) * 10000000 + vec_id) AS state FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1")(
+    lambda s, d: clustering.first_model(_members(s, d).select("cluster", "grp", (F.col("id") % 20).alias("n_states"), F.col("id").alias("state")), "a")
+)
+_query("annotation_totals", f"WITH {_AS} SELECT count(*) AS n_words, count(DISTINCT story) AS n_stories, sum(is_verb::INT)::BIGINT AS n_is_verb, round(avg(is_verb::INT), 6) AS share_is_verb FROM asw")(lambda s, d: align.annotation_totals(_tagged(s, d), ["is_verb"]))
+_query("format_effects", "SELECT o_orderkey, CASE WHEN p > 0.999 THEN '>0.999' WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS prob_text, CASE WHEN b > 100 THEN '***' WHEN b > 10 THEN '**' WHEN b > 3 THEN '*' ELSE '' END AS stars FROM (SELECT o_orderkey, (o_orderkey % 1009) / 1009.0::DOUBLE AS p, (o_orderkey % 150)::DOUBLE AS b FROM orders)")(
+    lambda s, d: inference.format_effects(table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 1009 / 1009).alias("prob"), (F.col("o_orderkey") % 150).cast("double").alias("bayes_factor"))).select("o_orderkey", "prob_text", "stars")
+)
+_query("effect_order", f"WITH {SEQ}, e AS (SELECT state::BIGINT AS term, grp, exp(avg(x) / 1000) AS o FROM seq GROUP BY 1, 2), m AS (SELECT term, max(abs(o - 1)) AS size FROM e GROUP BY 1 HAVING count(DISTINCT grp) = 2) SELECT term, round(size, 6) AS size, row_number() OVER (ORDER BY size DESC, term) AS place FROM m")(
+    lambda s, d: inference.effect_order(v_seq(s, d).groupBy(F.col("state").alias("term"), "grp").agg(F.exp(F.avg("x") / 1000).alias("odds_ratio")))
+)
