@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .sums import summed
 
@@ -39,12 +40,14 @@ def subject_stats(x: np.ndarray, y: np.ndarray, beta: np.ndarray, var: float) ->
     return np.concatenate([x.T @ (y - p), hessian.ravel(), [ll, b * b + 1 / own, 1.0]])
 
 
-def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rounds: int = 25, tol: float = 1e-6) -> dict[str, dict]:
+def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rounds: int = 25, tol: float = 1e-6, left_out: dict[str, int] | None = None) -> dict[str, dict]:
     """(subject, y, features) -> model -> coef, sd, random_sd, log_likelihood, gradient; each model has an intercept first.
 
     Fixed effects have N(0, prior_sd^2) priors; the intercepts' variance is
-    raised to the mean second moment of their posteriors in each round.
+    raised to the mean second moment of their posteriors in each round.  A
+    model in `left_out` is fitted without the subjects of that `fold`.
     """
+    left_out = left_out or {}
     beta = {m: np.zeros(len(f) + 1) for m, f in terms.items()}
     var = dict.fromkeys(terms, 1.0)
     out: dict[str, dict] = {}
@@ -54,7 +57,10 @@ def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rou
 
         def step(pdf: pd.DataFrame) -> pd.DataFrame:
             y, rows = pdf["y"].to_numpy(float), []
+            own = pdf["fold"].iloc[0] if left_out else None
             for m, (b, v, names) in now.items():
+                if left_out.get(m, -1) == own:
+                    continue
                 x = np.column_stack([np.ones(len(pdf)), *[pdf[f].to_numpy(float) for f in names]])
                 rows.append((m, subject_stats(x, y, b, v)))
             return pd.DataFrame(rows, columns=["model", "stats"])
@@ -79,3 +85,11 @@ def term_table(spark, fitted: dict[str, dict], terms: dict[str, list[str]]) -> D
     """model_id, term, coef, sd: the input of the posterior summary."""
     rows = [(m, t, float(c), float(s)) for m, r in fitted.items() for t, c, s in zip(["intercept", *terms[m]], r["coef"], r["sd"])]
     return spark.createDataFrame(rows, "model_id string, term string, coef double, sd double")
+
+
+def leave_out(data: DataFrame, names: list[str], folds: list[int], **options) -> DataFrame:
+    """Coefficients of one model refitted without each fold (column `fold`, from 0): fold, term, coef, sd, all folds in the same jobs."""
+    models = {str(f): f for f in folds}
+    terms = dict.fromkeys(models, names)
+    table = term_table(data.sparkSession, fit(data, terms, left_out=models, **options), terms)
+    return table.select(F.col("model_id").cast("int").alias("fold"), "term", "coef", "sd")

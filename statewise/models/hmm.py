@@ -81,45 +81,92 @@ def _series(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf.sort_values("t")["x"].to_list())
 
 
-def fit(data: DataFrame, k: int, restarts: int = 5, most_rounds: int = 1000, tol: float = 1e-3, ridge: float = 1e-6, seed: int = 0) -> tuple[Params, list[float]]:
-    """(subject, t, x array) -> the restart with the best likelihood and its likelihoods by round.  A state without weight keeps its parameters."""
-    d = len(data.select("x").first()["x"])
-    params = {r: initial(k, d, seed + r) for r in range(restarts)}
+def _sizes(k: int, d: int) -> list[tuple[int, ...]]:
+    return [(k,), (k, k), (k,), (k, d), (k, d, d)]
+
+
+def _statistics(x: np.ndarray, p: Params) -> np.ndarray:
+    ll, g, move = posteriors(x, p)
+    return np.concatenate([[ll], g[0], move.ravel(), g.sum(0), (g.T @ x).ravel(), np.einsum("tk,ti,tj->kij", g, x, x).ravel()])
+
+
+def _m_step(s: np.ndarray, p: Params, ridge: float) -> Params:
+    """Parameters from summed statistics; a state without weight keeps its own."""
+    k, d = p.mean.shape
+    at, parts = 1, []
+    for shape in _sizes(k, d):
+        size = int(np.prod(shape))
+        parts.append(s[at : at + size].reshape(shape))
+        at += size
+    first, move, weight, wx, wxx = parts
+    kept, safe = weight > 1e-8, np.maximum(weight, 1e-300)
+    mean = np.where(kept[:, None], wx / safe[:, None], p.mean)
+    cov = wxx / safe[:, None, None] - mean[:, :, None] * mean[:, None, :] + ridge * np.eye(d)
+    rows = move.sum(1, keepdims=True)
+    return Params(first / first.sum(), np.where(rows > 1e-8, move / np.maximum(rows, 1e-300), p.transition), mean, np.where(kept[:, None, None], cov, p.cov))
+
+
+def _em(data: DataFrame, params: dict[int, Params], most_rounds: int, tol: float, ridge: float, held_out: bool = False) -> dict[int, list[float]]:
+    """Refines `params` in place, all keys in one job a round, and gives their likelihoods; with `held_out` a series is left out of the model of its own `fold`."""
     history: dict[int, list[float]] = {r: [] for r in params}
     live = set(params)
     for _ in range(most_rounds):
         now = {r: params[r] for r in live}
 
         def e_step(pdf: pd.DataFrame) -> pd.DataFrame:
-            x, out = _series(pdf), []
-            for r, p in now.items():
-                ll, g, move = posteriors(x, p)
-                out.append((r, np.concatenate([[ll], g[0], move.ravel(), g.sum(0), (g.T @ x).ravel(), np.einsum("tk,ti,tj->kij", g, x, x).ravel()])))
-            return pd.DataFrame(out, columns=["model", "stats"])
+            x = _series(pdf)
+            own = pdf["fold"].iloc[0] if held_out else None
+            return pd.DataFrame([(r, _statistics(x, p)) for r, p in now.items() if r != own], columns=["model", "stats"])
 
         for r, s in summed(data.groupBy("subject").applyInPandas(e_step, "model int, stats array<double>")).items():
-            ll, at = s[0], 1
-            parts = []
-            for shape in ((k,), (k, k), (k,), (k, d), (k, d, d)):
-                size = int(np.prod(shape))
-                parts.append(s[at : at + size].reshape(shape))
-                at += size
-            first, move, weight, wx, wxx = parts
-            p = params[r]
-            kept = weight > 1e-8
-            mean = np.where(kept[:, None], wx / np.maximum(weight, 1e-300)[:, None], p.mean)
-            cov = wxx / np.maximum(weight, 1e-300)[:, None, None] - mean[:, :, None] * mean[:, None, :] + ridge * np.eye(d)
-            rows = move.sum(1, keepdims=True)
-            params[r] = Params(first / first.sum(), np.where(rows > 1e-8, move / np.maximum(rows, 1e-300), p.transition), mean, np.where(kept[:, None, None], cov, p.cov))
-            history[r].append(float(ll))
+            params[r] = _m_step(s, params[r], ridge)
+            history[r].append(float(s[0]))
             if len(history[r]) > 1 and abs(history[r][-1] - history[r][-2]) < tol:
                 live.discard(r)
         if not live:
             break
+    return history
+
+
+def fit(data: DataFrame, k: int, restarts: int = 5, most_rounds: int = 1000, tol: float = 1e-3, ridge: float = 1e-6, seed: int = 0) -> tuple[Params, list[float]]:
+    """(subject, t, x array) -> the restart with the best likelihood and its likelihoods by round.  A state without weight keeps its parameters."""
+    d = len(data.select("x").first()["x"])
+    params = {r: initial(k, d, seed + r) for r in range(restarts)}
+    history = _em(data, params, most_rounds, tol, ridge)
     best = max(history, key=lambda r: history[r][-1])
     return params[best], history[best]
 
 
+def cross_validate(data: DataFrame, full: Params, most_rounds: int = 100, tol: float = 1e-3, ridge: float = 1e-3) -> tuple[dict[int, Params], DataFrame]:
+    """(subject, t, x, fold) -> a model for each fold, refitted from `full` without the fold's subjects, and each subject's likelihood under its own fold's model.
+
+    A fold of one subject each leaves one subject out.  The driver holds k d^2
+    numbers a fold, so the number of folds is the caller's bound.
+    """
+    params = {int(r["fold"]): full for r in data.select("fold").distinct().collect()}
+    _em(data, params, most_rounds, tol, ridge, held_out=True)
+    kind = data.schema["subject"].dataType.simpleString()
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        fold = int(pdf["fold"].iloc[0])
+        return pd.DataFrame({"subject": pdf["subject"].iloc[:1], "fold": [fold], "n": [len(pdf)], "log_likelihood": [posteriors(_series(pdf), params[fold])[0]]})
+
+    return params, data.groupBy("subject").applyInPandas(score, f"subject {kind}, fold int, n long, log_likelihood double")
+
+
+def confusion(data: DataFrame, p: Params) -> DataFrame:
+    """Mean posterior of every state over the steps decoded as each: decoded, state, probability (0 for a state never decoded)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _series(pdf)
+        mark = np.eye(p.k)[viterbi(x, p)]
+        return pd.DataFrame({"model": [0], "stats": [np.concatenate([(mark.T @ posteriors(x, p)[1]).ravel(), mark.sum(0)])]})
+
+    totals = summed(data.groupBy("subject").applyInPandas(run, "model int, stats array<double>"))[0]
+    mean = totals[: p.k * p.k].reshape(p.k, p.k) / np.maximum(totals[p.k * p.k :], 1)[:, None]
+    return data.sparkSession.createDataFrame([(i, j, float(mean[i, j])) for i in range(p.k) for j in range(p.k)], "decoded int, state int, probability double")
+
+
 def decode(data: DataFrame, p: Params) -> DataFrame:
     """Most likely state path of each subject: subject, t, state."""
     kind = data.schema["subject"].dataType.simpleString()

@@ -1,25 +1,19 @@
-"""Average-linkage clustering of binary patterns by rounds of reciprocal nearest neighbours.
+"""Average-linkage clustering of binary patterns by rounds of reciprocal nearest neighbours, and clusters over thresholds.
 
-Equal patterns are one item with a weight.  In a round every pair that are each
-other's nearest within the cut is merged; distances of merged clusters are the
-weighted mean of their members', one grouped aggregation.  The table of pairs
-is written to the shared folder after each round.
+Equal patterns are one item with a weight.  Only pairs that share a feature are
+kept, with the sum of their members' similarities, which merging adds up; a
+missing pair has sum 0.  In a round every two clusters that are each other's
+nearest are merged.  Average linkage has no inversions, so one run down to the
+loosest threshold holds the clusters of all stricter ones.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
+from ..sources.tables import staged
 
 
 def distinct_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,30 +23,39 @@ def distinct_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, sets.join(items, "features").select("pattern_id", "item")
 
 
-def average_linkage(patterns: DataFrame, threshold: float, most_rounds: int = 200) -> DataFrame:
-    """(pattern_id, cluster): clusters of patterns whose mean Jaccard similarity reaches the threshold; a cluster is named by its least member."""
+def linkage_sweep(patterns: DataFrame, thresholds: list[float], most_rounds: int = 500) -> DataFrame:
+    """(threshold, pattern_id, cluster) by threshold: clusters whose mean Jaccard similarity reaches it, named by their least member.
+
+    Patterns without a feature are not part of the input and of no cluster.
+    Raises if clusters are still merging after `most_rounds`.
+    """
     items, member = distinct_patterns(patterns)
-    a, b = items.select(F.col("item").alias("a"), F.col("features").alias("fa"), F.col("n").alias("na")), items.select(F.col("item").alias("b"), F.col("features").alias("fb"), F.col("n").alias("nb"))
-    shared = F.size(F.array_intersect("fa", "fb"))
-    # only pairs of distinct patterns, whose number is bounded by 2**features
-    pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", "na", "nb", (1 - shared / (F.size("fa") + F.size("fb") - shared)).alias("d"))
-    pairs = _cut_lineage(pairs)
-    home = items.select(F.col("item"), F.col("item").alias("cluster"))
+    flat = items.select("item", "n", F.size("features").alias("k"), F.explode("features").alias("feature"))
+    a, b = (flat.select(F.col("item").alias(c), F.col("n").alias(f"n{c}"), F.col("k").alias(f"k{c}"), "feature") for c in ("a", "b"))
+    shared = a.join(b, "feature").filter("a < b").groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("shared"))
+    pairs = staged(shared.select("a", "b", (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared")) * F.col("na") * F.col("nb")).alias("total")))
+    home = staged(items.select("item", "n", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), F.col("item").alias("cluster")))
+    size = lambda c: home.filter(F.col("threshold") == min(thresholds)).groupBy(F.col("cluster").alias(c)).agg(F.sum("n").alias(f"n{c}"))
     for _ in range(most_rounds):
-        both = pairs.select("a", "b", "d").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).filter(F.col("d") <= 1 - threshold + 1e-12)
-        nearest = both.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.round("d", 12), "b"))).filter("r = 1").select("a", "b")
-        merges = nearest.alias("x").join(nearest.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a")) & (F.col("x.a") < F.col("x.b"))).select(F.col("x.b").alias("old"), F.col("x.a").alias("new"))
-        merges = _cut_lineage(merges)
+        mean = pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", (F.col("total") / (F.col("na") * F.col("nb"))).alias("mean")).filter(F.col("mean") >= min(thresholds) - 1e-12)
+        both = mean.unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean"))
+        nearest = both.groupBy("a").agg(F.min(F.struct((-F.round("mean", 12)).alias("d"), "b")).alias("m")).select("a", "m.b", (-F.col("m.d")).alias("mean"))
+        back = nearest.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        merges = staged(nearest.filter("a < b").join(back, ["a", "b"]).select(F.col("b").alias("old"), F.col("a").alias("new"), "mean"))
         if not merges.take(1):
-            break
+            return member.join(home, "item").select("threshold", "pattern_id", "cluster")
         to = lambda c: merges.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new"))
-        moved = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").withColumn("x", F.coalesce("a_new", "a")).withColumn("y", F.coalesce("b_new", "b")).filter("x <> y")
-        flip = F.col("x") > F.col("y")
-        even = moved.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), F.when(flip, F.col("b")).otherwise(F.col("a")).alias("m1"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("m2"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("n1"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("n2"), "d")
-        total = lambda m, n: F.aggregate(F.collect_set(F.struct(m, n)), F.lit(0).cast("long"), lambda s, e: s + e[n])
-        pairs = _cut_lineage(even.groupBy("p", "q").agg((F.sum(F.col("d") * F.col("n1") * F.col("n2")) / F.sum(F.col("n1") * F.col("n2"))).alias("d"), total("m1", "n1").alias("na"), total("m2", "n2").alias("nb")).select(F.col("p").alias("a"), F.col("q").alias("b"), "na", "nb", "d"))
-        home = _cut_lineage(home.join(merges.withColumnRenamed("old", "cluster"), "cluster", "left").select("item", F.coalesce("new", "cluster").alias("cluster")))
-    return member.join(home, "item").select("pattern_id", "cluster")
+        moved = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_new", "a").alias("x"), F.coalesce("b_new", "b").alias("y"), "total").filter("x <> y")
+        pairs = staged(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("total").alias("total")))
+        near = merges.select(F.col("old").alias("cluster"), "new", "mean")
+        follows = F.col("mean") >= F.col("threshold") - 1e-12
+        home = staged(home.join(near, "cluster", "left").select("item", "n", "threshold", F.when(follows, F.col("new")).otherwise(F.col("cluster")).alias("cluster")))
+    raise RuntimeError(f"clusters still merge after {most_rounds} rounds")
+
+
+def average_linkage(patterns: DataFrame, threshold: float) -> DataFrame:
+    """(pattern_id, cluster) at one threshold."""
+    return linkage_sweep(patterns, [threshold]).drop("threshold")
 
 
 def threshold_stats(assigned: DataFrame) -> DataFrame:
@@ -77,3 +80,37 @@ def lifecycles(assigned: DataFrame) -> DataFrame:
 def first_model(members: DataFrame, group: str) -> DataFrame:
     """(cluster, grp, n_states, state) -> of each cluster the group's member from the smallest model, ties to the least state."""
     return members.filter(F.col("grp") == group).groupBy("cluster").agg(F.min(F.struct("n_states", "state")).alias("m")).select("cluster", "m.n_states", "m.state")
+
+
+def top_clusters(assigned: DataFrame, n: int = 5) -> DataFrame:
+    """The n largest clusters of each threshold (ties to the least id) with the threshold's clusters and patterns."""
+    sizes = assigned.groupBy("threshold", "cluster").agg(F.count("*").alias("size"))
+    whole = W.partitionBy("threshold")
+    placed = sizes.withColumns({"place": F.row_number().over(whole.orderBy(F.desc("size"), "cluster")), "n_clusters": F.count("*").over(whole), "n_patterns": F.sum("size").over(whole)})
+    return placed.filter(F.col("place") <= n)
+
+
+def signatures(assigned: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(threshold, cluster, signature): features that at least half of a cluster's patterns have, joined by blanks; a cluster without one has no row."""
+    sizes = assigned.groupBy("threshold", "cluster").agg(F.count("*").alias("size"))
+    held = assigned.join(patterns.select(F.col("pattern_id").alias("id"), "feature"), "id").groupBy("threshold", "cluster", "feature").agg(F.count("*").alias("k"))
+    common = held.join(sizes, ["threshold", "cluster"]).filter("2 * k >= size")
+    return common.groupBy("threshold", "cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list("feature")), lambda f: f.cast("string")), " ").alias("signature"))
+
+
+def signature_tracking(top: DataFrame, signed: DataFrame) -> DataFrame:
+    """Largest clusters by signature over the thresholds: how often the signature occurs, its number by (count, signature), and signatures at the threshold.
+
+    Works on a few clusters of each threshold, so the numbering is of a small table.
+    """
+    rows = top.select("threshold", "cluster", "place", "size").join(signed, ["threshold", "cluster"])
+    seen = rows.groupBy("signature").agg(F.count("*").alias("persistence"))
+    named = seen.withColumn("cluster_group", F.concat(F.lit("G"), F.row_number().over(W.orderBy(F.desc("persistence"), "signature"))))
+    at = rows.groupBy("threshold").agg(F.count_distinct("signature").alias("n_signatures"))
+    return rows.join(named, "signature").join(at, "threshold")
+
+
+def lifecycle_xtab(cycles: DataFrame, groups: DataFrame) -> DataFrame:
+    """Life cycles (id, size_trend, has_gaps) counted by group, trend and gaps."""
+    trend = lambda v: F.count_if(F.col("size_trend") == v).alias(v)
+    return cycles.join(groups, "id").groupBy("grp").agg(*map(trend, ("growing", "shrinking", "stable")), F.count_if("has_gaps").alias("with_gaps"), F.count_if(~F.col("has_gaps")).alias("without_gaps"))

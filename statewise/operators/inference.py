@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import Z975, clip, normal_cdf
+from ..functions.tails import correlation_p, t_two_sided
 from .pairs import average_rank
 
 
@@ -140,3 +141,36 @@ def effect_order(effects: DataFrame) -> DataFrame:
     """Terms that both groups have, by their largest |odds ratio - 1|."""
     m = effects.groupBy("term").agg(F.max(F.abs(F.col("odds_ratio") - 1)).alias("size"), F.count_distinct("grp").alias("n")).filter("n = 2")
     return m.select("term", "size", F.row_number().over(W.orderBy(F.desc("size"), "term")).alias("place"))
+
+
+def model_rank_penalised(models: DataFrame, weights: dict[str, tuple[float, bool]], k: str) -> DataFrame:
+    """Average ranks by weights scaled to 1, raised by up to a fifth with log(1 + states) against the largest model's; best is least."""
+    out, whole = models, sum(w for w, _ in weights.values())
+    for i, (metric, (_, larger)) in enumerate(weights.items()):
+        out = average_rank(out.withColumn(f"o{i}", -F.col(metric) if larger else F.col(metric)), f"o{i}", name=f"r{i}")
+    rank = sum((F.col(f"r{i}") * (w / whole) for i, (w, _) in enumerate(weights.values())), F.lit(0.0))
+    penalty = F.log1p(k) / F.log1p(F.max(k).over(W.partitionBy()))
+    return out.withColumn("rank_score", rank).withColumn("explainability", 1 - penalty).withColumn("final", F.col("rank_score") * (1 + 0.2 * penalty)).drop(*[c for i in range(len(weights)) for c in (f"o{i}", f"r{i}")])
+
+
+def timepoint_p(panel: DataFrame) -> DataFrame:
+    """`timepoint_t` with two-sided p (1 where the groups are equal without variance) and Benjamini-Hochberg q over the steps."""
+    n = panel.groupBy("t").agg((F.count("y") - 2).alias("df"))
+    tested = timepoint_t(panel).join(n, "t").withColumn("p", F.coalesce(t_two_sided(F.col("t_stat"), F.col("df")), F.lit(1.0)))
+    return bh_fdr(tested)
+
+
+def rank_correlation_p(pairs: DataFrame, n_features: int) -> DataFrame:
+    """Rank correlations with two-sided p and a band: strong from 0.7, moderate from 0.4, else weak."""
+    size = F.abs("rho")
+    band = F.when(size >= 0.7, "strong").when(size >= 0.4, "moderate").otherwise("weak")
+    return pairs.withColumn("p_value", correlation_p(F.col("rho"), F.lit(n_features))).withColumn("strength", band)
+
+
+def feature_summary(terms: DataFrame) -> DataFrame:
+    """(feature, term, coef, prob_positive, odds_ratio, credible) -> a row for each feature: its model's group and interaction effects."""
+    is_group = F.col("term") == "group_coded"
+    is_both = F.col("term") == F.concat(F.lit("group_"), F.col("feature").cast("string"), F.lit("_interaction"))
+    take = lambda on, c: F.max(F.when(on, F.col(c)))
+    cols = [take(on, c).alias(f"{name}_{short}") for on, name in ((is_group, "group"), (is_both, "interaction")) for c, short in (("coef", "effect"), ("prob_positive", "prob"), ("odds_ratio", "odds_ratio"))]
+    return terms.groupBy("feature").agg(*cols, F.coalesce(F.bool_or(is_both & F.col("credible")), F.lit(False)).alias("fdr_credible"))

@@ -88,3 +88,47 @@ def split_half(obs: DataFrame) -> DataFrame:
     halves = obs.withColumn("first", F.row_number().over(w.orderBy("id")) <= F.floor(F.count("*").over(w) / 2))
     m = halves.groupBy("state", "feature").agg(F.avg(F.when(F.col("first"), F.col("value"))).alias("x"), F.avg(F.when(~F.col("first"), F.col("value"))).alias("y"))
     return m.groupBy("state").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("x"), F.col("y")))).alias("stability"))
+
+
+def pattern_consistency(obs: DataFrame) -> DataFrame:
+    """(subject, state, feature, value) -> cosine of each subject's mean pattern of a state with the state's over all rows."""
+    own = obs.groupBy("subject", "state", "feature").agg(F.avg("value").alias("x"))
+    whole = obs.groupBy("state", "feature").agg(F.avg("value").alias("y"))
+    return own.join(whole, ["state", "feature"]).groupBy("subject", "state").agg(cosine(F.col("x"), F.col("y")).alias("cosine"))
+
+
+def state_distance(means: DataFrame) -> DataFrame:
+    """Euclidean distance of every two states of (state, feature, mean)."""
+    a = means.select(F.col("state").alias("a"), "feature", F.col("mean").alias("x"))
+    b = means.select(F.col("state").alias("b"), "feature", F.col("mean").alias("y"))
+    return a.join(b, "feature").filter("a < b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("distance"))
+
+
+def consensus_check(active: DataFrame, members: DataFrame, stored: DataFrame) -> DataFrame:
+    """Share of a cluster's members with each feature, and whether half of them agrees with the stored consensus (missing: false)."""
+    share = members.select("id", "cluster").join(active, "id").groupBy("cluster", "feature").agg(F.avg(F.col("active").cast("double")).alias("frequency"))
+    known = stored.select("cluster", "feature", F.col("consensus").alias("stored"))
+    return share.join(known, ["cluster", "feature"], "left").select("cluster", "feature", "frequency", ((F.col("frequency") >= 0.5) == F.coalesce("stored", F.lit(False))).alias("matches"))
+
+
+def model_state_pivot(members: DataFrame, n_states: int) -> DataFrame:
+    """(model, sorted_state, cluster) -> a row for each model in natural order of its number of states, a column for each state with its least cluster."""
+    number = F.regexp_extract("model", r"(\d+)_?states", 1).cast("int").alias("n_states")
+    wide = members.groupBy("model", number).pivot("sorted_state", list(range(n_states))).agg(F.min("cluster"))
+    return wide.select("model", "n_states", *[F.col(str(i)).alias(f"s{i}") for i in range(n_states)]).orderBy("n_states", "model")
+
+
+def model_consistency(states: DataFrame, low: float = 0.1) -> DataFrame:
+    """(model, subject, state, occupancy, cosine, stability) -> by model: per cent of states used less than `low`, largest variance of a state's cosine over subjects, mean stability."""
+    by = states.groupBy("model", "state").agg(F.avg("occupancy").alias("occupancy"), F.var_pop("cosine").alias("spread"), F.avg("stability").alias("stability"))
+    return by.groupBy("model").agg((100 * F.avg((F.col("occupancy") < low).cast("double"))).alias("pct_low_freq"), F.max("spread").alias("max_pattern_var"), F.avg("stability").alias("mean_stability"))
+
+
+def embed(vectors: DataFrame, k: int = 2, column: str = "embedding") -> DataFrame:
+    """Principal components of an array column, most variance first; signs are those of the solver."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    held = vectors.withColumn("__v", array_to_vector(F.transform(column, lambda v: v.cast("double"))))
+    placed = PCA(k=k, inputCol="__v", outputCol="__p").fit(held).transform(held)
+    return placed.withColumn("__p", vector_to_array("__p")).select(*vectors.columns, *[F.col("__p")[i].alias(f"pc{i + 1}") for i in range(k)])

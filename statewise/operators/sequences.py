@@ -184,3 +184,10 @@ def gauss_smooth(course: DataFrame, sigma: float = 2.0, value: str = "value") ->
     at = spread.withColumn("at", F.when(place < F.col("n"), place).otherwise(2 * F.col("n") - 1 - place)).withColumn("weight", F.exp(-0.5 * F.pow(F.col("offset") / sigma, 2)))
     found = at.join(rows.select("grp", F.col(ORDER).alias("at"), "v"), ["grp", "at"])
     return found.groupBy("grp", ORDER).agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("smoothed"))
+
+
+def transition_rate(seq: DataFrame, *by: str) -> DataFrame:
+    """Changes of state per possible change (steps after the first of each subject), by group."""
+    w = W.partitionBy(*KEY).orderBy(ORDER)
+    flags = seq.select(*by, (F.lag("state").over(w) != F.col("state")).cast("int").alias("changed"))
+    return flags.groupBy(*by).agg((F.sum("changed") / F.count("changed")).alias("transition_rate"))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.special import bin_half_even
 from ..models import glmm, hmm
-from ..operators import align, clustering, hierarchy, inference, pairs, panel, patterns
+from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns
 from ..operators import sequences as q
 from ..sources import tables
 from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WORD, table, v_atlas, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
@@ -358,3 +359,111 @@ _query("format_effects", "SELECT o_orderkey, CASE WHEN p > 0.999 THEN '>0.999' W
 _query("effect_order", f"WITH {SEQ}, e AS (SELECT state::BIGINT AS term, grp, exp(avg(x) / 1000) AS o FROM seq GROUP BY 1, 2), m AS (SELECT term, max(abs(o - 1)) AS size FROM e GROUP BY 1 HAVING count(DISTINCT grp) = 2) SELECT term, round(size, 6) AS size, row_number() OVER (ORDER BY size DESC, term) AS place FROM m")(
     lambda s, d: inference.effect_order(v_seq(s, d).groupBy(F.col("state").alias("term"), "grp").agg(F.exp(F.avg("x") / 1000).alias("odds_ratio")))
 )
+
+# serial checks, model metrics and tables over thresholds
+_query("transition_rate", f"WITH {SEQ} SELECT grp, round(count(*) FILTER (prev <> state) / count(prev)::DOUBLE, 6) AS transition_rate FROM chg GROUP BY 1")(lambda s, d: q.transition_rate(v_seq(s, d), "grp"))
+_query(
+    "mutual_info",
+    f"WITH {SEQ}, c AS (SELECT grp, state, t // 9 AS b, count(*)::DOUBLE AS n FROM seq GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY grp) AS al_n, sum(n) OVER (PARTITION BY grp, state) AS na, sum(n) OVER (PARTITION BY grp, b) AS nb FROM c) SELECT grp, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1",
+)(lambda s, d: pairs.mutual_information(v_seq(s, d).groupBy("grp", "state", F.floor(F.col("t") / 9).alias("b")).agg(F.count("*").alias("n")), ["grp"], "state", "b"))
+_query(
+    "ljung_box",
+    f"WITH {SEQ}, c AS (SELECT subject, t, x - avg(x) OVER (PARTITION BY subject) AS d, count(*) OVER (PARTITION BY subject) AS n FROM seq), v AS (SELECT subject, sum(d * d) AS v FROM c GROUP BY 1), r AS (SELECT a.subject, l.lag, any_value(a.n) AS n, sum(a.d * b.d) / any_value(v.v) AS r FROM range(1, 11) l(lag), c a JOIN c b ON a.subject = b.subject AND a.t = b.t + l.lag JOIN v ON v.subject = a.subject WHERE a.n >= 25 GROUP BY 1, 2) SELECT subject, lag, round(r, 6) AS autocorrelation, round(n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY subject ORDER BY lag), 6) AS statistic FROM r",
+)(lambda s, d: curves.ljung_box(v_seq(s, d)).select("subject", "lag", "autocorrelation", "statistic"))
+_query("ljung_box_p", None)(lambda s, d: curves.ljung_box(v_seq(s, d)))
+_query(
+    "residualise",
+    f"WITH {SEQ}, f AS (SELECT subject, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(state, t) AS bs, regr_intercept(state, t) AS as_ FROM seq GROUP BY 1), r AS (SELECT s.subject, t, x - ax - bx * t AS rx, state - as_ - bs * t AS rs FROM seq s JOIN f USING (subject)), g AS (SELECT subject, sum(rx * rs) / sum(rs * rs) AS b FROM r GROUP BY 1), e AS (SELECT subject, t, rx - b * rs AS residual FROM r JOIN g USING (subject)) SELECT subject, t, round(residual, 6) AS residual, round((residual - avg(residual) OVER w) / stddev_samp(residual) OVER w, 6) AS z FROM e WINDOW w AS (PARTITION BY subject)",
+)(lambda s, d: curves.residualise(v_seq(s, d), ["t", "state"]).select("subject", "t", "residual", "z"))
+_query(
+    "variance_inflation",
+    f"WITH {SEQ} SELECT unnest(['state', 't']) AS term, round(1 / (1 - sum(state * t)::DOUBLE ** 2 / (sum(state * state)::DOUBLE * sum(t * t))), 6) AS vif FROM seq",
+)(lambda s, d: curves.variance_inflation(v_seq(s, d), ["state", "t"]))
+_query("knee_point", None)(lambda s, d: curves.knee_point(align.threshold_sweep(align.peaks(x := _series(s, d)), x).select(F.lit("all").alias("series"), F.col("threshold").alias("x"), F.col("n_peaks").alias("y"))))
+_query("timepoint_p", None)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_seq(s, d), 1)))
+_query("rank_correlation_p", None)(lambda s, d: inference.rank_correlation_p(pairs.spearman_pairs(v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value"))), 8))
+_query(
+    "pattern_cosine",
+    f"WITH {OBS}, o AS (SELECT id % 10 AS subject, state::BIGINT AS state, feature, avg(value) AS x FROM obs GROUP BY ALL), w AS (SELECT state::BIGINT AS state, feature, avg(value) AS y FROM obs GROUP BY ALL) SELECT subject, state, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12), 6) AS cosine FROM o JOIN w USING (state, feature) GROUP BY 1, 2",
+)(lambda s, d: patterns.pattern_consistency(v_obs(s, d).withColumn("subject", F.col("id") % 10)))
+_query("state_distance", f"WITH {_SF} SELECT x.state AS a, y.state AS b, round(sqrt(sum((x.mean - y.mean) ** 2)), 6) AS distance FROM sf x JOIN sf y ON x.feature = y.feature AND x.state < y.state GROUP BY 1, 2")(
+    lambda s, d: patterns.state_distance(patterns.state_feature_stats(v_obs(s, d)))
+)
+_query(
+    "consensus_check",
+    f"WITH {OBS}, {_ME}, st1 AS (SELECT cluster, feature, avg((value > 0.1)::INT) >= 0.5 AS stored FROM me JOIN obs USING (id) WHERE grp = 'a' GROUP BY 1, 2), f AS (SELECT cluster, feature, avg((value > 0.1)::INT) AS frequency FROM me JOIN obs USING (id) GROUP BY 1, 2) SELECT f.cluster, f.feature, round(frequency, 6) AS frequency, (frequency >= 0.5) = coalesce(stored, false) AS matches FROM f LEFT JOIN st1 USING (cluster, feature)",
+)(lambda s, d: patterns.consensus_check(v := v_obs(s, d).select("id", "feature", "value", (F.col("value") > 0.1).alias("active")), m := _members(s, d), patterns.consensus_mean(v, m.filter("grp = 'a'"))))
+_query(
+    "model_state_pivot",
+    "SELECT 'a_' || vec_id % 20 || 'states' AS model, vec_id % 20 AS n_states, min(label) FILTER (vec_id // 20 % 4 = 0)::BIGINT AS s0, min(label) FILTER (vec_id // 20 % 4 = 1)::BIGINT AS s1, min(label) FILTER (vec_id // 20 % 4 = 2)::BIGINT AS s2, min(label) FILTER (vec_id // 20 % 4 = 3)::BIGINT AS s3 FROM embeddings GROUP BY 1, 2",
+)(
+    lambda s, d: patterns.model_state_pivot(
+        table(s, d, "embeddings").select(F.concat(F.lit("a_"), (F.col("vec_id") % 20).cast("string"), F.lit("states")).alias("model"), (F.floor(F.col("vec_id") / 20) % 4).cast("int").alias("sorted_state"), F.col("label").alias("cluster")), 4
+    )
+)
+_query(
+    "model_consistency",
+    "WITH e AS (SELECT label % 3 AS model, label AS state, vec_id % 10 AS subject, avg((embedding[1] > 0.1)::INT) AS o, avg(embedding[2]::DOUBLE) AS c, avg(abs(embedding[3]::DOUBLE)) AS h FROM embeddings GROUP BY 1, 2, 3), b AS (SELECT model, state, avg(o) AS o, var_pop(c) AS c, avg(h) AS h FROM e GROUP BY 1, 2) SELECT model::BIGINT AS model, round(100 * avg((o < 0.25)::INT), 6) AS pct_low_freq, round(max(c), 6) AS max_pattern_var, round(avg(h), 6) AS mean_stability FROM b GROUP BY 1",
+)(
+    lambda s, d: patterns.model_consistency(
+        table(s, d, "embeddings").groupBy((F.col("label") % 3).alias("model"), F.col("label").alias("state"), (F.col("vec_id") % 10).alias("subject"))
+        .agg(F.avg((F.col("embedding")[0] > 0.1).cast("double")).alias("occupancy"), F.avg(F.col("embedding")[1].cast("double")).alias("cosine"), F.avg(F.abs(F.col("embedding")[2].cast("double"))).alias("stability")), 0.25
+    )
+)
+_query(
+    "model_rank_penalised",
+    f"WITH {MODELS}, r AS (SELECT *, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r0, rank() OVER (ORDER BY spread) + (count(*) OVER (PARTITION BY spread) - 1) / 2.0::DOUBLE AS r1, ln(1 + k) / ln(1 + max(k) OVER ()) AS pen FROM models) SELECT model::BIGINT AS model, round((0.3::DOUBLE * r0 + 0.2::DOUBLE * r1) / 0.5, 6) AS rank_score, round(1 - pen, 6) AS explainability, round((0.3::DOUBLE * r0 + 0.2::DOUBLE * r1) / 0.5 * (1 + 0.2::DOUBLE * pen), 6) AS final FROM r",
+)(lambda s, d: inference.model_rank_penalised(v_models(s, d), {"score": (0.3, True), "spread": (0.2, False)}, "k").select("model", "rank_score", "explainability", "final"))
+_TK = f"{_ASG}, sz AS (SELECT threshold, cluster::BIGINT AS cluster, count(*) AS size FROM asg GROUP BY 1, 2), tk AS (SELECT *, row_number() OVER (PARTITION BY threshold ORDER BY size DESC, cluster) AS place, count(*) OVER (PARTITION BY threshold) AS n_clusters, sum(size) OVER (PARTITION BY threshold)::BIGINT AS n_patterns FROM sz)"
+_query("topk_clusters", f"WITH {_TK} SELECT * FROM tk WHERE place <= 5")(lambda s, d: clustering.top_clusters(_assigned(s, d)))
+_query(
+    "signature_tracking",
+    f"WITH {_TK}, {OBS}, p AS (SELECT id AS pattern_id, feature FROM obs WHERE value > 0), k AS (SELECT threshold, cluster, feature, count(*) AS k FROM asg JOIN p ON p.pattern_id = asg.id GROUP BY ALL), sg AS (SELECT threshold, cluster, string_agg(feature::VARCHAR, ' ' ORDER BY feature) AS signature FROM k JOIN sz USING (threshold, cluster) WHERE 2 * k.k >= size GROUP BY 1, 2), j AS (SELECT threshold, cluster, place, size, signature FROM tk JOIN sg USING (threshold, cluster) WHERE place <= 5), g AS (SELECT signature, count(*) AS persistence, 'G' || row_number() OVER (ORDER BY count(*) DESC, signature) AS cluster_group FROM j GROUP BY 1), n AS (SELECT threshold, count(DISTINCT signature) AS n_signatures FROM j GROUP BY 1) SELECT threshold, cluster, place, size, signature, persistence, cluster_group, n_signatures FROM j JOIN g USING (signature) JOIN n USING (threshold)",
+)(lambda s, d: clustering.signature_tracking(clustering.top_clusters(a := _assigned(s, d)), clustering.signatures(a, v_obs(s, d).filter("value > 0").select(F.col("id").alias("pattern_id"), "feature"))))
+_query(
+    "lifecycle_xtab",
+    f"WITH c AS ({_ORACLES['lifecycle']}) SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, count(*) FILTER (size_trend = 'growing') AS growing, count(*) FILTER (size_trend = 'shrinking') AS shrinking, count(*) FILTER (size_trend = 'stable') AS stable, count(*) FILTER (has_gaps) AS with_gaps, count(*) FILTER (NOT has_gaps) AS without_gaps FROM c GROUP BY 1",
+)(lambda s, d: clustering.lifecycle_xtab(clustering.lifecycles(_assigned(s, d)), _members(s, d).select("id", "grp")))
+_query(
+    "feature_summary",
+    f"WITH {SEQ} SELECT state::BIGINT AS feature, round(avg(x) FILTER (grp = 'a') / 1000, 6) AS group_effect, round(avg((x > 100)::INT) FILTER (grp = 'a'), 6) AS group_prob, round(exp(avg(x) FILTER (grp = 'a') / 1000), 6) AS group_odds_ratio, round(avg(x) FILTER (grp = 'b') / 1000, 6) AS interaction_effect, round(avg((x > 100)::INT) FILTER (grp = 'b'), 6) AS interaction_prob, round(exp(avg(x) FILTER (grp = 'b') / 1000), 6) AS interaction_odds_ratio, avg((x > 100)::INT) FILTER (grp = 'b') > 0.4 AS fdr_credible FROM seq GROUP BY 1",
+)(
+    lambda s, d: inference.feature_summary(
+        v_seq(s, d).withColumn("term", F.when(F.col("grp") == "a", "group_coded").otherwise(F.concat(F.lit("group_"), F.col("state").cast("string"), F.lit("_interaction"))))
+        .groupBy(F.col("state").alias("feature"), "term").agg((F.avg("x") / 1000).alias("coef"), F.avg((F.col("x") > 100).cast("double")).alias("prob_positive"), F.exp(F.avg("x") / 1000).alias("odds_ratio"))
+        .withColumn("credible", F.col("prob_positive") > 0.4)
+    )
+)
+_query("string_utils", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'sub-' ELSE '' END || o_orderkey AS raw, 'sub-' || o_orderkey AS name, printf('%03d', o_orderkey % 101) AS token FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "sub-").otherwise(""), F.col("o_orderkey").cast("string")).alias("raw"), (F.col("o_orderkey") % 101 / 100).alias("v"))
+    .select("o_orderkey", "raw", tables.prefixed(F.col("raw")).alias("name"), tables.threshold_token(F.col("v")).alias("token"))
+)
+_query("array_utils", "SELECT vec_id, array_to_string(list_filter(range(8), lambda i: embedding[i + 1]::DOUBLE > 0.1), ',') AS active, array_to_string(list_transform(list_filter(range(8), lambda i: embedding[i + 1]::DOUBLE > 0.1), lambda i: 'n' || i), ',') AS names, round(len(list_filter(range(8), lambda i: embedding[i + 1]::DOUBLE > 0.1)) / 8.0::DOUBLE, 6) AS share FROM embeddings")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("v"))
+    .select("vec_id", F.array_join(arrays.active_indices(F.col("v"), 0.1).cast("array<string>"), ",").alias("active"), F.array_join(arrays.active_names(F.col("v"), [f"n{i}" for i in range(8)], 0.1), ",").alias("names"), arrays.share_active(F.col("v"), 0.1).alias("share"))
+)
+_query("pattern_sweep", None)(lambda s, d: clustering.linkage_sweep(_patterns(s, d), [0.6, 0.7, 0.8, 0.9]))
+_query("pattern_pca", None)(lambda s, d: patterns.embed(table(s, d, "embeddings").select("vec_id", "label", "embedding")).drop("embedding"))
+
+
+def _hmm_cross_validation(s: SparkSession, d: str) -> DataFrame:
+    data = _standardised(s, d)
+    full, _ = hmm.fit(data, 2, restarts=1, most_rounds=3)
+    return hmm.cross_validate(data.withColumn("fold", (F.col("subject") % 3).cast("int")), full, most_rounds=2)[1]
+
+
+def _hmm_confusion(s: SparkSession, d: str) -> DataFrame:
+    data = _standardised(s, d)
+    return hmm.confusion(data, hmm.fit(data, 2, restarts=1, most_rounds=3)[0])
+
+
+def _glmm_folds(s: SparkSession, d: str) -> DataFrame:
+    seq = v_seq(s, d)
+    feature = seq.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f"))
+    design = panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), feature, ["f"])
+    return glmm.leave_out(design.withColumn("fold", (F.col("subject") % 3).cast("int")), ["group_coded", "f"], [0, 1, 2], rounds=4)
+
+
+_query("hmm_cross_validation", None)(_hmm_cross_validation)
+_query("hmm_confusion", None)(_hmm_confusion)
+_query("glmm_folds", None)(_glmm_folds)

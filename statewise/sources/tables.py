@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,18 @@ def write_stage(df: DataFrame, path: str, *by: str, kind: str = "parquet") -> No
     df.write.mode("overwrite").partitionBy(*by).format(kind).save(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """A round's table written once in the shared folder (spark.checkpoint.dir; a local one only where it is unset) and read back: lineage ends there."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def parse_list(text: Column) -> Column:
     """A written list of numbers as an array."""
     return F.from_json(text, "array<double>")
@@ -45,3 +60,19 @@ def label_token(name: Column, place: int, sep: str = "_") -> Column:
 def model_states(name: Column) -> Column:
     """Number of states in a model's name ("<group>_<n>states" or "<n>_states")."""
     return F.regexp_extract(name, r"(\d+)_?states", 1).cast("int")
+
+
+def read_line_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Label files of two-line records: (file, record, first, second).  Such files are short, so each is read as one text."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("pos", "line"))
+    return lines.groupBy("file", F.floor(F.col("pos") / 2).alias("record")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("line"))).alias("first"), F.max(F.when(F.col("pos") % 2 == 1, F.col("line"))).alias("second")).filter("first <> ''")
+
+
+def prefixed(name: Column, prefix: str = "sub-") -> Column:
+    """The name with the prefix, put only where it is missing."""
+    return F.when(name.startswith(prefix), name).otherwise(F.concat(F.lit(prefix), name))
+
+
+def threshold_token(threshold: Column) -> Column:
+    """A threshold as three digits of hundredths, for names: 0.8 is 080."""
+    return F.lpad(F.round(threshold * 100).cast("int").cast("string"), 3, "0")

@@ -5,8 +5,8 @@ import itertools
 import numpy as np
 import pytest
 
-from statewise.models import glmm, hmm
-from statewise.operators.clustering import average_linkage
+from statewise.models import diagnostics, glmm, hmm
+from statewise.operators.clustering import average_linkage, linkage_sweep
 
 
 def _planted(seed=1, subjects=6, steps=60):
@@ -76,3 +76,54 @@ def test_average_linkage(spark, threshold):
     mine = [[p for p in got if got[p] == c] for c in set(got.values())]
     assert set(got) == set(sets)
     assert sum(sizes(mine)) == 24 and abs(len(mine) - len(clusters)) <= 1  # ties may be broken either way
+
+
+def test_linkage_sweep_equals_single_runs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(f)) for i in range(14) for f in np.flatnonzero(rng.random(6) < 0.5)]
+    patterns = spark.createDataFrame(rows, "pattern_id long, feature int")
+    swept = linkage_sweep(patterns, [0.5, 0.7]).collect()
+    for threshold in (0.5, 0.7):
+        alone = {tuple(r) for r in average_linkage(patterns, threshold).collect()}
+        assert {(r["pattern_id"], r["cluster"]) for r in swept if r["threshold"] == threshold} == alone
+    assert linkage_sweep(patterns.filter("pattern_id < 0"), [0.5]).count() == 0
+
+
+def test_cross_validation(spark):
+    rows = _planted(subjects=6, steps=40)
+    # moved off the origin, where the mean of state 0 would have no direction to compare
+    data = spark.createDataFrame([(s, t, [v + 5 for v in x], s % 3) for s, t, x, _ in rows], "subject long, t long, x array<double>, fold int")
+    full, _ = hmm.fit(data, 2, restarts=1, most_rounds=8)
+    params, scores = hmm.cross_validate(data, full, most_rounds=3)
+    assert set(params) == {0, 1, 2} and scores.count() == 6
+    # fold 0's model is that of the other subjects alone
+    others = {0: full}
+    hmm._em(data.filter("fold <> 0").drop("fold"), others, 3, 1e-3, 1e-3)
+    assert np.allclose(others[0].mean, params[0].mean)
+    assert diagnostics.reliability([p.mean for p in params.values()]) > 0.99
+    mean = hmm.confusion(data, full).groupBy("decoded").sum("probability").collect()
+    assert all(abs(r[1] - 1) < 1e-9 for r in mean)
+
+
+def test_diagnostics(spark):
+    rng = np.random.default_rng(3)
+    gain = rng.random((5, 5))
+    best = max(itertools.permutations(range(5)), key=lambda c: sum(gain[i, j] for i, j in enumerate(c)))
+    assert tuple(diagnostics.best_matching(gain)) == best
+    means = rng.standard_normal((4, 6))
+    assert abs(diagnostics.reliability([means, means[[2, 0, 3, 1]]]) - 1) < 1e-9
+    assert abs(diagnostics.mixing_rate(np.array([[0.9, 0.1], [0.3, 0.7]])) - 0.4) < 1e-12
+    assert abs(diagnostics.confusion_entropy(np.full((2, 2), 0.5)) - 1) < 1e-12 and diagnostics.confusion_entropy(np.eye(3)) == 0
+    p = hmm.initial(3, 2, 0)
+    for r in diagnostics.separability(spark, p).collect():
+        assert abs(r["euclidean"] - r["mahalanobis"]) < 1e-9  # identity covariances
+    assert diagnostics.stability(spark, p, [-10.0, -10.0]).first()["init_stability"] == 1.0
+
+
+def test_glmm_leave_out(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, s % 2, f := float(rng.integers(0, 2)), int(rng.random() < 0.3 + 0.3 * f)) for s in range(8) for _ in range(20)]
+    data = spark.createDataFrame(rows, "subject long, fold int, f double, y int")
+    got = {(r["fold"], r["term"]): r["coef"] for r in glmm.leave_out(data, ["f"], [0, 1], rounds=8).collect()}
+    alone = glmm.fit(data.filter("fold = 1"), {"m": ["f"]}, rounds=8)["m"]["coef"]
+    assert len(got) == 4 and abs(got[(0, "f")] - alone[1]) < 1e-6

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from compare import connect, same
 from statewise.functions.special import normal_cdf
-from statewise.operators import align, inference, sequences
+from statewise.functions.tails import chi2_tail, correlation_p, t_two_sided
+from statewise.operators import align, curves, inference, sequences
 from statewise.plans import queries as core
 from statewise.plans.views import v_seq
+from statewise.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +72,66 @@ def test_single_state_and_empty(spark):
     assert [tuple(r) for r in sequences.state_runs(one).collect()] == [(1, 1, 2, 0, 6, 9.0)]
     assert sequences.zscore(one).filter("z is not null").count() == 0
     assert sequences.state_runs(one.filter("t < 0")).count() == 0
+
+
+def test_t_tail(spark):
+    """Against the closed forms for 1, 2 and 4 degrees of freedom and the normal limit."""
+    closed = {
+        1: lambda t: 1 - 2 / math.pi * math.atan(t),
+        2: lambda t: 1 - t / math.sqrt(2 + t * t),
+        4: lambda t: 1 - (t / math.sqrt(4 + t * t)) * (1 + 2 / (4 + t * t)),
+    }
+    rows = [(t, n) for t in (0.0, 0.01, 0.5, 1.0, 2.5, 12.0) for n in closed] + [(1.5, 10**7), (None, 3), (float("nan"), 3), (1.0, 0)]
+    for r in spark.createDataFrame(rows, "t double, n long").select("t", "n", t_two_sided(F.col("t"), F.col("n")).alias("p")).collect():
+        if r["n"] in closed:
+            assert abs(r["p"] - closed[r["n"]](r["t"])) < 1e-10
+        elif r["n"] > 100:
+            assert abs(r["p"] - math.erfc(r["t"] / math.sqrt(2))) < 1e-6
+        else:
+            assert r["p"] is None
+
+
+def test_chi2_tail(spark):
+    def closed(x, n):
+        if n % 2 == 0:
+            return math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(n // 2))
+        return math.erfc(math.sqrt(x / 2)) + math.exp(-x / 2) * sum((x / 2) ** (i - 0.5) / math.gamma(i + 0.5) for i in range(1, (n + 1) // 2))
+
+    rows = [(x, n) for x in (0.0, 0.3, 2.0, 9.5, 11.5, 60.0) for n in (1, 2, 5, 10, 21)]
+    for r in spark.createDataFrame(rows, "x double, n long").select("x", "n", chi2_tail(F.col("x"), F.col("n")).alias("p")).collect():
+        assert abs(r["p"] - closed(r["x"], r["n"])) < 1e-10
+
+
+def test_correlation_p(spark):
+    rows = [(1.0, 8), (-1.0, 8), (0.0, 8), (0.5, 2), (None, 8), (math.sqrt(0.5), 4)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "r double, n long").select(correlation_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    assert got[:2] == [0.0, 0.0] and abs(got[2] - 1) < 1e-12 and got[3:5] == [None, None]
+    assert abs(got[5] - (1 - math.sqrt(0.5))) < 1e-9  # t = sqrt(2) with 2 degrees of freedom
+
+
+def test_ljung_box_p_is_the_tail_of_its_statistic(spark):
+    for r in curves.ljung_box(v_seq(spark, SF)).filter("lag = 2").collect():
+        assert abs(r["p_value"] - math.exp(-r["statistic"] / 2)) < 1e-9
+    short = v_seq(spark, SF).filter("t < 20")
+    assert curves.ljung_box(short).count() == 0
+
+
+def test_knee(spark):
+    curve = [("hyperbola", x / 10, 1 / (x / 10 + 0.1)) for x in range(0, 101)] + [("line", float(x), 100.0 - x) for x in range(20)] + [("flat", float(x), 1.0) for x in range(5)]
+    got = {r["series"]: r["knee"] for r in curves.knee_point(spark.createDataFrame(curve, "series string, x double, y double")).collect()}
+    # 1 / (x + c) scaled to the unit square bends most where its slope is -1
+    assert set(got) == {"hyperbola"} and abs(got["hyperbola"] - 0.9) <= 0.15
+
+
+def test_residuals_are_orthogonal(spark):
+    left = curves.residualise(v_seq(spark, SF), ["t", "state"])
+    for r in left.groupBy("subject").agg(F.sum("residual").alias("a"), F.sum(F.col("residual") * F.col("t")).alias("b"), F.sum(F.col("residual") * F.col("state")).alias("c"), F.stddev_samp("z").alias("s")).collect():
+        assert max(abs(r["a"]), abs(r["b"]), abs(r["c"])) < 1e-5 and abs(r["s"] - 1) < 1e-9
+    constant = spark.createDataFrame([(1, t, 2.0, 5.0) for t in range(5)], "subject long, t long, x double, c double")
+    assert [(abs(r["residual"]) < 1e-9, r["z"]) for r in curves.residualise(constant, ["c"]).collect()] == [(True, None)] * 5
+
+
+def test_line_pairs(spark, tmp_path):
+    (tmp_path / "labels.txt").write_text("one\n1\ntwo\n2\n")
+    got = sorted((r["record"], r["first"], r["second"]) for r in tables.read_line_pairs(spark, str(tmp_path)).collect())
+    assert got == [(0, "one", "1"), (1, "two", "2")]
