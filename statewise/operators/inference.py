@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -174,3 +176,25 @@ def feature_summary(terms: DataFrame) -> DataFrame:
     take = lambda on, c: F.max(F.when(on, F.col(c)))
     cols = [take(on, c).alias(f"{name}_{short}") for on, name in ((is_group, "group"), (is_both, "interaction")) for c, short in (("coef", "effect"), ("prob_positive", "prob"), ("odds_ratio", "odds_ratio"))]
     return terms.groupBy("feature").agg(*cols, F.coalesce(F.bool_or(is_both & F.col("credible")), F.lit(False)).alias("fdr_credible"))
+
+
+def poisson_steps(most: int = 9) -> list[float]:
+    """P(X <= k) of a Poisson count with mean 1, for k from 0 to `most`."""
+    return [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(most + 1)]
+
+
+def weighted_bootstrap(units: DataFrame, keys: list[str], value: str, draws: int, seed: int = 0) -> DataFrame:
+    """Mean, population deviation and percentile interval of the mean of `value`, for any number of units (rows with distinct keys).
+
+    In each draw a unit counts as often as a Poisson variate from a hash of its
+    keys, so a draw is a sum that every task begins on its own rows; only
+    tasks x draws partial sums are shuffled.  Null values are left out.
+    """
+    known = units.filter(F.col(value).isNotNull())
+    code = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("draw").cast("string"), F.lit(str(seed))))
+    uniform = F.conv(F.substring(code, 1, 8), 16, 10).cast("double") / 4294967296.0
+    drawn = known.select(*keys, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", uniform)
+    weighted = drawn.select("draw", value, sum(((F.col("u") >= c).cast("int") for c in poisson_steps()), F.lit(0)).alias("w"))
+    means = weighted.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+    interval = means.agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
+    return known.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n")).join(F.broadcast(interval))

@@ -28,14 +28,6 @@ def changes(seq: DataFrame) -> DataFrame:
     return seq.select(*KEY, F.lag("state").over(w).alias("from_state"), F.col("state").alias("to_state")).filter("from_state <> to_state")
 
 
-def grid(*frames: DataFrame) -> DataFrame:
-    """All combinations of the rows of small key tables (states, subjects): a dense frame for counts."""
-    out = frames[0]
-    for other in frames[1:]:
-        out = out.crossJoin(other)
-    return out
-
-
 def states(k: int, name: str = "state") -> DataFrame:
     """Column expression of the k state codes, to be exploded beside a key."""
     return F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)

@@ -467,3 +467,9 @@ def _glmm_folds(s: SparkSession, d: str) -> DataFrame:
 _query("hmm_cross_validation", None)(_hmm_cross_validation)
 _query("hmm_confusion", None)(_hmm_confusion)
 _query("glmm_folds", None)(_glmm_folds)
+
+_WEIGHT = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in inference.poisson_steps())
+_query(
+    "pair_summary",
+    f"WITH {_AL}, ov AS (SELECT a, b, avg((sa = sb)::INT) AS v FROM al GROUP BY 1, 2), u AS (SELECT d, v, ('0x' || substr(md5(a || ':' || b || ':' || d || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ov, range(1, 51) r(d)), w AS (SELECT d, v, {_WEIGHT} AS w FROM u), m AS (SELECT d, sum(w * v) / sum(w) AS m FROM w GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n, (SELECT round(quantile_cont(m, 0.025), 6) FROM m) AS ci_lower, (SELECT round(quantile_cont(m, 0.975), 6) FROM m) AS ci_upper FROM ov",
+)(lambda s, d: inference.weighted_bootstrap(pairs.pair_overlap(v_seq(s, d)), ["a", "b"], "overlap", 50))
