@@ -183,6 +183,13 @@ def poisson_steps(most: int = 9) -> list[float]:
     return [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(most + 1)]
 
 
+def poisson_weighted(df: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
+    """Adds `w`, a Poisson count with mean 1 from a hash of the keys and the seed."""
+    code = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    hashed = df.withColumn("__u", F.conv(F.substring(code, 1, 8), 16, 10).cast("double") / 4294967296.0)
+    return hashed.withColumn("w", sum(((F.col("__u") >= c).cast("int") for c in poisson_steps()), F.lit(0))).drop("__u")
+
+
 def weighted_bootstrap(units: DataFrame, keys: list[str], value: str, draws: int, seed: int = 0) -> DataFrame:
     """Mean, population deviation and percentile interval of the mean of `value`, for any number of units (rows with distinct keys).
 
@@ -191,10 +198,8 @@ def weighted_bootstrap(units: DataFrame, keys: list[str], value: str, draws: int
     tasks x draws partial sums are shuffled.  Null values are left out.
     """
     known = units.filter(F.col(value).isNotNull())
-    code = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("draw").cast("string"), F.lit(str(seed))))
-    uniform = F.conv(F.substring(code, 1, 8), 16, 10).cast("double") / 4294967296.0
-    drawn = known.select(*keys, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", uniform)
-    weighted = drawn.select("draw", value, sum(((F.col("u") >= c).cast("int") for c in poisson_steps()), F.lit(0)).alias("w"))
+    drawn = known.select(*keys, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    weighted = poisson_weighted(drawn, [*keys, "draw"], seed)
     means = weighted.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
     interval = means.agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
     return known.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n")).join(F.broadcast(interval))

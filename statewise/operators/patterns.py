@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.special import clip
+from .inference import poisson_weighted
 from .pairs import cosine
 
 
@@ -82,14 +84,31 @@ def lost_gained(current: DataFrame, following: DataFrame) -> DataFrame:
     return j.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("common"), F.count_if(F.col("y").isNull()).alias("lost"), F.count_if(F.col("x").isNull()).alias("gained"))
 
 
+def _halves(obs: DataFrame) -> DataFrame:
+    w = W.partitionBy("state", "feature")
+    return obs.withColumn("first", F.row_number().over(w.orderBy("id")) <= F.floor(F.count("*").over(w) / 2))
+
+
 def split_half(obs: DataFrame) -> DataFrame:
     """Cosine of the mean patterns of the first and second half of each state's rows (in order), clipped to 0..1."""
-    w = W.partitionBy("state", "feature")
-    halves = obs.withColumn("first", F.row_number().over(w.orderBy("id")) <= F.floor(F.count("*").over(w) / 2))
-    m = halves.groupBy("state", "feature").agg(F.avg(F.when(F.col("first"), F.col("value"))).alias("x"), F.avg(F.when(~F.col("first"), F.col("value"))).alias("y"))
+    m = _halves(obs).groupBy("state", "feature").agg(F.avg(F.when(F.col("first"), F.col("value"))).alias("x"), F.avg(F.when(~F.col("first"), F.col("value"))).alias("y"))
     return m.groupBy("state").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("x"), F.col("y")))).alias("stability"))
 
 
+def split_half_interval(obs: DataFrame, draws: int = 100, seed: int = 0) -> DataFrame:
+    """Percentile interval and population deviation of `split_half` over draws in which each row of a half counts a hashed Poisson number of times.
+
+    All features of a row share its count.  The partial sums of a draw are made
+    where the rows are; states x features x draws of them are shuffled.
+    """
+    halves = _halves(obs).select("state", "feature", "first", "value", "id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    weighted = poisson_weighted(halves, ["state", "id", "draw"], seed)
+    part = lambda on: F.try_divide(F.sum(F.when(on, F.col("w") * F.col("value"))), F.sum(F.when(on, F.col("w"))))
+    m = weighted.groupBy("state", "draw", "feature").agg(part(F.col("first")).alias("x"), part(~F.col("first")).alias("y"))
+    drawn = m.groupBy("state", "draw").agg(clip(cosine(F.col("x"), F.col("y")), 0.0, 1.0).alias("c"))
+    return drawn.groupBy("state").agg(F.percentile("c", 0.025).alias("ci_lower"), F.percentile("c", 0.975).alias("ci_upper"), F.stddev_pop("c").alias("std"))
+
+
 def pattern_consistency(obs: DataFrame) -> DataFrame:
     """(subject, state, feature, value) -> cosine of each subject's mean pattern of a state with the state's over all rows."""
     own = obs.groupBy("subject", "state", "feature").agg(F.avg("value").alias("x"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..functions.special import bin_half_even
 from ..models import glmm, hmm
-from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns
+from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
 from ..sources import tables
 from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WORD, table, v_atlas, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
@@ -179,9 +179,9 @@ _query("value_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY 1
 # pairs
 _AL = f"{SEQ}, al AS (SELECT x.subject AS a, y.subject AS b, x.t, x.state AS sa, y.state AS sb FROM seq x JOIN seq y ON x.t = y.t AND x.subject < y.subject)"
 _MI = "sum(n / al_n * ln(n * al_n / (na * nb)))"
-_query("pair_overlap", f"WITH {_AL} SELECT a, b, round(avg((sa = sb)::INT), 6) AS overlap, round(corr(sa, sb), 6) AS code_corr FROM al GROUP BY 1, 2")(lambda s, d: pairs.pair_overlap(v_seq(s, d)))
+_query("pair_overlap", f"WITH {_AL} SELECT a, b, round(avg((sa = sb)::INT), 6) AS overlap, round(corr(sa, sb), 6) + 0.0 AS code_corr FROM al GROUP BY 1, 2")(lambda s, d: pairs.pair_overlap(v_seq(s, d)))
 _query("pair_mi", f"WITH {_AL}, c AS (SELECT a, b, sa, sb, count(*)::DOUBLE AS n FROM al GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a, b) AS al_n, sum(n) OVER (PARTITION BY a, b, sa) AS na, sum(n) OVER (PARTITION BY a, b, sb) AS nb FROM c) SELECT a, b, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1, 2")(lambda s, d: pairs.pair_mi(v_seq(s, d)))
-_query("pair_coupling", f"WITH {SEQ}, r AS (SELECT subject, length, row_number() OVER (PARTITION BY subject ORDER BY state, start) AS i FROM runs) SELECT x.subject AS a, y.subject AS b, round(corr(x.length, y.length), 6) AS coupling, count(*) AS n_runs FROM r x JOIN r y ON x.i = y.i AND x.subject < y.subject GROUP BY 1, 2")(lambda s, d: pairs.pair_coupling(v_seq(s, d)))
+_query("pair_coupling", f"WITH {SEQ}, r AS (SELECT subject, length, row_number() OVER (PARTITION BY subject ORDER BY state, start) AS i FROM runs) SELECT x.subject AS a, y.subject AS b, round(corr(x.length, y.length), 6) + 0.0 AS coupling, count(*) AS n_runs FROM r x JOIN r y ON x.i = y.i AND x.subject < y.subject GROUP BY 1, 2")(lambda s, d: pairs.pair_coupling(v_seq(s, d)))
 _query("temporal_mi", f"WITH {SEQ}, c AS (SELECT x.t AS t1, y.t AS t2, x.state AS s1, y.state AS s2, count(*)::DOUBLE AS n FROM seq x JOIN seq y ON x.subject = y.subject AND x.t < y.t WHERE x.t % 10 = 0 AND y.t % 10 = 0 GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY t1, t2) AS al_n, sum(n) OVER (PARTITION BY t1, t2, s1) AS na, sum(n) OVER (PARTITION BY t1, t2, s2) AS nb FROM c) SELECT t1, t2, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1, 2")(
     lambda s, d: pairs.temporal_mi(v_seq(s, d))
 )
@@ -473,3 +473,27 @@ _query(
     "pair_summary",
     f"WITH {_AL}, ov AS (SELECT a, b, avg((sa = sb)::INT) AS v FROM al GROUP BY 1, 2), u AS (SELECT d, v, ('0x' || substr(md5(a || ':' || b || ':' || d || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ov, range(1, 51) r(d)), w AS (SELECT d, v, {_WEIGHT} AS w FROM u), m AS (SELECT d, sum(w * v) / sum(w) AS m FROM w GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n, (SELECT round(quantile_cont(m, 0.025), 6) FROM m) AS ci_lower, (SELECT round(quantile_cont(m, 0.975), 6) FROM m) AS ci_upper FROM ov",
 )(lambda s, d: inference.weighted_bootstrap(pairs.pair_overlap(v_seq(s, d)), ["a", "b"], "overlap", 50))
+
+# report tables
+_Z = "1.959963984540054::DOUBLE"
+_query(
+    "effect_table",
+    f"WITH {_TERMS}, b AS (SELECT *, least(exp(least((coef / sd) ** 2 / 2, 700)), 1e6) AS bf FROM te) SELECT term, round(coef, 3) AS coef, round(sd, 3) AS sd, round(exp(coef), 3) AS odds_ratio, round(exp(coef - {_Z} * sd), 3) AS or_lower, round(exp(coef + {_Z} * sd), 3) AS or_upper, round(bf, 2) AS bayes_factor, CASE WHEN bf > 100 THEN 'Extreme' WHEN bf > 30 THEN 'Very Strong' WHEN bf > 10 THEN 'Strong' WHEN bf > 3 THEN 'Moderate' WHEN bf > 1 THEN 'Anecdotal' ELSE 'None' END AS evidence, row_number() OVER (ORDER BY bf DESC, term) AS place FROM b",
+)(lambda s, d: reports.effect_table(_terms(s, d)).drop("prob_positive"))
+_query(
+    "group_table",
+    f"WITH {_TERMS}, g AS (SELECT term, round(coef * 3, 3) AS coef_a, round(exp(coef * 3), 3) AS or_a, round(-coef, 3) AS coef_b, round(exp(-coef), 3) AS or_b, round(coef * 2, 3) AS diff FROM te) SELECT *, row_number() OVER (ORDER BY abs(diff) DESC, term) AS place FROM g",
+)(lambda s, d: reports.group_table(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2)).drop("prob_positive_a", "prob_positive_b", "prob_stronger"))
+_query("group_posteriors", None)(lambda s, d: reports.group_posteriors(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2), "treatment"))
+_query(
+    "comparison_table",
+    f"WITH {SEQ}, te AS (SELECT subject AS term, avg((state < 3)::INT) AS p FROM seq GROUP BY 1), f AS (SELECT *, avg(1 - p) OVER (ORDER BY p DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te) SELECT term, round(p, 3) AS prob_direction, round(fdr, 3) AS fdr, fdr <= 0.2 AS credible, row_number() OVER (ORDER BY p DESC, term) AS place FROM f",
+)(lambda s, d: reports.comparison_table(v_seq(s, d).groupBy(F.col("subject").alias("term")).agg(F.avg((F.col("state") < 3).cast("int")).alias("prob_direction")), 0.2))
+_query(
+    "fold_table",
+    f"WITH {SEQ}, l AS (SELECT state::BIGINT AS term, grp, subject, avg(x) / 100 AS coef FROM seq GROUP BY 1, 2, 3), m AS (SELECT term, avg(coef) FILTER (grp = 'a') AS mean_a, avg(coef) FILTER (grp = 'b') AS mean_b, stddev_samp(coef) FILTER (grp = 'a') AS sd_a, stddev_samp(coef) FILTER (grp = 'b') AS sd_b FROM l GROUP BY 1), r AS (SELECT term, round(mean_a, 4) AS mean_a, round(sd_a, 4) AS sd_a, round(mean_b, 4) AS mean_b, round(sd_b, 4) AS sd_b, round(least(sd_a, sd_b) / greatest(sd_a, sd_b), 4) AS stability FROM m) SELECT *, row_number() OVER (ORDER BY stability DESC NULLS LAST, term) AS place FROM r",
+)(lambda s, d: reports.fold_table(v_seq(s, d).groupBy(F.col("state").alias("term"), "grp", "subject").agg((F.avg("x") / 100).alias("coef"))))
+_query(
+    "split_half_interval",
+    f"WITH {OBS}, h AS (SELECT *, row_number() OVER w <= count(*) OVER (PARTITION BY state, feature) // 2 AS f FROM obs WINDOW w AS (PARTITION BY state, feature ORDER BY id)), u AS (SELECT h.*, d, ('0x' || substr(md5(state || ':' || id || ':' || d || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM h, range(1, 101) r(d)), w AS (SELECT *, {_WEIGHT} AS w FROM u), m AS (SELECT state, d, feature, sum(w * value) FILTER (f) / sum(w) FILTER (f) AS x, sum(w * value) FILTER (NOT f) / sum(w) FILTER (NOT f) AS y FROM w GROUP BY 1, 2, 3), c AS (SELECT state, d, greatest(0, least(1, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12))) AS c FROM m GROUP BY 1, 2) SELECT state::BIGINT AS state, round(quantile_cont(c, 0.025), 6) AS ci_lower, round(quantile_cont(c, 0.975), 6) AS ci_upper, round(stddev_pop(c), 6) AS std FROM c GROUP BY 1",
+)(lambda s, d: patterns.split_half_interval(v_obs(s, d)))

@@ -24,6 +24,17 @@ def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8
     return numbered.join(first, "__file").filter(F.col("__n") >= F.col("__first") + skip_rows).select(*df.columns)
 
 
+def probe_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> str:
+    """UTF-8 where every line under the path is valid UTF-8, else the fallback (any bytes are valid Latin-1); one pass, one value."""
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
+    return fallback if bad.count() else "UTF-8"
+
+
+def read_csv_probed(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """`read_csv` in the encoding that `probe_encoding` finds."""
+    return read_csv(spark, path, schema, encoding=probe_encoding(spark, path), **options)
+
+
 def read_keyed(spark: SparkSession, path: str, pattern: str, *names: str) -> DataFrame:
     """Parquet files whose names carry keys: one column for each group of the pattern."""
     df = spark.read.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from compare import connect, same
 from statewise.functions.special import normal_cdf
 from statewise.functions.tails import chi2_tail, correlation_p, t_two_sided
-from statewise.operators import align, curves, inference, sequences
+from statewise.operators import align, curves, inference, reports, sequences
 from statewise.plans import queries as core
 from statewise.plans.views import v_seq
 from statewise.sources import tables
@@ -135,3 +135,31 @@ def test_line_pairs(spark, tmp_path):
     (tmp_path / "labels.txt").write_text("one\n1\ntwo\n2\n")
     got = sorted((r["record"], r["first"], r["second"]) for r in tables.read_line_pairs(spark, str(tmp_path)).collect())
     assert got == [(0, "one", "1"), (1, "two", "2")]
+
+
+def test_encoding_is_probed(spark, tmp_path):
+    line = "onset,text\n0.5,caf\u00e9\n1.0,\n"
+    for name, encoding, found in (("new", "utf-8", "UTF-8"), ("old", "latin-1", "ISO-8859-1")):
+        (tmp_path / f"{name}.csv").write_bytes(line.encode(encoding))
+        assert tables.probe_encoding(spark, str(tmp_path / f"{name}.csv")) == found
+        got = tables.read_csv_probed(spark, str(tmp_path / f"{name}.csv"), "onset double, text string").collect()
+        assert [(r["onset"], r["text"]) for r in got] == [(0.5, "caf\u00e9"), (1.0, None)]
+
+
+@pytest.mark.parametrize("coding", ["deviation", "treatment"])
+def test_group_posteriors(spark, coding):
+    phi = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    main = spark.createDataFrame([("x", 0.2, 0.1)], "term string, coef double, sd double")
+    both = spark.createDataFrame([("x", -0.1, 0.05)], "term string, coef double, sd double")
+    r = reports.group_posteriors(main, both, coding).first()
+    joint = math.sqrt(0.1**2 + 0.05**2)
+    want = {"a": (0.1, joint), "b": (0.3, joint)} if coding == "deviation" else {"a": (0.2, 0.1), "b": (0.1, joint)}
+    for g, (coef, sd) in want.items():
+        assert abs(r[f"coef_{g}"] - coef) < 1e-12 and abs(r[f"sd_{g}"] - sd) < 1e-12
+        assert abs(r[f"prob_positive_{g}"] - phi(coef / sd)) < 1e-9 and abs(r[f"or_lower_{g}"] - math.exp(coef - 1.959963984540054 * sd)) < 1e-9
+    assert abs(r["prob_stronger"] - phi(-2.0)) < 1e-9
+
+
+def test_fold_table_puts_missing_ratios_last(spark):
+    loo = spark.createDataFrame([("x", "a", 1.0), ("x", "a", 2.0), ("x", "b", 1.0), ("x", "b", 3.0), ("w", "a", 1.0)], "term string, grp string, coef double")
+    assert [(r["term"], r["place"]) for r in reports.fold_table(loo).orderBy("place").collect()] == [("x", 1), ("w", 2)]
