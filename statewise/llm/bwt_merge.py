@@ -18,7 +18,7 @@ import numpy as np
 
 #: Never a byte of UTF-8 text.
 TERMINATOR = 0xFF
-STEP = 4
+STEP = 8
 
 
 @dataclass
@@ -48,29 +48,31 @@ def transform(text: np.ndarray, depth: int) -> Transform:
             break
         key = (rank << np.uint64(32)) | np.roll(rank, -known % n)
         known *= 2
-    before = np.zeros(n, np.uint32)
+    before = np.zeros(n, np.uint64)
     for j in range(STEP, 0, -1):
-        before = (before << np.uint32(8)) | np.roll(text, j)
+        before = (before << np.uint64(8)) | np.roll(text, j)
     return Transform(order, before[order])
 
 
 def merge(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merged order of all shards' rotations to `depth` bytes: (shard, place in the shard's order, interval, common prefix with the predecessor).
 
-    The common prefix is exact to STEP bytes and stands at `depth` where the
-    neighbours agree that far.
+    The first step takes the bytes that are left over when `depth` is cut into
+    steps.  The common prefix is exact to a step and stands at `depth` where
+    the neighbours agree that far.
     """
     sizes = np.array([len(p.order) for p in parts])
-    alphabet, symbols = np.unique(np.concatenate([p.symbols for p in parts]), return_inverse=True)
-    symbols = symbols.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)  # dense, so that a step is a radix pass
+    before = np.concatenate([p.symbols for p in parts])
+    whole = _dense(before)
     base = np.concatenate([[0], np.cumsum(sizes)])
     shard = np.repeat(np.arange(len(parts), dtype=np.uint8 if len(parts) < 256 else np.uint32), sizes)
     interval = np.zeros(len(shard), np.int32)
     common = np.full(len(shard), -1, np.int32)
-    for known in range(0, depth, STEP):
-        place = _places(shard, base)
-        symbol = symbols[place]
-        moved = np.argsort(symbol, kind="stable")  # distribution by symbol: no comparison of suffixes
+    rest = depth % STEP
+    for known in [*([0] if rest else []), *range(rest, depth, STEP)]:
+        symbols = _dense(before & np.uint64((1 << 8 * rest) - 1)) if rest and not known else whole
+        symbol = symbols[_places(shard, base)]
+        moved = _distribution(symbol)
         symbol, came_from = symbol[moved], interval[moved]
         split = np.zeros(len(shard), bool)
         split[1:] = (symbol[1:] != symbol[:-1]) | (came_from[1:] != came_from[:-1])
@@ -87,10 +89,24 @@ def merge(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray, n
     return shard, place - base[shard], interval, common
 
 
+def _dense(symbols: np.ndarray) -> np.ndarray:
+    """Symbols numbered in order, in 16 bits where they fit, so that a distribution is one radix pass."""
+    alphabet, code = np.unique(symbols, return_inverse=True)
+    return code.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+
+
+def _distribution(symbol: np.ndarray) -> np.ndarray:
+    """Stable distribution by symbol, 16 bits a pass: no comparison of suffixes."""
+    if symbol.dtype == np.uint16:
+        return np.argsort(symbol, kind="stable")
+    low = np.argsort(symbol.astype(np.uint16), kind="stable")
+    return low[np.argsort((symbol >> np.uint32(16)).astype(np.uint16)[low], kind="stable")]
+
+
 def _places(shard: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Place in the concatenated transforms: a shard's rotations come in its own order."""
-    place = np.empty(len(shard), np.int64)
-    place[np.argsort(shard, kind="stable")] = np.arange(len(shard))
+    place = np.empty(len(shard), np.int32)
+    place[np.argsort(shard, kind="stable")] = np.arange(len(shard), dtype=np.int32)
     return place
 
 
@@ -112,7 +128,7 @@ def repeated_windows(segments: list[bytes], owners: np.ndarray, starts: np.ndarr
         parts.append(part)
         of_segment.append((which + at)[part.order])
         of_offset.append(offset[part.order])
-    shard, place, interval, _ = merge(parts, -(-length // STEP) * STEP)
+    shard, place, interval, _ = merge(parts, length)
     base = np.concatenate([[0], np.cumsum([len(p.order) for p in parts])])
     flat = base[shard] + place
     segment, offset = np.concatenate(of_segment)[flat], np.concatenate(of_offset)[flat]
