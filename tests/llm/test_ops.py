@@ -4,11 +4,13 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from statewise.llm import chat_format, decontamination, jaccard_join, mixing, quality_crf, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from statewise.llm.bwt_merge import repeated_windows
 from statewise.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -272,3 +274,25 @@ def test_chat_format(spark):
     assert got[1]["chosen"][a:b] == "good<|end|>"
     assert (got[2]["chosen"], got[2]["rejected"], got[2]["n_common"]) == ("", "", 1)
     assert got[3]["chosen"] == "<|unknown|>\n<|end|>\n" and got[3]["rejected"] == ""
+
+
+@pytest.mark.parametrize("length", [3, 5, 8, 13, 16, 100])
+def test_merged_transforms_find_repeated_windows(length):
+    rng = np.random.default_rng(length)
+    base, segments, places = bytes(rng.integers(97, 100, 400, dtype=np.uint8)), [], []
+    for k in range(60):
+        at = int(rng.integers(0, 250))
+        own = bytearray(base[at : at + int(rng.integers(length, length + 40))])
+        if k % 2:
+            own[int(rng.integers(0, len(own)))] = 120
+        segments.append(bytes(own))
+        places.append((k // 3, k % 3 * 1000))
+    first: dict[bytes, tuple[int, int]] = {}
+    windows = [(i, j, s[j : j + length]) for i, s in enumerate(segments) for j in range(len(s) - length + 1)]
+    for i, j, w in windows:
+        at = (places[i][0], places[i][1] + j)
+        first[w] = min(first.get(w, at), at)
+    want = [(i, j) for i, j, w in windows if first[w] != (places[i][0], places[i][1] + j)]
+    owners, starts = np.array(places).T
+    got = repeated_windows(segments, owners, starts, length)
+    assert list(zip(*(x.tolist() for x in got))) == want
