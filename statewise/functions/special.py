@@ -40,3 +40,9 @@ def bin_half_even(x: Column, width: float) -> Column:
 
 def bin_floor(x: Column, width: float) -> Column:
     return F.floor(x / width).cast("int")
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows where both are known; null where either does not vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.special import correlation
 from .sequences import entropy, state_runs
 
 
@@ -18,7 +19,7 @@ def aligned_pairs(seq: DataFrame, *values: str) -> DataFrame:
 
 def pair_overlap(seq: DataFrame) -> DataFrame:
     """Share of steps at which both subjects are in one state, and Pearson correlation of the state codes."""
-    return aligned_pairs(seq, "state").groupBy("a", "b").agg(F.avg((F.col("state_a") == F.col("state_b")).cast("double")).alias("overlap"), F.corr("state_a", "state_b").alias("code_corr"))
+    return aligned_pairs(seq, "state").groupBy("a", "b").agg(F.avg((F.col("state_a") == F.col("state_b")).cast("double")).alias("overlap"), correlation(F.col("state_a"), F.col("state_b")).alias("code_corr"))
 
 
 def mutual_information(counts: DataFrame, keys: list[str], x: str, y: str, n: str = "n") -> DataFrame:
@@ -38,7 +39,7 @@ def pair_mi(seq: DataFrame) -> DataFrame:
 def pair_coupling(seq: DataFrame) -> DataFrame:
     """Pearson correlation of the run lengths of two subjects, runs ordered by state and start, cut to the shorter list."""
     runs = state_runs(seq).withColumn("t", F.row_number().over(W.partitionBy("subject").orderBy("state", "start")))
-    return aligned_pairs(runs, "length").groupBy("a", "b").agg(F.corr("length_a", "length_b").alias("coupling"), F.count("*").alias("n_runs"))
+    return aligned_pairs(runs, "length").groupBy("a", "b").agg(correlation(F.col("length_a"), F.col("length_b")).alias("coupling"), F.count("*").alias("n_runs"))
 
 
 def temporal_mi(seq: DataFrame, every: int = 10) -> DataFrame:
@@ -91,7 +92,7 @@ def spearman_pairs(vectors: DataFrame) -> DataFrame:
     ranked = average_rank(vectors, "value", "id")
     a = ranked.select(F.col("id").alias("a"), "feature", F.col("rank").alias("x"))
     b = ranked.select(F.col("id").alias("b"), "feature", F.col("rank").alias("y"))
-    return a.join(b, "feature").filter("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("rho"))
+    return a.join(b, "feature").filter("a < b").groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")).alias("rho"))
 
 
 def jaccard_pairs(patterns: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def group_distance(panel: DataFrame) -> DataFrame:
     """Distances between the mean courses of groups a and b: Euclidean, mean absolute, 1 - correlation."""
     m = panel.groupBy("t").agg(F.avg(F.when(F.col("grp") == "a", F.col("y"))).alias("x"), F.avg(F.when(F.col("grp") == "b", F.col("y"))).alias("z"))
     d = F.col("x") - F.col("z")
-    return m.agg(F.sqrt(F.sum(d * d)).alias("euclidean"), F.avg(F.abs(d)).alias("mean_abs"), (1 - F.corr("x", "z")).alias("one_minus_corr"))
+    return m.agg(F.sqrt(F.sum(d * d)).alias("euclidean"), F.avg(F.abs(d)).alias("mean_abs"), (1 - correlation(F.col("x"), F.col("z"))).alias("one_minus_corr"))
 
 
 def separation_ratio(pairs: DataFrame, labels: DataFrame) -> DataFrame:

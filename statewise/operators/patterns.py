@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.special import clip
+from ..functions.special import clip, correlation
 from .inference import poisson_weighted
 from .pairs import cosine
 
@@ -24,9 +24,9 @@ def top_features(stats: DataFrame, n: int = 10) -> DataFrame:
 
 
 def state_covariance(wide: DataFrame, features: list[str]) -> DataFrame:
-    """Population covariance and correlation (clipped to -1..1) of every two features by state, one grouped pass."""
+    """Population covariance and correlation (clipped to -1..1, 0 where a feature does not vary) of every two features by state, one grouped pass."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    aggs = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.covar_pop(a, b).alias("cov"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(a, b))).alias("corr")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.covar_pop(a, b).alias("cov"), clip(F.coalesce(correlation(F.col(a), F.col(b)), F.lit(0.0)), -1.0, 1.0).alias("corr")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
     return wide.groupBy("state").agg(*aggs).select("state", F.inline(F.array(*[f"p{i}" for i in range(len(pairs))])))
 
 

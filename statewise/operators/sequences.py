@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.special import correlation
+
 KEY, ORDER = ["subject"], "t"
 
 
@@ -160,7 +162,7 @@ def acf(seq: DataFrame, lags: int = 10, x: str = "x") -> DataFrame:
     """Mean over subjects of the Pearson correlation of the series with itself shifted; undefined counts as 0."""
     w = W.partitionBy(*KEY).orderBy(ORDER)
     wide = seq.select(*KEY, x, *[F.lag(x, j).over(w).alias(f"l{j}") for j in range(1, lags + 1)])
-    per = wide.groupBy(*KEY).agg(*[F.coalesce(F.nanvl(F.corr(F.when(F.col(f"l{j}").isNotNull(), F.col(x)), f"l{j}"), F.lit(0.0)), F.lit(0.0)).alias(f"l{j}") for j in range(1, lags + 1)])
+    per = wide.groupBy(*KEY).agg(*[F.coalesce(correlation(F.col(x), F.col(f"l{j}")), F.lit(0.0)).alias(f"l{j}") for j in range(1, lags + 1)])
     means = per.agg(*[F.avg(f"l{j}").alias(f"l{j}") for j in range(1, lags + 1)])
     return means.select(F.posexplode(F.array(*[f"l{j}" for j in range(1, lags + 1)])).alias("lag", "acf")).withColumn("lag", F.col("lag") + 1)
 

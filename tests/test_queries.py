@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from compare import connect, same
 from statewise.functions.special import normal_cdf
 from statewise.functions.tails import chi2_tail, correlation_p, t_two_sided
-from statewise.operators import align, curves, inference, reports, sequences
+from statewise.operators import align, curves, inference, pairs, reports, sequences
 from statewise.plans import queries as core
 from statewise.plans.views import v_seq
 from statewise.sources import tables
@@ -163,3 +163,10 @@ def test_group_posteriors(spark, coding):
 def test_fold_table_puts_missing_ratios_last(spark):
     loo = spark.createDataFrame([("x", "a", 1.0), ("x", "a", 2.0), ("x", "b", 1.0), ("x", "b", 3.0), ("w", "a", 1.0)], "term string, grp string, coef double")
     assert [(r["term"], r["place"]) for r in reports.fold_table(loo).orderBy("place").collect()] == [("x", 1), ("w", 2)]
+
+
+def test_correlations_without_variance_are_null(spark):
+    seq = spark.createDataFrame([(u, t, 1 if u == 1 else t % 2, 0.5) for u in (1, 2, 3) for t in range(6)], "subject int, t int, state int, x double")
+    got = {(r["a"], r["b"]): r["code_corr"] for r in pairs.pair_overlap(seq).collect()}
+    assert got[1, 2] is None and got[1, 3] is None and abs(got[2, 3] - 1) < 1e-9
+    assert {r["coupling"] for r in pairs.pair_coupling(seq).collect()} == {None}
