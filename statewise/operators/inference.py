@@ -156,10 +156,17 @@ def model_rank_penalised(models: DataFrame, weights: dict[str, tuple[float, bool
 
 
 def timepoint_p(panel: DataFrame) -> DataFrame:
-    """`timepoint_t` with two-sided p (1 where the groups are equal without variance) and Benjamini-Hochberg q over the steps."""
-    n = panel.groupBy("t").agg((F.count("y") - 2).alias("df"))
-    tested = timepoint_t(panel).join(n, "t").withColumn("p", F.coalesce(t_two_sided(F.col("t_stat"), F.col("df")), F.lit(1.0)))
-    return bh_fdr(tested)
+    """`timepoint_t` with two-sided p (1 where the groups are equal without variance) and Benjamini-Hochberg q over the steps.
+
+    A step that fewer than two subjects of either group reach has no test: its
+    statistics, p and q are null, and it does not count among the tests.
+    """
+    held = lambda g: F.count(F.when(F.col("grp") == g, F.col("y")))
+    n = panel.groupBy("t").agg((F.count("y") - 2).alias("df"), ((held("a") > 1) & (held("b") > 1)).alias("both"))
+    steps = timepoint_t(panel).join(n, "t")
+    tested = steps.filter("both").withColumn("p", F.coalesce(t_two_sided(F.col("t_stat"), F.col("df")), F.lit(1.0)))
+    untested = steps.filter("not both").withColumns({c: F.lit(None).cast("double") for c in ("t_stat", "cohen_d", "p", "q")})
+    return bh_fdr(tested).unionByName(untested).drop("both")
 
 
 def rank_correlation_p(pairs: DataFrame, n_features: int) -> DataFrame:

@@ -13,7 +13,7 @@ from ..models import glmm, hmm
 from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
 from ..sources import tables
-from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WORD, table, v_atlas, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
+from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WORD, table, v_atlas, v_events, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -265,15 +265,15 @@ _query("fold_summary", "WITH f AS (SELECT c_nationkey AS model, -c_acctbal AS sc
 )
 
 
-def _terms(s: SparkSession, d: str) -> DataFrame:
+def _terms(s: SparkSession, d: str, view: Query = v_seq) -> DataFrame:
     """Effects estimated from the tables: mean difference of x by state of the two groups and its standard error."""
     a = F.when(F.col("grp") == "a", F.col("x"))
     b = F.when(F.col("grp") == "b", F.col("x"))
-    return v_seq(s, d).groupBy(F.col("state").alias("term")).agg(((F.avg(a) - F.avg(b)) / 100).alias("coef"), (F.sqrt(F.var_samp(a) / F.count(a) + F.var_samp(b) / F.count(b)) / 100).alias("sd"))
+    return view(s, d).groupBy(F.col("state").alias("term")).agg(((F.avg(a) - F.avg(b)) / 100).alias("coef"), (F.sqrt(F.var_samp(a) / F.count(a) + F.var_samp(b) / F.count(b)) / 100).alias("sd"))
 
 
 _TERMS = f"{SEQ}, te AS (SELECT state::BIGINT AS term, (avg(x) FILTER (grp = 'a') - avg(x) FILTER (grp = 'b')) / 100 AS coef, sqrt(var_samp(x) FILTER (grp = 'a') / count(*) FILTER (grp = 'a') + var_samp(x) FILTER (grp = 'b') / count(*) FILTER (grp = 'b')) / 100 AS sd FROM seq GROUP BY 1)"
-_query("posterior_summary", None)(lambda s, d: inference.posterior_summary(_terms(s, d)))
+_query("posterior_summary", None)(lambda s, d: inference.posterior_summary(_terms(s, d, v_events)))
 _query("effect_sizes", f"WITH {_TERMS} SELECT term, round(coef, 6) AS coef, round(sd, 6) AS sd, round(coef / sd, 6) AS standardised, round(exp(coef), 6) AS odds_ratio FROM te")(lambda s, d: inference.effect_sizes(_terms(s, d)))
 _query("group_effects", f"WITH {_TERMS} SELECT term, round(coef * 3 , 6) AS coef_a, round(-coef, 6) AS coef_b, round(sd * sqrt(2), 6) AS sd_group, round(exp(coef * 3), 6) AS or_a, round(exp(-coef), 6) AS or_b FROM te")(lambda s, d: inference.group_effects(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2)))
 _query("bayes_fdr", f"WITH {SEQ}, te AS (SELECT subject AS term, avg((state < 3)::INT) AS prob_direction FROM seq GROUP BY 1), f AS (SELECT *, avg(1 - prob_direction) OVER (ORDER BY prob_direction DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te) SELECT term, round(prob_direction, 6) AS prob_direction, round(fdr, 6) AS fdr, fdr <= 0.2 AS credible FROM f")(
@@ -314,7 +314,7 @@ _query("model_name_parse", "SELECT o_orderkey, o_orderkey % 20 AS n_states FROM
 
 
 def _standardised(s: SparkSession, d: str) -> DataFrame:
-    return q.zscore(v_seq(s, d)).select("subject", "t", F.array(F.coalesce("z", F.lit(0.0))).alias("x"))
+    return q.zscore(v_events(s, d)).select("subject", "t", F.array(F.coalesce("z", F.lit(0.0))).alias("x"))
 
 
 def _hmm_decode(s: SparkSession, d: str) -> DataFrame:
@@ -324,7 +324,7 @@ def _hmm_decode(s: SparkSession, d: str) -> DataFrame:
 
 
 def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
-    seq = v_seq(s, d)
+    seq = v_events(s, d)
     feature = seq.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f"))
     design = panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), feature, ["f"])
     terms = {"all": ["group_coded", "f", "group_f_interaction", "y_lag1"], "f": ["group_coded", "f"]}
@@ -370,7 +370,7 @@ _query(
     "ljung_box",
     f"WITH {SEQ}, c AS (SELECT subject, t, x - avg(x) OVER (PARTITION BY subject) AS d, count(*) OVER (PARTITION BY subject) AS n FROM seq), v AS (SELECT subject, sum(d * d) AS v FROM c GROUP BY 1), r AS (SELECT a.subject, l.lag, any_value(a.n) AS n, sum(a.d * b.d) / any_value(v.v) AS r FROM range(1, 11) l(lag), c a JOIN c b ON a.subject = b.subject AND a.t = b.t + l.lag JOIN v ON v.subject = a.subject WHERE a.n >= 25 GROUP BY 1, 2) SELECT subject, lag, round(r, 6) AS autocorrelation, round(n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY subject ORDER BY lag), 6) AS statistic FROM r",
 )(lambda s, d: curves.ljung_box(v_seq(s, d)).select("subject", "lag", "autocorrelation", "statistic"))
-_query("ljung_box_p", None)(lambda s, d: curves.ljung_box(v_seq(s, d)))
+_query("ljung_box_p", None)(lambda s, d: curves.ljung_box(v_events(s, d)))
 _query(
     "residualise",
     f"WITH {SEQ}, f AS (SELECT subject, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(state, t) AS bs, regr_intercept(state, t) AS as_ FROM seq GROUP BY 1), r AS (SELECT s.subject, t, x - ax - bx * t AS rx, state - as_ - bs * t AS rs FROM seq s JOIN f USING (subject)), g AS (SELECT subject, sum(rx * rs) / sum(rs * rs) AS b FROM r GROUP BY 1), e AS (SELECT subject, t, rx - b * rs AS residual FROM r JOIN g USING (subject)) SELECT subject, t, round(residual, 6) AS residual, round((residual - avg(residual) OVER w) / stddev_samp(residual) OVER w, 6) AS z FROM e WINDOW w AS (PARTITION BY subject)",
@@ -380,7 +380,7 @@ _query(
     f"WITH {SEQ} SELECT unnest(['state', 't']) AS term, round(1 / (1 - sum(state * t)::DOUBLE ** 2 / (sum(state * state)::DOUBLE * sum(t * t))), 6) AS vif FROM seq",
 )(lambda s, d: curves.variance_inflation(v_seq(s, d), ["state", "t"]))
 _query("knee_point", None)(lambda s, d: curves.knee_point(align.threshold_sweep(align.peaks(x := _series(s, d)), x).select(F.lit("all").alias("series"), F.col("threshold").alias("x"), F.col("n_peaks").alias("y"))))
-_query("timepoint_p", None)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_seq(s, d), 1)))
+_query("timepoint_p", None)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_events(s, d), 1)))
 _query("rank_correlation_p", None)(lambda s, d: inference.rank_correlation_p(pairs.spearman_pairs(v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value"))), 8))
 _query(
     "pattern_cosine",
@@ -458,7 +458,7 @@ def _hmm_confusion(s: SparkSession, d: str) -> DataFrame:
 
 
 def _glmm_folds(s: SparkSession, d: str) -> DataFrame:
-    seq = v_seq(s, d)
+    seq = v_events(s, d)
     feature = seq.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f"))
     design = panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), feature, ["f"])
     return glmm.leave_out(design.withColumn("fold", (F.col("subject") % 3).cast("int")), ["group_coded", "f"], [0, 1, 2], rounds=4)
@@ -484,7 +484,7 @@ _query(
     "group_table",
     f"WITH {_TERMS}, g AS (SELECT term, round(coef * 3, 3) AS coef_a, round(exp(coef * 3), 3) AS or_a, round(-coef, 3) AS coef_b, round(exp(-coef), 3) AS or_b, round(coef * 2, 3) AS diff FROM te) SELECT *, row_number() OVER (ORDER BY abs(diff) DESC, term) AS place FROM g",
 )(lambda s, d: reports.group_table(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2)).drop("prob_positive_a", "prob_positive_b", "prob_stronger"))
-_query("group_posteriors", None)(lambda s, d: reports.group_posteriors(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2), "treatment"))
+_query("group_posteriors", None)(lambda s, d: reports.group_posteriors(t := _terms(s, d, v_events), t.withColumn("coef", F.col("coef") * 2), "treatment"))
 _query(
     "comparison_table",
     f"WITH {SEQ}, te AS (SELECT subject AS term, avg((state < 3)::INT) AS p FROM seq GROUP BY 1), f AS (SELECT *, avg(1 - p) OVER (ORDER BY p DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te) SELECT term, round(p, 3) AS prob_direction, round(fdr, 3) AS fdr, fdr <= 0.2 AS credible, row_number() OVER (ORDER BY p DESC, term) AS place FROM f",

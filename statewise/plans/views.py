@@ -18,12 +18,18 @@ def seconds() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200
 
 
-def v_seq(spark: SparkSession, sf: str) -> DataFrame:
+def v_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event of every user, series of unequal length."""
     e = table(spark, sf, "events")
     t = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("t")
     state = (F.array_position(F.array(*map(F.lit, STATES)), F.col("event_type")) - 1).cast("int").alias("state")
     grp = F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("grp")
-    return e.select(F.col("user_id").alias("subject"), t, state, grp, F.col("value").alias("x")).filter(F.col("t") < STEPS)
+    return e.select(F.col("user_id").alias("subject"), t, state, grp, F.col("value").alias("x"))
+
+
+def v_seq(spark: SparkSession, sf: str) -> DataFrame:
+    """`v_events` as far as `SEQ` holds it: the first `STEPS` events of each user."""
+    return v_events(spark, sf).filter(F.col("t") < STEPS)
 
 
 def v_rt(spark: SparkSession, sf: str) -> DataFrame:
