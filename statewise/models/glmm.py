@@ -8,11 +8,14 @@ same job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
 from .sums import summed
 
 
@@ -40,56 +43,75 @@ def subject_stats(x: np.ndarray, y: np.ndarray, beta: np.ndarray, var: float) ->
     return np.concatenate([x.T @ (y - p), hessian.ravel(), [ll, b * b + 1 / own, 1.0]])
 
 
+def _ahead(path: list[float]) -> float:
+    """Where three steps of the variance lead if they go on shrinking at their rate, at most a factor of e^2 away; the last where they don't shrink."""
+    first, second = np.diff(np.log(path))
+    rate = second / first if first else 0.0
+    return max(path[-1] * float(np.exp(np.clip(second * rate / (1 - rate), -2, 2))), 1e-4) if 0 < rate < 1 else path[-1]
+
+
 def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rounds: int = 25, tol: float = 1e-6, left_out: dict[str, int] | None = None) -> dict[str, dict]:
-    """(subject, y, features) -> model -> coef, sd, random_sd, log_likelihood, gradient; each model has an intercept first.
+    """(subject, y, features) -> model -> coef, sd, random_sd, log_likelihood, gradient, converged; each model has an intercept first.
 
     Fixed effects have N(0, prior_sd^2) priors; the intercepts' variance is
-    raised to the mean second moment of their posteriors in each round.  A
+    moved to the mean second moment of their posteriors in each round, and in
+    every second round as far ahead as the last moves point.  `converged` tells
+    whether a model's steps fell under the tolerance within `rounds`.  A
     model in `left_out` is fitted without the subjects of that `fold`.
     """
     left_out = left_out or {}
     beta = {m: np.zeros(len(f) + 1) for m, f in terms.items()}
     var = dict.fromkeys(terms, 1.0)
+    trail = {m: [1.0] for m in terms}
     out: dict[str, dict] = {}
     live = set(terms)
+    at = {f: i for i, f in enumerate(dict.fromkeys(f for names in terms.values() for f in names))}
+    row = F.array(*[F.col(c).cast("double") for c in ("y", *at)])
+    packed = staged(data.groupBy("subject").agg((F.min("fold") if left_out else F.lit(None)).cast("int").alias("fold"), F.flatten(F.collect_list(row)).alias("rows")).select("fold", "rows"))
     for _ in range(rounds):
-        now = {m: (beta[m], var[m], terms[m]) for m in live}
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            y, rows = pdf["y"].to_numpy(float), []
-            own = pdf["fold"].iloc[0] if left_out else None
-            for m, (b, v, names) in now.items():
-                if left_out.get(m, -1) == own:
-                    continue
-                x = np.column_stack([np.ones(len(pdf)), *[pdf[f].to_numpy(float) for f in names]])
-                rows.append((m, subject_stats(x, y, b, v)))
-            return pd.DataFrame(rows, columns=["model", "stats"])
-
-        for m, s in summed(data.groupBy("subject").applyInPandas(step, "model string, stats array<double>")).items():
+        now = {m: (beta[m], var[m], [at[f] + 1 for f in terms[m]]) for m in live}
+
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[str, np.ndarray] = {}
+            for pdf in batches:
+                for own, flat in zip(pdf["fold"], pdf["rows"]):
+                    table = np.asarray(flat, float).reshape(-1, len(at) + 1)
+                    for m, (b, v, columns) in now.items():
+                        if left_out.get(m, -1) != own:
+                            x = np.column_stack([np.ones(len(table)), table[:, columns]])
+                            sums[m] = sums.get(m, 0.0) + subject_stats(x, table[:, 0], b, v)
+            yield pd.DataFrame(list(sums.items()), columns=["model", "stats"])
+
+        for m, s in summed(packed.mapInPandas(step, "model string, stats array<double>")).items():
             n = len(beta[m])
             gradient = s[:n] - beta[m] / prior_sd**2
             hessian = s[n : n + n * n].reshape(n, n) + np.eye(n) / prior_sd**2
             move = np.linalg.solve(hessian, gradient)
-            out[m] = {"coef": beta[m].copy(), "sd": np.sqrt(np.diag(np.linalg.inv(hessian))), "random_sd": float(np.sqrt(var[m])), "log_likelihood": float(s[-3]), "gradient": gradient}
+            out[m] = {"coef": beta[m].copy(), "sd": np.sqrt(np.diag(np.linalg.inv(hessian))), "random_sd": float(np.sqrt(var[m])), "log_likelihood": float(s[-3]), "gradient": gradient, "converged": False}
             moved = s[-2] / s[-1]
             if np.abs(move).max() < tol and abs(moved - var[m]) < 1e-4:
+                out[m]["converged"] = True
                 live.discard(m)
             beta[m] = beta[m] + move * min(1.0, 2.0 / np.abs(move).max())
-            var[m] = max(float(moved), 1e-4)
+            trail[m].append(max(float(moved), 1e-4))
+            var[m] = trail[m][-1]
+            if len(trail[m]) == 3:
+                var[m] = _ahead(trail[m])
+                trail[m] = [var[m]]
         if not live:
             break
     return out
 
 
 def term_table(spark, fitted: dict[str, dict], terms: dict[str, list[str]]) -> DataFrame:
-    """model_id, term, coef, sd: the input of the posterior summary."""
-    rows = [(m, t, float(c), float(s)) for m, r in fitted.items() for t, c, s in zip(["intercept", *terms[m]], r["coef"], r["sd"])]
-    return spark.createDataFrame(rows, "model_id string, term string, coef double, sd double")
+    """model_id, term, coef, sd, converged: the input of the posterior summary."""
+    rows = [(m, t, float(c), float(s), r["converged"]) for m, r in fitted.items() for t, c, s in zip(["intercept", *terms[m]], r["coef"], r["sd"])]
+    return spark.createDataFrame(rows, "model_id string, term string, coef double, sd double, converged boolean")
 
 
 def leave_out(data: DataFrame, names: list[str], folds: list[int], **options) -> DataFrame:
-    """Coefficients of one model refitted without each fold (column `fold`, from 0): fold, term, coef, sd, all folds in the same jobs."""
+    """Coefficients of one model refitted without each fold (column `fold`, from 0): fold, term, coef, sd, converged, all folds in the same jobs."""
     models = {str(f): f for f in folds}
     terms = dict.fromkeys(models, names)
     table = term_table(data.sparkSession, fit(data, terms, left_out=models, **options), terms)
-    return table.select(F.col("model_id").cast("int").alias("fold"), "term", "coef", "sd")
+    return table.select(F.col("model_id").cast("int").alias("fold"), "term", "coef", "sd", "converged")

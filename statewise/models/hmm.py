@@ -1,26 +1,35 @@
 """Gaussian hidden-state models by EM: sequences stay whole in a task, statistics are summed by Spark.
 
-All restarts are fitted in the same jobs.  A sequence is the unit, so the end
+All restarts are fitted in the same jobs; a task runs many series side by side.  A sequence is the unit, so the end
 of one subject's series is never a transition into the next one's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..sources.tables import staged
 from .sums import summed
 
+#: Numbers of one array in a task's side-by-side pass over padded series.
+_CELLS = 1_000_000
+
 
 @dataclass
 class Params:
+    """`converged`: the fit that gave them ended because its likelihood settled, not because its rounds did."""
+
     start: np.ndarray
     transition: np.ndarray
     mean: np.ndarray
     cov: np.ndarray
+    converged: bool = False
 
     @property
     def k(self) -> int:
@@ -85,9 +94,46 @@ def _sizes(k: int, d: int) -> list[tuple[int, ...]]:
     return [(k,), (k, k), (k,), (k, d), (k, d, d)]
 
 
-def _statistics(x: np.ndarray, p: Params) -> np.ndarray:
-    ll, g, move = posteriors(x, p)
-    return np.concatenate([[ll], g[0], move.ravel(), g.sum(0), (g.T @ x).ravel(), np.einsum("tk,ti,tj->kij", g, x, x).ravel()])
+def _statistics(series: list[np.ndarray], p: Params) -> np.ndarray:
+    """Sum over series of likelihood and expected statistics: padded to the longest and run side by side, steps past an end weigh nothing."""
+    n = np.array([len(x) for x in series])
+    x = np.zeros((len(series), n.max(), series[0].shape[1]))
+    for i, one in enumerate(series):
+        x[i, : len(one)] = one
+    on, steps = np.arange(n.max())[None, :] < n[:, None], n.max()
+    b = np.where(on[..., None], log_density(x.reshape(-1, x.shape[2]), p).reshape(*on.shape, p.k), 0.0)
+    a = np.log(p.transition + 1e-300)
+    forward, backward = np.empty_like(b), np.zeros_like(b)
+    forward[:, 0] = np.log(p.start + 1e-300) + b[:, 0]
+    for t in range(1, steps):
+        forward[:, t] = np.where(on[:, t, None], _lse(forward[:, t - 1, :, None] + a, 1) + b[:, t], forward[:, t - 1])
+    for t in range(steps - 2, -1, -1):
+        backward[:, t] = np.where(on[:, t + 1, None], _lse(a + (b[:, t + 1] + backward[:, t + 1])[:, None, :], 2), 0.0)
+    ll = _lse(forward[:, -1], 1)
+    g = np.where(on[..., None], np.exp(forward + backward - ll[:, None, None]), 0.0)
+    move = np.zeros((p.k, p.k))
+    for t in range(1, steps):
+        pair = forward[:, t - 1, :, None] + a + (b[:, t] + backward[:, t])[:, None, :] - ll[:, None, None]
+        move += np.exp(pair[on[:, t]]).sum(0)
+    return np.concatenate([[ll.sum()], g[:, 0].sum(0), move.ravel(), g.sum((0, 1)), np.einsum("stk,sti->ki", g, x).ravel(), np.einsum("stk,sti,stj->kij", g, x, x, optimize=True).ravel()])
+
+
+def _chunks(series: list[np.ndarray], cells: int) -> Iterator[list[np.ndarray]]:
+    """Series of like length together, at most `cells` padded steps (or one series) at a time."""
+    held: list[np.ndarray] = []
+    for x in sorted(series, key=len):
+        if held and (len(x) * (len(held) + 1) > cells or len(x) > 2 * len(held[0])):
+            yield held
+            held = []
+        held.append(x)
+    if held:
+        yield held
+
+
+def _packed(data: DataFrame, held_out: bool) -> DataFrame:
+    """One row a series, its values in order of t."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda r: r["x"]).alias("x")
+    return staged(data.groupBy("subject").agg((F.min("fold") if held_out else F.lit(None)).cast("int").alias("fold"), values).select("fold", "x"))
 
 
 def _m_step(s: np.ndarray, p: Params, ridge: float) -> Params:
@@ -110,24 +156,39 @@ def _em(data: DataFrame, params: dict[int, Params], most_rounds: int, tol: float
     """Refines `params` in place, all keys in one job a round, and gives their likelihoods; with `held_out` a series is left out of the model of its own `fold`."""
     history: dict[int, list[float]] = {r: [] for r in params}
     live = set(params)
+    series = _packed(data, held_out)
     for _ in range(most_rounds):
         now = {r: params[r] for r in live}
 
-        def e_step(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = _series(pdf)
-            own = pdf["fold"].iloc[0] if held_out else None
-            return pd.DataFrame([(r, _statistics(x, p)) for r, p in now.items() if r != own], columns=["model", "stats"])
-
-        for r, s in summed(data.groupBy("subject").applyInPandas(e_step, "model int, stats array<double>")).items():
+        def e_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                own = pdf["fold"].to_numpy() if held_out else np.full(len(pdf), None)
+                for fold in set(own):
+                    of_fold = [np.stack(x) for x in pdf["x"][own == fold if held_out else slice(None)]]
+                    for r, p in now.items():
+                        if r != fold:
+                            for some in _chunks(of_fold, _CELLS // p.k**2):
+                                sums[r] = sums.get(r, 0.0) + _statistics(some, p)
+            yield pd.DataFrame(list(sums.items()), columns=["model", "stats"])
+
+        for r, s in summed(series.mapInPandas(e_step, "model int, stats array<double>")).items():
             params[r] = _m_step(s, params[r], ridge)
             history[r].append(float(s[0]))
             if len(history[r]) > 1 and abs(history[r][-1] - history[r][-2]) < tol:
+                params[r].converged = True
                 live.discard(r)
         if not live:
             break
     return history
 
 
+def settled(*params: Params) -> None:
+    """Raises where a fit ended without converging."""
+    if not all(p.converged for p in params):
+        raise RuntimeError(f"{sum(not p.converged for p in params)} of {len(params)} fits ended without converging")
+
+
 def fit(data: DataFrame, k: int, restarts: int = 5, most_rounds: int = 1000, tol: float = 1e-3, ridge: float = 1e-6, seed: int = 0) -> tuple[Params, list[float]]:
     """(subject, t, x array) -> the restart with the best likelihood and its likelihoods by round.  A state without weight keeps its parameters."""
     d = len(data.select("x").first()["x"])
@@ -138,7 +199,7 @@ def fit(data: DataFrame, k: int, restarts: int = 5, most_rounds: int = 1000, tol
 
 
 def cross_validate(data: DataFrame, full: Params, most_rounds: int = 100, tol: float = 1e-3, ridge: float = 1e-3) -> tuple[dict[int, Params], DataFrame]:
-    """(subject, t, x, fold) -> a model for each fold, refitted from `full` without the fold's subjects, and each subject's likelihood under its own fold's model.
+    """(subject, t, x, fold) -> a model for each fold, refitted from `full` without the fold's subjects, and each subject's likelihood under its own fold's model, with a flag that this model's refit converged.
 
     A fold of one subject each leaves one subject out.  The driver holds k d^2
     numbers a fold, so the number of folds is the caller's bound.
@@ -149,9 +210,9 @@ def cross_validate(data: DataFrame, full: Params, most_rounds: int = 100, tol: f
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         fold = int(pdf["fold"].iloc[0])
-        return pd.DataFrame({"subject": pdf["subject"].iloc[:1], "fold": [fold], "n": [len(pdf)], "log_likelihood": [posteriors(_series(pdf), params[fold])[0]]})
+        return pd.DataFrame({"subject": pdf["subject"].iloc[:1], "fold": [fold], "n": [len(pdf)], "log_likelihood": [posteriors(_series(pdf), params[fold])[0]], "converged": [params[fold].converged]})
 
-    return params, data.groupBy("subject").applyInPandas(score, f"subject {kind}, fold int, n long, log_likelihood double")
+    return params, data.groupBy("subject").applyInPandas(score, f"subject {kind}, fold int, n long, log_likelihood double, converged boolean")
 
 
 def confusion(data: DataFrame, p: Params) -> DataFrame:

@@ -317,10 +317,15 @@ def _standardised(s: SparkSession, d: str) -> DataFrame:
     return q.zscore(v_events(s, d)).select("subject", "t", F.array(F.coalesce("z", F.lit(0.0))).alias("x"))
 
 
+def _fitted(s: SparkSession, d: str) -> tuple[DataFrame, hmm.Params]:
+    data = tables.staged(_standardised(s, d))
+    params, _ = hmm.fit(data, 2)
+    hmm.settled(params)
+    return data, params
+
+
 def _hmm_decode(s: SparkSession, d: str) -> DataFrame:
-    data = _standardised(s, d)
-    params, _ = hmm.fit(data, 2, restarts=2, most_rounds=5)
-    return hmm.decode(data, params)
+    return hmm.decode(*_fitted(s, d))
 
 
 def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
@@ -328,7 +333,7 @@ def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
     feature = seq.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f"))
     design = panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), feature, ["f"])
     terms = {"all": ["group_coded", "f", "group_f_interaction", "y_lag1"], "f": ["group_coded", "f"]}
-    return inference.posterior_summary(glmm.term_table(s, glmm.fit(design, terms, rounds=6), terms))
+    return inference.posterior_summary(glmm.term_table(s, glmm.fit(design, terms), terms))
 
 
 _query("hmm_decode", None)(_hmm_decode)
@@ -447,21 +452,19 @@ _query("pattern_pca", None)(lambda s, d: patterns.embed(table(s, d, "embeddings"
 
 
 def _hmm_cross_validation(s: SparkSession, d: str) -> DataFrame:
-    data = _standardised(s, d)
-    full, _ = hmm.fit(data, 2, restarts=1, most_rounds=3)
-    return hmm.cross_validate(data.withColumn("fold", (F.col("subject") % 3).cast("int")), full, most_rounds=2)[1]
+    data, full = _fitted(s, d)
+    return hmm.cross_validate(data.withColumn("fold", (F.col("subject") % 3).cast("int")), full)[1]
 
 
 def _hmm_confusion(s: SparkSession, d: str) -> DataFrame:
-    data = _standardised(s, d)
-    return hmm.confusion(data, hmm.fit(data, 2, restarts=1, most_rounds=3)[0])
+    return hmm.confusion(*_fitted(s, d))
 
 
 def _glmm_folds(s: SparkSession, d: str) -> DataFrame:
     seq = v_events(s, d)
     feature = seq.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f"))
     design = panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), feature, ["f"])
-    return glmm.leave_out(design.withColumn("fold", (F.col("subject") % 3).cast("int")), ["group_coded", "f"], [0, 1, 2], rounds=4)
+    return glmm.leave_out(design.withColumn("fold", (F.col("subject") % 3).cast("int")), ["group_coded", "f"], [0, 1, 2])
 
 
 _query("hmm_cross_validation", None)(_hmm_cross_validation)
