@@ -13,7 +13,7 @@ from ..models import glmm, hmm
 from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
 from ..sources import tables
-from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WORD, table, v_atlas, v_events, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
+from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WORD, table, v_atlas, v_events, v_features, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -198,8 +198,8 @@ _query("spearman_pairs", f"WITH {OBS}, m AS (SELECT state, feature, avg(value) A
 _PT = f"{OBS}, p AS (SELECT id AS pattern_id, feature FROM obs WHERE value > 0.1)"
 
 
-def _patterns(s: SparkSession, d: str) -> DataFrame:
-    return v_obs(s, d).filter("value > 0.1").select(F.col("id").alias("pattern_id"), "feature")
+def _patterns(s: SparkSession, d: str, view: Query = v_obs) -> DataFrame:
+    return view(s, d).filter("value > 0.1").select(F.col("id").alias("pattern_id"), "feature")
 
 
 _JC = f"{_PT}, z AS (SELECT pattern_id, count(*) AS n FROM p GROUP BY 1), j AS (SELECT x.pattern_id AS a, y.pattern_id AS b, count(*) AS shared FROM p x JOIN p y ON x.feature = y.feature AND x.pattern_id < y.pattern_id GROUP BY 1, 2), jc AS (SELECT a, b, shared, shared / (za.n + zb.n - shared)::DOUBLE AS jaccard FROM j JOIN z za ON za.pattern_id = a JOIN z zb ON zb.pattern_id = b)"
@@ -338,7 +338,7 @@ def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
 
 _query("hmm_decode", None)(_hmm_decode)
 _query("glmm_terms", None)(_glmm_terms)
-_query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patterns(s, d), 0.6))
+_query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patterns(s, d, v_features), 0.6))
 
 # clusters over thresholds, totals and printed forms
 
@@ -386,7 +386,14 @@ _query(
 )(lambda s, d: curves.variance_inflation(v_seq(s, d), ["state", "t"]))
 _query("knee_point", None)(lambda s, d: curves.knee_point(align.threshold_sweep(align.peaks(x := _series(s, d)), x).select(F.lit("all").alias("series"), F.col("threshold").alias("x"), F.col("n_peaks").alias("y"))))
 _query("timepoint_p", None)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_events(s, d), 1)))
-_query("rank_correlation_p", None)(lambda s, d: inference.rank_correlation_p(pairs.spearman_pairs(v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value"))), 8))
+
+
+def _rank_correlation_p(s: SparkSession, d: str) -> DataFrame:
+    means = v_features(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value"))
+    return inference.rank_correlation_p(pairs.spearman_pairs(means), means.agg(F.count_distinct("feature")).first()[0])
+
+
+_query("rank_correlation_p", None)(_rank_correlation_p)
 _query(
     "pattern_cosine",
     f"WITH {OBS}, o AS (SELECT id % 10 AS subject, state::BIGINT AS state, feature, avg(value) AS x FROM obs GROUP BY ALL), w AS (SELECT state::BIGINT AS state, feature, avg(value) AS y FROM obs GROUP BY ALL) SELECT subject, state, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12), 6) AS cosine FROM o JOIN w USING (state, feature) GROUP BY 1, 2",
@@ -447,7 +454,7 @@ _query("array_utils", "SELECT vec_id, array_to_string(list_filter(range(8), lamb
     lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("v"))
     .select("vec_id", F.array_join(arrays.active_indices(F.col("v"), 0.1).cast("array<string>"), ",").alias("active"), F.array_join(arrays.active_names(F.col("v"), [f"n{i}" for i in range(8)], 0.1), ",").alias("names"), arrays.share_active(F.col("v"), 0.1).alias("share"))
 )
-_query("pattern_sweep", None)(lambda s, d: clustering.linkage_sweep(_patterns(s, d), [0.6, 0.7, 0.8, 0.9]))
+_query("pattern_sweep", None)(lambda s, d: clustering.linkage_sweep(_patterns(s, d, v_features), [0.6, 0.7, 0.8, 0.9]))
 _query("pattern_pca", None)(lambda s, d: patterns.embed(table(s, d, "embeddings").select("vec_id", "label", "embedding")).drop("embedding"))
 
 

@@ -49,11 +49,17 @@ def v_seg(spark: SparkSession, sf: str) -> DataFrame:
     return onset.join(c, ["story", "turn"]).withColumnRenamed("turn", "seg_id")
 
 
-def v_obs(spark: SparkSession, sf: str, width: int = 8) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("state"), F.posexplode(F.slice("embedding", 1, width)).alias("feature", "value"))
+def v_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Every component of every vector."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("state"), F.posexplode("embedding").alias("feature", "value"))
     return e.withColumn("value", F.col("value").cast("double"))
 
 
+def v_obs(spark: SparkSession, sf: str, width: int = 8) -> DataFrame:
+    """`v_features` as far as `OBS` holds it: the first `width` components."""
+    return v_features(spark, sf).filter(F.col("feature") < width)
+
+
 def v_atlas(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("element"), F.col("p_brand").alias("parcel"), F.col("p_type").alias("network"))
 

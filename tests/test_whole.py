@@ -1,8 +1,10 @@
 """Queries without a SQL form read whole tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from statewise.functions.tails import t_two_sided
 from statewise.operators import inference
 from statewise.plans import queries as core
 from statewise.plans.views import table, v_events
@@ -46,3 +48,26 @@ def test_steps_of_one_group_are_no_tests(spark):
     got = {r["t"]: r for r in inference.timepoint_p(panel).collect()}
     cut = {r["t"]: r["q"] for r in inference.timepoint_p(panel.filter("t < 4")).collect()}
     assert {t: r["q"] for t, r in got.items()} == {**cut, 4: None, 5: None}
+
+
+def test_vectors_are_whole(spark):
+    e = {r["vec_id"]: (r["label"], r["embedding"]) for r in table(spark, SF, "embeddings").collect()}
+    sets = {i: frozenset(f for f, x in enumerate(v) if x > 0.1) for i, (_, v) in e.items()}
+    sets = {i: s for i, s in sets.items() if s}
+    near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])]
+    got = {r["pattern_id"]: r["cluster"] for r in core.queries()["pattern_clusters"](spark, SF).collect()}
+    assert set(got) == set(sets)
+    if not near:
+        assert all(got[i] == i for i in got)
+    labels = sorted({label for label, _ in e.values()})
+    ranks = {}
+    for label in labels:
+        own = np.array([v for k, v in e.values() if k == label], float).mean(0)
+        ranks[label] = own.argsort().argsort()
+    assert len(ranks[labels[0]]) == 64
+    for r in core.queries()["rank_correlation_p"](spark, SF).collect():
+        rho = np.corrcoef(ranks[r["a"]], ranks[r["b"]])[0, 1]
+        z = abs(rho) * (62 / (1 - rho**2)) ** 0.5
+        assert abs(r["rho"] - rho) < 1e-5
+        want = spark.range(1).select(t_two_sided(F.lit(z), F.lit(62)).alias("p")).first()["p"] if r["a"] == labels[0] else r["p_value"]
+        assert abs(r["p_value"] - want) < 1e-5
