@@ -1,7 +1,7 @@
 """N-gram Jaccard join: MinHash banding, verified on full shingle sets.
 
-Rows of equal shingle sets are one class, whose smallest id represents it; only
-representatives are compared.  `bands_for` chooses bands and rows per band for
+Rows of equal shingle sets are one class, whose row of the smallest id
+represents it; only representatives are compared, under a number of their own.  `bands_for` chooses bands and rows per band for
 a target recall at the threshold; representatives meet on band hashes.  Links
 within a band's bucket are never listed: each member is tied to the bucket's
 least, so the buckets' overlaps form candidate components, and every pair that
@@ -13,8 +13,9 @@ the verified links, so nothing grows with the square of a group.
 
 Defined cases: a text of one to four words has one shingle of all its words; a
 text without words (null, empty) has no shingles, is in no class with another
-and has no links; rows with a null id represent nothing but themselves only if
-no row of their class has an id; repeated rows are copies; an empty table gives
+and has no links; rows with a null id are compared like any other, and the ids of a
+class that holds no other rows are null; rows of one id and different texts are
+different rows; repeated rows are copies; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -81,18 +82,22 @@ def _sketch(column: pa.Array, n: int, bands: int, rows: int) -> tuple[np.ndarray
     return count, key, band_hash
 
 
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, code): an id may stand at several texts, whose hashes tell its rows apart."""
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("code"))
+
+
 def sketches(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, k0, k1, bands) of every row."""
+    """(id, code, n_shingles, k0, k1, bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 count, key, band_hash = _sketch(part.column("text"), n, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * bands), pa.array(band_hash.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(count), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), lists], names=["id", "n_shingles", "k0", "k1", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("code"), pa.array(count), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), lists], names=["id", "code", "n_shingles", "k0", "k1", "bands"])
 
-    slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return slim.mapInArrow(run, "id long, n_shingles long, k0 long, k1 long, bands array<long>")
+    return _slim(docs, id_col, text_col).mapInArrow(run, "id long, code long, n_shingles long, k0 long, k1 long, bands array<long>")
 
 
 def _links(left: list, right: list, num: int, den: int, shared_columns: int = 4096) -> np.ndarray:
@@ -166,50 +171,58 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def jaccard_groups(
+def _classes(
     docs: DataFrame, threshold: tuple[int, int] = (4, 5), n: int = 5, recall: float = 0.997, block_bytes: int = 4 << 20, block_rows: int = 512,
     id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """One row per input row: id, class_id, rep_id, n_copies, n_links, n_shingles.
-
-    `rep_id` is the least id with the same shingle set (`n_copies` rows have
-    it), `n_links` counts the other rows whose Jaccard similarity with this one
-    is at least num/den, copies included, and `class_id` is the least id that
-    links reach.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and a row for each shingle set: k0, k1, n_shingles, lead (its row of the least id), copies, links, first (the lead of the least id that links reach)."""
     num, den = threshold
     bands, rows = bands_for(num / den, recall)
     table = written(sketches(docs, n, bands, rows, id_col, text_col))
-    classes = written(table.filter("n_shingles > 0 and id is not null").groupBy("k0", "k1", "n_shingles").agg(F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands"), F.min("id").alias("rep")))
+    lead = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "code")).alias("lead")
+    classes = table.filter("n_shingles > 0").groupBy("k0", "k1", "n_shingles").agg(F.count("*").alias("copies"), F.any_value("bands").alias("bands"), lead)
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    hashes = classes.select("rep", F.explode("bands").alias("band"))
-    least = hashes.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    ties = hashes.join(least, "band").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-    candidates = connected_components(ties)
+    hashes = classes.select("node", F.explode("bands").alias("band"))
+    least = hashes.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("members")).filter("members > 1")
+    ties = hashes.join(least, "band").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    candidates = connected_components(ties).withColumnRenamed("id", "node")
 
     # texts of the candidates, one row for each representative, dealt into bounded tasks
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    wanted = candidates.join(classes.select(F.col("rep").alias("id"), "k0", "k1", "copies", "n_shingles"), "id")
+    wanted = candidates.join(classes.select("node", F.col("lead.id").alias("of"), F.col("lead.code").alias("code"), "copies", "n_shingles"), "node")
     sizes = wanted.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("words"))
     blocks = F.greatest(F.ceil(F.col("members") / block_rows), F.ceil(F.col("words") * 6 / block_bytes), F.lit(1)).cast("int")
     wanted = wanted.join(sizes.select("component", blocks.alias("blocks")), "component")
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    lone = texts.join(wanted, "id").dropDuplicates(["id", "k0", "k1"])  # an id may be repeated
+    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    texts = _slim(docs, id_col, text_col).withColumnRenamed("code", "own")
+    lone = texts.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("code"))).dropDuplicates(["node"])  # a row may be repeated
     dealt = lone.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, last = F.least("block", "other"), F.greatest("block", "other")
-    dealt = dealt.select(F.xxhash64("component", first, last).alias("task"), "id", "copies", "block", F.when(first == last, 1).otherwise(2).alias("wanted"), "text")
+    dealt = dealt.select(F.xxhash64("component", first, last).alias("task"), F.col("node").alias("id"), "copies", "block", F.when(first == last, 1).otherwise(2).alias("wanted"), "text")
     verified = dealt.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(_verify(n, num, den), "id long, least long, links long")
     verified = written(verified)
-    links = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = connected_components(verified.select(F.col("id").alias("u"), F.col("least").alias("v")))
+    links = verified.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "node")
+    groups = connected_components(verified.select(F.col("id").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "node")
+    firsts = groups.join(classes.select("node", "lead"), "node").groupBy("component").agg(F.min("lead").alias("first"))
+
+    named = classes.join(links, "node", "left").join(groups.join(firsts, "component").select("node", "first"), "node", "left")
+    return table, named.select("k0", "k1", "n_shingles", "lead", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "lead").alias("first"))
 
-    named = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("k0", "k1", "n_shingles", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per input row: id, class_id, rep_id, n_copies, n_links, n_shingles.
+
+    `rep_id` is the least id with the same shingle set (`n_copies` rows have
+    it), `n_links` counts the other rows whose Jaccard similarity with this one
+    is at least num/den, copies included, and `class_id` is the least id that
+    links reach.
+    """
+    table, named = _classes(docs, id_col=id_col, **options)
     out = table.select("id", "n_shingles", "k0", "k1").join(named, ["k0", "k1", "n_shingles"], "left")
     return out.select(
         F.col("id").alias(id_col),
-        F.coalesce("component", "id").alias("class_id"),
-        F.coalesce("rep", "id").alias("rep_id"),
+        F.coalesce("first.id", "id").alias("class_id"),
+        F.coalesce("lead.id", "id").alias("rep_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         "n_shingles",
@@ -217,8 +230,15 @@ def jaccard_groups(
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns unchanged, one of each class: that with the least id.  Rows without an id stay."""
+    """The rows of `docs`, all columns unchanged, one of each class: that with the least id, one without an id only where no row has one.
+
+    Of texts without shingles, which are in no class, rows without an id stay as
+    they are and repeated rows with an id stay once.
+    """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    keep = jaccard_groups(docs, **options).filter(f"class_id = `{id_col}`").select(F.col(id_col).alias("__id")).distinct()
-    out = docs.join(keep, docs[id_col].cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
-    return out.unionByName(docs.filter(docs[id_col].isNull()))
+    table, named = _classes(docs, **options)
+    bare = table.filter("n_shingles = 0").select("id", "code").distinct()
+    keep = named.select("first.id", "first.code").distinct().withColumn("held", F.lit(True)).unionByName(bare.withColumn("held", F.col("id").isNotNull()))
+    keep = keep.select(F.col("id").alias("__id"), F.col("code").alias("__code"), F.col("held").alias("__held"))
+    out = docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__code"))).drop("__id", "__code")
+    return out.filter("__held").drop("__held").dropDuplicates([id_col, text_col]).unionByName(out.filter("not __held").drop("__held"))
