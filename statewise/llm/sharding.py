@@ -3,8 +3,9 @@
 Groups of equal texts, largest first, enter the shard with the tightest
 remaining capacity that still holds them.  Groups of one size class are placed
 together, which gives the same packing as one by one, so what the packing reads
-is a histogram of size classes: sizes up to 4096 are exact, larger ones are
-rounded up to 9 significant bits, fewer than 32,000 classes for any input.  Open
+is a histogram of size classes: sizes up to 4096 and from 1/64 of the capacity
+are exact, those between are rounded up to 9 significant bits, fewer than 32,000
+classes for any input besides at most 64 exact ones for each capacity filled.  Open
 shards stand in a balanced tree by remaining capacity.  Each group then finds
 its shard from its rank in its class.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import spread_key, spread_of, written
 
-_BITS = 9
+_BITS, _SHARE = 9, 64
 
 
 class _Node:
@@ -125,10 +126,10 @@ def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, most_sh
     return merged
 
 
-def _class_of(size):
-    """Column: `size`, rounded up to 9 significant bits above 4096."""
+def _class_of(size, capacity: int):
+    """Column: `size`, rounded up to 9 significant bits above 4096 and below 1/64 of the capacity."""
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size.cast("double"))) - (_BITS - 1), F.lit(0))).cast("long")
-    return F.when(size <= 4096, size).otherwise(F.ceil(size / step) * step).cast("long")
+    return F.when((size <= 4096) | (size * _SHARE >= capacity), size).otherwise(F.ceil(size / step) * step).cast("long")
 
 
 def shard_groups(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +154,7 @@ def shard_groups(docs: DataFrame, shards: int | None = 8, capacity: int | None =
     limit = capacity or max(1, -(-exact // shards))
     # at most exact/limit groups exceed a shard: that many rows come to the driver
     large = groups.filter(F.col("n") * F.col("size") > limit)
-    small = groups.filter(F.col("n") * F.col("size") <= limit).withColumn("class", _class_of(F.col("n") * F.col("size")))
+    small = groups.filter(F.col("n") * F.col("size") <= limit).withColumn("class", _class_of(F.col("n") * F.col("size"), limit))
     histogram = [(r["class"], r["count"]) for r in small.groupBy("class").count().collect()]
     pieces, piece_sizes = [], []
     for r in large.collect():
