@@ -1,25 +1,32 @@
 """Token counts of whole texts from pre-token frequencies.
 
-A batch of documents is one block.  The block's pre-tokens become an inverted
-list (pre-token -> documents and counts), dealt into buckets by pre-token.  All
-lists of a bucket meet in one task, where every distinct pre-token is counted
-once by the tokenizer; its piece count is joined to the lists and summed per
-document.  Ids of a document are never materialised.  What is shuffled is one
-row for each block and bucket, so a pre-token that every text holds adds no
-more than the block's rows; frequent ones are spread over all buckets by block.
-
-Defined cases: null counts as empty (0 bytes, 0 tokens); the special string in
-a text is one token, as by the library's default; repeated rows (and repeated
-ids) each get their own result; other columns are not read.
+1.  Every task counts the pre-tokens of its texts in bounded tables; Spark sums
+    them to the corpus vocabulary.
+2.  The tokenizer counts the pieces of each distinct pre-token once; vocabulary
+    and pieces are written as the dictionary.
+3.  Per document the pre-token frequencies meet the dictionary.  Frequent
+    pre-tokens, those whose share of all occurrences is at least their length
+    over `hot_bytes`, are joined in the task that reads the text: since shares
+    sum to 1, their lengths sum to at most `hot_bytes`, whatever the corpus.
+    All others are joined by pre-token in a shuffle, in which none of them can
+    be a hot key, and their pieces are summed per document.  Ids of a document
+    are never materialised.
+
+The rule that splits a text and the special strings are read from the tokenizer
+file; a file with a rule that is not known here is an error.
+
+Defined cases: null counts as empty (0 bytes, 0 tokens); a special string in a
+text is one token, as by the library's default; repeated rows (and repeated or
+null ids) each get their own result; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
-from collections.abc import Iterator
-from zlib import crc32
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -27,147 +34,131 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .textscan import slices
 
-#: Fixed value: the byte-level pre-token expression of the vocabulary.
-PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Fixed value: its one special string.
-SPECIAL = "<|endoftext|>"
+#: Fixed value: the pre-token expression that the byte-level rule stands for.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: A pre-token in more than one of so many documents of a block is spread by block.
-FREQUENT = 8
-_LISTS = "block long, bucket int, tokens binary, lengths binary, spread binary, rows binary, counts binary, ids array<{id}>, sizes binary"
-_SUMS = "block long, rows binary, sums binary, ids array<{id}>, sizes binary"
 
+def splitting(definition: str) -> tuple[str, list[str]]:
+    """(pre-token expression, special strings) of a tokenizer file's text."""
+    spec = json.loads(definition)
+    rule = spec.get("pre_tokenizer") or {}
+    if rule.get("type") != "ByteLevel" or rule.get("add_prefix_space") or not rule.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError("this tokenizer splits or normalises texts by a rule that is not known here")
+    added = spec.get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("this tokenizer's added strings are matched by a rule that is not known here")
+    return BYTE_LEVEL, sorted((t["content"] for t in added), key=len, reverse=True)
 
-def _lists(buckets: int, limit: int):
-    """Docs -> one row for each block and bucket, and a row (bucket -1) with the block's ids, bytes and special tokens."""
-    pattern = regex.compile(PRE_TOKEN)
+
+def counter_of(definition: str) -> Callable[[str], tuple[Counter, int]]:
+    """text -> (frequency of each pre-token, special strings in it)."""
+    expression, special = splitting(definition)
+    find = regex.compile(expression).findall
+    marks = regex.compile("|".join(map(regex.escape, special))) if special else None
+
+    def count(text: str) -> tuple[Counter, int]:
+        pieces = marks.split(text) if marks is not None and marks.search(text) else [text]
+        found = Counter(find(pieces[0]))
+        for more in pieces[1:]:
+            found.update(find(more))
+        return found, len(pieces) - 1
+
+    return count
+
+
+def _vocabulary(definition: str, most_held: int):
+    """Texts -> (token, n): tables of at most about `most_held` pre-tokens, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        count, held = counter_of(definition), Counter()
         for batch in batches:
-            for part in slices(batch, "text", limit):
-                vocab: dict[str, int] = {}
-                ids, counts, sizes, special = [], [], [], []
+            for part in slices(batch, "text"):
                 for text in part.column("text"):
-                    text = text.as_py() or ""
-                    pieces = text.split(SPECIAL)
-                    found = Counter(pattern.findall(pieces[0]))
-                    for more in pieces[1:]:
-                        found.update(pattern.findall(more))
-                    ids.append(np.fromiter((vocab.setdefault(t, len(vocab)) for t in found), np.uint32, len(found)))
-                    counts.append(np.fromiter(found.values(), np.uint32, len(found)))
-                    special.append(len(pieces) - 1)
-                sizes = pc.fill_null(pc.binary_length(part.column("text")), 0)
-                yield from _rows(block, part.column("id"), sizes, vocab, ids, counts, special, buckets)
-                block += 1
+                    held.update(count(text.as_py() or "")[0])
+                if len(held) > most_held:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+                    held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
 
     return run
 
 
-def _rows(block: int, doc_ids: pa.Array, sizes: pa.Array, vocab: dict, ids: list, counts: list, special: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    n = len(doc_ids)
-    own = np.repeat(np.arange(n, dtype=np.uint32), [len(x) for x in ids])
-    ids, counts, tokens = np.concatenate(ids), np.concatenate(counts), list(vocab)
-    frequency = np.bincount(ids, minlength=len(tokens))
-    code = np.fromiter((crc32(t.encode()) for t in tokens), np.int64, len(tokens))
-    frequent = frequency * FREQUENT > n
-    bucket = np.where(frequent & (n >= 2 * FREQUENT), code + block * 7919, code) % buckets
-    of = bucket[ids]
-    order = np.lexsort((own, ids, of))
-    own, counts, of, ids = own[order], counts[order], of[order], ids[order]
-    by = np.argsort(bucket, kind="stable")
-    cut, token_cut = np.searchsorted(of, np.arange(buckets + 1)), np.searchsorted(bucket[by], np.arange(buckets + 1))
-    out: dict[str, list] = {k: [] for k in ("block", "bucket", "tokens", "lengths", "spread", "rows", "counts")}
-    for b in range(buckets):
-        mine = np.sort(by[token_cut[b] : token_cut[b + 1]])
-        if len(mine):
-            raw = [tokens[i].encode() for i in mine.tolist()]
-            s = slice(cut[b], cut[b + 1])
-            for k, v in zip(out, (block, b, b"".join(raw), _pack([len(x) for x in raw]), _pack(frequency[mine]), _pack(own[s]), _pack(counts[s]))):
-                out[k].append(v)
-    for k, v in zip(out, (block, -1, b"", b"", b"", _pack(np.arange(n)), _pack(np.array(special)))):
-        out[k].append(v)
-    kinds, m = [pa.int64(), pa.int32(), *[pa.binary()] * 5], len(out["block"]) - 1
-    columns = [pa.array(v, t) for v, t in zip(out.values(), kinds)]
-    # only the last row carries the block's ids and sizes
-    columns.append(pa.ListArray.from_arrays(pa.array([None] * m + [0, n], pa.int32()) if m else pa.array([0, n], pa.int32()), doc_ids))
-    columns.append(pa.array([None] * m + [_pack(sizes.to_numpy(zero_copy_only=False))], pa.binary()))
-    yield pa.RecordBatch.from_arrays(columns, names=[*out, "ids", "sizes"])
-
-
-def _pack(values) -> bytes:
-    values = np.asarray(values, np.uint64)
-    width = next(w for w in ("u1", "u2", "u4", "u8") if not len(values) or values.max() <= np.iinfo(w).max)
-    return width[1:].encode() + values.astype(f"<{width}").tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{chr(raw[0])}", offset=1).astype(np.int64)
-
-
-def _sum_pieces(tokenizer_path: str, most_known: int = 300_000):
-    """Rows of some buckets -> per block the documents' sums of pieces."""
+def _pieces(definition: str):
+    """(token, n) of distinct pre-tokens -> adds `pieces`: each is given to the tokenizer once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer, known = Tokenizer.from_file(tokenizer_path), {}
+        tokenizer = Tokenizer.from_str(definition)
         for batch in batches:
-            blocks, rows, sums = [], [], []
-            slim = batch.drop_columns(["ids", "sizes"])
-            for r in (slim.slice(i, 1).to_pylist()[0] for i in range(slim.num_rows)):  # one at a time: a row holds a block's lists
-                blocks.append(r["block"])
-                own, counts = _unpack(r["rows"]), _unpack(r["counts"])
-                if r["bucket"] >= 0:
-                    ends = np.cumsum(_unpack(r["lengths"]))
-                    tokens = [r["tokens"][a:b].decode() for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())]
-                    if len(known) > most_known:  # bounds memory; a pre-token is then counted again
-                        known = {}
-                    new = [t for t in tokens if t not in known]
-                    for at in range(0, len(new), 4_000):
-                        some = new[at : at + 4_000]
-                        known.update(zip(some, (len(e) for e in tokenizer.encode_batch(some, add_special_tokens=False))))
-                    pieces = np.fromiter((known[t] for t in tokens), np.int64, len(tokens))
-                    counts = counts * np.repeat(pieces, _unpack(r["spread"]))
-                rows_, at = np.unique(own, return_inverse=True)
-                rows.append(_pack(rows_))
-                sums.append(_pack(np.bincount(at, counts, len(rows_)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(rows, pa.binary()), pa.array(sums, pa.binary()), batch.column("ids"), batch.column("sizes")], names=["block", "rows", "sums", "ids", "sizes"])
+            for at in range(0, batch.num_rows, 4_000):
+                some = batch.slice(at, 4_000)
+                found = tokenizer.encode_batch(some.column("token").to_pylist(), add_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([len(e) for e in found], pa.int64())], names=["token", "n", "pieces"])
 
     return run
 
 
-def _per_document(limit: int):
-    """All rows of a block (at most one for each task of the stage before) -> its documents."""
+def _met(definition: str, hot):
+    """Texts -> a row each: key of the row, id, bytes, pieces of its hot pre-tokens, its other pre-tokens and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, ids, sizes = np.zeros(0, np.int64), None, None
+        count, known = counter_of(definition), hot.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for r, own_ids in zip(batch.select(["rows", "sums", "sizes"]).to_pylist(), batch.column("ids")):
-                rows = _unpack(r["rows"])
-                if len(rows) and rows[-1] >= len(sums):
-                    sums = np.concatenate([sums, np.zeros(rows[-1] + 1 - len(sums), np.int64)])
-                sums[rows] += _unpack(r["sums"])
-                if r["sizes"] is not None:
-                    ids, sizes = own_ids.values, _unpack(r["sizes"])
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums), pa.array(sums > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
+            for part in slices(batch, "text"):
+                sums, tokens, counts = [], [], []
+                for text in part.column("text"):
+                    found, total = count(text.as_py() or "")
+                    rest = []
+                    for t, n in found.items():
+                        p = known.get(t)
+                        if p is None:
+                            rest.append(t)
+                        else:
+                            total += p * n
+                    sums.append(total)
+                    tokens.append(rest)
+                    counts.append([found[t] for t in rest])
+                size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
+                keys = pa.array(range(row, row + part.num_rows), pa.int64())
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([keys, part.column("id"), size, pa.array(sums, pa.int64()), pa.array(tokens, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["row", "id", "n_bytes", "hot", "tokens", "counts"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_bytes: int = 6 << 20) -> DataFrame:
+def dictionary_of(docs: DataFrame, definition: str, text_col: str = "text", most_held: int = 300_000) -> DataFrame:
+    """(token, n, pieces): every distinct pre-token of the texts, its occurrences and its number of pieces."""
+    texts = docs.select(docs[text_col].alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given by number: pieces are work, however few bytes the vocabulary has
+    counted = texts.mapInArrow(_vocabulary(definition, most_held), "token string, n long").repartition(parts, "token").groupBy("token").agg(F.sum("n").alias("n"))
+    return written(counted.mapInArrow(_pieces(definition), "token string, n long, pieces long"))
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
-    `tokenizer_path` must be readable on every executor.  `buckets` (tasks that
-    count pre-tokens) defaults to the session's number of shuffle partitions.
+    The tokenizer file is read once, on the driver.  `hot_bytes` bounds the
+    bytes of the pre-tokens that are sent to every task.
     """
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with open(tokenizer_path, encoding="utf-8") as f:
+        definition = f.read()
+    spark = docs.sparkSession
+    dictionary = dictionary_of(docs, definition, text_col)
+    total = dictionary.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.octet_length("token") * F.lit(total) <= F.col("n") * F.lit(hot_bytes)
+    hot = spark.sparkContext.broadcast({r["token"]: r["pieces"] for r in dictionary.filter(is_hot).select("token", "pieces").toLocalIterator()})
+
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    lists = slim.mapInArrow(_lists(buckets, block_bytes), _LISTS.format(id=kind))
-    key = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    sums = lists.repartition(buckets, key).mapInArrow(_sum_pieces(tokenizer_path), _SUMS.format(id=kind))
-    out = sums.groupBy("block").applyInArrow(_per_document(limit), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
-    return out.withColumnRenamed("id", id_col)
+    met = written(slim.mapInArrow(_met(definition, hot), f"row long, id {kind}, n_bytes long, hot long, tokens array<string>, counts array<long>"))
+    cold = met.select("row", F.explode(F.arrays_zip("tokens", "counts")).alias("c")).select("row", "c.tokens", "c.counts").withColumnRenamed("tokens", "token")
+    joined = cold.join(dictionary.filter(~is_hot).select("token", "pieces").hint("merge"), "token")  # both grow with the corpus
+    sums = joined.groupBy("row").agg(F.sum(F.col("counts") * F.col("pieces")).alias("cold"))
+    tokens = (F.col("hot") + F.coalesce("cold", F.lit(0))).cast("long")
+    out = met.select("row", "id", "n_bytes", "hot").join(sums.hint("merge"), "row", "left")
+    return out.select(F.col("id").alias(id_col), "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))

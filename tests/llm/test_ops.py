@@ -253,12 +253,13 @@ def test_quality_crf_edges(docs, rows):
     assert len(scored) == len(rows) and all(0 <= r["score"] <= 1 for r in scored)
 
 
-def test_token_counts(spark, rows):
+@pytest.mark.parametrize("hot_bytes", [0, 500, 8 << 20])
+def test_token_counts(spark, rows, hot_bytes):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     data = rows + [(800, "a<|endoftext|>b  c\n\n x", ""), (801, "é\x1c\x85​  x  \t it's 12 ½ 日本語", ""), (802, "<|endoftext|><|endoftext|>", "")]
-    got = token_counts.count_tokens(spark.createDataFrame(data, SCHEMA), public_tokenizers.path("byte_bpe_50k.json"), block_bytes=50_000).collect()
+    got = token_counts.count_tokens(spark.createDataFrame(data, SCHEMA), public_tokenizers.path("byte_bpe_50k.json"), hot_bytes=hot_bytes).collect()
     want = sorted((str(i), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in data)
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in got) == want
 
