@@ -1,22 +1,28 @@
 """N-gram Jaccard join: MinHash banding, verified on full shingle sets.
 
 Rows of equal shingle sets are one class, whose row of the smallest id
-represents it; only representatives are compared, under a number of their own.  `bands_for` chooses bands and rows per band for
-a target recall at the threshold; representatives meet on band hashes.  Links
-within a band's bucket are never listed: each member is tied to the bucket's
-least, so the buckets' overlaps form candidate components, and every pair that
-shares a bucket lies inside one.  A component's texts come together once and
-all its pairs are verified on their full sets by products of incidence blocks;
-a large component is dealt into (block, block) tasks of bounded size.  What
-leaves a task is one row per text: its number of links and its component among
-the verified links, so nothing grows with the square of a group.
+represents it; only representatives are compared, under a number of their own.
+`bands_for` chooses bands and rows per band for a target recall at the
+threshold; representatives meet on band hashes.  Links within a band's bucket
+are never listed: each member is tied to the bucket's least, so the buckets'
+overlaps form candidate components, and every pair that shares a bucket lies
+inside one.  A component's texts come together once and all its pairs are
+verified on their full sets by products of incidence blocks, dealt into
+(block, block) tasks of bounded size.  A component of more blocks than there are
+bands is a chain of buckets rather than a group: there only pairs that share a
+bucket are compared, bucket by bucket, each in the first bucket that it shares,
+so a text is sent to no more units than there are bands.  What leaves a task is
+one row per text: its number of links and its component among the verified
+links, so nothing grows with the square of a group.
 
 Defined cases: a text of one to four words has one shingle of all its words; a
 text without words (null, empty) has no shingles, is in no class with another
-and has no links; rows with a null id are compared like any other, and the ids of a
-class that holds no other rows are null; rows of one id and different texts are
-different rows; repeated rows are copies; an empty table gives
-an empty result; other columns are not read.
+and has no links; ids may be of any type with an order and come back as they
+are; rows with a null id are compared like any other, and the ids of a class
+that holds no other rows are null; rows of one id and different texts are
+different rows; repeated rows are copies; an empty table gives an empty result;
+other columns, whatever their names, are not read (`drop_near_copies` hands them
+on).
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import free_names, written
 from .textscan import Words, mix, pack, shingles, slices
 
 _U = np.uint64
@@ -84,7 +90,7 @@ def _sketch(column: pa.Array, n: int, bands: int, rows: int) -> tuple[np.ndarray
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, code): an id may stand at several texts, whose hashes tell its rows apart."""
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("code"))
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("code"))
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -97,7 +103,8 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_c
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * bands), pa.array(band_hash.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("code"), pa.array(count), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), lists], names=["id", "code", "n_shingles", "k0", "k1", "bands"])
 
-    return _slim(docs, id_col, text_col).mapInArrow(run, "id long, code long, n_shingles long, k0 long, k1 long, bands array<long>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _slim(docs, id_col, text_col).mapInArrow(run, f"id {kind}, code long, n_shingles long, k0 long, k1 long, bands array<long>")
 
 
 def _links(left: list, right: list, num: int, den: int, shared_columns: int = 4096) -> np.ndarray:
@@ -124,23 +131,31 @@ def _links(left: list, right: list, num: int, den: int, shared_columns: int = 40
     return total.astype(np.int64) * (num + den) >= num * (sizes_l[:, None] + sizes_r[None, :])
 
 
+_TASK = ["unit", "band", "lo", "hi"]
+
+
 def _verify(n: int, num: int, den: int):
-    """Rows sorted by task -> (id, least, links) of each row of each task."""
+    """Rows sorted by task -> (id, least, links) of each row of each task.
+
+    A task holds one block (lo = hi) or two of a unit.  A unit with a band is a
+    bucket of it, where pairs that share a bucket of an earlier band don't count.
+    """
 
-    def task(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, wanted: int, texts: pa.Array) -> pa.RecordBatch:
+    def task(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, band: int, lo: int, hi: int, texts: pa.Array, signs: np.ndarray) -> pa.RecordBatch:
         words = Words(*pack(texts))
         row, value = shingles(words, words.hash(), n)
         cut = np.searchsorted(row, np.arange(1, len(ids)))
         sets = [np.unique(v) for v in np.split(value, cut)]
-        blocks = np.unique(block)
-        i, j = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[-1])
+        i, j = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         links, least = np.zeros(len(ids), np.int64), ids.copy()
-        if wanted == len(blocks):  # a block may have no member
+        if len(i) and len(j):  # a block may have no member
             linked = _links([sets[k] for k in i], [sets[k] for k in j], num, den)
-            if len(blocks) == 1:
+            for b in range(band):
+                linked &= signs[i, b][:, None] != signs[j, b][None, :]
+            if lo == hi:
                 np.fill_diagonal(linked, False)
             links[i] += linked @ copies[j]
-            if len(blocks) == 2:
+            if lo != hi:
                 links[j] += linked.T @ copies[i]
             # least id among those that the links reach, by repeated minima over neighbours
             while True:
@@ -154,23 +169,42 @@ def _verify(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(table: pa.Table) -> pa.RecordBatch:
             col = lambda name: table.column(name).to_numpy()
-            return task(col("id").copy(), col("copies"), col("block"), int(col("wanted")[0]), table.column("text").combine_chunks())
+            band = int(col("band")[0])
+            signs = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1) if band >= 0 else np.zeros((0, 0))
+            return task(col("id").copy(), col("copies"), col("block"), band, int(col("lo")[0]), int(col("hi")[0]), table.column("text").combine_chunks(), signs)
 
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            key = table.column("task").to_numpy()
-            cuts = np.flatnonzero(np.diff(key)) + 1
+            keys = [table.column(c).to_numpy() for c in _TASK]
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
             begin = np.concatenate([[0], cuts]).astype(int)
             for s, e in zip(begin[:-1], begin[1:]):
                 yield emit(table.slice(s, e - s))
-            held = table.slice(begin[-1]) if len(key) else held
+            held = table.slice(begin[-1]) if table.num_rows else held
         if held is not None and held.num_rows:
             yield emit(held)
 
     return run
 
 
+def _units(wanted: DataFrame, bands: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """(node, component, n_shingles, bands) of the candidates -> (node, homes): the units that compare it, each with band, block and blocks."""
+
+    def blocks(of: DataFrame, *key: str) -> DataFrame:
+        sizes = of.groupBy(*key).agg(F.count("*").alias("members"), F.sum("n_shingles").alias("words"))
+        n = F.greatest(F.ceil(F.col("members") / block_rows), F.ceil(F.col("words") * 6 / block_bytes), F.lit(1)).cast("int")
+        return sizes.filter("members > 1").select(*key, n.alias("blocks"))
+
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    known = wanted.join(blocks(wanted, "component"), "component")
+    home = lambda unit, band: F.struct(unit.alias("unit"), band.cast("int").alias("band"), block, F.col("blocks"))
+    groups = known.filter(F.col("blocks") <= bands).select("node", F.array(home(F.col("component"), F.lit(-1))).alias("homes"))
+    chained = known.filter(F.col("blocks") > bands).select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    in_bucket = chained.join(blocks(chained, "band", "bucket"), ["band", "bucket"])
+    return groups.unionByName(in_bucket.groupBy("node").agg(F.collect_list(home(F.col("bucket"), F.col("band"))).alias("homes")))
+
+
 def _classes(
     docs: DataFrame, threshold: tuple[int, int] = (4, 5), n: int = 5, recall: float = 0.997, block_bytes: int = 4 << 20, block_rows: int = 512,
     id_col: str = "doc_id", text_col: str = "text",
@@ -189,17 +223,15 @@ def _classes(
     candidates = connected_components(ties).withColumnRenamed("id", "node")
 
     # texts of the candidates, one row for each representative, dealt into bounded tasks
-    wanted = candidates.join(classes.select("node", F.col("lead.id").alias("of"), F.col("lead.code").alias("code"), "copies", "n_shingles"), "node")
-    sizes = wanted.groupBy("component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("words"))
-    blocks = F.greatest(F.ceil(F.col("members") / block_rows), F.ceil(F.col("words") * 6 / block_bytes), F.lit(1)).cast("int")
-    wanted = wanted.join(sizes.select("component", blocks.alias("blocks")), "component")
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    wanted = candidates.join(classes.select("node", F.col("lead.id").alias("of"), F.col("lead.code").alias("code"), "copies", "n_shingles", "bands"), "node")
+    wanted = wanted.join(_units(wanted, bands, block_rows, block_bytes), "node")
     texts = _slim(docs, id_col, text_col).withColumnRenamed("code", "own")
     lone = texts.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("code"))).dropDuplicates(["node"])  # a row may be repeated
-    dealt = lone.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first, last = F.least("block", "other"), F.greatest("block", "other")
-    dealt = dealt.select(F.xxhash64("component", first, last).alias("task"), F.col("node").alias("id"), "copies", "block", F.when(first == last, 1).otherwise(2).alias("wanted"), "text")
-    verified = dealt.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(_verify(n, num, den), "id long, least long, links long")
+    homes = lone.select("node", "copies", "text", "bands", F.explode("homes").alias("h")).select("node", "copies", "text", "bands", "h.*")
+    dealt = homes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first, last = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    dealt = dealt.select("unit", "band", first, last, F.col("node").alias("id"), "copies", "block", F.when(F.col("band") >= 0, F.col("bands")).alias("bands"), "text")
+    verified = dealt.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(_verify(n, num, den), "id long, least long, links long")
     verified = written(verified)
     links = verified.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "node")
     groups = connected_components(verified.select(F.col("id").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "node")
@@ -236,9 +268,10 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     they are and repeated rows with an id stay once.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    own, code, held = free_names(docs, "id", "code", "held")
     table, named = _classes(docs, **options)
     bare = table.filter("n_shingles = 0").select("id", "code").distinct()
     keep = named.select("first.id", "first.code").distinct().withColumn("held", F.lit(True)).unionByName(bare.withColumn("held", F.col("id").isNotNull()))
-    keep = keep.select(F.col("id").alias("__id"), F.col("code").alias("__code"), F.col("held").alias("__held"))
-    out = docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__code"))).drop("__id", "__code")
-    return out.filter("__held").drop("__held").dropDuplicates([id_col, text_col]).unionByName(out.filter("not __held").drop("__held"))
+    keep = keep.select(F.col("id").alias(own), F.col("code").alias(code), F.col("held").alias(held))
+    out = docs.join(keep, docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text_col]) == F.col(code))).drop(own, code)
+    return out.filter(held).drop(held).dropDuplicates([id_col, text_col]).unionByName(out.filter(~F.col(held)).drop(held))
