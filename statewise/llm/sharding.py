@@ -132,11 +132,27 @@ def _class_of(size, capacity: int):
     return F.when((size <= 4096) | (size * _SHARE >= capacity), size).otherwise(F.ceil(size / step) * step).cast("long")
 
 
+def _as_of(ranked: DataFrame, runs: DataFrame, key: str, width: int = 4096) -> DataFrame:
+    """`ranked` (key, rank, ...) with the shard of the run (key, from, to, shard) that holds each rank.
+
+    Runs are laid over buckets of `width` ranks, so a key with any number of
+    runs and ranks is many small groups; in each the run in force is carried
+    forward from its first rank.
+    """
+    first, last = F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width)
+    starts = runs.select(key, "from", "shard", F.explode(F.sequence(first, last)).alias("bucket")).select(key, "bucket", F.greatest("from", F.col("bucket") * width).alias("rank"), "shard")
+    rows = ranked.withColumns({"bucket": F.floor(F.col("rank") / width), "held": F.lit(True)})
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    order = W.partitionBy(key, "bucket").orderBy("rank", F.col("held").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("shard", F.last("shard", True).over(order)).filter("held").drop("bucket", "held")
+
+
 def shard_groups(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, group_rows.
 
     Give `shards` (capacity is then an equal part of all bytes) or `capacity`
-    with shards=None (as few shards as the packing needs).
+    with shards=None (as few shards as the packing needs).  The driver holds
+    the runs of the packing: some rows for each shard and size class, no more.
     """
     spark = docs.sparkSession
     ranges = spread_of(spark)
@@ -150,64 +166,52 @@ def shard_groups(docs: DataFrame, shards: int | None = 8, capacity: int | None =
     rows = written(rows)
     groups = written(rows.groupBy("group").agg(F.count("*").alias("n"), F.max("size").alias("size")))
 
-    exact = groups.select(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
-    limit = capacity or max(1, -(-exact // shards))
+    all_rows, exact = groups.select(F.sum("n"), F.sum(F.col("n") * F.col("size"))).first()
+    limit = capacity or max(1, -(-(exact or 0) // shards))
     # at most exact/limit groups exceed a shard: that many rows come to the driver
     large = groups.filter(F.col("n") * F.col("size") > limit)
     small = groups.filter(F.col("n") * F.col("size") <= limit).withColumn("class", _class_of(F.col("n") * F.col("size"), limit))
-    histogram = [(r["class"], r["count"]) for r in small.groupBy("class").count().collect()]
-    pieces, piece_sizes = [], []
-    for r in large.collect():
+    counted = {r["class"]: r["count"] for r in small.groupBy("class").count().toLocalIterator()}
+    pieces = []  # (bytes, group, first row, rows)
+    for r in large.toLocalIterator():
         per = max(1, limit // r["size"])
-        for k in range(-(-r["n"] // per)):
-            pieces.append((bytes(r["group"]), k * per, min(per, r["n"] - k * per)))
-            piece_sizes.append(pieces[-1][2] * r["size"])
-    # pieces stand in front of the histogram as classes of their own, told apart by their rank
-    whole = sorted(zip(piece_sizes, pieces), key=lambda x: (-x[0], x[1]))
-    counted: dict[int, int] = {}
-    for size, _ in whole:
-        counted[size] = counted.get(size, 0) + 1
-    merged = dict(histogram)
-    for size, n in counted.items():
-        merged[size] = merged.get(size, 0) + n
+        pieces += [(min(per, r["n"] - at) * r["size"], bytes(r["group"]), at, min(per, r["n"] - at)) for at in range(0, r["n"], per)]
+    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+    shift: dict[int, int] = {}  # pieces take the first ranks of their class
+    for p in pieces:
+        shift[p[0]] = shift.get(p[0], 0) + 1
+    merged = {size: counted.get(size, 0) + shift.get(size, 0) for size in counted.keys() | shift.keys()}
     room = capacity or max(1, -(-sum(s * n for s, n in merged.items()) // shards))
     runs = best_fit_decreasing(list(merged.items()), room, shards)
 
-    # pieces take the first ranks of their class
-    by_size: dict[int, list[Run]] = {}
-    for run in runs:
-        by_size.setdefault(run.size, []).append(run)
-    used: dict[int, int] = {}
-    piece_rows = []
-    for size, (group, first, count) in whole:
-        rank = used.get(size, 0)
-        used[size] = rank + 1
-        shard = next(r.shard for r in by_size[size] if r.first <= rank < r.first + r.count)
-        piece_rows.append((group, first, first + count, shard))
-    run_rows = [(r.size, r.first, r.first + r.count, r.shard) for r in runs]
-    run_table = spark.createDataFrame(run_rows, "class long, from long, to long, shard int")
-    shift = spark.createDataFrame(list(used.items()), "class long, shift long")
+    piece_rows, at = [], 0
+    for run in runs:  # both lists fall by size
+        n_pieces = min(run.count, max(0, shift.get(run.size, 0) - run.first))
+        piece_rows += [(g, first, first + n, run.shard) for _, g, first, n in pieces[at : at + n_pieces]]
+        at += n_pieces
+    run_table = spark.createDataFrame([(r.size, r.first, r.first + r.count, r.shard) for r in runs], "class long, from long, to long, shard int")
+    shifts = spark.createDataFrame(list(shift.items()), "class long, shift long")
 
     # rank of a group in its class, by hash ranges
     ranked = small.withColumn("range", spread_key("group", ranges=ranges))
     counts = ranked.groupBy("class", "range").count()
     base = counts.select("class", "range", (F.sum("count").over(W.partitionBy("class").orderBy("range")) - F.col("count")).alias("base"))
     rank = F.col("base") + F.row_number().over(W.partitionBy("class", "range").orderBy("group")) - 1 + F.coalesce("shift", F.lit(0))
-    ranked = ranked.join(base, ["class", "range"]).join(F.broadcast(shift), "class", "left").withColumn("rank", rank).select("group", "n", "class", "rank")
-    bounded = F.broadcast(run_table) if len(run_rows) <= 100_000 else run_table
-    home = ranked.join(bounded, "class").filter((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))).select("group", "n", "shard")
-    placed = rows.join(home, "group").select("id", "size", "crc", "range", "n", "shard")
+    ranked = ranked.join(base, ["class", "range"]).join(shifts, "class", "left").withColumn("rank", rank).select("group", "n", "class", "rank")
+    home = written(_as_of(ranked, run_table, "class").select("group", "n", "shard"))
+    # groups of a thousandth of all rows or more are at most a thousand: their rows stay where they are
+    common = F.broadcast(home.filter(F.col("n") * 1000 >= F.lit(all_rows or 0)))
+    placed = rows.join(common, "group").unionByName(rows.join(F.broadcast(common.select("group")), "group", "left_anti").join(home, "group"))
+    placed = placed.select("id", "size", "crc", "range", "n", "shard")
 
     if piece_rows:
-        piece_table = F.broadcast(spark.createDataFrame(piece_rows, "group binary, from long, to long, shard int"))  # at most 2 x shards rows
-        names = F.broadcast(spark.createDataFrame([(g,) for g in {p[0] for p in piece_rows}], "group binary"))
-        inside = rows.join(names, "group")
-        counts = inside.groupBy("group", "range").count()
         own = W.partitionBy("group")
+        inside = rows.join(spark.createDataFrame([(g,) for g in {p[0] for p in piece_rows}], "group binary"), "group")
+        counts = inside.groupBy("group", "range").count()
         base = counts.select("group", "range", (F.sum("count").over(own.orderBy("range")) - F.col("count")).alias("base"), F.sum("count").over(own).alias("n"))
         rank = F.col("base") + F.row_number().over(W.partitionBy("group", "range").orderBy("id")) - 1
         inside = inside.join(base, ["group", "range"]).withColumn("rank", rank)
-        cut = inside.join(piece_table, "group").filter((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+        cut = _as_of(inside, spark.createDataFrame(piece_rows, "group binary, from long, to long, shard int"), "group")
         placed = placed.unionByName(cut.select("id", "size", "crc", "range", "n", "shard"))
 
     placed = written(placed)
