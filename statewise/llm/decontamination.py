@@ -9,26 +9,32 @@ probability over 0.9999 at containment 0.8, however long the document is.
 Candidates are verified by exact containment of the item's shingles in the
 whole document's.
 
-Items are collected in bounded parts (`part_bytes` of item text each); a larger
-item set is searched in several passes over the documents, part by part.
+The index of at most `part_bytes` of item text is built once, in a task, and sent
+to the tasks that read documents.  A larger item set is searched part by part:
+each pass writes what it found to the shared folder and gives its index up
+before the next, so neither the driver nor an executor holds more than one part.
 
 Defined cases: shingles are five words; an item or document of one to four
 words has one shingle of all its words; null and empty texts have none and
 never match; repeated rows give repeated results; an empty item set matches
-nothing; other columns are not read.
+nothing; an empty table gives an empty result; other columns, whatever their
+names, are not read (`drop_contaminated` hands them on).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .textscan import Words, pack, shingles, slices
 
 _U = np.uint64
@@ -115,14 +121,41 @@ class ItemIndex:
         return tuple(np.array(x, np.int64) for x in zip(*kept)) if kept else tuple(np.zeros(0, np.int64) for _ in range(4))  # type: ignore[return-value]
 
 
-def _parts(items: DataFrame, item_id: str, item_text: str, part_bytes: int) -> Iterator[tuple[list, list]]:
+_CHUNK = 1 << 20
+#: The index that this worker unpacked last, by its broadcast.
+_OPEN: dict[int, ItemIndex] = {}
+
+
+def _opened(packed: Broadcast, name: int) -> ItemIndex:
+    if name not in _OPEN:
+        _OPEN.clear()
+        _OPEN[name] = pickle.loads(packed.value)
+    return _OPEN[name]
+
+
+def _packed_index(part: DataFrame, hashes: int, threshold: float) -> bytes:
+    """The index of some items, built in one task."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = [], []
+        for batch in batches:
+            ids += batch.column("id").to_pylist()
+            texts += batch.column("text").to_pylist()
+        raw = pickle.dumps(ItemIndex(ids, texts, hashes, threshold))
+        pieces = [raw[at : at + _CHUNK] for at in range(0, len(raw), _CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["n", "raw"])
+
+    return b"".join(bytes(r["raw"]) for r in sorted(part.coalesce(1).mapInArrow(build, "n int, raw binary").collect(), key=lambda r: r["n"]))
+
+
+def _indexes(items: DataFrame, item_id: str, item_text: str, part_bytes: int, hashes: int, threshold: float) -> Iterator[tuple[Broadcast, bool]]:
+    """(index, whether it is the last) of each part of the items."""
     slim = items.select(items[item_id].alias("id"), F.coalesce(items[item_text], F.lit("")).alias("text"))
     total = slim.select(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     parts = max(1, -(-2 * total // part_bytes)) if total > part_bytes else 1
     for k in range(parts):
-        rows = slim.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).orderBy("id", "text").collect()
-        if rows or k == 0:
-            yield [r["id"] for r in rows], [r["text"] for r in rows]
+        part = slim.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
+        yield items.sparkSession.sparkContext.broadcast(_packed_index(part, hashes, threshold)), k == parts - 1
 
 
 def find_items(
@@ -130,34 +163,35 @@ def find_items(
     id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row for each document and item that it contains: ids, n_shared, n_item, containment."""
-    spark = docs.sparkSession
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    id_kind, item_kind = slim.schema["id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    id_kind, item_field = slim.schema["id"].dataType.simpleString(), items.select(items[item_id].alias("item"))
+    item_kind, arrow_kind = item_field.schema["item"].dataType.simpleString(), item_field.limit(0).toArrow().schema.field("item").type
     found = []
-    for ids, texts in _parts(items, item_id, item_text, part_bytes):
-        shared = spark.sparkContext.broadcast((ids, texts))
-        kind = pa.array(ids, None if any(i is not None for i in ids) else pa.int64()).type
+    for shared, last in _indexes(items, item_id, item_text, part_bytes, hashes, threshold):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, kind=kind) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*shared.value, hashes, threshold)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=shared._jbroadcast.id()) -> Iterator[pa.RecordBatch]:
+            index = _opened(shared, name)
             for batch in batches:
                 for part in slices(batch, "text"):
                     row, item, n_shared, n_item = index.search(part.column("text"))
-                    item_ids = pa.array([index.ids[i] for i in item.tolist()], kind)
+                    item_ids = pa.array([index.ids[i] for i in item.tolist()], arrow_kind)
                     yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), item_ids, pa.array(n_shared), pa.array(n_item)], names=["id", "item", "n_shared", "n_item"])
 
-        found.append(slim.mapInArrow(run, f"id {id_kind}, item {item_kind}, n_shared long, n_item long"))
+        of_part = slim.mapInArrow(run, f"id {id_kind}, item {item_kind}, n_shared long, n_item long")
+        if not last:
+            of_part = written(of_part)
+            shared.destroy()
+        found.append(of_part)
     return reduce(DataFrame.unionByName, found).select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, hashes: int = 48, part_bytes: int = 32 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns unchanged, that contain no item."""
-    spark, out = docs.sparkSession, docs
-    for ids, texts in _parts(items, item_id, item_text, part_bytes):
-        shared = spark.sparkContext.broadcast((ids, texts))
+    out = docs
+    for shared, last in _indexes(items, item_id, item_text, part_bytes, hashes, threshold):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*shared.value, hashes, threshold)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=shared._jbroadcast.id()) -> Iterator[pa.RecordBatch]:
+            index = _opened(shared, name)
             for batch in batches:
                 for part in slices(batch, text_col):
                     keep = np.ones(part.num_rows, bool)
@@ -165,4 +199,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8,
                     yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
+        if not last:
+            out = written(out)
+            shared.destroy()
     return out
