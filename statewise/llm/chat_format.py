@@ -7,8 +7,10 @@ assistant's turns).
 
 Defined cases: turns are taken in order of turn number, then role and text; a
 null role is rendered as "unknown", a null text as empty; a side without turns
-has an empty completion; equal sides leave both completions empty; an empty
-table gives an empty result; other columns are not read.
+has an empty completion; equal sides leave both completions empty; turns with a
+null id are one pair; ids may be of any type and come back as they are (only
+whole numbers, also written ones, have a next conversation); repeated turns are
+turns; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -61,9 +63,10 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     chosen_mask, rejected_mask (spans start:end in the completion; the line
     break after an end mark is not in them).
     """
-    both = _side(chosen, "c").join(_side(rejected, "r"), "pair_id", "full_outer")
+    c_side, r_side = _side(chosen, "c"), _side(rejected, "r").withColumnRenamed("pair_id", "other_id")
+    both = c_side.join(r_side, F.col("pair_id").eqNullSafe(F.col("other_id")), "full_outer")
     none = F.array().cast(both.schema["c"].dataType)
-    both = both.select("pair_id", F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r")).withColumn("n_common", _common(F.col("c"), F.col("r")))
+    both = both.select(F.coalesce("pair_id", "other_id").alias("pair_id"), F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r")).withColumn("n_common", _common(F.col("c"), F.col("r")))
     text = lambda turns: F.array_join(F.transform(turns, _rendered), "")
     c, r, n = F.col("c"), F.col("r"), F.col("n_common")
     return both.select(
@@ -82,11 +85,12 @@ def reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejected side ends before the reply; without an assistant turn both sides
     are the whole conversation.
     """
-    said = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    last = said.filter(F.col("role") == ASSISTANT).groupBy("pair_id").agg(F.max("turn").alias("last"), F.min_by(F.coalesce("text", F.lit("")), F.struct("turn", "text")).alias("reply"))
-    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("reply").alias("other"))
-    known = last.select("pair_id", "last").join(other, "pair_id", "left")
-    turns = said.join(known, "pair_id", "left")
+    own = conversations["conv_id"]
+    said = conversations.select(own.alias("pair_id"), own.try_cast("long").alias("number"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    last = said.filter(F.col("role") == ASSISTANT).groupBy("pair_id", "number").agg(F.max("turn").alias("last"), F.min_by(F.coalesce("text", F.lit("")), F.struct("turn", "text")).alias("reply"))
+    other = last.filter("number is not null").groupBy((F.col("number") - 1).alias("number")).agg(F.min("reply").alias("other"))
+    known = last.join(other, "number", "left").select(F.col("pair_id").alias("known_id"), "last", "other")
+    turns = said.join(known, F.col("pair_id").eqNullSafe(F.col("known_id")), "left")
     chosen = turns.filter(F.coalesce(F.col("turn") <= F.col("last"), F.lit(True))).select("pair_id", "turn", "role", "text")
     is_reply = F.coalesce((F.col("turn") == F.col("last")) & (F.col("role") == ASSISTANT), F.lit(False))
     rejected = turns.filter(F.coalesce(F.col("turn") <= F.col("last"), F.lit(True)) & ~(is_reply & F.col("other").isNull()))
