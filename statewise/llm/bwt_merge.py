@@ -58,8 +58,8 @@ def merge(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray, n
     """Merged order of all shards' rotations to `depth` bytes: (shard, place in the shard's order, interval, common prefix with the predecessor).
 
     The first step takes the bytes that are left over when `depth` is cut into
-    steps.  The common prefix is exact to a step and stands at `depth` where
-    the neighbours agree that far.
+    steps.  The common prefix is exact to a step and stands at `depth` where,
+    and only where, the neighbours agree that far.
     """
     sizes = np.array([len(p.order) for p in parts])
     before = np.concatenate([p.symbols for p in parts])
@@ -128,7 +128,8 @@ def repeated_windows(segments: list[bytes], owners: np.ndarray, starts: np.ndarr
         parts.append(part)
         of_segment.append((which + at)[part.order])
         of_offset.append(offset[part.order])
-    shard, place, interval, _ = merge(parts, length)
+    shard, place, _, common = merge(parts, length)
+    interval = np.cumsum(common < length)  # rotations that agree with their predecessor for a whole window are repeats of it
     base = np.concatenate([[0], np.cumsum([len(p.order) for p in parts])])
     flat = base[shard] + place
     segment, offset = np.concatenate(of_segment)[flat], np.concatenate(of_offset)[flat]
