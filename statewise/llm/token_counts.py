@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     spark = docs.sparkSession
     dictionary = dictionary_of(docs, definition, text_col)
     total = dictionary.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.octet_length("token") * F.lit(total) <= F.col("n") * F.lit(hot_bytes)
+    is_hot = F.octet_length("token") * F.lit(float(total)) <= F.col("n") * F.lit(float(hot_bytes))
     hot = spark.sparkContext.broadcast({r["token"]: r["pieces"] for r in dictionary.filter(is_hot).select("token", "pieces").toLocalIterator()})
 
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
