@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import bin_floor, bin_half_even
+from ..sources.shared import free_names
 
 
 def response_bins(rt: DataFrame, width: float, key: str = "participant") -> DataFrame:
@@ -18,9 +23,19 @@ def semi_join(rt: DataFrame, registry: DataFrame, key: str = "participant") -> D
     return rt.na.drop(subset=["rt"]).join(registry.select(key), key, "left_semi")
 
 
-def agreement(bins: DataFrame, key: str = "participant") -> DataFrame:
-    """Participants per observed bin, as a count and a share of all; bins without a response have no row."""
+#: Bins of a story that count, by unit (first, first that no longer counts).
+UNIT_RANGES = {"TR": (14, 466), "second": (21, 699)}
+
+
+def agreement(bins: DataFrame, key: str = "participant", within: tuple[int, int] | None = None) -> DataFrame:
+    """Participants per observed bin, as a count and a share of all; bins without a response have no row.
+
+    With `within` (see `UNIT_RANGES`) only bins from the first up to, and
+    without, the second are given; the share is still of all participants.
+    """
     total = bins.agg(F.count_distinct(key).alias("n"))
+    if within is not None:
+        bins = bins.filter((F.col("bin") >= within[0]) & (F.col("bin") < within[1]))
     return bins.groupBy("bin").agg(F.count_distinct(key).alias("count")).join(F.broadcast(total)).select("bin", "count", (F.col("count") / F.col("n")).alias("agreement"))
 
 
@@ -48,29 +63,58 @@ def asof_segment(words: DataFrame, segments: DataFrame, key: str = "story") -> D
     """Each word with the last segment that starts at or before it; words before the first are dropped.
 
     One window per story over words and segment starts together, no range join.
+    A segment's columns are its own but for those that words have too.
     """
     w_cols = [c for c in words.columns if c not in (key, "onset")]
+    s_cols = [c for c in segments.columns if c not in (key, *w_cols)]
     w_rows = words.select(key, "onset", F.lit(1).alias("kind"), F.struct(*w_cols).alias("word"))
-    s_rows = segments.select(key, F.col("onset_sec").alias("onset"), F.lit(0).alias("kind"), F.struct("onset_sec", "seg", "speaker").alias("segment"))
+    s_rows = segments.select(key, F.col("onset_sec").alias("onset"), F.lit(0).alias("kind"), F.struct(*s_cols).alias("segment"))
     both = w_rows.unionByName(s_rows, allowMissingColumns=True)
     w = W.partitionBy(key).orderBy("onset", "kind").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn("segment", F.last("segment", ignorenulls=True).over(w)).filter("kind = 1 and segment is not null").select(key, "onset", "word.*", "segment.*")
 
 
-def word_flags(words: DataFrame, speaker: str, tags: dict[str, str]) -> DataFrame:
-    """Dialog and speaker flags of words in segments, and one flag for each part of speech."""
-    return words.withColumns({"is_dialog": F.col("speaker").isNotNull(), f"{speaker}_speaking": F.coalesce(F.lower("speaker").contains(speaker.lower()), F.lit(False))} | {f"is_{n}": F.col("pos") == t for n, t in tags.items()})
+def word_flags(words: DataFrame, speaker: str, tags: dict[str, str], together: dict[str, tuple[str, ...]] | None = None, actors: str = "actor") -> DataFrame:
+    """Dialog and speaker flags of words in segments, one flag for each part of speech, and one for each set of names that all occur in the lower-cased list of actors."""
+    present = lambda names: reduce(Column.__and__, [F.coalesce(F.lower(actors).contains(n.lower()), F.lit(False)) for n in names])
+    flags = {"is_dialog": F.col("speaker").isNotNull(), f"{speaker}_speaking": F.coalesce(F.lower("speaker").contains(speaker.lower()), F.lit(False))}
+    return words.withColumns(flags | {f"is_{n}": F.col("pos") == t for n, t in tags.items()} | {n: present(names) for n, names in (together or {}).items()})
+
 
+def bin_majority(words: DataFrame, flags: list[str], width: float, key: str = "story", lists: dict[str, str] | None = None, modes: tuple[str, ...] = ("speaker",)) -> DataFrame:
+    """Fixed bins from each story's first onset: majority of each flag, any, counts, ordered words, first segment, commonest value of each of `modes` (ties to the least).
 
-def bin_majority(words: DataFrame, flags: list[str], width: float, key: str = "story") -> DataFrame:
-    """Fixed bins from each story's first onset: majority of each flag, any, counts, ordered words, first segment, commonest speaker."""
+    `lists` (name -> flag) adds the words of a bin that have a flag, in order.
+    """
     start = F.min("onset").over(W.partitionBy(key))
     binned = words.withColumn("bin", bin_floor(F.col("onset") - start, width))
     parts = []
     for f in flags:
         parts += [(F.avg(F.col(f).cast("double")) > 0.5).alias(f"mostly_{f}"), F.max(f).alias(f"has_{f}"), F.sum(F.col(f).cast("int")).alias(f"n_{f}")]
-    in_order = F.array_sort(F.collect_list(F.struct("onset", "word_id", "text")))
-    return binned.groupBy(key, "bin").agg(*parts, F.array_join(F.transform(in_order, lambda x: x["text"]), " ").alias("words"), F.min_by("seg", F.struct("onset", "word_id")).alias("segment_text"), F.mode("speaker", True).alias("speaker"))
+    kept = F.struct("onset", "word_id", "text", *[F.col(f).alias(f"in_{n}") for n, f in (lists or {}).items()])
+    in_order = F.array_sort(F.collect_list(kept)).alias("held")
+    grouped = binned.groupBy(key, "bin").agg(*parts, in_order, F.min_by("seg", F.struct("onset", "word_id")).alias("segment_text"), *[F.mode(c, True).alias(c) for c in modes])
+    texts = lambda rows: F.array_join(F.transform(rows, lambda x: x["text"]), " ")
+    of = lambda name: F.filter("held", lambda x: F.coalesce(x[f"in_{name}"], F.lit(False)))
+    chosen = {n: texts(of(n)) for n in lists or {}}
+    return grouped.withColumns({"words": texts(F.col("held"))} | chosen).drop("held")
+
+
+def dense_bins(binned: DataFrame, size: int, key: str = "story", tolerance: int = 10, force: bool = False) -> DataFrame:
+    """Every (key, bin 0..size-1): bins without a word have false flags, counts of 0, empty lists of words and "none" for names; later bins are cut.
+
+    A story whose own number of bins is more than `tolerance` away from `size`
+    is an error unless `force` is given.
+    """
+    if not force:
+        off = binned.groupBy(key).agg((F.max("bin") + 1).alias("n")).filter(F.abs(F.col("n") - size) > tolerance).limit(1).collect()
+        if off:
+            raise ValueError(f"{off[0][key]} has {off[0]['n']} bins, {size} are expected")
+    cells = binned.select(key).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    kinds = dict(binned.dtypes)
+    empty = {"boolean": False, "string": "none", "int": 0, "bigint": 0, "double": 0.0}
+    fill = {c: "" if c in ("words", "segment_text") else empty[kinds[c]] for c in binned.columns if c not in (key, "bin") and kinds[c] in empty}
+    return cells.join(binned, [key, "bin"], "left").na.fill(fill)
 
 
 def windows_between(boundaries: DataFrame, key: str, b: str = "boundary", start: float = 0.0) -> DataFrame:
@@ -79,55 +123,96 @@ def windows_between(boundaries: DataFrame, key: str, b: str = "boundary", start:
     return boundaries.select(key, F.coalesce(F.lag(b).over(w), F.lit(start)).alias("begin"), F.col(b).alias("end"))
 
 
-def events_to_text(words: DataFrame, windows: DataFrame, key: str = "story") -> DataFrame:
-    """Words of each window in order, joined by blanks; both ends belong to a window, so a word on an edge is in two."""
-    found = windows.join(words, key, "left").filter((F.col("onset") >= F.col("begin")) & (F.col("onset") <= F.col("end")))
+def events_to_text(words: DataFrame, windows: DataFrame, key: str = "story", closed: str = "both", width: float = 60.0) -> DataFrame:
+    """Words of each window in order, joined by blanks; `closed` tells which ends belong to a window ("both", "left", "right").
+
+    Windows are laid over buckets of `width`, so a word meets only the windows
+    of its bucket, however many a story has.
+    """
+    if closed not in ("both", "left", "right"):
+        raise ValueError(f"closed is {closed!r}")
+    bucket = lambda c: F.floor(F.col(c) / width)
+    laid = windows.filter(F.col("begin") <= F.col("end")).withColumn("bucket", F.explode(F.sequence(bucket("begin"), bucket("end"))))
+    after = F.col("onset") > F.col("begin") if closed == "right" else F.col("onset") >= F.col("begin")
+    before = F.col("onset") < F.col("end") if closed == "left" else F.col("onset") <= F.col("end")
+    found = laid.join(words.withColumn("bucket", bucket("onset")), [key, "bucket"]).filter(after & before)
     in_order = F.array_sort(F.collect_list(F.struct("onset", "word_id", "text")))
     return found.groupBy(key, "begin", "end").agg(F.array_join(F.transform(in_order, lambda x: x["text"]), " ").alias("text"))
 
 
 def events_to_segments(segments: DataFrame, windows: DataFrame, key: str = "story") -> DataFrame:
-    """Segments from the one begun at or before a window's begin up to, and without, the one in progress at its end."""
+    """Segments from the one begun at or before a window's begin up to, and without, the one in progress at its end.
+
+    Both edges are found as of their time in one window over a story's
+    segments and edges; segments then meet by number.
+    """
     own = W.partitionBy(key).orderBy("onset_sec", "seg_id")
     numbered = segments.withColumn("i", F.row_number().over(own))
-    edges = windows.join(numbered.select(key, "onset_sec", "i"), key, "left").groupBy(key, "begin", "end").agg(
-        F.max(F.when(F.col("onset_sec") <= F.col("begin"), F.col("i"))).alias("lo"), F.max(F.when(F.col("onset_sec") < F.col("end"), F.col("i"))).alias("hi")
-    )
-    found = edges.join(numbered, key).filter((F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")))
+    starts = numbered.select(key, F.col("onset_sec").alias("at"), F.lit(1).alias("kind"), "i")
+    edge = lambda c, kind: windows.select(key, F.col(c).alias("at"), F.lit(kind).alias("kind"), "begin", "end")
+    # an end comes before the segments of its time, a begin after them
+    both = starts.unionByName(edge("end", 0), allowMissingColumns=True).unionByName(edge("begin", 2), allowMissingColumns=True)
+    so_far = W.partitionBy(key).orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    known = both.withColumn("last", F.max("i").over(so_far)).filter("kind <> 1")
+    edges = known.groupBy(key, "begin", "end").agg(F.max(F.when(F.col("kind") == 2, F.col("last"))).alias("lo"), F.max(F.when(F.col("kind") == 0, F.col("last"))).alias("hi"))
+    wanted = edges.filter("lo < hi").withColumn("i", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
+    found = wanted.join(numbered.select(key, "i", "seg"), [key, "i"])
     in_order = F.array_sort(F.collect_list(F.struct("i", "seg")))
     return found.groupBy(key, "begin", "end").agg(F.array_join(F.transform(in_order, lambda x: x["seg"]), " ").alias("text"), F.count("*").alias("n_segments"))
 
 
-def peaks(series: DataFrame, order: str = "bin", value: str = "agreement") -> DataFrame:
-    """Local maxima of one series in index space with their prominence; plateaus count at their middle, ends never.
+def _prominences(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, prominence) of the local maxima; each side's base is the least value up to the nearest higher place, kept on a stack."""
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, int)
+    flat, last = v[first], np.concatenate([first[1:], [len(v)]]) - 1
+
+    def bases(x: np.ndarray) -> np.ndarray:
+        out, stack = np.empty(len(x)), []  # (value, least value since the higher one before it)
+        for i, value in enumerate(x):
+            low = value
+            while stack and stack[-1][0] <= value:
+                low = min(low, stack.pop()[1])
+            out[i] = low
+            stack.append((value, low))
+        return out
+
+    top = np.flatnonzero((flat[1:-1] > flat[:-2]) & (flat[1:-1] > flat[2:])) + 1
+    base = np.maximum(bases(flat), bases(flat[::-1])[::-1])
+    return (first[top] + last[top]) // 2, flat[top] - base[top]
+
+
+def peaks(series: DataFrame, order: str = "bin", value: str = "agreement", by: str | None = None) -> DataFrame:
+    """Local maxima of each series in index space with their prominence; plateaus count at their middle, ends never.
+
+    A series (all rows, or those of a key) is one group: a curve of as many
+    places as there are bins, whatever the events behind it.
+    """
+    (key,) = free_names(series, "series") if by is None else (by,)
+    held = series.select(F.lit(0).alias(key) if by is None else F.col(by), F.col(order).alias("at"), F.col(value).cast("double").alias("v"))
+    kinds = dict(held.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at", ignore_index=True)
+        place, prominence = _prominences(pdf["v"].to_numpy())
+        at = pdf.iloc[place]
+        return pd.DataFrame({key: at[key], "at": at["at"], "v": at["v"], "prominence": prominence})
+
+    found = held.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, at {kinds['at']}, v double, prominence double")
+    return found.select(*([key] if by else []), F.col("at").alias(order), F.col("v").alias(value), "prominence")
+
+
+def threshold_sweep(found: DataFrame, series: DataFrame, value: str = "agreement", step: float = 0.01, by: str | None = None) -> DataFrame:
+    """Number of peaks at each prominence threshold of a grid between the 85 % and 95 % quantiles of each series; prominences are computed once.
 
-    Equal neighbours are collapsed first.  The base on each side is the least
-    value up to the nearest strictly higher place; that place is found by a
-    range join within the series.
+    Values are shares, so a grid has at most 1 / step places, which go to every task.
     """
-    w = W.orderBy(order)
-    indexed = series.select(order, F.col(value).alias("v")).withColumn("i", F.row_number().over(w) - 1)
-    runs = indexed.withColumn("changed", (F.lag("v").over(w).isNull() | (F.lag("v").over(w) != F.col("v"))).cast("int")).withColumn("run", F.sum("changed").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    flat = runs.groupBy("run").agg(F.first("v").alias("v"), F.min("i").alias("i0"), F.max("i").alias("i1"))
-    r = W.orderBy("run")
-    tops = flat.withColumn("l", F.lag("v").over(r)).withColumn("n", F.lead("v").over(r)).filter("v > l and v > n").select("run", "v", F.floor((F.col("i0") + F.col("i1")) / 2).alias("i"))
-    other = flat.select(F.col("run").alias("r2"), F.col("v").alias("v2"))
-    higher = tops.join(other, F.col("v2") > F.col("v"), "left").groupBy("run", "v", "i").agg(
-        F.coalesce(F.max(F.when(F.col("r2") < F.col("run"), F.col("r2"))), F.lit(0)).alias("lo"), F.coalesce(F.min(F.when(F.col("r2") > F.col("run"), F.col("r2"))), F.lit(2**31 - 1)).alias("hi")
-    )
-    based = higher.join(other, (F.col("r2") > F.col("lo")) & (F.col("r2") < F.col("hi"))).groupBy("run", "v", "i").agg(
-        F.min(F.when(F.col("r2") < F.col("run"), F.col("v2"))).alias("left"), F.min(F.when(F.col("r2") > F.col("run"), F.col("v2"))).alias("right")
-    )
-    at = based.join(indexed.select(F.col("i"), order), "i")
-    return at.select(order, F.col("v").alias(value), (F.col("v") - F.greatest("left", "right")).alias("prominence"))
-
-
-def threshold_sweep(found: DataFrame, series: DataFrame, value: str = "agreement", step: float = 0.01) -> DataFrame:
-    """Number of peaks at each prominence threshold of a grid between the 85 % and 95 % quantiles; prominences are computed once."""
-    grid = series.agg(F.round(F.percentile(value, 0.85), 2).alias("a"), F.round(F.percentile(value, 0.95), 2).alias("b"))
+    keys = [by] if by else []
+    grid = series.groupBy(*keys).agg(F.round(F.percentile(value, 0.85), 2).alias("a"), F.round(F.percentile(value, 0.95), 2).alias("b"))
     low, high = F.round((F.col("a") - 0.05) / step).cast("int"), F.round(F.col("b") / step).cast("int")
-    steps = grid.select(F.explode(F.sequence(low, high)).alias("k")).withColumn("threshold", F.round(F.col("k") * step, 2))
-    return steps.join(found, F.col("prominence") >= F.col("threshold"), "left").groupBy("threshold").agg(F.count("prominence").alias("n_peaks"))
+    steps = grid.select(*keys, F.explode(F.sequence(low, high)).alias("k")).withColumn("threshold", F.round(F.col("k") * step, 2)).drop("k")
+    met = found.join(steps, by) if by else found.join(F.broadcast(steps))
+    counts = met.filter(F.col("prominence") >= F.col("threshold")).groupBy(*keys, "threshold").agg(F.count("*").alias("n_peaks"))
+    return steps.join(counts, [*keys, "threshold"], "left").na.fill(0, ["n_peaks"])
 
 
 def annotation_totals(words: DataFrame, flags: list[str]) -> DataFrame:

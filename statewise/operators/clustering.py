@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.tables import staged
+from ..sources.shared import staged
+from .pairs import jaccard_pairs
 
 
 def distinct_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,9 +31,9 @@ def linkage_sweep(patterns: DataFrame, thresholds: list[float], most_rounds: int
     Raises if clusters are still merging after `most_rounds`.
     """
     items, member = distinct_patterns(patterns)
-    flat = items.select("item", "n", F.size("features").alias("k"), F.explode("features").alias("feature"))
-    a, b = (flat.select(F.col("item").alias(c), F.col("n").alias(f"n{c}"), F.col("k").alias(f"k{c}"), "feature") for c in ("a", "b"))
-    shared = a.join(b, "feature").filter("a < b").groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("shared"))
+    flat = items.select(F.col("item").alias("pattern_id"), F.explode("features").alias("feature"))
+    a, b = (items.select(F.col("item").alias(c), F.col("n").alias(f"n{c}"), F.size("features").alias(f"k{c}")) for c in ("a", "b"))
+    shared = jaccard_pairs(flat).join(a, "a").join(b, "b")
     pairs = staged(shared.select("a", "b", (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared")) * F.col("na") * F.col("nb")).alias("total")))
     home = staged(items.select("item", "n", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), F.col("item").alias("cluster")))
     size = lambda c: home.filter(F.col("threshold") == min(thresholds)).groupBy(F.col("cluster").alias(c)).agg(F.sum("n").alias(f"n{c}"))

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import Z975, clip, normal_cdf
 from ..functions.tails import correlation_p, t_two_sided
-from .pairs import average_rank
+from ..sources.shared import free_names, running
+from .pairs import average_rank, course_distance
+from .panel import two_groups
 
 
 def posterior_summary(terms: DataFrame, rope: float = 0.1, most: float = 1e6, capped: bool = False) -> DataFrame:
-    """Normal posterior of each (coef, sd): P(>0), direction, interval, share in the null region, Bayes factor, odds ratio, evidence.
+    """Normal posterior of each (coef, sd): P(>0), direction, interval, shares within, above and below the null region, Bayes factor, odds ratio, evidence.
 
     The Bayes factor is exp(z^2/2), at most `most`; `capped` instead sets it to
     1000 where the density at z falls under 1e-10.
@@ -24,8 +29,8 @@ def posterior_summary(terms: DataFrame, rope: float = 0.1, most: float = 1e6, ca
     density = F.exp(-z * z / 2) / F.sqrt(F.lit(2 * 3.141592653589793))
     bf = F.when(density < 1e-10, 1000.0).otherwise(raw) if capped else F.least(raw, F.lit(most))
     up = normal_cdf(z)
-    inside = normal_cdf((F.lit(rope) - F.col("coef")) / F.col("sd")) - normal_cdf((F.lit(-rope) - F.col("coef")) / F.col("sd"))
-    out = terms.withColumns({"prob_positive": up, "prob_direction": F.greatest(up, 1 - up), "ci_lower": F.col("coef") - Z975 * F.col("sd"), "ci_upper": F.col("coef") + Z975 * F.col("sd"), "in_rope": inside, "bayes_factor": bf, "odds_ratio": F.exp("coef")})
+    under, below = normal_cdf((F.lit(rope) - F.col("coef")) / F.col("sd")), normal_cdf((F.lit(-rope) - F.col("coef")) / F.col("sd"))
+    out = terms.withColumns({"prob_positive": up, "prob_direction": F.greatest(up, 1 - up), "ci_lower": F.col("coef") - Z975 * F.col("sd"), "ci_upper": F.col("coef") + Z975 * F.col("sd"), "in_rope": under - below, "above_rope": 1 - under, "below_rope": below, "bayes_factor": bf, "odds_ratio": F.exp("coef")})
     b = F.col("bayes_factor")
     return out.withColumn("evidence", F.when(b > 100, "Extreme").when(b > 30, "Very Strong").when(b > 10, "Strong").when(b > 3, "Moderate").when(b > 1, "Anecdotal").otherwise("None"))
 
@@ -40,9 +45,18 @@ def group_effects(main: DataFrame, interaction: DataFrame, coding: str = "deviat
 
 
 def bayes_fdr(terms: DataFrame, alpha: float = 0.05, strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """Running mean of 1 - p over terms by direction probability, largest first; credible while it is within alpha."""
-    w = W.partitionBy(*by).orderBy(F.desc("prob_direction"), "term").rowsBetween(W.unboundedPreceding, 0)
-    out = terms.withColumn("fdr", F.avg(1 - F.col("prob_direction")).over(w))
+    """Running mean of 1 - p over terms by direction probability, largest first; credible while it is within alpha.
+
+    Without keys the terms of the whole table are one run, summed over sorted
+    parts; with keys each key is a run of its own.
+    """
+    order = [F.desc("prob_direction"), F.col("term")]
+    if by:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        out = terms.withColumn("fdr", F.avg(1 - F.col("prob_direction")).over(w))
+    else:
+        summed = running(terms, 1 - F.col("prob_direction"), *order, total="fdr", count="__rank")
+        out = summed.withColumn("fdr", F.col("fdr") / F.col("__rank")).drop("__rank")
     return out.withColumn("credible", F.col("fdr") < alpha if strict else F.col("fdr") <= alpha)
 
 
@@ -50,14 +64,21 @@ def effect_sizes(terms: DataFrame) -> DataFrame:
     return terms.withColumns({"standardised": F.col("coef") / F.col("sd"), "odds_ratio": F.exp("coef")})
 
 
-def timepoint_t(panel: DataFrame) -> DataFrame:
-    """Pooled-variance t and Cohen's d (population variances) of groups a and b at each step; t is 0 for equal means without variance."""
-    a, b = F.when(F.col("grp") == "a", F.col("y")), F.when(F.col("grp") == "b", F.col("y"))
+def timepoint_t(panel: DataFrame, groups: tuple[str, str] | None = None) -> DataFrame:
+    """Pooled-variance t and Cohen's d (population variances) of two groups at each step.
+
+    t is 0 for equal means without variance, null (with d) where a group has
+    fewer than two subjects.
+    """
+    first, second = two_groups(panel, groups)
+    a, b = F.when(F.col("grp") == first, F.col("y")), F.when(F.col("grp") == second, F.col("y"))
     m = panel.groupBy("t").agg(F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"), F.var_pop(a).alias("pa"), F.var_pop(b).alias("pb"), F.count(a).alias("na"), F.count(b).alias("nb"))
     pooled = ((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2)
+    both = (F.col("na") > 1) & (F.col("nb") > 1)
     t = F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(pooled * (1 / F.col("na") + 1 / F.col("nb"))))
     d = F.try_divide(F.col("ma") - F.col("mb"), F.sqrt((F.col("pa") + F.col("pb")) / 2))
-    return m.select("t", F.coalesce(t, F.lit(0.0)).alias("t_stat"), F.coalesce(d, F.lit(0.0)).alias("cohen_d"))
+    zero = F.lit(0.0)
+    return m.select("t", F.when(both, F.coalesce(t, zero)).alias("t_stat"), F.when(both, F.coalesce(d, zero)).alias("cohen_d"))
 
 
 def bh_fdr(tests: DataFrame, p: str = "p") -> DataFrame:
@@ -67,25 +88,50 @@ def bh_fdr(tests: DataFrame, p: str = "p") -> DataFrame:
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("rank")).over(w))).drop("rank", "m")
 
 
-def permutation_test(panel: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """Euclidean distance of group mean courses against relabelled subjects.
+#: Columns of `course_distance` by the name of the metric.
+METRICS = {"euclidean": "euclidean", "correlation": "one_minus_corr", "absolute_mean": "mean_abs"}
+
 
-    Each draw gives the first n_a subjects in order of a hash to group a.  Only
-    sums of group a are joined; group b is the total less those.
+def permutation_test(panel: DataFrame, draws: int, seed: int = 0, metric: str = "euclidean", groups: tuple[str, str] | None = None) -> DataFrame:
+    """Distance of two groups' mean courses against relabelled subjects: observed, p, percentile, null mean and deviation, effect, fold change.
+
+    Each draw gives the first n_a subjects in order of a hash to the first
+    group.  A subject's series meets the list of its draws once; tasks add
+    series into a table of draws by steps, whose sums are shuffled.  A step
+    counts in a draw if both groups reach it.
     """
+    a, b = two_groups(panel, groups)
+    panel = panel.filter(F.col("grp").isin(a, b))
     subjects = panel.select("subject", "grp").distinct()
-    n = subjects.agg(F.count_if(F.col("grp") == "a").alias("na"), F.count("*").alias("n"))
+    n = subjects.agg(F.count_if(F.col("grp") == a).alias("na"))
     order = F.md5(F.concat_ws(":", F.col("subject").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))
     drawn = subjects.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", F.row_number().over(W.partitionBy("draw").orderBy(order, "subject")))
-    observed = subjects.filter("grp = 'a'").select("subject", F.lit(0).alias("draw"))
+    observed = subjects.filter(F.col("grp") == a).select("subject", F.lit(0).alias("draw"))
     in_a = drawn.join(F.broadcast(n)).filter("place <= na").select("subject", "draw").unionByName(observed)
-    sums = in_a.join(panel.select("subject", "t", "y"), "subject").groupBy("draw", "t").agg(F.sum("y").alias("sa"))
-    total = panel.groupBy("t").agg(F.sum("y").alias("s"))
-    gap = F.col("sa") / F.col("na") - (F.col("s") - F.col("sa")) / (F.col("n") - F.col("na"))
-    stat = sums.join(total, "t").join(F.broadcast(n)).groupBy("draw").agg(F.sqrt(F.sum(gap * gap)).alias("d"))
+    series = panel.groupBy("subject").agg(F.collect_list(F.struct(F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"))).alias("r"))
+    met = series.join(in_a.groupBy("subject").agg(F.collect_list("draw").alias("draws")), "subject").select("draws", F.col("r.t").alias("t"), F.col("r.y").alias("y"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((draws + 1, 0, 2))
+        for pdf in batches:
+            for own, t, y in zip(pdf["draws"], pdf["t"], pdf["y"]):
+                if len(t) and max(t) >= held.shape[1]:
+                    held = np.concatenate([held, np.zeros((draws + 1, int(max(t)) + 1 - held.shape[1], 2))], 1)
+                at = np.ix_(np.asarray(own), np.asarray(t))
+                held[at] += np.stack([y, np.ones(len(y))], 1)[None]
+        draw, t = np.nonzero(held[:, :, 1])
+        yield pd.DataFrame({"draw": draw, "t": t, "sa": held[draw, t, 0], "ca": held[draw, t, 1]})
+
+    sums = met.mapInPandas(add, "draw long, t long, sa double, ca double").groupBy("draw", "t").agg(F.sum("sa").alias("sa"), F.sum("ca").alias("ca"))
+    total = panel.groupBy("t").agg(F.sum("y").alias("s"), F.count("y").alias("c"))
+    courses = sums.join(total, "t").filter("c > ca").select("draw", (F.col("sa") / F.col("ca")).alias("x"), ((F.col("s") - F.col("sa")) / (F.col("c") - F.col("ca"))).alias("z"))
+    stat = course_distance(courses, ["draw"]).select("draw", F.col(METRICS[metric]).alias("d"))
     seen = stat.filter("draw = 0").select(F.col("d").alias("observed"))
     null = stat.filter("draw > 0").join(F.broadcast(seen))
-    return null.agg(F.first("observed").alias("observed"), F.avg((F.col("d") >= F.col("observed") - 1e-12).cast("double")).alias("p_value"), F.avg("d").alias("null_mean"), F.stddev_pop("d").alias("null_std")).withColumn("effect", (F.col("observed") - F.col("null_mean")) / F.col("null_std"))
+    less, more = (F.col("d") < F.col("observed") - 1e-12).cast("double"), (F.col("d") >= F.col("observed") - 1e-12).cast("double")
+    equal = 1 - less - (F.col("d") > F.col("observed") + 1e-12).cast("double")
+    out = null.agg(F.first("observed").alias("observed"), F.avg(more).alias("p_value"), (100 * (F.avg(less) + F.avg(equal) / 2)).alias("percentile"), F.avg("d").alias("null_mean"), F.stddev_pop("d").alias("null_std"))
+    return out.withColumn("effect", F.try_divide(F.col("observed") - F.col("null_mean"), F.col("null_std"))).withColumn("fold_change", F.when(F.col("null_mean") > 0, F.col("observed") / F.col("null_mean")))
 
 
 def bootstrap_ci(units: DataFrame, draws: int, value: str = "v", unit: str = "unit", seed: int = 0) -> DataFrame:
@@ -125,18 +171,61 @@ def fold_summary(folds: DataFrame, low: float, high: float) -> DataFrame:
     return m.withColumn("status", F.when(F.col("n_kept") == F.col("n"), "ok").when(F.col("n_kept") > 3, "filtered").otherwise("skipped"))
 
 
-def loo_summary(loo: DataFrame) -> DataFrame:
+def loo_summary(loo: DataFrame, groups: tuple[str, str] | None = None) -> DataFrame:
     """Leave-one-out coefficients by term: mean and sample deviation in each group, and the ratio of the smaller deviation to the larger."""
+    a, b = two_groups(loo, groups)
     part = lambda g: F.when(F.col("grp") == g, F.col("coef"))
-    m = loo.groupBy("term").agg(F.avg(part("a")).alias("mean_a"), F.avg(part("b")).alias("mean_b"), F.stddev_samp(part("a")).alias("sd_a"), F.stddev_samp(part("b")).alias("sd_b"))
+    m = loo.groupBy("term").agg(F.avg(part(a)).alias("mean_a"), F.avg(part(b)).alias("mean_b"), F.stddev_samp(part(a)).alias("sd_a"), F.stddev_samp(part(b)).alias("sd_b"))
     return m.withColumn("stability", F.least("sd_a", "sd_b") / F.greatest("sd_a", "sd_b"))
 
 
+def _scientific(x: Column, digits: int) -> Column:
+    """d.dde+dd, as C prints it."""
+    return F.format_string(f"%.{digits}e", x)
+
+
 def format_effects(terms: DataFrame) -> DataFrame:
-    """Printed forms: probability within <0.001 and >0.999, and stars at Bayes factors 3, 10 and 100."""
-    p, b = F.col("prob"), F.col("bayes_factor")
-    stars = F.when(b > 100, "***").when(b > 10, "**").when(b > 3, "*").otherwise("")
-    return terms.withColumn("prob_text", F.when(p > 0.999, ">0.999").when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", p))).withColumn("stars", stars)
+    """Printed forms: probability within <0.001 and >0.999, stars from Bayes factors of 3, 10 and 100 on, the Bayes factor (by powers of ten above 1e4), coefficient +- error with stars, and a dagger on a credible difference.
+
+    Columns that the terms don't have are not printed.
+    """
+    p, b, have = F.col("prob"), F.col("bayes_factor"), set(terms.columns)
+    even = lambda c: F.bround(c, 3)  # halves to even, as C prints them
+    stars = F.when(b >= 100, "***").when(b >= 10, "**").when(b >= 3, "*").otherwise("")
+    out = terms.withColumn("prob_text", F.when(p > 0.999, ">0.999").when(p < 0.001, "<0.001").otherwise(F.format_string("%.3f", p))).withColumn("stars", stars)
+    out = out.withColumn("factor_text", F.when(b.isNull(), "N/A").when(b > 10000, _scientific(b, 2)).otherwise(F.format_string("%.2f", b)))
+    if {"coef", "sd"} <= have:
+        out = out.withColumn("effect_text", F.trim(F.format_string("%.3f \u00b1 %.3f %s", even("coef"), even("sd"), F.col("stars"))))
+    if {"diff", "credible"} <= have:
+        out = out.withColumn("diff_text", F.concat(F.format_string("%.3f", even("diff")), F.when(F.coalesce("credible", F.lit(False)), " \u2020").otherwise("")))
+    return out
+
+
+def ar_evidence(terms: DataFrame, least: float = 0.1, sure: float = 0.95) -> DataFrame:
+    """(term, coef, sd) of lag terms -> interval, direction and its probability, P(|effect| > least), whether the term has evidence, and whether any has (by model where there is a `model_id`).
+
+    The normal posterior in closed form in place of draws from it.
+    """
+    t = posterior_summary(terms, rope=least)
+    clear = (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0) | (F.col("prob_direction") > sure)
+    by = ["model_id"] if "model_id" in terms.columns else []
+    out = t.select(*by, "term", "ci_lower", "ci_upper", F.when(F.col("coef") > 0, "positive").otherwise("negative").alias("direction"), "prob_direction", (F.col("above_rope") + F.col("below_rope")).alias("prob_meaningful"), clear.alias("evidence"))
+    return out.withColumn("any_evidence", F.max("evidence").over(W.partitionBy(*by)))  # a row for each lag of a model
+
+
+def top_interactions(terms: DataFrame, n: int = 10) -> DataFrame:
+    """The n interaction terms with the largest posterior probability, named by their feature; ties by name."""
+    name = F.regexp_extract("term", "^group_(.*)_interaction$", 1)
+    return terms.filter(F.col("term").rlike("^group_.*_interaction$")).select(name.alias("feature"), "prob_positive").orderBy(F.desc("prob_positive"), "feature").limit(n)
+
+
+def best_models(models: DataFrame, metrics: dict[str, bool], key: str = "model") -> DataFrame:
+    """The best model by each metric (name -> larger is better), ties to the least: metric, model, value; models without the value don't count."""
+    best = [(F.max_by if larger else F.min_by)(F.col(key), F.when(F.col(m).isNotNull(), F.struct(F.col(m), -F.col(key) if larger else F.col(key)))).alias(f"k{i}") for i, (m, larger) in enumerate(metrics.items())]
+    known = [F.struct(F.lit(m).alias("metric"), F.col(f"k{i}").alias(key), F.col(f"v{i}").cast("double").alias("value")) for i, m in enumerate(metrics)]
+    value = [(F.max if larger else F.min)(m).alias(f"v{i}") for i, (m, larger) in enumerate(metrics.items())]
+    clean = models.select(key, *[F.when(~F.isnan(F.col(m).cast("double")), F.col(m)).alias(m) for m in metrics])
+    return clean.agg(*best, *value).select(F.inline(F.array(*known)))
 
 
 def effect_order(effects: DataFrame) -> DataFrame:
@@ -155,18 +244,18 @@ def model_rank_penalised(models: DataFrame, weights: dict[str, tuple[float, bool
     return out.withColumn("rank_score", rank).withColumn("explainability", 1 - penalty).withColumn("final", F.col("rank_score") * (1 + 0.2 * penalty)).drop(*[c for i in range(len(weights)) for c in (f"o{i}", f"r{i}")])
 
 
-def timepoint_p(panel: DataFrame) -> DataFrame:
+def timepoint_p(panel: DataFrame, groups: tuple[str, str] | None = None) -> DataFrame:
     """`timepoint_t` with two-sided p (1 where the groups are equal without variance) and Benjamini-Hochberg q over the steps.
 
     A step that fewer than two subjects of either group reach has no test: its
     statistics, p and q are null, and it does not count among the tests.
     """
-    held = lambda g: F.count(F.when(F.col("grp") == g, F.col("y")))
-    n = panel.groupBy("t").agg((F.count("y") - 2).alias("df"), ((held("a") > 1) & (held("b") > 1)).alias("both"))
-    steps = timepoint_t(panel).join(n, "t")
-    tested = steps.filter("both").withColumn("p", F.coalesce(t_two_sided(F.col("t_stat"), F.col("df")), F.lit(1.0)))
-    untested = steps.filter("not both").withColumns({c: F.lit(None).cast("double") for c in ("t_stat", "cohen_d", "p", "q")})
-    return bh_fdr(tested).unionByName(untested).drop("both")
+    first, second = two_groups(panel, groups)
+    n = panel.filter(F.col("grp").isin(first, second)).groupBy("t").agg((F.count("y") - 2).alias("df"))
+    steps = timepoint_t(panel, (first, second)).join(n, "t")
+    tested = steps.filter("t_stat is not null").withColumn("p", F.coalesce(t_two_sided(F.col("t_stat"), F.col("df")), F.lit(1.0)))
+    untested = steps.filter("t_stat is null").withColumns({c: F.lit(None).cast("double") for c in ("p", "q")})
+    return bh_fdr(tested).unionByName(untested)
 
 
 def rank_correlation_p(pairs: DataFrame, n_features: int) -> DataFrame:
@@ -190,11 +279,12 @@ def poisson_steps(most: int = 9) -> list[float]:
     return [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(most + 1)]
 
 
-def poisson_weighted(df: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
-    """Adds `w`, a Poisson count with mean 1 from a hash of the keys and the seed."""
+def poisson_weighted(df: DataFrame, keys: list[str], seed: int = 0, name: str = "w") -> DataFrame:
+    """Adds `name`, a Poisson count with mean 1 from a hash of the keys and the seed."""
     code = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
-    hashed = df.withColumn("__u", F.conv(F.substring(code, 1, 8), 16, 10).cast("double") / 4294967296.0)
-    return hashed.withColumn("w", sum(((F.col("__u") >= c).cast("int") for c in poisson_steps()), F.lit(0))).drop("__u")
+    (u,) = free_names(df, "u")
+    hashed = df.withColumn(u, F.conv(F.substring(code, 1, 8), 16, 10).cast("double") / 4294967296.0)
+    return hashed.withColumn(name, sum(((F.col(u) >= c).cast("int") for c in poisson_steps()), F.lit(0))).drop(u)
 
 
 def weighted_bootstrap(units: DataFrame, keys: list[str], value: str, draws: int, seed: int = 0) -> DataFrame:

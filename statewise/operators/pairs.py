@@ -1,25 +1,126 @@
-"""Comparisons of subjects, label columns and patterns in pairs, each aggregated where the join makes it."""
+"""Comparisons of subjects, label columns and patterns in pairs.
+
+What a comparison needs of a pair is a few sums over the places that both have
+(count, sums, squares, product, or a table of label pairs).  `pair_sums` and
+`pair_counts` take them from products of blocks: each vector is one row, dealt
+to the tasks of its block with every other block, and a task holds two blocks
+of bounded size.  No row is made for a pair and a place.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.special import correlation
 from .sequences import entropy, state_runs
 
-
-def aligned_pairs(seq: DataFrame, *values: str) -> DataFrame:
-    """Subjects a < b side by side at each step."""
-    a = seq.select(F.col("subject").alias("a"), "t", *[F.col(v).alias(f"{v}_a") for v in values])
-    b = seq.select(F.col("subject").alias("b"), "t", *[F.col(v).alias(f"{v}_b") for v in values])
-    return a.join(b, "t").filter("a < b")
+_SUMS = "n long, sum_a double, sum_b double, square_a double, square_b double, product double, equal long"
+
+
+def _blocked(vectors: DataFrame, run: Callable[[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray], pd.DataFrame], schema: str, block_rows: int) -> DataFrame:
+    """(id, at array, v array) -> what `run` gives for each two blocks: ids, places, values, and the rows of the first and the second block."""
+    n = vectors.count()
+    blocks = max(1, -(-n // block_rows))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = vectors.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "at", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        block = pdf["block"].to_numpy()
+        i, j = np.flatnonzero(block == pdf["lo"].iloc[0]), np.flatnonzero(block == pdf["hi"].iloc[0])
+        return run(pdf["id"].to_numpy(), pdf["at"].to_list(), pdf["v"].to_list(), i, j)
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return dealt.groupBy("lo", "hi").applyInPandas(task, f"a {kind}, b {kind}, {schema}")
+
+
+def _places(at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(vector, column) of every value, columns numbering the distinct places."""
+    owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
+    distinct, column = np.unique(np.concatenate([np.asarray(x) for x in at]), return_inverse=True)
+    return owner, column, len(distinct)
+
+
+def _ordered(ids: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the (i, j) matrices of the pairs with something in common, each pair once, and whether its ids are turned round."""
+    wanted = n > 0
+    if len(i) == len(j) and (i == j).all():
+        wanted &= i[:, None] < j[None, :]
+    x, y = np.nonzero(wanted)
+    return x, y, i[x] > j[y]  # rows are in order of their ids
+
+
+def pair_sums(vectors: DataFrame, equal: bool = False, block_rows: int = 512) -> DataFrame:
+    """(id, at, v) long -> a < b with the sums over the places that both have (pairs without one have no row): n, sums, squares, product, and on request how many values are equal."""
+    packed = vectors.groupBy("id").agg(F.collect_list(F.struct("at", F.col("v").cast("double").alias("v"))).alias("r")).select("id", F.col("r.at").alias("at"), F.col("r.v").alias("v"))
+
+    def run(ids, at, v, i, j) -> pd.DataFrame:
+        owner, column, width = _places(at)
+        value = np.concatenate([np.asarray(x) for x in v])
+        mask, dense = np.zeros((len(ids), width)), np.zeros((len(ids), width))
+        mask[owner, column], dense[owner, column] = 1.0, value
+        n = mask[i] @ mask[j].T
+        same = np.zeros_like(n)
+        if equal:
+            for s in np.unique(value):
+                hot = mask * (dense == s)
+                same += hot[i] @ hot[j].T
+        x, y, turned = _ordered(ids, i, j, n)
+        cols = {"sum_a": dense[i] @ mask[j].T, "sum_b": mask[i] @ dense[j].T, "square_a": (dense[i] ** 2) @ mask[j].T, "square_b": mask[i] @ (dense[j] ** 2).T}
+        take = {k: m[x, y] for k, m in cols.items()}
+        swap = lambda p, q: np.where(turned, take[q], take[p])
+        return pd.DataFrame({
+            "a": np.where(turned, ids[j[y]], ids[i[x]]), "b": np.where(turned, ids[i[x]], ids[j[y]]), "n": n[x, y].round().astype(np.int64),
+            "sum_a": swap("sum_a", "sum_b"), "sum_b": swap("sum_b", "sum_a"), "square_a": swap("square_a", "square_b"), "square_b": swap("square_b", "square_a"),
+            "product": (dense[i] @ dense[j].T)[x, y], "equal": same[x, y].round().astype(np.int64),
+        })
+
+    return _blocked(packed, run, _SUMS, block_rows)
+
+
+def pair_counts(labels: DataFrame, block_rows: int = 512) -> DataFrame:
+    """(id, at, v) with few values of v -> a < b, x, y, n: how often the two have x and y at one place."""
+    packed = labels.groupBy("id").agg(F.collect_list(F.struct("at", F.col("v").cast("long").alias("v"))).alias("r")).select("id", F.col("r.at").alias("at"), F.col("r.v").alias("v"))
+
+    def run(ids, at, v, i, j) -> pd.DataFrame:
+        owner, column, width = _places(at)
+        value = np.concatenate([np.asarray(x) for x in v])
+        hot, mask = {}, np.zeros((len(ids), width), np.float32)
+        mask[owner, column] = 1
+        for s in np.unique(value):
+            hot[s] = np.zeros_like(mask)
+            hot[s][owner[value == s], column[value == s]] = 1
+        x, y, turned = _ordered(ids, i, j, mask[i] @ mask[j].T)
+        a, b = np.where(turned, ids[j[y]], ids[i[x]]), np.where(turned, ids[i[x]], ids[j[y]])
+        parts = []
+        for s in hot:
+            for t in hot:
+                n = np.where(turned, (hot[t][i] @ hot[s][j].T)[x, y], (hot[s][i] @ hot[t][j].T)[x, y])
+                keep = n > 0
+                parts.append(pd.DataFrame({"a": a[keep], "b": b[keep], "x": s, "y": t, "n": n[keep].round().astype(np.int64)}))
+        return pd.concat(parts, ignore_index=True)
+
+    return _blocked(packed, run, "x long, y long, n long", block_rows)
+
+
+def _pearson() -> Column:
+    """Correlation from a pair's sums; null where either side does not vary."""
+    n, x, y = F.col("n"), F.col("sum_a"), F.col("sum_b")
+    vx, vy = n * F.col("square_a") - x * x, n * F.col("square_b") - y * y
+    varies = (vx > 1e-12 * n * F.col("square_a")) & (vy > 1e-12 * n * F.col("square_b"))
+    return F.when(varies, (n * F.col("product") - x * y) / F.sqrt(vx * vy))
 
 
 def pair_overlap(seq: DataFrame) -> DataFrame:
     """Share of steps at which both subjects are in one state, and Pearson correlation of the state codes."""
-    return aligned_pairs(seq, "state").groupBy("a", "b").agg(F.avg((F.col("state_a") == F.col("state_b")).cast("double")).alias("overlap"), correlation(F.col("state_a"), F.col("state_b")).alias("code_corr"))
+    sums = pair_sums(seq.select(F.col("subject").alias("id"), F.col("t").alias("at"), F.col("state").alias("v")), equal=True)
+    return sums.select("a", "b", (F.col("equal") / F.col("n")).alias("overlap"), _pearson().alias("code_corr"))
 
 
 def mutual_information(counts: DataFrame, keys: list[str], x: str, y: str, n: str = "n") -> DataFrame:
@@ -32,14 +133,16 @@ def mutual_information(counts: DataFrame, keys: list[str], x: str, y: str, n: st
 
 
 def pair_mi(seq: DataFrame) -> DataFrame:
-    counts = aligned_pairs(seq, "state").groupBy("a", "b", "state_a", "state_b").agg(F.count("*").alias("n"))
-    return mutual_information(counts, ["a", "b"], "state_a", "state_b")
+    """Mutual information (nats) of the states of two subjects over the steps that both have."""
+    counts = pair_counts(seq.select(F.col("subject").alias("id"), F.col("t").alias("at"), F.col("state").alias("v")))
+    return mutual_information(counts, ["a", "b"], "x", "y")
 
 
 def pair_coupling(seq: DataFrame) -> DataFrame:
     """Pearson correlation of the run lengths of two subjects, runs ordered by state and start, cut to the shorter list."""
-    runs = state_runs(seq).withColumn("t", F.row_number().over(W.partitionBy("subject").orderBy("state", "start")))
-    return aligned_pairs(runs, "length").groupBy("a", "b").agg(correlation(F.col("length_a"), F.col("length_b")).alias("coupling"), F.count("*").alias("n_runs"))
+    runs = state_runs(seq).withColumn("at", F.row_number().over(W.partitionBy("subject").orderBy("state", "start")))
+    sums = pair_sums(runs.select(F.col("subject").alias("id"), "at", F.col("length").alias("v")))
+    return sums.select("a", "b", _pearson().alias("coupling"), F.col("n").alias("n_runs"))
 
 
 def temporal_mi(seq: DataFrame, every: int = 10) -> DataFrame:
@@ -51,22 +154,54 @@ def temporal_mi(seq: DataFrame, every: int = 10) -> DataFrame:
     return mutual_information(counts, ["t1", "t2"], "s1", "s2")
 
 
-def label_agreement(labels: DataFrame, x: str, y: str) -> DataFrame:
-    """Mutual information, normalised mutual information (arithmetic mean) and adjusted Rand index of two labelings."""
-    c = labels.groupBy(x, y).agg(F.count("*").alias("n"))
-    mi = mutual_information(c.withColumn("one", F.lit(1)), ["one"], x, y)
+def table_agreement(counts: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, x, y, n) of two labelings -> by key: mutual information, normalised mutual information (arithmetic mean) and adjusted Rand index."""
     two = lambda v: v * (v - 1) / 2
+    whole = counts.groupBy(*keys).agg(F.sum("n").alias("all"), F.sum(two(F.col("n"))).alias("pairs"))
+    out = whole.join(mutual_information(counts, keys, x, y), keys)
+    for col, name in ((x, "x"), (y, "y")):
+        m = counts.groupBy(*keys, col).agg(F.sum("n").alias("m"))
+        p = F.col("m") / F.sum("m").over(W.partitionBy(*keys))
+        m = m.select(*keys, "m", entropy(p).alias("h"))
+        out = out.join(m.groupBy(*keys).agg(F.sum(two(F.col("m"))).alias(f"pairs_{name}"), F.sum("h").alias(f"h_{name}")), keys)
+    expected = F.col("pairs_x") * F.col("pairs_y") / two(F.col("all"))
+    ari = F.try_divide(F.col("pairs") - expected, (F.col("pairs_x") + F.col("pairs_y")) / 2 - expected)
+    return out.select(*keys, "mutual_info", F.try_divide(F.col("mutual_info"), (F.col("h_x") + F.col("h_y")) / 2).alias("nmi"), ari.alias("ari"))
 
-    def side(col: str, name: str) -> DataFrame:
-        m = c.groupBy(col).agg(F.sum("n").alias("m"))
-        p = F.col("m") / F.sum("m").over(W.partitionBy())
-        return m.select("m", entropy(p).alias("h")).agg(F.sum(two(F.col("m"))).alias(f"pairs_{name}"), F.sum("h").alias(f"h_{name}"))
 
-    both = c.agg(F.sum(two(F.col("n"))).alias("pairs"), two(F.sum("n")).alias("all"))
-    row = both.join(side(x, "x")).join(side(y, "y")).join(mi.drop("one"))
-    expected = F.col("pairs_x") * F.col("pairs_y") / F.col("all")
-    ari = F.try_divide(F.col("pairs") - expected, (F.col("pairs_x") + F.col("pairs_y")) / 2 - expected)
-    return row.select("mutual_info", F.try_divide(F.col("mutual_info"), (F.col("h_x") + F.col("h_y")) / 2).alias("nmi"), ari.alias("ari"))
+def label_agreement(labels: DataFrame, x: str, y: str) -> DataFrame:
+    """Mutual information, normalised mutual information and adjusted Rand index of two labelings; only their table of label pairs meets."""
+    counts = labels.groupBy(x, y).agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    return table_agreement(counts, ["one"], x, y).drop("one")
+
+
+def threshold_agreement(assigned: DataFrame) -> DataFrame:
+    """(threshold, id, cluster) -> for each two thresholds in succession: agreement of the patterns that both hold, and of all patterns with the missing ones as one more cluster.
+
+    Also how many patterns are common, lost and gained, and the numbers of
+    patterns and clusters of both.  Two labelings with one cluster each agree
+    fully (1); without a common pattern the first two measures are 0.
+    """
+    steps = assigned.select("threshold").distinct().withColumn("step", F.row_number().over(W.orderBy("threshold")))  # one row for each threshold
+    held = assigned.join(F.broadcast(steps), "threshold").select("id", "step", "cluster")
+    ids = assigned.select("id").distinct().join(F.broadcast(steps.select("step")))
+    dense = ids.join(held, ["id", "step"], "left")
+    own = W.partitionBy("id").orderBy("step")
+    moved = dense.select("step", F.col("cluster").alias("y"), F.lag("cluster").over(own).alias("x")).filter("step > 1")
+    counts = moved.groupBy("step", "x", "y").agg(F.count("*").alias("n"))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    one = lambda c, empty: F.coalesce(F.when(c.isNotNull() | empty, F.coalesce(c, F.lit(1.0))), F.lit(0.0))
+    common = table_agreement(counts.filter(known), ["step"], "x", "y").select("step", F.lit(True).alias("met"), "ari", "nmi")
+    whole = table_agreement(counts, ["step"], "x", "y").select("step", F.coalesce("ari", F.lit(1.0)).alias("ari_full"), F.coalesce("nmi", F.lit(1.0)).alias("nmi_full"))
+    total = lambda on: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0))
+    sizes = counts.groupBy("step").agg(
+        total(known).alias("common"), total(F.col("x").isNotNull() & F.col("y").isNull()).alias("lost"), total(F.col("x").isNull() & F.col("y").isNotNull()).alias("gained"),
+        total(F.col("x").isNotNull()).alias("patterns1"), total(F.col("y").isNotNull()).alias("patterns2"), F.count_distinct("x").alias("clusters1"), F.count_distinct("y").alias("clusters2"),
+    )
+    names = steps.select("step", F.col("threshold").alias("threshold2")).join(steps.select((F.col("step") + 1).alias("step"), F.col("threshold").alias("threshold1")), "step")
+    out = names.join(sizes, "step").join(common, "step", "left").join(whole, "step")
+    met = F.coalesce("met", F.lit(False))
+    return out.select("threshold1", "threshold2", one(F.col("ari"), met).alias("ari"), one(F.col("nmi"), met).alias("nmi"), "ari_full", "nmi_full", "common", "lost", "gained", "patterns1", "patterns2", "clusters1", "clusters2")
 
 
 def cosine(x: Column, y: Column, floor: float = 1e-12) -> Column:
@@ -74,11 +209,10 @@ def cosine(x: Column, y: Column, floor: float = 1e-12) -> Column:
     return F.sum(x * y) / (F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)) + floor)
 
 
-def cosine_pairs(vectors: DataFrame) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, floor: float = 1e-12) -> DataFrame:
     """Cosine of every two vectors of (id, feature, value)."""
-    a = vectors.select(F.col("id").alias("a"), "feature", F.col("value").alias("x"))
-    b = vectors.select(F.col("id").alias("b"), "feature", F.col("value").alias("y"))
-    return a.join(b, "feature").filter("a < b").groupBy("a", "b").agg(cosine(F.col("x"), F.col("y")).alias("cosine"))
+    sums = pair_sums(vectors.select("id", F.col("feature").alias("at"), F.col("value").alias("v")))
+    return sums.select("a", "b", (F.col("product") / (F.sqrt("square_a") * F.sqrt("square_b") + floor)).alias("cosine"))
 
 
 def average_rank(df: DataFrame, value: str, *by: str, name: str = "rank") -> DataFrame:
@@ -90,32 +224,81 @@ def average_rank(df: DataFrame, value: str, *by: str, name: str = "rank") -> Dat
 def spearman_pairs(vectors: DataFrame) -> DataFrame:
     """Spearman correlation of every two vectors of (id, feature, value)."""
     ranked = average_rank(vectors, "value", "id")
-    a = ranked.select(F.col("id").alias("a"), "feature", F.col("rank").alias("x"))
-    b = ranked.select(F.col("id").alias("b"), "feature", F.col("rank").alias("y"))
-    return a.join(b, "feature").filter("a < b").groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")).alias("rho"))
+    return pair_sums(ranked.select("id", F.col("feature").alias("at"), F.col("rank").alias("v"))).select("a", "b", _pearson().alias("rho"))
+
+
+def correlation_groups(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, feature, value), (id, grp) -> of every two groups: Spearman correlation of their mean vectors, and the mean correlation of their members across.
+
+    A group with itself has the mean over its pairs of members; `rho` is null there.
+    """
+    named = groups.select("id", "grp")
+    means = vectors.join(named, "id").groupBy(F.col("grp").alias("id"), "feature").agg(F.avg("value").alias("value"))
+    between = spearman_pairs(means)
+    ga, gb = named.select(F.col("id").alias("a"), F.col("grp").alias("ga")), named.select(F.col("id").alias("b"), F.col("grp").alias("gb"))
+    members = spearman_pairs(vectors.join(named.select("id"), "id", "left_semi")).join(ga, "a").join(gb, "b")
+    mean = members.groupBy(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.avg("rho").alias("mean_rho"), F.count("rho").alias("n_pairs"))
+    return mean.join(between, ["a", "b"], "left").select("a", "b", "rho", "mean_rho", "n_pairs")
 
 
 def jaccard_pairs(patterns: DataFrame) -> DataFrame:
     """Jaccard similarity of patterns (pattern_id, feature) that share a feature; all other pairs are 0."""
     size = patterns.groupBy("pattern_id").agg(F.count("*").alias("n"))
-    p = patterns.join(size, "pattern_id")
-    a = p.select(F.col("pattern_id").alias("a"), "feature", F.col("n").alias("na"))
-    b = p.select(F.col("pattern_id").alias("b"), "feature", F.col("n").alias("nb"))
-    shared = a.join(b, "feature").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return shared.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    shared = pair_sums(patterns.select(F.col("pattern_id").alias("id"), F.col("feature").alias("at"), F.lit(1).alias("v"))).select("a", "b", F.col("n").alias("shared"))
+    sized = shared.join(size.select(F.col("pattern_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("pattern_id").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+
+
+def group_distance(panel: DataFrame, groups: tuple[str, str] | None = None) -> DataFrame:
+    """Distances between the mean courses of two groups over the steps that both reach: Euclidean, mean absolute, 1 - correlation."""
+    from .panel import two_groups
+
+    a, b = two_groups(panel, groups)
+    m = panel.groupBy("t").agg(F.avg(F.when(F.col("grp") == a, F.col("y"))).alias("x"), F.avg(F.when(F.col("grp") == b, F.col("y"))).alias("z"))
+    return course_distance(m.filter("x is not null and z is not null"), [])
 
 
-def group_distance(panel: DataFrame) -> DataFrame:
-    """Distances between the mean courses of groups a and b: Euclidean, mean absolute, 1 - correlation."""
-    m = panel.groupBy("t").agg(F.avg(F.when(F.col("grp") == "a", F.col("y"))).alias("x"), F.avg(F.when(F.col("grp") == "b", F.col("y"))).alias("z"))
+def course_distance(courses: DataFrame, by: list[str]) -> DataFrame:
+    """(by, x, z) -> by key: Euclidean and mean absolute distance and 1 - correlation of two courses."""
     d = F.col("x") - F.col("z")
-    return m.agg(F.sqrt(F.sum(d * d)).alias("euclidean"), F.avg(F.abs(d)).alias("mean_abs"), (1 - correlation(F.col("x"), F.col("z"))).alias("one_minus_corr"))
+    n, sx, sz = F.count("*"), F.sum("x"), F.sum("z")
+    vx, vz = F.var_pop("x"), F.var_pop("z")
+    corr = F.when((vx > 0) & (vz > 0), (F.sum(F.col("x") * F.col("z")) / n - sx * sz / n / n) / F.sqrt(vx * vz))
+    return courses.groupBy(*by).agg(F.sqrt(F.sum(d * d)).alias("euclidean"), F.avg(F.abs(d)).alias("mean_abs"), (1 - corr).alias("one_minus_corr"))
 
 
 def separation_ratio(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean distance within and between clusters of (a, b, jaccard), and their ratio."""
+    """Mean distance 1 - Jaccard over all pairs within and between clusters, and their ratio; pairs that (a, b, jaccard) does not hold are at distance 1."""
     la, lb = labels.select(F.col("pattern_id").alias("a"), F.col("cluster").alias("ca")), labels.select(F.col("pattern_id").alias("b"), F.col("cluster").alias("cb"))
-    d = 1 - F.col("jaccard")
-    own = F.col("ca") == F.col("cb")
-    out = pairs.join(la, "a").join(lb, "b").agg(F.avg(F.when(own, d)).alias("within"), F.avg(F.when(~own, d)).alias("between"))
-    return out.withColumn("ratio", F.col("between") / F.col("within"))
+    own, near = F.col("ca") == F.col("cb"), F.col("jaccard")
+    part = lambda on: F.coalesce(F.sum(F.when(on, near)), F.lit(0.0))
+    sums = pairs.join(la, "a").join(lb, "b").agg(part(own).alias("near_w"), part(~own).alias("near_b"))
+    return _separation(labels.groupBy("cluster").agg(F.count("*").alias("n")), sums)
+
+
+def rank_separation(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, feature, value), (id, cluster) -> mean distance 1 - Spearman correlation over all pairs within and between clusters, their ratio, and the mean correlation within.
+
+    Ranks scaled to length 1 have the correlation as inner product, so the sum
+    over a cluster's pairs is half of the squared length of its summed vector
+    less its members': one pass, no pairs.  A vector whose values are all equal
+    correlates 0 with all.  All vectors have the same features.
+    """
+    ranked = average_rank(vectors.join(labels.select("id", "cluster"), "id"), "value", "id")
+    own = W.partitionBy("id")
+    centred = ranked.withColumn("d", F.col("rank") - F.avg("rank").over(own))
+    scaled = centred.withColumn("z", F.coalesce(F.try_divide(F.col("d"), F.sqrt(F.sum(F.col("d") * F.col("d")).over(own))), F.lit(0.0)))
+    by = scaled.groupBy("cluster", "feature").agg(F.sum("z").alias("z"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    whole = by.groupBy("feature").agg(F.sum("z").alias("z"), F.sum("zz").alias("zz")).agg((F.sum(F.col("z") * F.col("z") - F.col("zz")) / 2).alias("near"))
+    inner = by.agg((F.sum(F.col("z") * F.col("z") - F.col("zz")) / 2).alias("near_w"))
+    sums = inner.join(F.broadcast(whole)).select("near_w", (F.col("near") - F.col("near_w")).alias("near_b"))
+    return _separation(labels.groupBy("cluster").agg(F.count("*").alias("n")), sums).withColumn("within_correlation", 1 - F.col("within"))
+
+
+def _separation(sizes: DataFrame, sums: DataFrame) -> DataFrame:
+    """Summed similarities within and between clusters of these sizes -> mean distances and ratio."""
+    n = F.col("n").cast("double")
+    counted = sizes.agg((F.sum(n * (n - 1)) / 2).alias("pairs_w"), (F.sum(n) * (F.sum(n) - 1) / 2).alias("pairs"))
+    within = 1 - F.try_divide(F.col("near_w"), F.col("pairs_w"))
+    between = 1 - F.try_divide(F.col("near_b"), F.col("pairs") - F.col("pairs_w"))
+    return sums.join(F.broadcast(counted)).select(within.alias("within"), between.alias("between")).withColumn("ratio", F.try_divide("between", "within"))

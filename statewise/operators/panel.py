@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,10 +73,17 @@ def participant_sets(a: DataFrame, b: DataFrame, key: str = "participant") -> Da
     return left.join(right, key, "full_outer").select(key, (F.col("l").isNotNull() & F.col("r").isNotNull()).alias("in_both"))
 
 
-def loo_folds(df: DataFrame, key: str = "subject") -> DataFrame:
-    """Leave-one-out sets as rows: every row once in each fold that does not hold its subject out."""
-    folds = df.select(F.col(key).alias("held_out")).distinct()
-    return df.join(folds, df[key] != folds["held_out"])
+def leave_one_out(units: DataFrame, value: str, key: str = "subject") -> DataFrame:
+    """(key, value) with a row for each subject -> held_out, and mean, sample deviation and number of all others.
+
+    Totals less the subject's own row: no fold is written out.
+    """
+    v = F.col(value)
+    whole = units.agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.count(v).alias("c"))
+    n, s, ss = F.col("c") - v.isNotNull().cast("int"), F.col("s") - F.coalesce(v, F.lit(0.0)), F.col("ss") - F.coalesce(v * v, F.lit(0.0))
+    mean = F.try_divide(s, n)
+    spread = F.when(n > 1, F.sqrt(F.greatest((ss - s * mean) / (n - 1), F.lit(0.0))))
+    return units.join(F.broadcast(whole)).select(F.col(key).alias("held_out"), mean.alias("mean"), spread.alias("std"), n.cast("long").alias("n"))
 
 
 def group_timecourse(panel: DataFrame, value: str = "y") -> DataFrame:
@@ -82,14 +91,41 @@ def group_timecourse(panel: DataFrame, value: str = "y") -> DataFrame:
     return panel.groupBy("grp", "t").agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"))
 
 
-def design_matrix(panel: DataFrame, features: DataFrame, names: list[str], lags: int = 2, coding: str = "deviation") -> DataFrame:
-    """Panel (subject, grp, t, y) with features of the step, group code, lags and group products.
+def two_groups(df: DataFrame, groups: tuple[str, str] | None = None, col: str = "grp") -> tuple[str, str]:
+    """The two groups to compare, first and second in order where they are not given; any other number of groups is an error."""
+    if groups is not None:
+        return groups
+    found = sorted(r[col] for r in df.select(col).distinct().filter(F.col(col).isNotNull()).limit(3).collect())
+    if len(found) != 2:
+        raise ValueError(f"two groups are needed, {'more' if len(found) > 2 else len(found)} found: {found}")
+    return found[0], found[1]
+
+
+def feature_products(features: DataFrame, products: list[tuple[str, str]]) -> DataFrame:
+    """Adds the product of each two features, named by both."""
+    return features.withColumns({f"{a}_{b}": F.col(a) * F.col(b) for a, b in products})
+
 
-    deviation codes the first group in order +1 and the other -1; treatment
-    codes them 0 and 1.
+def design_matrix(panel: DataFrame, features: DataFrame, names: list[str], lags: int = 2, coding: str = "deviation", groups: tuple[str, str] | None = None, products: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Panel (subject, grp, t, y) with features of the step and products of theirs, group code, lags and group products.
+
+    deviation codes the first group +1 and the second -1; treatment codes them
+    0 and 1.  Groups other than two are an error.
     """
-    first = panel.agg(F.min("grp")).first()[0]
+    first, second = two_groups(panel, groups)
     low, high = (1, -1) if coding == "deviation" else (0, 1)
-    coded = ar_lags(panel, lags).withColumn("group_coded", F.when(F.col("grp") == first, low).otherwise(high))
-    joined = coded.join(features.select("t", *names), "t")
-    return joined.withColumns({f"group_{f}_interaction": F.col("group_coded") * F.col(f) for f in names})
+    coded = ar_lags(panel, lags).withColumn("group_coded", F.when(F.col("grp") == first, low).when(F.col("grp") == second, high))
+    made = feature_products(features.select("t", *names), products or [])
+    joined = coded.join(made, "t")
+    return joined.withColumns({f"group_{f}_interaction": F.col("group_coded") * F.col(f) for f in made.columns if f != "t"})
+
+
+def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Nulls of the named columns replaced by their default."""
+    return df.na.fill(defaults)
+
+
+def paired_series(by_group: dict[str, DataFrame], targets: dict[str, int], prefix: str = "sub-") -> DataFrame:
+    """Target series of several models under one another: each group from its own model's states and with its own target."""
+    parts = [target_series(seq.filter(F.col("grp") == g), targets[g], prefix) for g, seq in by_group.items()]
+    return reduce(DataFrame.unionByName, parts)

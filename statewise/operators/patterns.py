@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.special import clip, correlation
+from ..functions.special import clip
+from ..sources.shared import free_names, numbered
 from .inference import poisson_weighted
-from .pairs import cosine
+from .pairs import cosine, pair_sums
+
 
+def state_feature_stats(obs: DataFrame, k: int | None = None) -> DataFrame:
+    """(state, feature, value) -> mean, population deviation, CV (0 where undefined) and importance |mean| * deviation.
 
-def state_feature_stats(obs: DataFrame) -> DataFrame:
-    """(state, feature, value) -> mean, population deviation, CV (0 where undefined) and importance |mean| * deviation."""
+    With `k`, states 0..k-1 that were never visited have zeros in every feature.
+    """
     m = obs.groupBy("state", "feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"))
+    if k is not None:
+        cells = obs.select("feature").distinct().withColumn("state", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        m = cells.join(m, ["state", "feature"], "left").na.fill(0, ["mean", "std", "n"])
     return m.withColumn("cv", F.coalesce(F.try_divide("std", F.abs("mean")), F.lit(0.0))).withColumn("importance", F.abs("mean") * F.col("std"))
 
 
@@ -24,10 +35,42 @@ def top_features(stats: DataFrame, n: int = 10) -> DataFrame:
 
 
 def state_covariance(wide: DataFrame, features: list[str]) -> DataFrame:
-    """Population covariance and correlation (clipped to -1..1, 0 where a feature does not vary) of every two features by state, one grouped pass."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    aggs = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.covar_pop(a, b).alias("cov"), clip(F.coalesce(correlation(F.col(a), F.col(b)), F.lit(0.0)), -1.0, 1.0).alias("corr")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    return wide.groupBy("state").agg(*aggs).select("state", F.inline(F.array(*[f"p{i}" for i in range(len(pairs))])))
+    """Population covariance and correlation (clipped to -1..1, 0 where a feature does not vary) of every two features by state.
+
+    Tasks add up cross products of their rows, taken from the features' overall
+    means; what is shuffled is a square of the number of features for each
+    state and task.
+    """
+    d = len(features)
+    kind = wide.schema["state"].dataType.simpleString()
+    slim = wide.select("state", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    shift = np.array([v or 0.0 for v in wide.agg(*[F.avg(f) for f in features]).first()])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for state, own in pdf.groupby("state", dropna=False):
+                x = np.stack(own["x"].to_list()).astype(float) - shift
+                x = np.column_stack([np.ones(len(x)), x])[~np.isnan(x).any(1)]
+                held[state] = held.get(state, 0.0) + x.T @ x
+        yield pd.DataFrame([(s, m.ravel()) for s, m in held.items()], columns=["state", "sums"])
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((d + 1) ** 2)
+        m[pdf["i"].to_numpy()] = pdf["v"].to_numpy()
+        m = m.reshape(d + 1, d + 1)
+        n = max(m[0, 0], 1.0)
+        cov = m[1:, 1:] / n - np.outer(m[0, 1:], m[0, 1:]) / n / n
+        sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+        sd[sd <= 1e-12 * (1 + np.sqrt(np.diag(m)[1:] / n))] = 0.0
+        scale = np.outer(sd, sd)
+        corr = np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 0).clip(-1, 1)
+        p, q = np.triu_indices(d)
+        names = np.array(features)
+        return pd.DataFrame({"state": pdf["state"].iloc[0], "f1": names[p], "f2": names[q], "cov": cov[p, q], "corr": corr[p, q]})
+
+    parts = slim.mapInPandas(add, f"state {kind}, sums array<double>").select("state", F.posexplode("sums").alias("i", "v"))
+    return parts.groupBy("state", "i").agg(F.sum("v").alias("v")).groupBy("state").applyInPandas(finish, f"state {kind}, f1 string, f2 string, cov double, corr double")
 
 
 def effective_dimension(cov: DataFrame, floor: float = 1e-12) -> DataFrame:
@@ -59,14 +102,39 @@ def consensus_mean(vectors: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(vectors, "id").groupBy("cluster", "feature").agg(F.avg("value").alias("mean"), (F.avg(F.col("active").cast("double")) >= 0.5).alias("consensus"))
 
 
-def cluster_summary(members: DataFrame) -> DataFrame:
-    """Size, summed occupancy and groups of each cluster."""
-    return members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("occupancy").alias("total_occupancy"), F.array_join(F.array_sort(F.collect_set("grp")), ",").alias("groups"), F.count_if(F.col("grp") == "a").alias("n_a"), F.count_if(F.col("grp") == "b").alias("n_b"))
+def cluster_summary(members: DataFrame, groups: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """Size, summed occupancy and groups of each cluster, and a count `n_<group>` for each of the named groups."""
+    counts = [F.count_if(F.col("grp") == g).alias(f"n_{g}") for g in groups]
+    return members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("occupancy").alias("total_occupancy"), F.array_join(F.array_sort(F.collect_set("grp")), ",").alias("groups"), *counts)
+
+
+def cluster_overlap(members: DataFrame, groups: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """Clusters that more than one of the groups shares, with their members by group."""
+    counts = [f"n_{g}" for g in groups]
+    shared = sum(((F.col(c) > 0).cast("int") for c in counts), F.lit(0)) > 1
+    return cluster_summary(members, groups).filter(shared).select("cluster", *counts)
+
+
+def renumbered(members: DataFrame) -> DataFrame:
+    """(id, cluster, occupancy) with `number`: clusters from 1 by summed occupancy, largest first, ties to the cluster with the least member."""
+    sums = members.groupBy("cluster").agg(F.sum("occupancy").alias("total"), F.min("id").alias("least"))
+    places = numbered(sums, F.desc("total"), F.col("least")).select("cluster", (F.col("number") + 1).alias("number"))
+    return members.join(places, "cluster")
 
 
-def cluster_overlap(members: DataFrame) -> DataFrame:
-    """Clusters that more than one group shares, with their members by group."""
-    return cluster_summary(members).filter("n_a > 0 and n_b > 0").select("cluster", "n_a", "n_b")
+def find_member(members: DataFrame, cluster, grp: str, model: str) -> DataFrame:
+    """The member of a cluster from a group's model; where there is none, an error that lists what there is instead."""
+    of_cluster = members.filter(F.col("cluster") == cluster)
+    found = of_cluster.filter((F.col("grp") == grp) & (F.col("model") == model))
+    if found.limit(1).count():
+        return found
+    if not of_cluster.limit(1).count():
+        raise LookupError(f"no cluster {cluster}")
+    models = [r["model"] for r in of_cluster.filter(F.col("grp") == grp).select("model").distinct().orderBy("model").limit(100).collect()]
+    if not models:
+        groups = [r["grp"] for r in of_cluster.select("grp").distinct().orderBy("grp").limit(100).collect()]
+        raise LookupError(f"cluster {cluster} has no member of group {grp}; it has groups {groups}")
+    raise LookupError(f"cluster {cluster} has no member of group {grp} from {model}; it has {models}")
 
 
 def best_match(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -118,9 +186,8 @@ def pattern_consistency(obs: DataFrame) -> DataFrame:
 
 def state_distance(means: DataFrame) -> DataFrame:
     """Euclidean distance of every two states of (state, feature, mean)."""
-    a = means.select(F.col("state").alias("a"), "feature", F.col("mean").alias("x"))
-    b = means.select(F.col("state").alias("b"), "feature", F.col("mean").alias("y"))
-    return a.join(b, "feature").filter("a < b").groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("distance"))
+    sums = pair_sums(means.select(F.col("state").alias("id"), F.col("feature").alias("at"), F.col("mean").alias("v")))
+    return sums.select("a", "b", F.sqrt(F.greatest(F.col("square_a") + F.col("square_b") - 2 * F.col("product"), F.lit(0.0))).alias("distance"))
 
 
 def consensus_check(active: DataFrame, members: DataFrame, stored: DataFrame) -> DataFrame:
@@ -148,6 +215,7 @@ def embed(vectors: DataFrame, k: int = 2, column: str = "embedding") -> DataFram
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    held = vectors.withColumn("__v", array_to_vector(F.transform(column, lambda v: v.cast("double"))))
-    placed = PCA(k=k, inputCol="__v", outputCol="__p").fit(held).transform(held)
-    return placed.withColumn("__p", vector_to_array("__p")).select(*vectors.columns, *[F.col("__p")[i].alias(f"pc{i + 1}") for i in range(k)])
+    v, p = free_names(vectors, "v", "p")
+    held = vectors.withColumn(v, array_to_vector(F.transform(column, lambda x: x.cast("double"))))
+    placed = PCA(k=k, inputCol=v, outputCol=p).fit(held).transform(held)
+    return placed.withColumn(p, vector_to_array(p)).select(*vectors.columns, *[F.col(p)[i].alias(f"pc{i + 1}") for i in range(k)])

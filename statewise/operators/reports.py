@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import Z975, normal_cdf
+from ..sources.shared import numbered
 from .inference import bayes_fdr, loo_summary, posterior_summary
 
 
@@ -52,12 +53,12 @@ def group_table(main: DataFrame, interaction: DataFrame, coding: str = "deviatio
 
 def comparison_table(terms: DataFrame, alpha: float = 0.05, strict: bool = False) -> DataFrame:
     """(term, prob_direction) -> running false discovery rate, least first, and whether the term is credible."""
-    ranked = _placed(bayes_fdr(terms, alpha, strict), F.col("fdr"))
+    ranked = numbered(bayes_fdr(terms, alpha, strict), F.col("fdr"), F.col("term"), name="place").withColumn("place", F.col("place") + 1)
     return ranked.select("term", F.round("prob_direction", 3).alias("prob_direction"), F.round("fdr", 3).alias("fdr"), "credible", "place")
 
 
-def fold_table(loo: DataFrame) -> DataFrame:
+def fold_table(loo: DataFrame, groups: tuple[str, str] | None = None) -> DataFrame:
     """Leave-one-out coefficients (term, grp, coef) by term and group, most stable first; terms without a ratio come last."""
     shown = ["mean_a", "sd_a", "mean_b", "sd_b", "stability"]
-    rounded = loo_summary(loo).select("term", *[F.round(c, 4).alias(c) for c in shown])
+    rounded = loo_summary(loo, groups).select("term", *[F.round(c, 4).alias(c) for c in shown])
     return _placed(rounded, F.desc_nulls_last("stability"))

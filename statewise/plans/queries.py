@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -13,7 +14,8 @@ from ..models import glmm, hmm
 from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
 from ..sources import tables
-from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WORD, table, v_atlas, v_events, v_features, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
+from ..sources.shared import numbered, shared_dir, staged
+from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WIDTH, WORD, table, v_atlas, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -70,7 +72,7 @@ _query(
 _query("state_mixing", f"WITH {SEQ} SELECT subject, t // 13 AS frame, round(count(DISTINCT state) / 5.0::DOUBLE, 6) AS mixing FROM seq GROUP BY 1, 2 HAVING count(*) = 13")(lambda s, d: q.state_mixing(v_seq(s, d), K))
 _query(
     "sliding_entropy",
-    f"WITH {SEQ}, c AS (SELECT a.subject, a.t, b.state, count(*) / 13.0::DOUBLE AS p FROM seq a JOIN seq b ON a.subject = b.subject AND b.t BETWEEN a.t AND a.t + 12 WHERE a.t < 32 GROUP BY 1, 2, 3), h AS (SELECT subject, t, -sum(p * ln(p)) AS h FROM c GROUP BY 1, 2) SELECT subject, round(avg(h), 6) AS mean_entropy, count(*) AS n_frames FROM h GROUP BY 1",
+    f"WITH {SEQ}, u AS (SELECT subject, count(*) AS n FROM seq GROUP BY 1), c AS (SELECT a.subject, a.t, b.state, count(*) / 13.0::DOUBLE AS p FROM seq a JOIN u ON u.subject = a.subject JOIN seq b ON a.subject = b.subject AND b.t BETWEEN a.t AND a.t + 12 WHERE a.t < u.n - 13 GROUP BY 1, 2, 3), h AS (SELECT subject, t, -sum(p * ln(p)) AS h FROM c GROUP BY 1, 2) SELECT subject, round(avg(h), 6) AS mean_entropy, count(*) AS n_frames FROM h GROUP BY 1",
 )(lambda s, d: q.sliding_entropy(v_seq(s, d), K))
 _query("recurrence", f"WITH {SEQ}, g AS (SELECT state, (t - lag(t) OVER (PARTITION BY subject, state ORDER BY t)) * 1.5::DOUBLE AS gap FROM seq) SELECT state::BIGINT AS state, round(avg(gap), 6) AS mean_gap, round(quantile_cont(gap, 0.5), 6) AS median_gap, count(gap) AS n_gaps FROM g WHERE gap IS NOT NULL GROUP BY 1")(lambda s, d: q.recurrence(v_seq(s, d)))
 _query("ar_lags", f"WITH {SEQ}, y AS (SELECT subject, t, (state = 1)::BIGINT AS y FROM seq) SELECT subject, t, y, lag(y, 1, 0) OVER w AS y_lag1, lag(y, 2, 0) OVER w AS y_lag2 FROM y WINDOW w AS (PARTITION BY subject ORDER BY t)")(lambda s, d: q.ar_lags(panel.target_indicator(v_seq(s, d), 1).select("subject", "t", "y"), 2))
@@ -85,7 +87,7 @@ _TC = f"{SEQ}, tc AS (SELECT grp, t, avg((state = 1)::INT) AS mean, stddev_samp(
 _query("group_timecourse", f"WITH {_TC} SELECT grp, t, round(mean, 6) AS mean, round(sem, 6) AS sem, n FROM tc")(lambda s, d: panel.group_timecourse(panel.target_indicator(v_seq(s, d), 1)))
 _query(
     "gauss_smooth",
-    f"WITH {_TC}, o AS (SELECT grp, t, unnest(range(-8, 9)) AS o FROM tc), a AS (SELECT grp, t, exp(-0.5 * (o / 2.0) ** 2) AS w, CASE WHEN t + o < 0 THEN -1 - t - o WHEN t + o > 44 THEN 89 - t - o ELSE t + o END AS at FROM o) SELECT a.grp, a.t, round(sum(w * mean) / sum(w), 6) AS smoothed FROM a JOIN tc ON tc.grp = a.grp AND tc.t = a.at GROUP BY 1, 2",
+    f"WITH {_TC}, mx AS (SELECT grp, max(t) AS m FROM tc GROUP BY 1), o AS (SELECT tc.grp, t, m, unnest(range(-8, 9)) AS o FROM tc JOIN mx ON mx.grp = tc.grp), a AS (SELECT grp, t, exp(-0.5 * (o / 2.0) ** 2) AS w, CASE WHEN t + o < 0 THEN -1 - t - o WHEN t + o > m THEN 2 * m + 1 - t - o ELSE t + o END AS at FROM o) SELECT a.grp, a.t, round(sum(w * mean) / sum(w), 6) AS smoothed FROM a JOIN tc ON tc.grp = a.grp AND tc.t = a.at GROUP BY 1, 2",
 )(lambda s, d: q.gauss_smooth(panel.group_timecourse(panel.target_indicator(v_seq(s, d), 1)), value="mean"))
 
 # panels
@@ -97,15 +99,15 @@ _query("stratified_sample", f"WITH {SEQ}, u AS (SELECT DISTINCT subject, grp FRO
 _query("densify_binary", f"WITH {RT}, k AS (SELECT DISTINCT participant FROM resp), m AS (SELECT DISTINCT participant, greatest(0, least(bin, 119)) AS bin FROM resp) SELECT k.participant, b.bin, (m.bin IS NOT NULL)::BIGINT AS y FROM k CROSS JOIN (SELECT unnest(range(120)) AS bin) b LEFT JOIN m ON m.participant = k.participant AND m.bin = b.bin")(
     lambda s, d: panel.densify_binary(r := align.response_bins(v_rt(s, d), BIN), r, 120)
 )
-_query("panel_checks", f"WITH {SEQ}, p AS (SELECT subject, count(*) AS n, count(*) FILTER (isnan(x) OR x IS NULL OR isinf(x)) AS bx, count(*) FILTER (state NOT IN (0,1,2)) AS bs FROM seq GROUP BY 1) SELECT count(*) AS n_subjects, max(n) - min(n) AS length_gap, sum(bx)::BIGINT AS not_finite, sum(bs)::BIGINT AS bad_labels, 0::BIGINT AS not_binary FROM p")(
-    lambda s, d: panel.panel_checks(v_seq(s, d).withColumn("f", F.lit(1)), [0, 1, 2], ["f"])
+_query("panel_checks", f"WITH {SEQ}, p AS (SELECT subject, count(*) AS n, count(*) FILTER (isnan(x) OR x IS NULL OR isinf(x)) AS bx, count(*) FILTER (state NOT IN (0,1,2)) AS bs, count(*) FILTER (state NOT IN (0, 1)) + count(*) FILTER (t % 3 = 2) AS bf FROM seq GROUP BY 1) SELECT count(*) AS n_subjects, max(n) - min(n) AS length_gap, sum(bx)::BIGINT AS not_finite, sum(bs)::BIGINT AS bad_labels, sum(bf)::BIGINT AS not_binary FROM p")(
+    lambda s, d: panel.panel_checks(v_seq(s, d).withColumns({"f": F.col("state"), "g": F.col("t") % 3}), [0, 1, 2], ["f", "g"])
 )
 _query("target_series", f"WITH {SEQ} SELECT 'sub-' || subject AS subject, grp, t, (state = 1)::BIGINT AS y, round(avg((state = 1)::INT) OVER (PARTITION BY subject), 6) AS mean_occupancy FROM seq")(lambda s, d: panel.target_series(v_seq(s, d), 1))
 _query("participant_sets", "WITH a AS (SELECT DISTINCT user_id AS participant FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id AS participant FROM events WHERE value > 100) SELECT coalesce(a.participant, b.participant) AS participant, a.participant IS NOT NULL AND b.participant IS NOT NULL AS in_both FROM a FULL JOIN b USING (participant)")(
     lambda s, d: panel.participant_sets(v_rt(s, d), table(s, d, "events").filter("value > 100").select(F.col("user_id").alias("participant")))
 )
 _query("loo_folds", f"WITH {SEQ}, u AS (SELECT subject, avg(x) AS m FROM seq GROUP BY 1) SELECT b.subject AS held_out, round(avg(a.m), 6) AS mean, count(*) AS n FROM u a JOIN u b ON a.subject <> b.subject GROUP BY 1")(
-    lambda s, d: panel.loo_folds(v_seq(s, d).groupBy("subject").agg(F.avg("x").alias("m"))).groupBy("held_out").agg(F.avg("m").alias("mean"), F.count("*").alias("n"))
+    lambda s, d: panel.leave_one_out(v_seq(s, d).groupBy("subject").agg(F.avg("x").alias("m")), "m").select("held_out", "mean", "n")
 )
 _query(
     "design_matrix",
@@ -172,8 +174,8 @@ _query("events_to_text", f'WITH {_WIN} SELECT wi.story, round(begin, 6) AS begin
 _query(
     "events_to_segments",
     f'WITH {_WIN}, nu AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY onset_sec, seg_id) AS i FROM seg), ed AS (SELECT wi.story, begin, stop, max(i) FILTER (onset_sec <= begin) AS lo, max(i) FILTER (onset_sec < stop) AS hi FROM wi JOIN nu USING (story) GROUP BY 1, 2, 3) SELECT ed.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(seg, \' \' ORDER BY i) AS text, count(*) AS n_segments FROM ed JOIN nu ON nu.story = ed.story AND i >= lo AND i < hi GROUP BY 1, 2, 3',
-)(lambda s, d: align.events_to_segments(v_seg(s, d), align.windows_between(v_seg(s, d).filter("onset_sec > 0 and seg_id % 2 = 0").select("story", F.col("onset_sec").alias("boundary")), "story")))
-_ORACLES["events_to_segments"] = _ORACLES["events_to_segments"].replace("WHERE onset_sec > 0)", "WHERE onset_sec > 0 AND seg_id % 2 = 0)")
+)(lambda s, d: align.events_to_segments(v_seg(s, d), align.windows_between(v_seg(s, d).filter("onset_sec > 0 and length(seg) > 300").select("story", F.col("onset_sec").alias("boundary")), "story")))
+_ORACLES["events_to_segments"] = _ORACLES["events_to_segments"].replace("WHERE onset_sec > 0)", "WHERE onset_sec > 0 AND length(seg) > 300)")
 _query("value_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY 1")(lambda s, d: table(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n")))
 
 # pairs
@@ -204,11 +206,16 @@ def _patterns(s: SparkSession, d: str, view: Query = v_obs) -> DataFrame:
 
 _JC = f"{_PT}, z AS (SELECT pattern_id, count(*) AS n FROM p GROUP BY 1), j AS (SELECT x.pattern_id AS a, y.pattern_id AS b, count(*) AS shared FROM p x JOIN p y ON x.feature = y.feature AND x.pattern_id < y.pattern_id GROUP BY 1, 2), jc AS (SELECT a, b, shared, shared / (za.n + zb.n - shared)::DOUBLE AS jaccard FROM j JOIN z za ON za.pattern_id = a JOIN z zb ON zb.pattern_id = b)"
 _query("jaccard_pairs", f"WITH {_JC} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM jc")(lambda s, d: pairs.jaccard_pairs(_patterns(s, d)))
-_query("separation_ratio", f"WITH {_JC}, r AS (SELECT avg(1 - jaccard) FILTER (x.label = y.label) AS w, avg(1 - jaccard) FILTER (x.label <> y.label) AS b FROM jc JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = jc.b) SELECT round(w, 6) AS within, round(b, 6) AS between, round(b / w, 6) AS ratio FROM r".replace("AS between", 'AS "between"'))(
-    lambda s, d: pairs.separation_ratio(pairs.jaccard_pairs(_patterns(s, d)), table(s, d, "embeddings").select(F.col("vec_id").alias("pattern_id"), F.col("label").alias("cluster")))
-)
+_query(
+    "separation_ratio",
+    f"WITH {OBS}, r AS (SELECT id, state, feature, rank() OVER (PARTITION BY id ORDER BY value) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0::DOUBLE AS r FROM obs), c AS (SELECT x.state = y.state AS own, corr(x.r, y.r) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.id < y.id GROUP BY x.id, y.id, x.state, y.state), m AS (SELECT avg(1 - rho) FILTER (own) AS w, avg(1 - rho) FILTER (NOT own) AS b FROM c) SELECT round(w, 6) AS within, round(b, 6) AS \"between\", round(b / w, 6) AS ratio, round(1 - w, 6) AS within_correlation FROM m",
+)(lambda s, d: pairs.rank_separation(o := v_obs(s, d), o.select("id", F.col("state").alias("cluster")).distinct()))
+_query(
+    "jaccard_separation",
+    f"WITH {_JC}, l AS (SELECT vec_id, label FROM embeddings), n AS (SELECT x.label = y.label AS own, count(*) AS n FROM l x JOIN l y ON x.vec_id < y.vec_id GROUP BY 1), k AS (SELECT x.label = y.label AS own, sum(jaccard) AS j FROM jc JOIN l x ON x.vec_id = a JOIN l y ON y.vec_id = jc.b GROUP BY 1), r AS (SELECT max(1 - coalesce(j, 0) / n) FILTER (own) AS w, max(1 - coalesce(j, 0) / n) FILTER (NOT own) AS b FROM n LEFT JOIN k USING (own)) SELECT round(w, 6) AS within, round(b, 6) AS \"between\", round(b / w, 6) AS ratio FROM r",
+)(lambda s, d: pairs.separation_ratio(pairs.jaccard_pairs(_patterns(s, d)), table(s, d, "embeddings").select(F.col("vec_id").alias("pattern_id"), F.col("label").alias("cluster"))))
 _GD = f"{SEQ}, m AS (SELECT t, avg((state = 1)::INT) FILTER (grp = 'a') AS x, avg((state = 1)::INT) FILTER (grp = 'b') AS z FROM seq GROUP BY 1)"
-_query("group_distance", f"WITH {_GD} SELECT round(sqrt(sum((x - z) ** 2)), 6) AS euclidean, round(avg(abs(x - z)), 6) AS mean_abs, round(1 - corr(x, z), 6) AS one_minus_corr FROM m")(lambda s, d: pairs.group_distance(panel.target_indicator(v_seq(s, d), 1)))
+_query("group_distance", f"WITH {_GD} SELECT round(sqrt(sum((x - z) ** 2)), 6) AS euclidean, round(avg(abs(x - z)), 6) AS mean_abs, round(1 - corr(x, z), 6) AS one_minus_corr FROM m WHERE x IS NOT NULL AND z IS NOT NULL")(lambda s, d: pairs.group_distance(panel.target_indicator(v_seq(s, d), 1)))
 
 # patterns
 _SF = f"{OBS}, sf AS (SELECT state::BIGINT AS state, feature, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n FROM obs GROUP BY 1, 2), si AS (SELECT *, coalesce(std / nullif(abs(mean), 0), 0) AS cv, abs(mean) * std AS importance FROM sf)"
@@ -217,12 +224,12 @@ _query("topk_features", f"WITH {_SF} SELECT state, feature, place FROM (SELECT *
 
 
 def _wide(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").select(F.col("label").alias("state"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(4)])
+    return table(s, d, "embeddings").select(F.col("label").alias("state"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(WIDTH)])
 
 
-_CV = "w AS (SELECT label::BIGINT AS state, 'f' || i AS f, vec_id, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(4) r(i)), cv AS (SELECT x.state, x.f AS f1, y.f AS f2, covar_pop(x.v, y.v) AS cov, corr(x.v, y.v) AS corr FROM w x JOIN w y ON x.vec_id = y.vec_id AND x.f <= y.f GROUP BY 1, 2, 3)"
-_query("state_corr", f"WITH {_CV} SELECT state, f1, f2, round(cov, 6) AS cov, round(greatest(-1, least(1, corr)), 6) AS corr FROM cv")(lambda s, d: patterns.state_covariance(_wide(s, d), [f"f{i}" for i in range(4)]))
-_query("effective_dim", f"WITH {_CV} SELECT state, round(sum(cov) FILTER (f1 = f2) ** 2 / (sum(CASE WHEN f1 = f2 THEN cov ** 2 ELSE 2 * cov ** 2 END) + 1e-12), 5) AS effective_dim FROM cv GROUP BY 1")(lambda s, d: patterns.effective_dimension(patterns.state_covariance(_wide(s, d), [f"f{i}" for i in range(4)])).withColumn("effective_dim", F.round("effective_dim", 5)))
+_CV = "w AS (SELECT label::BIGINT AS state, unnest(range(len(embedding))) AS i, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), cv AS (SELECT x.state, 'f' || x.i AS f1, 'f' || y.i AS f2, covar_pop(x.v, y.v) AS cov, corr(x.v, y.v) AS corr FROM w x JOIN w y ON x.vec_id = y.vec_id AND x.i <= y.i GROUP BY 1, 2, 3)"
+_query("state_corr", f"WITH {_CV} SELECT state, f1, f2, round(cov, 6) AS cov, round(greatest(-1, least(1, corr)), 6) AS corr FROM cv")(lambda s, d: patterns.state_covariance(_wide(s, d), [f"f{i}" for i in range(WIDTH)]))
+_query("effective_dim", f"WITH {_CV} SELECT state, round(sum(cov) FILTER (f1 = f2) ** 2 / (sum(CASE WHEN f1 = f2 THEN cov ** 2 ELSE 2 * cov ** 2 END) + 1e-12), 5) AS effective_dim FROM cv GROUP BY 1")(lambda s, d: patterns.effective_dimension(patterns.state_covariance(_wide(s, d), [f"f{i}" for i in range(WIDTH)])).withColumn("effective_dim", F.round("effective_dim", 5)))
 
 
 def _intervals(s: SparkSession, d: str) -> DataFrame:
@@ -273,7 +280,27 @@ def _terms(s: SparkSession, d: str, view: Query = v_seq) -> DataFrame:
 
 
 _TERMS = f"{SEQ}, te AS (SELECT state::BIGINT AS term, (avg(x) FILTER (grp = 'a') - avg(x) FILTER (grp = 'b')) / 100 AS coef, sqrt(var_samp(x) FILTER (grp = 'a') / count(*) FILTER (grp = 'a') + var_samp(x) FILTER (grp = 'b') / count(*) FILTER (grp = 'b')) / 100 AS sd FROM seq GROUP BY 1)"
-_query("posterior_summary", None)(lambda s, d: inference.posterior_summary(_terms(s, d, v_events)))
+
+
+def _phi(z: str) -> str:
+    """SQL of the standard normal distribution function: z + z^3/3 + z^5/15 + ... times the density, 100 terms, to |z| = 8."""
+    series = "1"
+    for k in range(100, 0, -1):
+        series = f"1 + {z} * {z} / {2 * k + 1} * ({series})"
+    return f"(CASE WHEN {z} > 8 THEN 1 WHEN {z} < -8 THEN 0 ELSE 0.5 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {z} * ({series}) END)"
+
+
+_Z = "1.959963984540054::DOUBLE"
+_BAND = "CASE WHEN bf > 100 THEN 'Extreme' WHEN bf > 30 THEN 'Very Strong' WHEN bf > 10 THEN 'Strong' WHEN bf > 3 THEN 'Moderate' WHEN bf > 1 THEN 'Anecdotal' ELSE 'None' END"
+_POST = f"{_TERMS}, zs AS (SELECT *, coef / sd AS z, (0.1 - coef) / sd AS zu, (-0.1 - coef) / sd AS zl FROM te), po AS (SELECT *, {_phi('z')} AS up, {_phi('zu')} AS under, {_phi('zl')} AS below, least(exp(least(z * z / 2, 700)), 1e6) AS bf FROM zs)"
+_query(
+    "posterior_summary",
+    f"WITH {_POST} SELECT term, round(coef, 6) AS coef, round(sd, 6) AS sd, round(up, 6) AS prob_positive, round(greatest(up, 1 - up), 6) AS prob_direction, round(coef - {_Z} * sd, 6) AS ci_lower, round(coef + {_Z} * sd, 6) AS ci_upper, round(under - below, 6) AS in_rope, round(1 - under, 6) AS above_rope, round(below, 6) AS below_rope, round(bf, 6) AS bayes_factor, round(exp(coef), 6) AS odds_ratio, {_BAND} AS evidence FROM po",
+)(lambda s, d: inference.posterior_summary(_terms(s, d)))
+_query(
+    "ar_evidence",
+    f"WITH {_POST}, e AS (SELECT *, coef - {_Z} * sd > 0 OR coef + {_Z} * sd < 0 OR greatest(up, 1 - up) > 0.95 AS evidence FROM po) SELECT term, round(coef - {_Z} * sd, 6) AS ci_lower, round(coef + {_Z} * sd, 6) AS ci_upper, CASE WHEN coef > 0 THEN 'positive' ELSE 'negative' END AS direction, round(greatest(up, 1 - up), 6) AS prob_direction, round(1 - under + below, 6) AS prob_meaningful, evidence, bool_or(evidence) OVER () AS any_evidence FROM e",
+)(lambda s, d: inference.ar_evidence(_terms(s, d)))
 _query("effect_sizes", f"WITH {_TERMS} SELECT term, round(coef, 6) AS coef, round(sd, 6) AS sd, round(coef / sd, 6) AS standardised, round(exp(coef), 6) AS odds_ratio FROM te")(lambda s, d: inference.effect_sizes(_terms(s, d)))
 _query("group_effects", f"WITH {_TERMS} SELECT term, round(coef * 3 , 6) AS coef_a, round(-coef, 6) AS coef_b, round(sd * sqrt(2), 6) AS sd_group, round(exp(coef * 3), 6) AS or_a, round(exp(-coef), 6) AS or_b FROM te")(lambda s, d: inference.group_effects(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2)))
 _query("bayes_fdr", f"WITH {SEQ}, te AS (SELECT subject AS term, avg((state < 3)::INT) AS prob_direction FROM seq GROUP BY 1), f AS (SELECT *, avg(1 - prob_direction) OVER (ORDER BY prob_direction DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te) SELECT term, round(prob_direction, 6) AS prob_direction, round(fdr, 6) AS fdr, fdr <= 0.2 AS credible FROM f")(
@@ -281,17 +308,19 @@ _query("bayes_fdr", f"WITH {SEQ}, te AS (SELECT subject AS term, avg((state < 3)
 )
 _query(
     "timepoint_t",
-    f"WITH {SEQ}, y AS (SELECT grp, t, (state = 1)::INT AS y FROM seq), m AS (SELECT t, avg(y) FILTER (grp = 'a') AS ma, avg(y) FILTER (grp = 'b') AS mb, var_samp(y) FILTER (grp = 'a') AS va, var_samp(y) FILTER (grp = 'b') AS vb, var_pop(y) FILTER (grp = 'a') AS pa, var_pop(y) FILTER (grp = 'b') AS pb, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb FROM y GROUP BY 1) SELECT t, round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na::DOUBLE + 1 / nb::DOUBLE)), 0), 0), 6) AS t_stat, round(coalesce((ma - mb) / nullif(sqrt((pa + pb) / 2), 0), 0), 6) AS cohen_d FROM m",
+    f"WITH {SEQ}, y AS (SELECT grp, t, (state = 1)::INT AS y FROM seq), m AS (SELECT t, avg(y) FILTER (grp = 'a') AS ma, avg(y) FILTER (grp = 'b') AS mb, var_samp(y) FILTER (grp = 'a') AS va, var_samp(y) FILTER (grp = 'b') AS vb, var_pop(y) FILTER (grp = 'a') AS pa, var_pop(y) FILTER (grp = 'b') AS pb, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb FROM y GROUP BY 1) SELECT t, CASE WHEN na > 1 AND nb > 1 THEN round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na::DOUBLE + 1 / nb::DOUBLE)), 0), 0), 6) END AS t_stat, CASE WHEN na > 1 AND nb > 1 THEN round(coalesce((ma - mb) / nullif(sqrt((pa + pb) / 2), 0), 0), 6) END AS cohen_d FROM m",
 )(lambda s, d: inference.timepoint_t(panel.target_indicator(v_seq(s, d), 1)))
 _query("bh_fdr", f"WITH {SEQ}, p AS (SELECT t, avg((state = 1)::INT) AS p FROM seq GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, t) AS rank, count(*) OVER () AS m FROM p) SELECT t, round(p, 6) AS p, round(least(1, min(p * m / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r")(lambda s, d: inference.bh_fdr(v_seq(s, d).groupBy("t").agg(F.avg((F.col("state") == 1).cast("int")).alias("p"))))
-_query(
-    "permutation_test",
-    f"WITH {SEQ}, y AS (SELECT subject, grp, t, (state = 1)::INT AS y FROM seq), u AS (SELECT DISTINCT subject, grp FROM y), n AS (SELECT count(*) FILTER (grp = 'a') AS na, count(*) AS n FROM u), dr AS (SELECT subject, draw, row_number() OVER (PARTITION BY draw ORDER BY md5(subject::VARCHAR || ':' || draw::VARCHAR || ':3'), subject) AS place FROM u, range(1, 101) r(draw)), ia AS (SELECT subject, draw FROM dr, n WHERE place <= na UNION ALL SELECT subject, 0 FROM u WHERE grp = 'a'), sm AS (SELECT draw, t, sum(y) AS sa FROM ia JOIN y USING (subject) GROUP BY 1, 2), tt AS (SELECT t, sum(y) AS s FROM y GROUP BY 1), dd AS (SELECT draw, sqrt(sum((sa / na - (s - sa) / (n.n - na)) ** 2)) AS d FROM sm JOIN tt USING (t), n GROUP BY 1), o AS (SELECT d AS observed FROM dd WHERE draw = 0) SELECT round(observed, 6) AS observed, round(avg((d >= observed - 1e-12)::INT), 6) AS p_value, round(avg(d), 6) AS null_mean, round(stddev_pop(d), 6) AS null_std, round((observed - avg(d)) / stddev_pop(d), 6) AS effect FROM dd, o WHERE draw > 0 GROUP BY observed",
-)(lambda s, d: inference.permutation_test(panel.target_indicator(v_seq(s, d), 1), 100, 3))
+_DRAWS = "y AS (SELECT subject, grp, t, (state = 1)::INT AS y FROM seq), u AS (SELECT DISTINCT subject, grp FROM y), n AS (SELECT count(*) FILTER (grp = 'a') AS na FROM u), dr AS (SELECT subject, draw, row_number() OVER (PARTITION BY draw ORDER BY md5(subject::VARCHAR || ':' || draw::VARCHAR || ':3'), subject) AS place FROM u, range(1, 101) r(draw)), ia AS (SELECT subject, draw FROM dr, n WHERE place <= na UNION ALL SELECT subject, 0 FROM u WHERE grp = 'a'), sm AS (SELECT draw, t, sum(y) AS sa, count(*) AS ca FROM ia JOIN y USING (subject) GROUP BY 1, 2), tt AS (SELECT t, sum(y) AS s, count(*) AS c FROM y GROUP BY 1), co AS (SELECT draw, sa / ca::DOUBLE AS x, (s - sa) / (c - ca)::DOUBLE AS z FROM sm JOIN tt USING (t) WHERE c > ca)"
+for _name, _metric, _sql in (("permutation_test", "euclidean", "sqrt(sum((x - z) ** 2))"), ("permutation_correlation", "correlation", "1 - corr(x, z)"), ("permutation_mean", "absolute_mean", "avg(abs(x - z))")):
+    _query(
+        _name,
+        f"WITH {SEQ}, {_DRAWS}, dd AS (SELECT draw, {_sql} AS d FROM co GROUP BY 1), o AS (SELECT d AS observed FROM dd WHERE draw = 0) SELECT round(observed, 6) AS observed, round(avg((d >= observed - 1e-12)::INT), 6) AS p_value, round(100 * (avg((d < observed - 1e-12)::INT) + avg((abs(d - observed) <= 1e-12)::INT) / 2), 6) AS percentile, round(avg(d), 6) AS null_mean, round(stddev_pop(d), 6) AS null_std, round((observed - avg(d)) / stddev_pop(d), 6) AS effect, round(CASE WHEN avg(d) > 0 THEN observed / avg(d) END, 6) AS fold_change FROM dd, o WHERE draw > 0 GROUP BY observed",
+    )(lambda s, d, metric=_metric: inference.permutation_test(panel.target_indicator(v_seq(s, d), 1), 100, 3, metric))
 _query(
     "bootstrap_ci",
     f"WITH {SEQ}, u AS (SELECT row_number() OVER (ORDER BY subject) - 1 AS unit, avg((state = 1)::INT) AS v FROM seq GROUP BY subject), n AS (SELECT count(*) AS n FROM u), sl AS (SELECT slot, draw, ('0x' || substr(md5(draw::VARCHAR || ':' || slot::VARCHAR || ':5'), 1, 8))::BIGINT % n AS unit FROM n, range(n) s(slot), range(1, 201) r(draw)), m AS (SELECT draw, avg(v) AS m FROM sl JOIN u USING (unit) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper, round(stddev_pop(m), 6) AS std FROM m",
-)(lambda s, d: inference.bootstrap_ci(v_seq(s, d).groupBy("subject").agg(F.avg((F.col("state") == 1).cast("int")).alias("v")).withColumn("unit", F.row_number().over(Window.orderBy("subject")) - 1), 200, seed=5))
+)(lambda s, d: inference.bootstrap_ci(numbered(v_seq(s, d).groupBy("subject").agg(F.avg((F.col("state") == 1).cast("int")).alias("v")), F.col("subject"), name="unit"), 200, seed=5))
 
 
 _query("loo_summary", f"WITH {SEQ}, l AS (SELECT state::BIGINT AS term, grp, subject, avg(x) / 100 AS coef FROM seq GROUP BY 1, 2, 3), m AS (SELECT term, avg(coef) FILTER (grp = 'a') AS mean_a, avg(coef) FILTER (grp = 'b') AS mean_b, stddev_samp(coef) FILTER (grp = 'a') AS sd_a, stddev_samp(coef) FILTER (grp = 'b') AS sd_b FROM l GROUP BY 1) SELECT term, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(sd_a, 6) AS sd_a, round(sd_b, 6) AS sd_b, round(least(sd_a, sd_b) / greatest(sd_a, sd_b), 6) AS stability FROM m")(
@@ -314,11 +343,11 @@ _query("model_name_parse", "SELECT o_orderkey, o_orderkey % 20 AS n_states FROM
 
 
 def _standardised(s: SparkSession, d: str) -> DataFrame:
-    return q.zscore(v_events(s, d)).select("subject", "t", F.array(F.coalesce("z", F.lit(0.0))).alias("x"))
+    return q.zscore(v_seq(s, d)).select("subject", "t", F.array(F.coalesce("z", F.lit(0.0))).alias("x"))
 
 
 def _fitted(s: SparkSession, d: str) -> tuple[DataFrame, hmm.Params]:
-    data = tables.staged(_standardised(s, d))
+    data = staged(_standardised(s, d))
     params, _ = hmm.fit(data, 2)
     hmm.settled(params)
     return data, params
@@ -329,7 +358,7 @@ def _hmm_decode(s: SparkSession, d: str) -> DataFrame:
 
 
 def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
-    seq = v_events(s, d)
+    seq = v_seq(s, d)
     feature = seq.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f"))
     design = panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), feature, ["f"])
     terms = {"all": ["group_coded", "f", "group_f_interaction", "y_lag1"], "f": ["group_coded", "f"]}
@@ -338,7 +367,7 @@ def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
 
 _query("hmm_decode", None)(_hmm_decode)
 _query("glmm_terms", None)(_glmm_terms)
-_query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patterns(s, d, v_features), 0.6))
+_query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patterns(s, d), 0.6))
 
 # clusters over thresholds, totals and printed forms
 
@@ -358,9 +387,17 @@ _query("first_model", "SELECT label::BIGINT AS cluster, min(vec_id % 20) AS n_st
     lambda s, d: clustering.first_model(_members(s, d).select("cluster", "grp", (F.col("id") % 20).alias("n_states"), F.col("id").alias("state")), "a")
 )
 _query("annotation_totals", f"WITH {_AS} SELECT count(*) AS n_words, count(DISTINCT story) AS n_stories, sum(is_verb::INT)::BIGINT AS n_is_verb, round(avg(is_verb::INT), 6) AS share_is_verb FROM asw")(lambda s, d: align.annotation_totals(_tagged(s, d), ["is_verb"]))
-_query("format_effects", "SELECT o_orderkey, CASE WHEN p > 0.999 THEN '>0.999' WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS prob_text, CASE WHEN b > 100 THEN '***' WHEN b > 10 THEN '**' WHEN b > 3 THEN '*' ELSE '' END AS stars FROM (SELECT o_orderkey, (o_orderkey % 1009) / 1009.0::DOUBLE AS p, (o_orderkey % 150)::DOUBLE AS b FROM orders)")(
-    lambda s, d: inference.format_effects(table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 1009 / 1009).alias("prob"), (F.col("o_orderkey") % 150).cast("double").alias("bayes_factor"))).select("o_orderkey", "prob_text", "stars")
-)
+_query(
+    "format_effects",
+    "WITH e AS (SELECT o_orderkey, (o_orderkey % 1009) / 1009.0::DOUBLE AS p, (o_orderkey % 150 * (CASE WHEN o_orderkey % 7 = 0 THEN 1000 ELSE 1 END))::DOUBLE AS b, o_orderkey % 400 / 128.0::DOUBLE - 1 AS c, (o_orderkey % 50 + 1) / 64.0::DOUBLE AS sd, o_orderkey % 3 = 0 AS credible FROM orders), t AS (SELECT *, CASE WHEN b >= 100 THEN '***' WHEN b >= 10 THEN '**' WHEN b >= 3 THEN '*' ELSE '' END AS stars FROM e) SELECT o_orderkey, CASE WHEN p > 0.999 THEN '>0.999' WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS prob_text, stars, CASE WHEN b > 10000 THEN printf('%.2e', b) ELSE printf('%.2f', b) END AS factor_text, trim(printf('%.3f', c) || ' \u00b1 ' || printf('%.3f', sd) || ' ' || stars) AS effect_text, printf('%.3f', c) || CASE WHEN credible THEN ' \u2020' ELSE '' END AS diff_text FROM t",
+)(
+    lambda s, d: inference.format_effects(
+        table(s, d, "orders").select(
+            "o_orderkey", (F.col("o_orderkey") % 1009 / 1009).alias("prob"), (F.col("o_orderkey") % 150 * F.when(F.col("o_orderkey") % 7 == 0, 1000).otherwise(1)).cast("double").alias("bayes_factor"),
+            (F.col("o_orderkey") % 400 / 128 - 1).alias("coef"), ((F.col("o_orderkey") % 50 + 1) / 64).alias("sd"), (F.col("o_orderkey") % 400 / 128 - 1).alias("diff"), (F.col("o_orderkey") % 3 == 0).alias("credible"),
+        )
+    ).select("o_orderkey", "prob_text", "stars", "factor_text", "effect_text", "diff_text")
+)
 _query("effect_order", f"WITH {SEQ}, e AS (SELECT state::BIGINT AS term, grp, exp(avg(x) / 1000) AS o FROM seq GROUP BY 1, 2), m AS (SELECT term, max(abs(o - 1)) AS size FROM e GROUP BY 1 HAVING count(DISTINCT grp) = 2) SELECT term, round(size, 6) AS size, row_number() OVER (ORDER BY size DESC, term) AS place FROM m")(
     lambda s, d: inference.effect_order(v_seq(s, d).groupBy(F.col("state").alias("term"), "grp").agg(F.exp(F.avg("x") / 1000).alias("odds_ratio")))
 )
@@ -375,7 +412,7 @@ _query(
     "ljung_box",
     f"WITH {SEQ}, c AS (SELECT subject, t, x - avg(x) OVER (PARTITION BY subject) AS d, count(*) OVER (PARTITION BY subject) AS n FROM seq), v AS (SELECT subject, sum(d * d) AS v FROM c GROUP BY 1), r AS (SELECT a.subject, l.lag, any_value(a.n) AS n, sum(a.d * b.d) / any_value(v.v) AS r FROM range(1, 11) l(lag), c a JOIN c b ON a.subject = b.subject AND a.t = b.t + l.lag JOIN v ON v.subject = a.subject WHERE a.n >= 25 GROUP BY 1, 2) SELECT subject, lag, round(r, 6) AS autocorrelation, round(n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY subject ORDER BY lag), 6) AS statistic FROM r",
 )(lambda s, d: curves.ljung_box(v_seq(s, d)).select("subject", "lag", "autocorrelation", "statistic"))
-_query("ljung_box_p", None)(lambda s, d: curves.ljung_box(v_events(s, d)))
+_query("ljung_box_p", None)(lambda s, d: curves.ljung_box(v_seq(s, d)))
 _query(
     "residualise",
     f"WITH {SEQ}, f AS (SELECT subject, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(state, t) AS bs, regr_intercept(state, t) AS as_ FROM seq GROUP BY 1), r AS (SELECT s.subject, t, x - ax - bx * t AS rx, state - as_ - bs * t AS rs FROM seq s JOIN f USING (subject)), g AS (SELECT subject, sum(rx * rs) / sum(rs * rs) AS b FROM r GROUP BY 1), e AS (SELECT subject, t, rx - b * rs AS residual FROM r JOIN g USING (subject)) SELECT subject, t, round(residual, 6) AS residual, round((residual - avg(residual) OVER w) / stddev_samp(residual) OVER w, 6) AS z FROM e WINDOW w AS (PARTITION BY subject)",
@@ -384,12 +421,15 @@ _query(
     "variance_inflation",
     f"WITH {SEQ} SELECT unnest(['state', 't']) AS term, round(1 / (1 - sum(state * t)::DOUBLE ** 2 / (sum(state * state)::DOUBLE * sum(t * t))), 6) AS vif FROM seq",
 )(lambda s, d: curves.variance_inflation(v_seq(s, d), ["state", "t"]))
-_query("knee_point", None)(lambda s, d: curves.knee_point(align.threshold_sweep(align.peaks(x := _series(s, d)), x).select(F.lit("all").alias("series"), F.col("threshold").alias("x"), F.col("n_peaks").alias("y"))))
-_query("timepoint_p", None)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_events(s, d), 1)))
+_query(
+    "knee_point",
+    f"WITH {_PK}, g AS (SELECT round((round(quantile_cont(agreement, 0.85), 2) - 0.05) / 0.01)::INT AS lo, round(round(quantile_cont(agreement, 0.95), 2) / 0.01)::INT AS hi FROM (SELECT round(agreement, 9) AS agreement FROM ag)), k AS (SELECT round(unnest(range(lo, hi + 1)) * 0.01::DOUBLE, 2) AS threshold FROM g), cu AS (SELECT threshold AS x, (SELECT count(*) FROM pk WHERE prominence >= threshold) AS y FROM k), un AS (SELECT x, (x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0) AS u, 1 - (y - min(y) OVER ()) / nullif(max(y) OVER () - min(y) OVER (), 0)::DOUBLE AS v, count(*) OVER () AS n FROM cu), be AS (SELECT *, v - u AS d, lag(v - u) OVER (ORDER BY x) AS bef, lead(v - u) OVER (ORDER BY x) AS aft FROM un), tu AS (SELECT *, CASE WHEN d >= bef AND d >= aft THEN x END AS top, CASE WHEN d >= bef AND d >= aft THEN d - 2.0::DOUBLE / (n - 1) WHEN d <= bef AND d <= aft THEN 0::DOUBLE END AS bar FROM be), st8 AS (SELECT aft, last_value(top IGNORE NULLS) OVER w AS knee, last_value(bar IGNORE NULLS) OVER w AS bar FROM tu WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)) SELECT 'all' AS series, round(min(knee), 6) AS knee FROM st8 WHERE knee IS NOT NULL AND aft < bar HAVING count(*) > 0",
+)(lambda s, d: curves.knee_point(align.threshold_sweep(align.peaks(x := _series(s, d)), x).select(F.lit("all").alias("series"), F.col("threshold").alias("x"), F.col("n_peaks").alias("y"))))
+_query("timepoint_p", None)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_seq(s, d), 1)))
 
 
 def _rank_correlation_p(s: SparkSession, d: str) -> DataFrame:
-    means = v_features(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value"))
+    means = v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value"))
     return inference.rank_correlation_p(pairs.spearman_pairs(means), means.agg(F.count_distinct("feature")).first()[0])
 
 
@@ -450,11 +490,11 @@ _query("string_utils", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'su
     lambda s, d: table(s, d, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "sub-").otherwise(""), F.col("o_orderkey").cast("string")).alias("raw"), (F.col("o_orderkey") % 101 / 100).alias("v"))
     .select("o_orderkey", "raw", tables.prefixed(F.col("raw")).alias("name"), tables.threshold_token(F.col("v")).alias("token"))
 )
-_query("array_utils", "SELECT vec_id, array_to_string(list_filter(range(8), lambda i: embedding[i + 1]::DOUBLE > 0.1), ',') AS active, array_to_string(list_transform(list_filter(range(8), lambda i: embedding[i + 1]::DOUBLE > 0.1), lambda i: 'n' || i), ',') AS names, round(len(list_filter(range(8), lambda i: embedding[i + 1]::DOUBLE > 0.1)) / 8.0::DOUBLE, 6) AS share FROM embeddings")(
-    lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("v"))
-    .select("vec_id", F.array_join(arrays.active_indices(F.col("v"), 0.1).cast("array<string>"), ",").alias("active"), F.array_join(arrays.active_names(F.col("v"), [f"n{i}" for i in range(8)], 0.1), ",").alias("names"), arrays.share_active(F.col("v"), 0.1).alias("share"))
+_query("array_utils", "SELECT vec_id, array_to_string(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1), ',') AS active, array_to_string(list_transform(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1), lambda i: 'n' || i), ',') AS names, round(len(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1)) / 64.0::DOUBLE, 6) AS share FROM embeddings")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    .select("vec_id", F.array_join(arrays.active_indices(F.col("v"), 0.1).cast("array<string>"), ",").alias("active"), F.array_join(arrays.active_names(F.col("v"), [f"n{i}" for i in range(WIDTH)], 0.1), ",").alias("names"), arrays.share_active(F.col("v"), 0.1).alias("share"))
 )
-_query("pattern_sweep", None)(lambda s, d: clustering.linkage_sweep(_patterns(s, d, v_features), [0.6, 0.7, 0.8, 0.9]))
+_query("pattern_sweep", None)(lambda s, d: clustering.linkage_sweep(_patterns(s, d), [0.6, 0.7, 0.8, 0.9]))
 _query("pattern_pca", None)(lambda s, d: patterns.embed(table(s, d, "embeddings").select("vec_id", "label", "embedding")).drop("embedding"))
 
 
@@ -468,7 +508,7 @@ def _hmm_confusion(s: SparkSession, d: str) -> DataFrame:
 
 
 def _glmm_folds(s: SparkSession, d: str) -> DataFrame:
-    seq = v_events(s, d)
+    seq = v_seq(s, d)
     feature = seq.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f"))
     design = panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), feature, ["f"])
     return glmm.leave_out(design.withColumn("fold", (F.col("subject") % 3).cast("int")), ["group_coded", "f"], [0, 1, 2])
@@ -485,7 +525,6 @@ _query(
 )(lambda s, d: inference.weighted_bootstrap(pairs.pair_overlap(v_seq(s, d)), ["a", "b"], "overlap", 50))
 
 # report tables
-_Z = "1.959963984540054::DOUBLE"
 _query(
     "effect_table",
     f"WITH {_TERMS}, b AS (SELECT *, least(exp(least((coef / sd) ** 2 / 2, 700)), 1e6) AS bf FROM te) SELECT term, round(coef, 3) AS coef, round(sd, 3) AS sd, round(exp(coef), 3) AS odds_ratio, round(exp(coef - {_Z} * sd), 3) AS or_lower, round(exp(coef + {_Z} * sd), 3) AS or_upper, round(bf, 2) AS bayes_factor, CASE WHEN bf > 100 THEN 'Extreme' WHEN bf > 30 THEN 'Very Strong' WHEN bf > 10 THEN 'Strong' WHEN bf > 3 THEN 'Moderate' WHEN bf > 1 THEN 'Anecdotal' ELSE 'None' END AS evidence, row_number() OVER (ORDER BY bf DESC, term) AS place FROM b",
@@ -494,7 +533,15 @@ _query(
     "group_table",
     f"WITH {_TERMS}, g AS (SELECT term, round(coef * 3, 3) AS coef_a, round(exp(coef * 3), 3) AS or_a, round(-coef, 3) AS coef_b, round(exp(-coef), 3) AS or_b, round(coef * 2, 3) AS diff FROM te) SELECT *, row_number() OVER (ORDER BY abs(diff) DESC, term) AS place FROM g",
 )(lambda s, d: reports.group_table(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2)).drop("prob_positive_a", "prob_positive_b", "prob_stronger"))
-_query("group_posteriors", None)(lambda s, d: reports.group_posteriors(t := _terms(s, d, v_events), t.withColumn("coef", F.col("coef") * 2), "treatment"))
+_GP = {"a": ("coef", "sd"), "b": ("coef * 3", "sd * sqrt(2)")}
+_query(
+    "group_posteriors",
+    f"WITH {_TERMS}, g AS (SELECT term, coef * 2 AS diff, sd AS sd_diff, "
+    + ", ".join(f"{c} AS coef_{g}, {sd} AS sd_{g}, {c} / ({sd}) AS z_{g}" for g, (c, sd) in _GP.items())
+    + ", coef * 2 / sd AS zd FROM te) SELECT term, "
+    + ", ".join(f"round(coef_{g}, 6) AS coef_{g}, round(sd_{g}, 6) AS sd_{g}, round(exp(coef_{g}), 6) AS or_{g}, round(exp(coef_{g} - {_Z} * sd_{g}), 6) AS or_lower_{g}, round(exp(coef_{g} + {_Z} * sd_{g}), 6) AS or_upper_{g}, round({_phi(f'z_{g}')}, 6) AS prob_positive_{g}" for g in _GP)
+    + f", round(diff, 6) AS diff, round(sd_diff, 6) AS sd_diff, round({_phi('zd')}, 6) AS prob_stronger FROM g",
+)(lambda s, d: reports.group_posteriors(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2), "treatment"))
 _query(
     "comparison_table",
     f"WITH {SEQ}, te AS (SELECT subject AS term, avg((state < 3)::INT) AS p FROM seq GROUP BY 1), f AS (SELECT *, avg(1 - p) OVER (ORDER BY p DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te) SELECT term, round(p, 3) AS prob_direction, round(fdr, 3) AS fdr, fdr <= 0.2 AS credible, row_number() OVER (ORDER BY p DESC, term) AS place FROM f",
@@ -507,3 +554,130 @@ _query(
     "split_half_interval",
     f"WITH {OBS}, h AS (SELECT *, row_number() OVER w <= count(*) OVER (PARTITION BY state, feature) // 2 AS f FROM obs WINDOW w AS (PARTITION BY state, feature ORDER BY id)), u AS (SELECT h.*, d, ('0x' || substr(md5(state || ':' || id || ':' || d || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM h, range(1, 101) r(d)), w AS (SELECT *, {_WEIGHT} AS w FROM u), m AS (SELECT state, d, feature, sum(w * value) FILTER (f) / sum(w) FILTER (f) AS x, sum(w * value) FILTER (NOT f) / sum(w) FILTER (NOT f) AS y FROM w GROUP BY 1, 2, 3), c AS (SELECT state, d, greatest(0, least(1, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12))) AS c FROM m GROUP BY 1, 2) SELECT state::BIGINT AS state, round(quantile_cont(c, 0.025), 6) AS ci_lower, round(quantile_cont(c, 0.975), 6) AS ci_upper, round(stddev_pop(c), 6) AS std FROM c GROUP BY 1",
 )(lambda s, d: patterns.split_half_interval(v_obs(s, d)))
+
+# ranges, products, lookups and round trips
+_query("agreement_range", f"WITH {_AG} SELECT bin::BIGINT AS bin, count, round(agreement, 6) AS agreement FROM ag WHERE bin >= 14 AND bin < 466")(lambda s, d: align.agreement(align.response_bins(v_rt(s, d), BIN), within=align.UNIT_RANGES["TR"]))
+_FEATS = "f AS (SELECT t, (avg((state = 2)::INT) > 0.2)::BIGINT AS p, (avg((state = 0)::INT) > 0.2)::BIGINT AS q FROM seq GROUP BY 1)"
+
+
+def _step_features(seq: DataFrame) -> DataFrame:
+    share = lambda v: (F.avg((F.col("state") == v).cast("int")) > 0.2).cast("long")
+    return seq.groupBy("t").agg(share(2).alias("p"), share(0).alias("q"))
+
+
+_query("feature_products", f"WITH {SEQ}, {_FEATS} SELECT t, p, q, p * q AS p_q, q * p AS q_p FROM f")(lambda s, d: panel.feature_products(_step_features(v_seq(s, d)), [("p", "q"), ("q", "p")]))
+_query(
+    "design_products",
+    f"WITH {SEQ}, {_FEATS}, y AS (SELECT subject, grp, t, (state = 1)::BIGINT AS y, CASE grp WHEN 'b' THEN 0 ELSE 1 END::BIGINT AS g FROM seq) SELECT subject, grp, t, y, lag(y, 1, 0) OVER w AS y_lag1, g AS group_coded, p, q, p * q AS p_q, g * p AS group_p_interaction, g * q AS group_q_interaction, g * p * q AS group_p_q_interaction FROM y JOIN f USING (t) WINDOW w AS (PARTITION BY subject ORDER BY t)",
+)(lambda s, d: panel.design_matrix(panel.target_indicator(x := v_seq(s, d), 1).select("subject", "grp", "t", "y"), _step_features(x), ["p", "q"], lags=1, coding="treatment", groups=("b", "a"), products=[("p", "q")]))
+_query("fill_defaults", "SELECT c_custkey, coalesce(round(sum(o_totalprice), 2), 0) AS total, coalesce(max(o_orderstatus), 'none') AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")(
+    lambda s, d: panel.fill_defaults(
+        table(s, d, "customer").select("c_custkey").join(table(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderstatus").alias("status")), {"total": 0.0, "status": "none"}
+    )
+)
+_query(
+    "paired_series",
+    f"WITH {SEQ} SELECT 'sub-' || subject AS subject, grp, t, (state = CASE grp WHEN 'a' THEN 1 ELSE 3 END)::BIGINT AS y, round(avg((state = CASE grp WHEN 'a' THEN 1 ELSE 3 END)::INT) OVER (PARTITION BY subject), 6) AS mean_occupancy FROM seq",
+)(lambda s, d: panel.paired_series({"a": v_seq(s, d), "b": v_seq(s, d)}, {"a": 1, "b": 3}))
+_query("word_presence", f"WITH {_AS} SELECT story, word_id, coalesce(contains(lower(actor), 'user') AND contains(lower(actor), 'assistant'), false) AS both_present, coalesce(contains(lower(actor), 'user'), false) AS user_present FROM asw".replace("g.seg, g.speaker", "g.seg, g.actor, g.speaker"))(
+    lambda s, d: align.word_flags(align.asof_segment(v_word(s, d), v_seg(s, d)), "user", {}, {"both_present": ("User", "assistant"), "user_present": ("user",)}).select("story", "word_id", "both_present", "user_present")
+)
+_query(
+    "bin_annotations",
+    f"WITH {_AS}, b AS (SELECT *, floor((onset - min(onset) OVER (PARTITION BY story)) / 6)::BIGINT AS bin FROM asw), g AS (SELECT story, bin, avg(is_verb::INT) > 0.5 AS mostly_is_verb, max(is_verb) AS has_is_verb, sum(is_verb::INT)::BIGINT AS n_is_verb, string_agg(text, ' ' ORDER BY onset, word_id) AS words, coalesce(string_agg(text, ' ' ORDER BY onset, word_id) FILTER (is_verb), '') AS verbs, coalesce(string_agg(text, ' ' ORDER BY onset, word_id) FILTER (is_noun), '') AS nouns, arg_min(seg, word_id) AS segment_text FROM b GROUP BY 1, 2), m AS (SELECT story, bin, arg_min(said_by, (-n, said_by)) AS said_by FROM (SELECT story, bin, said_by, count(*) AS n FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2), a AS (SELECT story, bin, arg_min(actor, (-n, actor)) AS actor FROM (SELECT story, bin, actor, count(*) AS n FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2), c AS (SELECT DISTINCT story, unnest(range(12)) AS bin FROM g) SELECT c.story, c.bin, coalesce(mostly_is_verb, false) AS mostly_is_verb, coalesce(has_is_verb, false) AS has_is_verb, coalesce(n_is_verb, 0) AS n_is_verb, coalesce(words, '') AS words, coalesce(verbs, 'none') AS verbs, coalesce(nouns, 'none') AS nouns, coalesce(segment_text, '') AS segment_text, coalesce(said_by, 'none') AS said_by, coalesce(actor, 'none') AS actor FROM c LEFT JOIN g ON g.story = c.story AND g.bin = c.bin LEFT JOIN m ON m.story = c.story AND m.bin = c.bin LEFT JOIN a ON a.story = c.story AND a.bin = c.bin".replace("g.seg, g.speaker", "g.seg, g.actor, g.speaker"),
+)(lambda s, d: align.dense_bins(align.bin_majority(_tagged(s, d), ["is_verb"], 6.0, lists={"verbs": "is_verb", "nouns": "is_noun"}, modes=("said_by", "actor")), 12, force=True))
+_query(
+    "window_text_left",
+    f'WITH {_WIN} SELECT wi.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(text, \' \' ORDER BY onset, word_id) AS text FROM wi JOIN w ON w.story = wi.story AND onset >= begin AND onset < stop GROUP BY 1, 2, 3',
+)(lambda s, d: align.events_to_text(v_word(s, d), _windows(s, d), closed="left", width=7.0))
+_query("significant_features_fixed", f"WITH {_IV} SELECT pattern, feature FROM iv WHERE mean > 0.01 AND lo > 0.005")(lambda s, d: patterns.significant_features(_intervals(s, d), 0.01, fixed=0.005).select("pattern", "feature"))
+_query(
+    "state_stats_dense",
+    f"WITH {_SF}, c AS (SELECT DISTINCT feature, unnest(range(13)) AS state FROM sf) SELECT c.state::BIGINT AS state, c.feature, coalesce(round(mean, 6), 0) AS mean, coalesce(round(std, 6), 0) AS std, coalesce(n, 0) AS n, coalesce(round(importance, 6), 0) AS importance FROM c LEFT JOIN si ON si.state = c.state AND si.feature = c.feature",
+)(lambda s, d: patterns.state_feature_stats(v_obs(s, d), k=13).drop("cv"))
+_METRIC = "m AS (SELECT c_nationkey AS model, avg(c_acctbal) AS score FROM customer GROUP BY 1), v AS (SELECT c_nationkey AS model, avg(o_totalprice) AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1), k AS (SELECT s_nationkey AS model, count(*) AS n_suppliers FROM supplier GROUP BY 1)"
+
+
+def _metric_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    customer = table(s, d, "customer")
+    score = customer.groupBy(F.col("c_nationkey").alias("model")).agg(F.avg("c_acctbal").alias("score"))
+    open_ = table(s, d, "orders").filter("o_orderstatus = 'P'").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return score, open_.groupBy(F.col("c_nationkey").alias("model")).agg(F.avg("o_totalprice").alias("price")), table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("model")).agg(F.count("*").alias("n_suppliers"))
+
+
+_query("complete_models", f"WITH {_METRIC} SELECT model::BIGINT AS model, round(score, 6) AS score, round(price, 6) AS price, n_suppliers FROM m JOIN v USING (model) JOIN k USING (model)")(lambda s, d: tables.complete(*_metric_tables(s, d), on=["model"]))
+_query("metric_enrichment", f"WITH {_METRIC} SELECT model::BIGINT AS model, round(score, 6) AS score, round(price, 6) AS price, n_suppliers FROM m LEFT JOIN v USING (model) LEFT JOIN k USING (model)")(lambda s, d: tables.enriched(*_metric_tables(s, d), on=["model"]))
+_query(
+    "best_models",
+    f"WITH {MODELS}, b AS (SELECT model, score, spread, n FROM models) SELECT 'score' AS metric, (SELECT model FROM b ORDER BY score DESC, model LIMIT 1)::BIGINT AS model, round(max(score), 6) AS value FROM b UNION ALL SELECT 'spread', (SELECT model FROM b ORDER BY spread, model LIMIT 1), round(min(spread), 6) FROM b UNION ALL SELECT 'n', (SELECT model FROM b ORDER BY n DESC, model LIMIT 1), max(n)::DOUBLE FROM b",
+)(lambda s, d: inference.best_models(v_models(s, d), {"score": True, "spread": False, "n": True}))
+_query(
+    "cluster_renumber",
+    f"WITH {_ME}, t AS (SELECT cluster, sum(occupancy) AS total, min(id) AS least FROM me GROUP BY 1), p AS (SELECT cluster, row_number() OVER (ORDER BY round(total, 6) DESC, least) AS number FROM t) SELECT id, cluster, number FROM me JOIN p USING (cluster)",
+)(lambda s, d: patterns.renumbered(_members(s, d)).select("id", "cluster", "number"))
+
+
+def _member_lookup(s: SparkSession, d: str) -> DataFrame:
+    """The members of the largest cluster from the first group's commonest model."""
+    members = _members(s, d).withColumn("model", F.concat(F.lit("m"), (F.col("id") % 7).cast("string")))
+    top = members.filter("grp = 'a'").groupBy("cluster", "model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster", "model").first()
+    return patterns.find_member(members, top["cluster"], "a", top["model"]).select("id", "cluster", "model")
+
+
+_query("member_lookup", f"WITH {_ME}, x AS (SELECT id, cluster, grp, 'm' || id % 7 AS model FROM me), t AS (SELECT cluster, model FROM x WHERE grp = 'a' GROUP BY 1, 2 ORDER BY count(*) DESC, cluster, model LIMIT 1) SELECT id, x.cluster, x.model FROM x JOIN t ON t.cluster = x.cluster AND t.model = x.model WHERE grp = 'a'")(_member_lookup)
+_query(
+    "top_interactions",
+    f"WITH {SEQ} SELECT state::VARCHAR AS feature, round(avg((x > 100)::INT), 6) AS prob_positive FROM seq WHERE grp = 'b' GROUP BY 1 ORDER BY prob_positive DESC, feature LIMIT 3",
+)(
+    lambda s, d: inference.top_interactions(
+        v_seq(s, d).withColumn("term", F.when(F.col("grp") == "a", "group_coded").otherwise(F.concat(F.lit("group_"), F.col("state").cast("string"), F.lit("_interaction")))).groupBy("term").agg(F.avg((F.col("x") > 100).cast("double")).alias("prob_positive")), 3
+    )
+)
+_AGREE = "SELECT step, sum(n / al * ln(n * al / (nx * ny))) AS mi, any_value(al) AS al, sum(n * (n - 1) / 2) AS pc FROM {c} GROUP BY 1"
+_ARI = "(pc - px * py / (al * (al - 1) / 2)) / nullif((px + py) / 2 - px * py / (al * (al - 1) / 2), 0)"
+_TABLE = "SELECT step, x, y, n::DOUBLE AS n, sum(n) OVER (PARTITION BY step)::DOUBLE AS al, sum(n) OVER (PARTITION BY step, x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY step, y)::DOUBLE AS ny FROM {of}"
+_SIDE = "SELECT step, -sum(m / al * ln(m / al)) AS h, sum(m * (m - 1) / 2) AS p FROM (SELECT step, {v}, sum(n) AS m, any_value(al) AS al FROM {c} GROUP BY 1, 2) GROUP BY 1"
+
+
+def _agreed(name: str, of: str) -> str:
+    """SQL of both measures from a table of label pairs by step."""
+    return f"{name}c AS ({_TABLE.format(of=of)}), {name}x AS ({_SIDE.format(v='x', c=name + 'c')}), {name}y AS ({_SIDE.format(v='y', c=name + 'c')}), {name}s AS ({_AGREE.format(c=name + 'c')}), {name} AS (SELECT s.step, {_ARI.replace('px', 'a.p').replace('py', 'b.p')} AS ari, mi / nullif((a.h + b.h) / 2, 0) AS nmi FROM {name}s s JOIN {name}x a ON a.step = s.step JOIN {name}y b ON b.step = s.step)"
+
+
+_query(
+    "threshold_agreement",
+    f"WITH {_ASG}, i AS (SELECT DISTINCT id FROM asg), dn AS (SELECT i.id, r.s AS step, cluster FROM i CROSS JOIN range(3) r(s) LEFT JOIN asg ON asg.id = i.id AND asg.i = r.s), mv AS (SELECT a.step, a.cluster AS x, b.cluster AS y, count(*) AS n FROM dn a JOIN dn b ON b.id = a.id AND b.step = a.step + 1 GROUP BY 1, 2, 3), kn AS (SELECT * FROM mv WHERE x IS NOT NULL AND y IS NOT NULL), {_agreed('co', 'kn')}, {_agreed('fu', 'mv')}, z AS (SELECT step, coalesce(sum(n) FILTER (x IS NOT NULL AND y IS NOT NULL), 0)::BIGINT AS common, coalesce(sum(n) FILTER (x IS NOT NULL AND y IS NULL), 0)::BIGINT AS lost, coalesce(sum(n) FILTER (x IS NULL AND y IS NOT NULL), 0)::BIGINT AS gained, coalesce(sum(n) FILTER (x IS NOT NULL), 0)::BIGINT AS patterns1, coalesce(sum(n) FILTER (y IS NOT NULL), 0)::BIGINT AS patterns2, count(DISTINCT x) AS clusters1, count(DISTINCT y) AS clusters2 FROM mv GROUP BY 1) SELECT round(0.6::DOUBLE + z.step / 10.0::DOUBLE, 6) AS threshold1, round(0.7::DOUBLE + z.step / 10.0::DOUBLE, 6) AS threshold2, round(coalesce(co.ari, CASE WHEN co.step IS NULL THEN 0 ELSE 1 END), 6) AS ari, round(coalesce(co.nmi, CASE WHEN co.step IS NULL THEN 0 ELSE 1 END), 6) AS nmi, round(coalesce(fu.ari, 1), 6) AS ari_full, round(coalesce(fu.nmi, 1), 6) AS nmi_full, common, lost, gained, patterns1, patterns2, clusters1, clusters2 FROM z LEFT JOIN co ON co.step = z.step JOIN fu ON fu.step = z.step",
+)(lambda s, d: pairs.threshold_agreement(_assigned(s, d)))
+
+
+def _mean_vectors(s: SparkSession, d: str) -> DataFrame:
+    return v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value"))
+
+
+_query(
+    "correlation_groups",
+    f"WITH {OBS}, m AS (SELECT state AS id, CASE WHEN state % 2 = 0 THEN 'even' ELSE 'odd' END AS grp, feature, avg(value) AS v FROM obs GROUP BY 1, 2, 3), r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY v) + (count(*) OVER (PARTITION BY id, v) - 1) / 2.0::DOUBLE AS r FROM m), c AS (SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, corr(x.r, y.r) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.id < y.id GROUP BY x.id, y.id, x.grp, y.grp), g AS (SELECT grp, feature, avg(v) AS v FROM m GROUP BY 1, 2), q AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY v) + (count(*) OVER (PARTITION BY grp, v) - 1) / 2.0::DOUBLE AS r FROM g), b AS (SELECT x.grp AS a, y.grp AS b, corr(x.r, y.r) AS rho FROM q x JOIN q y ON x.feature = y.feature AND x.grp < y.grp GROUP BY 1, 2) SELECT c.a, c.b, round(any_value(b.rho), 6) AS rho, round(avg(c.rho), 6) AS mean_rho, count(c.rho) AS n_pairs FROM c LEFT JOIN b ON b.a = c.a AND b.b = c.b GROUP BY 1, 2",
+)(lambda s, d: pairs.correlation_groups(x := _mean_vectors(s, d), x.select("id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("grp")).distinct()))
+
+
+def _csv_scan(s: SparkSession, d: str) -> DataFrame:
+    """The customers written as CSV with two note rows under each header, and read again."""
+    path = f"{shared_dir(s).rstrip('/')}/scan-{uuid.uuid4().hex}"
+    rows = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_name", F.col("c_acctbal").cast("string").alias("balance"), F.lit(1).alias("kind"))
+    notes = s.range(2).select(F.lit("note").alias("id"), F.lit("n").alias("c_name"), F.lit("b").alias("balance"), F.lit(0).alias("kind"))
+    rows.unionByName(notes).coalesce(1).sortWithinPartitions("kind").drop("kind").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    read = tables.read_csv_probed(s, path, "id string, c_name string, balance string", skip_rows=2)
+    return read.select(F.col("id").cast("long").alias("c_custkey"), "c_name", F.col("balance").cast("double").alias("balance"))
+
+
+_query("csv_scan", "SELECT c_custkey, c_name, round(c_acctbal, 6) AS balance FROM customer")(_csv_scan)
+
+
+def _keyed_scan(s: SparkSession, d: str) -> DataFrame:
+    """Orders written by status and read again with the key taken from the path."""
+    path = f"{shared_dir(s).rstrip('/')}/keyed-{uuid.uuid4().hex}"
+    tables.write_stage(table(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status")), path, "status")
+    return tables.read_keyed(s, f"{path}/status=*", r"status=([^/]+)/", "status").select("o_orderkey", "o_custkey", "status")
+
+
+_query("keyed_scan", "SELECT o_orderkey, o_custkey, o_orderstatus AS status FROM orders")(_keyed_scan)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STATES = ["click", "error", "purchase", "signup", "view"]
-K, STEPS, BIN = len(STATES), 45, 21600.0
+K, BIN, WIDTH = len(STATES), 21600.0, 64  # WIDTH: components of a vector
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def seconds() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200
 
 
-def v_events(spark: SparkSession, sf: str) -> DataFrame:
+def v_seq(spark: SparkSession, sf: str) -> DataFrame:
     """Every event of every user, series of unequal length."""
     e = table(spark, sf, "events")
     t = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("t")
@@ -27,11 +27,6 @@ def v_events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").alias("subject"), t, state, grp, F.col("value").alias("x"))
 
 
-def v_seq(spark: SparkSession, sf: str) -> DataFrame:
-    """`v_events` as far as `SEQ` holds it: the first `STEPS` events of each user."""
-    return v_events(spark, sf).filter(F.col("t") < STEPS)
-
-
 def v_rt(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("participant"), seconds().alias("rt"))
 
@@ -44,22 +39,19 @@ def v_word(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_seg(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of a story; `actor` names who speaks in the turn and in the one before."""
     onset = v_word(spark, sf).groupBy("story", "turn").agg(F.min("onset").alias("onset_sec"))
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("story"), "turn", F.col("role").alias("speaker"), F.substring("text", 1, 40).alias("seg"))
+    actor = F.concat_ws(",", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")), "role").alias("actor")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("story"), "turn", F.col("role").alias("speaker"), F.col("text").alias("seg"), actor)
     return onset.join(c, ["story", "turn"]).withColumnRenamed("turn", "seg_id")
 
 
-def v_features(spark: SparkSession, sf: str) -> DataFrame:
+def v_obs(spark: SparkSession, sf: str) -> DataFrame:
     """Every component of every vector."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("state"), F.posexplode("embedding").alias("feature", "value"))
     return e.withColumn("value", F.col("value").cast("double"))
 
 
-def v_obs(spark: SparkSession, sf: str, width: int = 8) -> DataFrame:
-    """`v_features` as far as `OBS` holds it: the first `width` components."""
-    return v_features(spark, sf).filter(F.col("feature") < width)
-
-
 def v_atlas(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("element"), F.col("p_brand").alias("parcel"), F.col("p_type").alias("network"))
 
@@ -75,7 +67,7 @@ def v_models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SEQ = f"""seq AS (SELECT subject, t, state, grp, x FROM (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t,
-  list_position(['click','error','purchase','signup','view'], event_type) - 1 AS state, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, value AS x FROM events) WHERE t < {STEPS}),
+  list_position(['click','error','purchase','signup','view'], event_type) - 1 AS state, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, value AS x FROM events)),
 chg AS (SELECT *, coalesce(state <> lag(state) OVER (PARTITION BY subject ORDER BY t), true)::INT AS c, lag(state) OVER (PARTITION BY subject ORDER BY t) AS prev FROM seq),
 runs AS (SELECT subject, run, any_value(state) AS state, min(t) AS start, count(*) AS length, count(*) * 1.5::DOUBLE AS duration
   FROM (SELECT *, sum(c) OVER (PARTITION BY subject ORDER BY t) AS run FROM chg) GROUP BY subject, run),
@@ -84,7 +76,8 @@ RT = "rt AS (SELECT user_id AS participant, epoch(ts) - 1704067200 AS rt FROM ev
 WORD = """word AS (SELECT conv_id AS story, turn, role AS said_by, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS word_id, text, i FROM
   (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS i FROM conversations)),
 w AS (SELECT story, turn, said_by, word_id, word_id * 0.4::DOUBLE AS onset, text, (['noun','verb','adj','adv','other'])[length(text) % 5 + 1] AS pos FROM word),
-seg AS (SELECT w.story, w.turn AS seg_id, min(onset) AS onset_sec, any_value(role) AS speaker, substr(any_value(c.text), 1, 40) AS seg FROM w JOIN conversations c ON c.conv_id = w.story AND c.turn = w.turn GROUP BY 1, 2)"""
-OBS = "obs AS (SELECT vec_id AS id, label AS state, i AS feature, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(8) r(i))"
+act AS (SELECT conv_id, turn, concat_ws(',', lag(role) OVER (PARTITION BY conv_id ORDER BY turn), role) AS actor FROM conversations),
+seg AS (SELECT w.story, w.turn AS seg_id, min(onset) AS onset_sec, any_value(role) AS speaker, any_value(c.text) AS seg, any_value(act.actor) AS actor FROM w JOIN conversations c ON c.conv_id = w.story AND c.turn = w.turn JOIN act ON act.conv_id = w.story AND act.turn = w.turn GROUP BY 1, 2)"""
+OBS = "obs AS (SELECT vec_id AS id, label AS state, unnest(range(len(embedding))) AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 SIGNAL = "sig AS (SELECT l_suppkey AS subject, l_partkey AS element, p_brand AS parcel, p_type AS network, l_linenumber AS t, l_quantity AS value FROM lineitem JOIN part ON p_partkey = l_partkey)"
 MODELS = "models AS (SELECT c_nationkey AS model, count(*) AS n, avg(c_acctbal) AS score, stddev_pop(c_acctbal) AS spread, c_nationkey % 10 + 2 AS k FROM customer GROUP BY c_nationkey)"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import free_names, staged  # noqa: F401  (staged: also by this name)
+
 WORDS = "onset double, onset_bin double, text string, pos string"
 SEGMENTS = "onset_sec double, seg string, speaker string, actor string, main_char string"
 RESPONSES = "participant string, rt string"
@@ -18,10 +17,12 @@ def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8
     df = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("sep", sep).csv(path)
     if not skip_rows:
         return df
-    placed = df.withColumn("__file", F.input_file_name())
-    numbered = placed.withColumn("__n", F.monotonically_increasing_id())
-    first = numbered.groupBy("__file").agg(F.min("__n").alias("__first"))
-    return numbered.join(first, "__file").filter(F.col("__n") >= F.col("__first") + skip_rows).select(*df.columns)
+    file, n, first = free_names(df, "file", "n", "first")
+    placed = df.withColumns({file: F.input_file_name(), n: F.monotonically_increasing_id()})  # rows of a file ascend in the order of its lines
+    rank = F.row_number().over(Window.partitionBy(file).orderBy(n))
+    head = placed.groupBy(file).agg(F.min(n).alias(first))
+    near = placed.join(head, file).filter(F.col(n) < F.col(first) + skip_rows).withColumn(first, rank)
+    return placed.join(near.filter(F.col(first) <= skip_rows).select(file, n), [file, n], "left_anti").select(*df.columns)
 
 
 def probe_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> str:
@@ -46,18 +47,6 @@ def write_stage(df: DataFrame, path: str, *by: str, kind: str = "parquet") -> No
     df.write.mode("overwrite").partitionBy(*by).format(kind).save(path)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """A round's table written once in the shared folder (spark.checkpoint.dir; a local one only where it is unset) and read back: lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parse_list(text: Column) -> Column:
     """A written list of numbers as an array."""
     return F.from_json(text, "array<double>")
@@ -87,3 +76,29 @@ def prefixed(name: Column, prefix: str = "sub-") -> Column:
 def threshold_token(threshold: Column) -> Column:
     """A threshold as three digits of hundredths, for names: 0.8 is 080."""
     return F.lpad(F.round(threshold * 100).cast("int").cast("string"), 3, "0")
+
+
+def cohort(spark: SparkSession, members: dict[str, str]) -> DataFrame:
+    """(subject, grp) from one written list of ids for each group, parted by commas (as an environment variable holds it); blanks and empty ids don't count."""
+    rows = [(s.strip(), g) for g, ids in members.items() for s in ids.split(",") if s.strip()]
+    return spark.createDataFrame(rows, "subject string, grp string").distinct()
+
+
+def cohort_files(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.[^/.]*$") -> DataFrame:
+    """(subject, grp) from files of one id a line; the group is what the pattern finds in the file's path."""
+    ids = spark.read.text(path).select(F.trim("value").alias("subject"), F.regexp_extract(F.input_file_name(), pattern, 1).alias("grp"))
+    return ids.filter("subject <> ''").distinct()
+
+
+def complete(keys: DataFrame, *required: DataFrame, on: list[str]) -> DataFrame:
+    """Keys that every required table has, with the columns of all: a model that lacks one is skipped."""
+    for table in required:
+        keys = keys.join(table, on)
+    return keys
+
+
+def enriched(keys: DataFrame, *tables: DataFrame, on: list[str]) -> DataFrame:
+    """Keys with what each table has for them; null where it has nothing."""
+    for table in tables:
+        keys = keys.join(table, on, "left")
+    return keys

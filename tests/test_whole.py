@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statewise.functions.tails import t_two_sided
 from statewise.operators import inference
 from statewise.plans import queries as core
-from statewise.plans.views import table, v_events
+from statewise.plans.views import table, v_seq
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def lengths(spark):
 
 
 def test_series_are_whole(spark, lengths):
-    assert v_events(spark, SF).count() == sum(lengths.values())
+    assert v_seq(spark, SF).count() == sum(lengths.values())
     assert core._standardised(spark, SF).count() == sum(lengths.values())
     got = {r["t"]: r for r in core.queries()["timepoint_p"](spark, SF).collect()}
     assert set(got) == set(range(max(lengths.values())))
