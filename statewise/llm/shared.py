@@ -1,62 +1,12 @@
-"""Shared-folder tables and small planning helpers of the corpus operators."""
+"""Planning helpers of the corpus operators, over the library's shared-folder tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where it is unset, a fresh local one, but only for a local master: on a
-    cluster other machines could not read it, so that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back: lineage ends there, lost executors cost no recomputation.
-
-    The tables of a job are left to whoever set the folder, since results are
-    lazy and may be read at any later time.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
-    """`df` with its places 0, 1, ... in the order: a range sort, then the sorted parts' sizes laid end to end (one row for each part)."""
-    at, part = free_names(df, "at", "part")
-    placed = written(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
-    placed = placed.withColumn(part, F.shiftright(at, 33))
-    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
-    before = counts.select(part, (F.sum("n").over(W.orderBy(part)) - F.col("n")).alias(name))
-    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(before, part).select(*df.columns, (F.col(name) + inside).alias(name))
-
-
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """Column names that `df` does not have (in any case), one for each wanted."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        made = f"__{name}"
-        while made.lower() in taken:
-            made += "_"
-        taken.add(made.lower())
-        out.append(made)
-    return out
+from ..sources.shared import free_names, numbered, shared_dir  # noqa: F401
+from ..sources.shared import staged as written  # noqa: F401
 
 
 def spread_of(spark: SparkSession) -> int:
