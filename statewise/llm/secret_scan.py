@@ -140,10 +140,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def marked(wanted: np.ndarray) -> np.ndarray:
+    """A flag for every trigram: whether a query needs it."""
+    table = np.zeros(1 << 24, bool)
+    table[wanted] = True
+    return table
+
+
 class Segment:
     """Posting lists (sorted row numbers) of the wanted trigrams over one slice."""
 
-    def __init__(self, column: pa.Array, wanted: np.ndarray):
+    def __init__(self, column: pa.Array, wanted: np.ndarray, table: np.ndarray):
         buf, offsets = pack(column)
         self.rows = len(offsets) - 1
         self.postings: dict[int, np.ndarray] = {int(t): np.zeros(0, np.int64) for t in wanted}
@@ -151,8 +158,6 @@ class Segment:
             return
         low = _LOWER[buf].astype(np.int32)
         code = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
-        table = np.zeros(1 << 24, bool)
-        table[wanted] = True
         at = np.flatnonzero(table[code])
         row = np.searchsorted(offsets, at, side="right") - 1
         inside = at + 3 <= offsets[row + 1]
@@ -194,9 +199,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES, ba
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(i, r, r.compiled(), trigram_query(r.pattern)) for i, r in enumerate(rules)]
         wanted = np.array(sorted({t for *_, q in compiled for s in _literals(q) for t in _trigrams(s)}), np.int64)
+        table = marked(wanted)
         for batch in batches:
             for part in slices(batch, "text"):
-                segment, texts = Segment(part.column("text"), wanted), part.column("text")
+                segment, texts = Segment(part.column("text"), wanted, table), part.column("text")
                 finds: dict[int, list[tuple[int, int, int]]] = {}
                 for i, rule, pattern, query in compiled:
                     for row in segment.find(query).tolist():

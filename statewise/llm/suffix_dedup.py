@@ -259,6 +259,8 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 24, hot_segments: int = 4096, task_bytes: int = 64 << 10, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 (and `kept`, the bytes left, on request)."""
+    if not 0 < gram <= length < 1 << _BITS:
+        raise ValueError(f"gram and length must fulfil 0 < gram <= length < {1 << _BITS}")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts, given = _ordered(docs, id_col, text_col)

@@ -24,6 +24,7 @@ _BASE = 0xD1342543DE82EF95
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _POWERS: dict[int, np.ndarray] = {}
+_MOST_KEPT = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -60,14 +61,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next slice."""
+    """base**0 .. base**(n-1) modulo 2**64, kept for the next slice unless a very long row asked for it."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = -(-n // 65536) * 65536
         have = np.ones(1, np.uint64)
         while len(have) < size:
             have = np.concatenate([have, have[: size - len(have)] * _U(pow(base, len(have), 1 << 64))])
-        _POWERS[base] = have
+        if size <= _MOST_KEPT:
+            _POWERS[base] = have
     return have[:n]
 
 
