@@ -7,12 +7,13 @@ apart in three steps, each exact:
 1.  Every window has an anchor, the least-hashed short gram inside it, so equal
     windows have equal anchors at equal places.  Consecutive windows with one
     anchor are a segment.  Segments meet by anchor; an anchor that occurs once
-    holds no repeat, and of segments with the same bytes all but the first are
-    repeats as a whole (pre-aggregation: one of them goes on).
-2.  Different segments of one anchor may share some windows.  They are cut from
-    the texts and dealt into tasks by anchor; a task builds the
-    Burrows-Wheeler transforms of several shards of its segments, merges them
-    by interleave refinement and reads the repeated intervals (bwt_merge).
+    holds no repeat and is set aside.  Of segments with the same bytes the first
+    two go on; any further copy is a repeat as the second is (pre-aggregation).
+2.  Segments of one anchor, copies and different ones alike, are cut from the
+    texts and dealt into tasks by anchor; a task builds the Burrows-Wheeler
+    transforms of several shards of its segments, merges them by interleave
+    refinement and reads the repeated intervals from the common prefixes
+    (bwt_merge).
 3.  An anchor with more than `hot_segments` different segments (the edge of a
     passage that very many documents share) is not put into one task: its
     windows are grouped one by one by a 128-bit hash of their bytes.
@@ -83,7 +84,7 @@ def _chunks(column: pa.Array, length: int, limit: int = 1 << 20) -> Iterator[tup
 
 
 def _anchors(length: int, gram: int):
-    """Documents -> (anchor, segment, id, place); rows without an anchor are repeats already, of a segment seen in the same slice."""
+    """Documents -> (anchor, segment, id, place); rows without an anchor are further copies of a segment that the same slice has twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,19 +96,20 @@ def _anchors(length: int, gram: int):
                     order = np.lexsort((place, own, segment, anchor))
                     anchor, segment, own, place = anchor[order].view(np.int64), segment[order].view(np.int64), own[order], place[order]
                     again = np.zeros(len(order), bool)
-                    again[1:] = (anchor[1:] == anchor[:-1]) & (segment[1:] == segment[:-1])
+                    again[2:] = (anchor[2:] == anchor[:-2]) & (segment[2:] == segment[:-2])
                     yield pa.RecordBatch.from_arrays([pa.array(anchor, mask=again), pa.array(segment, mask=again), pa.array(own), pa.array(place)], names=["anchor", "segment", "id", "place"])
 
     return run
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, segment, id, place) -> repeats (no anchor) and the first of each segment of an anchor with several.
+    """Rows sorted by (anchor, segment, id, place) -> further copies (no anchor), and the first two of each segment of an anchor that occurs more than once.
 
-    What is carried between batches is the first and the last row of the open
-    anchor, however many rows it has.
+    What is carried between batches is the first row of the open anchor and of
+    the open segment, however many rows they have.
     """
     held: list[tuple[int, int, int, int, bool]] = []  # anchor, segment, id, place, whether it was handed on
+    seen = 0  # rows of the open segment
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -119,26 +121,33 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not rest.num_rows:
             continue
         anchor, segment, own, place = (np.concatenate([np.array([h[k] for h in held], np.int64), rest.column(k).to_numpy()]) for k in range(4))
-        old = np.zeros(len(anchor), bool)
-        old[: len(held)] = True
-        handed = np.zeros(len(anchor), bool)
-        handed[: len(held)] = [h[4] for h in held]
-        new_anchor = np.ones(len(anchor), bool)
+        n, old = len(anchor), len(held)
+        handed = np.zeros(n, bool)
+        handed[:old] = [h[4] for h in held]
+        new_anchor = np.ones(n, bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new_segment = new_anchor.copy()
         new_segment[1:] |= segment[1:] != segment[:-1]
+        first = np.flatnonzero(new_segment)
+        run = np.cumsum(new_segment) - 1
+        nth = np.arange(n) - first[run]
+        if old:
+            nth[(run == run[old - 1]) & (np.arange(n) >= old)] += seen - 1
         group = np.cumsum(new_anchor) - 1
         several = np.bincount(group, new_segment)[group] > 1
-        repeat = ~new_segment & ~old
-        contested = new_segment & several & ~handed
-        handed |= contested
-        first = int(np.flatnonzero(new_anchor)[-1])
-        last = len(anchor) - 1
-        held = [(int(anchor[i]), int(segment[i]), int(own[i]), int(place[i]), bool(handed[i])) for i in sorted({first, last})]
-        if last != first:
-            held[-1] = (*held[-1][:4], True)  # its own segment has been dealt with
-        out = np.flatnonzero(repeat | contested)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[out], mask=repeat[out]), pa.array(own[out]), pa.array(place[out])], names=["anchor", "id", "place"])
+        copied = np.zeros(len(first), bool)
+        copied[run[nth == 1]] = True
+        on = new_segment & (several | copied[run]) & ~handed
+        handed |= on
+        on |= nth == 1
+        further = nth > 1
+        on[:old] &= new_segment[:old]
+        further[:old] = False
+        keep = sorted({int(np.flatnonzero(new_anchor)[-1]), int(first[-1])})
+        held = [(int(anchor[i]), int(segment[i]), int(own[i]), int(place[i]), bool(handed[i])) for i in keep]
+        seen = int(nth[-1]) + 1
+        out = np.flatnonzero(on | further)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[out], mask=further[out]), pa.array(own[out]), pa.array(place[out])], names=["anchor", "id", "place"])
 
 
 _PIECES = "task long, check long, id long, start long, bytes binary"

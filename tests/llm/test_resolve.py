@@ -1,0 +1,28 @@
+"""Segments handed on to the merge, whatever the batches they come in."""
+
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from statewise.llm.suffix_dedup import _resolve
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 1000])
+def test_first_two_of_a_segment_go_on(width):
+    rng = np.random.default_rng(width)
+    rows = sorted({(int(a), int(s), int(i), int(i % 3)) for a, s, i in zip(rng.integers(0, 12, 150), rng.integers(0, 3, 150), rng.integers(0, 400, 150))})
+    kinds = [pa.int64()] * 4
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + width]), kinds)], names=["anchor", "segment", "id", "place"]) for at in range(0, len(rows), width)]
+    got = Counter(tuple(r.values()) for b in _resolve(iter(batches)) for r in b.to_pylist())
+    groups = defaultdict(list)
+    for a, s, i, p in rows:
+        groups[a, s].append((i, p))
+    per_anchor = Counter(a for a, _ in groups)
+    want = Counter()
+    for (a, _), members in groups.items():
+        if per_anchor[a] > 1 or len(members) > 1:
+            want.update((a, *m) for m in members[:2])
+        want.update((None, *m) for m in members[2:])
+    assert got == want
