@@ -51,43 +51,89 @@ _query("state_runs", f"WITH {SEQ} SELECT subject, run::BIGINT AS run, state::BIG
 _query("occupancy", f"WITH {SEQ} SELECT s.subject, st.state, round(count(*) FILTER (s.state = st.state) / count(*)::DOUBLE, 6) AS occupancy FROM seq s, st GROUP BY 1, 2")(lambda s, d: q.occupancy(v_seq(s, d), K))
 _query(
     "duration_stats",
-    f"WITH {SEQ}, u AS (SELECT DISTINCT subject FROM seq) SELECT u.subject, st.state, round(coalesce(avg(duration), 0), 6) AS mean_duration, round(coalesce(stddev_pop(duration), 0), 6) AS std_duration, round(coalesce(quantile_cont(duration, 0.5), 0), 6) AS median_duration, coalesce(max(duration), 0) AS max_duration, coalesce(min(duration), 0) AS min_duration, count(duration) AS n_runs FROM u CROSS JOIN st LEFT JOIN runs r ON r.subject = u.subject AND r.state = st.state GROUP BY 1, 2",
+    f"""WITH {SEQ},
+u AS (SELECT DISTINCT subject FROM seq)
+SELECT u.subject, st.state, round(coalesce(avg(duration), 0), 6) AS mean_duration, round(coalesce(stddev_pop(duration), 0), 6) AS std_duration,
+  round(coalesce(quantile_cont(duration, 0.5), 0), 6) AS median_duration, coalesce(max(duration), 0) AS max_duration, coalesce(min(duration), 0) AS
+  min_duration, count(duration) AS n_runs FROM u CROSS JOIN st LEFT JOIN runs r ON r.subject = u.subject AND r.state = st.state GROUP BY 1, 2""",
 )(lambda s, d: q.duration_stats(v_seq(s, d), K))
-_query("group_durations", f"WITH {SEQ} SELECT state::BIGINT AS state, round(avg(duration), 6) AS mean_duration, round(stddev_pop(duration), 6) AS std_duration, round(quantile_cont(duration, 0.5), 6) AS median_duration, count(*) AS n_runs FROM runs GROUP BY 1")(lambda s, d: q.group_durations(v_seq(s, d)))
-_TM = f"{SEQ}, tc AS (SELECT subject, prev AS a, state AS b, count(*) AS n FROM chg WHERE prev <> state GROUP BY 1, 2, 3), tp AS (SELECT a, b, n / sum(n) OVER (PARTITION BY subject, a) AS p FROM tc), tm AS (SELECT x.state AS from_state, y.state AS to_state, coalesce(sum(p), 0) / (SELECT count(DISTINCT subject) FROM seq) AS probability FROM st x CROSS JOIN st y LEFT JOIN tp ON a = x.state AND b = y.state GROUP BY 1, 2)"
+_query("group_durations", f"""WITH {SEQ} SELECT state::BIGINT AS state, round(avg(duration), 6) AS mean_duration, round(stddev_pop(duration), 6) AS std_duration,
+  round(quantile_cont(duration, 0.5), 6) AS median_duration, count(*) AS n_runs FROM runs GROUP BY 1""")(lambda s, d: q.group_durations(v_seq(s, d)))
+_TM = f"""{SEQ},
+tc AS (SELECT subject, prev AS a, state AS b, count(*) AS n FROM chg WHERE prev <> state GROUP BY 1, 2, 3),
+tp AS (SELECT a, b, n / sum(n) OVER (PARTITION BY subject, a) AS p FROM tc),
+tm AS (SELECT x.state AS from_state, y.state AS to_state, coalesce(sum(p), 0) / (SELECT count(DISTINCT subject) FROM seq) AS probability FROM st x
+  CROSS JOIN st y LEFT JOIN tp ON a = x.state AND b = y.state GROUP BY 1, 2)"""
 _query("transition_matrix", f"WITH {_TM} SELECT from_state, to_state, round(probability, 6) AS probability FROM tm")(lambda s, d: q.transition_matrix(v_seq(s, d), K))
-_query("transition_entropy", f"WITH {_TM}, n AS (SELECT from_state, probability / sum(probability) OVER (PARTITION BY from_state) AS p FROM tm) SELECT from_state, round(coalesce(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END), 0), 6) AS entropy FROM n GROUP BY 1")(lambda s, d: q.transition_entropy(v_seq(s, d), K))
-_query("switching_rate", f"WITH {SEQ} SELECT count(*) FILTER (prev <> state) AS n_changes, round(count(*) FILTER (prev <> state) / (count(*) * 1.5::DOUBLE), 6) AS per_second, round(count(*) FILTER (prev <> state) / count(prev)::DOUBLE, 6) AS per_step FROM chg")(lambda s, d: q.switching_rate(v_seq(s, d)))
+_query("transition_entropy", f"""WITH {_TM},
+n AS (SELECT from_state, probability / sum(probability) OVER (PARTITION BY from_state) AS p FROM tm)
+SELECT from_state, round(coalesce(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END), 0), 6) AS entropy FROM n GROUP BY 1""")(lambda s, d: q.transition_entropy(v_seq(s, d), K))
+_query("switching_rate", f"""WITH {SEQ} SELECT count(*) FILTER (prev <> state) AS n_changes, round(count(*) FILTER (prev <> state) / (count(*) * 1.5::DOUBLE), 6) AS per_second,
+  round(count(*) FILTER (prev <> state) / count(prev)::DOUBLE, 6) AS per_step FROM chg""")(lambda s, d: q.switching_rate(v_seq(s, d)))
 _query(
     "usage_metrics",
-    f"WITH {SEQ}, p AS (SELECT st.state, count(s.t) / sum(count(s.t)) OVER ()::DOUBLE AS p FROM st LEFT JOIN seq s USING (state) GROUP BY 1), h AS (SELECT t, -sum(p * ln(p)) AS h FROM (SELECT t, count(*) / sum(count(*)) OVER (PARTITION BY t)::DOUBLE AS p FROM seq GROUP BY t, state) GROUP BY t) SELECT (SELECT round(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END), 6) FROM p) AS state_entropy, (SELECT round(1 - stddev_pop(p) / avg(p), 6) FROM p) AS usage_balance, (SELECT round(1 - avg(h) / ln(5), 6) FROM h) AS temporal_consistency",
+    f"""WITH {SEQ},
+p AS (SELECT st.state, count(s.t) / sum(count(s.t)) OVER ()::DOUBLE AS p FROM st LEFT JOIN seq s USING (state) GROUP BY 1),
+h AS (SELECT t, -sum(p * ln(p)) AS h FROM (SELECT t, count(*) / sum(count(*)) OVER (PARTITION BY t)::DOUBLE AS p FROM seq GROUP BY t, state) GROUP BY
+  t)
+SELECT (SELECT round(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END), 6) FROM p) AS state_entropy, (SELECT round(1 - stddev_pop(p) / avg(p), 6) FROM
+  p) AS usage_balance, (SELECT round(1 - avg(h) / ln(5), 6) FROM h) AS temporal_consistency""",
 )(lambda s, d: q.usage_metrics(v_seq(s, d), K))
-_BR = f"{SEQ}, yb AS (SELECT subject, grp, t, (state = 1)::INT AS y FROM seq), yc AS (SELECT *, coalesce(y <> lag(y) OVER (PARTITION BY subject ORDER BY t), true)::INT AS c, y - lag(y) OVER (PARTITION BY subject ORDER BY t) AS dy FROM yb), br AS (SELECT subject, any_value(grp) AS grp, run, any_value(y) AS y, min(t) AS start, count(*) AS length, count(*) * 1.5::DOUBLE AS duration FROM (SELECT *, sum(c) OVER (PARTITION BY subject ORDER BY t) AS run FROM yc) GROUP BY subject, run)"
+_BR = f"""{SEQ},
+yb AS (SELECT subject, grp, t, (state = 1)::INT AS y FROM seq),
+yc AS (SELECT *, coalesce(y <> lag(y) OVER (PARTITION BY subject ORDER BY t), true)::INT AS c, y - lag(y) OVER (PARTITION BY subject ORDER BY t) AS dy
+  FROM yb),
+br AS (SELECT subject, any_value(grp) AS grp, run, any_value(y) AS y, min(t) AS start, count(*) AS length, count(*) * 1.5::DOUBLE AS duration FROM
+  (SELECT *, sum(c) OVER (PARTITION BY subject ORDER BY t) AS run FROM yc) GROUP BY subject, run)"""
 _query("binary_runs", f"WITH {_BR} SELECT subject, run::BIGINT AS run, y::BIGINT AS y, start, length, duration FROM br")(lambda s, d: q.binary_runs(v_seq(s, d), 1))
 _query("entry_exit", f"WITH {_BR} SELECT grp, round(avg((dy = 1)::INT), 6) AS entry_rate, round(avg((dy = -1)::INT), 6) AS exit_rate FROM yc WHERE dy IS NOT NULL GROUP BY 1")(lambda s, d: q.entry_exit(v_seq(s, d), 1))
 _query(
     "cluster_group_stats",
-    f"WITH {_BR}, o AS (SELECT grp, subject, avg(y) AS o FROM yb GROUP BY 1, 2), a AS (SELECT grp, round(avg(o), 6) AS mean_occupancy, round(stddev_pop(o), 6) AS std_occupancy, count(*) AS n_subjects FROM o GROUP BY 1) SELECT a.*, round(avg(length) FILTER (y = 1), 6) AS mean_run, round(stddev_pop(length) FILTER (y = 1), 6) AS std_run, round(avg(length) FILTER (y = 0), 6) AS mean_interval, round(stddev_pop(length) FILTER (y = 0), 6) AS std_interval FROM a JOIN br USING (grp) GROUP BY ALL",
+    f"""WITH {_BR},
+o AS (SELECT grp, subject, avg(y) AS o FROM yb GROUP BY 1, 2),
+a AS (SELECT grp, round(avg(o), 6) AS mean_occupancy, round(stddev_pop(o), 6) AS std_occupancy, count(*) AS n_subjects FROM o GROUP BY 1)
+SELECT a.*, round(avg(length) FILTER (y = 1), 6) AS mean_run, round(stddev_pop(length) FILTER (y = 1), 6) AS std_run, round(avg(length) FILTER (y =
+  0), 6) AS mean_interval, round(stddev_pop(length) FILTER (y = 0), 6) AS std_interval FROM a JOIN br USING (grp) GROUP BY ALL""",
 )(lambda s, d: q.cluster_group_stats(v_seq(s, d), 1))
 _query("state_mixing", f"WITH {SEQ} SELECT subject, t // 13 AS frame, round(count(DISTINCT state) / 5.0::DOUBLE, 6) AS mixing FROM seq GROUP BY 1, 2 HAVING count(*) = 13")(lambda s, d: q.state_mixing(v_seq(s, d), K))
 _query(
     "sliding_entropy",
-    f"WITH {SEQ}, u AS (SELECT subject, count(*) AS n FROM seq GROUP BY 1), c AS (SELECT a.subject, a.t, b.state, count(*) / 13.0::DOUBLE AS p FROM seq a JOIN u ON u.subject = a.subject JOIN seq b ON a.subject = b.subject AND b.t BETWEEN a.t AND a.t + 12 WHERE a.t < u.n - 13 GROUP BY 1, 2, 3), h AS (SELECT subject, t, -sum(p * ln(p)) AS h FROM c GROUP BY 1, 2) SELECT subject, round(avg(h), 6) AS mean_entropy, count(*) AS n_frames FROM h GROUP BY 1",
+    f"""WITH {SEQ},
+u AS (SELECT subject, count(*) AS n FROM seq GROUP BY 1),
+c AS (SELECT a.subject, a.t, b.state, count(*) / 13.0::DOUBLE AS p FROM seq a JOIN u ON u.subject = a.subject JOIN seq b ON a.subject = b.subject AND
+  b.t BETWEEN a.t AND a.t + 12 WHERE a.t < u.n - 13 GROUP BY 1, 2, 3),
+h AS (SELECT subject, t, -sum(p * ln(p)) AS h FROM c GROUP BY 1, 2)
+SELECT subject, round(avg(h), 6) AS mean_entropy, count(*) AS n_frames FROM h GROUP BY 1""",
 )(lambda s, d: q.sliding_entropy(v_seq(s, d), K))
-_query("recurrence", f"WITH {SEQ}, g AS (SELECT state, (t - lag(t) OVER (PARTITION BY subject, state ORDER BY t)) * 1.5::DOUBLE AS gap FROM seq) SELECT state::BIGINT AS state, round(avg(gap), 6) AS mean_gap, round(quantile_cont(gap, 0.5), 6) AS median_gap, count(gap) AS n_gaps FROM g WHERE gap IS NOT NULL GROUP BY 1")(lambda s, d: q.recurrence(v_seq(s, d)))
-_query("ar_lags", f"WITH {SEQ}, y AS (SELECT subject, t, (state = 1)::BIGINT AS y FROM seq) SELECT subject, t, y, lag(y, 1, 0) OVER w AS y_lag1, lag(y, 2, 0) OVER w AS y_lag2 FROM y WINDOW w AS (PARTITION BY subject ORDER BY t)")(lambda s, d: q.ar_lags(panel.target_indicator(v_seq(s, d), 1).select("subject", "t", "y"), 2))
+_query("recurrence", f"""WITH {SEQ},
+g AS (SELECT state, (t - lag(t) OVER (PARTITION BY subject, state ORDER BY t)) * 1.5::DOUBLE AS gap FROM seq)
+SELECT state::BIGINT AS state, round(avg(gap), 6) AS mean_gap, round(quantile_cont(gap, 0.5), 6) AS median_gap, count(gap) AS n_gaps FROM g WHERE gap
+  IS NOT NULL GROUP BY 1""")(lambda s, d: q.recurrence(v_seq(s, d)))
+_query("ar_lags", f"""WITH {SEQ},
+y AS (SELECT subject, t, (state = 1)::BIGINT AS y FROM seq)
+SELECT subject, t, y, lag(y, 1, 0) OVER w AS y_lag1, lag(y, 2, 0) OVER w AS y_lag2 FROM y WINDOW w AS (PARTITION BY subject ORDER BY t)""")(lambda s, d: q.ar_lags(panel.target_indicator(v_seq(s, d), 1).select("subject", "t", "y"), 2))
 _query("zscore_series", f"WITH {SEQ} SELECT subject, t, round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) AS z FROM seq WINDOW w AS (PARTITION BY subject)")(lambda s, d: q.zscore(v_seq(s, d)).select("subject", "t", "z"))
-_query("detrend_series", f"WITH {SEQ}, f AS (SELECT subject, regr_slope(x, t) AS b, regr_intercept(x, t) AS a FROM seq GROUP BY 1) SELECT subject, t, round(x - a - b * t, 5) AS residual FROM seq JOIN f USING (subject)")(lambda s, d: q.detrend(v_seq(s, d)).select("subject", "t", F.round("residual", 5).alias("residual")))
+_query("detrend_series", f"""WITH {SEQ},
+f AS (SELECT subject, regr_slope(x, t) AS b, regr_intercept(x, t) AS a FROM seq GROUP BY 1)
+SELECT subject, t, round(x - a - b * t, 5) AS residual FROM seq JOIN f USING (subject)""")(lambda s, d: q.detrend(v_seq(s, d)).select("subject", "t", F.round("residual", 5).alias("residual")))
 _query("state_prob_t", f"WITH {SEQ} SELECT s.grp, s.t, st.state, round(count(*) FILTER (s.state = st.state) / count(*)::DOUBLE, 6) AS probability FROM seq s, st GROUP BY 1, 2, 3")(lambda s, d: q.state_probability(v_seq(s, d), K))
 _query(
     "acf",
-    f"WITH {SEQ}, l AS (SELECT unnest(range(1, 11)) AS lag), p AS (SELECT l.lag, a.subject, coalesce(corr(a.x, b.x), 0) AS r FROM l, seq a JOIN seq b ON a.subject = b.subject AND b.t = a.t - lag GROUP BY 1, 2) SELECT lag, round(avg(r), 6) AS acf FROM p GROUP BY 1",
+    f"""WITH {SEQ},
+l AS (SELECT unnest(range(1, 11)) AS lag),
+p AS (SELECT l.lag, a.subject, coalesce(corr(a.x, b.x), 0) AS r FROM l, seq a JOIN seq b ON a.subject = b.subject AND b.t = a.t - lag GROUP BY 1, 2)
+SELECT lag, round(avg(r), 6) AS acf FROM p GROUP BY 1""",
 )(lambda s, d: q.acf(v_seq(s, d)))
 _TC = f"{SEQ}, tc AS (SELECT grp, t, avg((state = 1)::INT) AS mean, stddev_samp((state = 1)::INT) / sqrt(count(*)) AS sem, count(*) AS n FROM seq GROUP BY 1, 2)"
 _query("group_timecourse", f"WITH {_TC} SELECT grp, t, round(mean, 6) AS mean, round(sem, 6) AS sem, n FROM tc")(lambda s, d: panel.group_timecourse(panel.target_indicator(v_seq(s, d), 1)))
 _query(
     "gauss_smooth",
-    f"WITH {_TC}, mx AS (SELECT grp, max(t) AS m FROM tc GROUP BY 1), o AS (SELECT tc.grp, t, m, unnest(range(-8, 9)) AS o FROM tc JOIN mx ON mx.grp = tc.grp), a AS (SELECT grp, t, exp(-0.5 * (o / 2.0) ** 2) AS w, CASE WHEN t + o < 0 THEN -1 - t - o WHEN t + o > m THEN 2 * m + 1 - t - o ELSE t + o END AS at FROM o) SELECT a.grp, a.t, round(sum(w * mean) / sum(w), 6) AS smoothed FROM a JOIN tc ON tc.grp = a.grp AND tc.t = a.at GROUP BY 1, 2",
+    f"""WITH {_TC},
+mx AS (SELECT grp, max(t) AS m FROM tc GROUP BY 1),
+o AS (SELECT tc.grp, t, m, unnest(range(-8, 9)) AS o FROM tc JOIN mx ON mx.grp = tc.grp),
+a AS (SELECT grp, t, exp(-0.5 * (o / 2.0) ** 2) AS w, CASE WHEN t + o < 0 THEN -1 - t - o WHEN t + o > m THEN 2 * m + 1 - t - o ELSE t + o END AS at
+  FROM o)
+SELECT a.grp, a.t, round(sum(w * mean) / sum(w), 6) AS smoothed FROM a JOIN tc ON tc.grp = a.grp AND tc.t = a.at GROUP BY 1, 2""",
 )(lambda s, d: q.gauss_smooth(panel.group_timecourse(panel.target_indicator(v_seq(s, d), 1)), value="mean"))
 
 # panels
@@ -95,23 +141,43 @@ _query("trim_rebase", f"WITH {SEQ} SELECT subject, t - 5 AS t, state::BIGINT AS
 _query("bool_parse", "SELECT o_orderkey, (lower(CAST(o_orderstatus = 'F' AS VARCHAR)) = 'true')::BIGINT AS flag FROM orders")(lambda s, d: panel.bool_parse(table(s, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("flag")), "flag"))
 _query("target_indicator", f"WITH {SEQ} SELECT subject, t, (state = 2)::BIGINT AS y FROM seq")(lambda s, d: panel.target_indicator(v_seq(s, d), 2).select("subject", "t", "y"))
 _query("state_relabel", f"WITH {SEQ} SELECT subject, t, (CASE state WHEN 0 THEN 4 WHEN 4 THEN 0 ELSE state END)::BIGINT AS state FROM seq")(lambda s, d: panel.state_relabel(v_seq(s, d), {0: 4, 4: 0}).select("subject", "t", "state"))
-_query("stratified_sample", f"WITH {SEQ}, u AS (SELECT DISTINCT subject, grp FROM seq), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(subject::VARCHAR || ':7'), subject) AS place FROM u) SELECT * FROM r WHERE place <= CASE grp WHEN 'a' THEN 5 ELSE 6 END")(lambda s, d: panel.stratified_sample(v_seq(s, d), {"a": 5, "b": 6}, 7))
-_query("densify_binary", f"WITH {RT}, k AS (SELECT DISTINCT participant FROM resp), m AS (SELECT DISTINCT participant, greatest(0, least(bin, 119)) AS bin FROM resp) SELECT k.participant, b.bin, (m.bin IS NOT NULL)::BIGINT AS y FROM k CROSS JOIN (SELECT unnest(range(120)) AS bin) b LEFT JOIN m ON m.participant = k.participant AND m.bin = b.bin")(
+_query("stratified_sample", f"""WITH {SEQ},
+u AS (SELECT DISTINCT subject, grp FROM seq),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(subject::VARCHAR || ':7'), subject) AS place FROM u)
+SELECT * FROM r WHERE place <= CASE grp WHEN 'a' THEN 5 ELSE 6 END""")(lambda s, d: panel.stratified_sample(v_seq(s, d), {"a": 5, "b": 6}, 7))
+_query("densify_binary", f"""WITH {RT},
+k AS (SELECT DISTINCT participant FROM resp),
+m AS (SELECT DISTINCT participant, greatest(0, least(bin, 119)) AS bin FROM resp)
+SELECT k.participant, b.bin, (m.bin IS NOT NULL)::BIGINT AS y FROM k CROSS JOIN (SELECT unnest(range(120)) AS bin) b LEFT JOIN m ON m.participant =
+  k.participant AND m.bin = b.bin""")(
     lambda s, d: panel.densify_binary(r := align.response_bins(v_rt(s, d), BIN), r, 120)
 )
-_query("panel_checks", f"WITH {SEQ}, p AS (SELECT subject, count(*) AS n, count(*) FILTER (isnan(x) OR x IS NULL OR isinf(x)) AS bx, count(*) FILTER (state NOT IN (0,1,2)) AS bs, count(*) FILTER (state NOT IN (0, 1)) + count(*) FILTER (t % 3 = 2) AS bf FROM seq GROUP BY 1) SELECT count(*) AS n_subjects, max(n) - min(n) AS length_gap, sum(bx)::BIGINT AS not_finite, sum(bs)::BIGINT AS bad_labels, sum(bf)::BIGINT AS not_binary FROM p")(
+_query("panel_checks", f"""WITH {SEQ},
+p AS (SELECT subject, count(*) AS n, count(*) FILTER (isnan(x) OR x IS NULL OR isinf(x)) AS bx, count(*) FILTER (state NOT IN (0,1,2)) AS bs, count(*)
+  FILTER (state NOT IN (0, 1)) + count(*) FILTER (t % 3 = 2) AS bf FROM seq GROUP BY 1)
+SELECT count(*) AS n_subjects, max(n) - min(n) AS length_gap, sum(bx)::BIGINT AS not_finite, sum(bs)::BIGINT AS bad_labels, sum(bf)::BIGINT AS
+  not_binary FROM p""")(
     lambda s, d: panel.panel_checks(v_seq(s, d).withColumns({"f": F.col("state"), "g": F.col("t") % 3}), [0, 1, 2], ["f", "g"])
 )
 _query("target_series", f"WITH {SEQ} SELECT 'sub-' || subject AS subject, grp, t, (state = 1)::BIGINT AS y, round(avg((state = 1)::INT) OVER (PARTITION BY subject), 6) AS mean_occupancy FROM seq")(lambda s, d: panel.target_series(v_seq(s, d), 1))
-_query("participant_sets", "WITH a AS (SELECT DISTINCT user_id AS participant FROM events WHERE event_type = 'error'), b AS (SELECT DISTINCT user_id AS participant FROM events WHERE value > 100) SELECT coalesce(a.participant, b.participant) AS participant, a.participant IS NOT NULL AND b.participant IS NOT NULL AS in_both FROM a FULL JOIN b USING (participant)")(
+_query("participant_sets", """WITH a AS (SELECT DISTINCT user_id AS participant FROM events WHERE event_type = 'error'),
+b AS (SELECT DISTINCT user_id AS participant FROM events WHERE value > 100)
+SELECT coalesce(a.participant, b.participant) AS participant, a.participant IS NOT NULL AND b.participant IS NOT NULL AS in_both FROM a FULL JOIN b
+  USING (participant)""")(
     lambda s, d: panel.participant_sets(v_rt(s, d), table(s, d, "events").filter("value > 100").select(F.col("user_id").alias("participant")))
 )
-_query("loo_folds", f"WITH {SEQ}, u AS (SELECT subject, avg(x) AS m FROM seq GROUP BY 1) SELECT b.subject AS held_out, round(avg(a.m), 6) AS mean, count(*) AS n FROM u a JOIN u b ON a.subject <> b.subject GROUP BY 1")(
+_query("loo_folds", f"""WITH {SEQ},
+u AS (SELECT subject, avg(x) AS m FROM seq GROUP BY 1)
+SELECT b.subject AS held_out, round(avg(a.m), 6) AS mean, count(*) AS n FROM u a JOIN u b ON a.subject <> b.subject GROUP BY 1""")(
     lambda s, d: panel.leave_one_out(v_seq(s, d).groupBy("subject").agg(F.avg("x").alias("m")), "m").select("held_out", "mean", "n")
 )
 _query(
     "design_matrix",
-    f"WITH {SEQ}, f AS (SELECT t, (avg((state = 2)::INT) > 0.2)::BIGINT AS f FROM seq GROUP BY 1), y AS (SELECT subject, grp, t, (state = 1)::BIGINT AS y FROM seq) SELECT subject, grp, t, y, lag(y, 1, 0) OVER w AS y_lag1, lag(y, 2, 0) OVER w AS y_lag2, CASE grp WHEN 'a' THEN 1 ELSE -1 END::BIGINT AS group_coded, f, (CASE grp WHEN 'a' THEN 1 ELSE -1 END * f)::BIGINT AS group_f_interaction FROM y JOIN f USING (t) WINDOW w AS (PARTITION BY subject ORDER BY t)",
+    f"""WITH {SEQ},
+f AS (SELECT t, (avg((state = 2)::INT) > 0.2)::BIGINT AS f FROM seq GROUP BY 1),
+y AS (SELECT subject, grp, t, (state = 1)::BIGINT AS y FROM seq)
+SELECT subject, grp, t, y, lag(y, 1, 0) OVER w AS y_lag1, lag(y, 2, 0) OVER w AS y_lag2, CASE grp WHEN 'a' THEN 1 ELSE -1 END::BIGINT AS group_coded,
+  f, (CASE grp WHEN 'a' THEN 1 ELSE -1 END * f)::BIGINT AS group_f_interaction FROM y JOIN f USING (t) WINDOW w AS (PARTITION BY subject ORDER BY t)""",
 )(lambda s, d: panel.design_matrix(panel.target_indicator(x := v_seq(s, d), 1).select("subject", "grp", "t", "y"), x.groupBy("t").agg((F.avg((F.col("state") == 2).cast("int")) > 0.2).cast("long").alias("f")), ["f"]))
 
 # alignment
@@ -127,7 +193,10 @@ def _agreement(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("agreement", f"WITH {_AG} SELECT bin::BIGINT AS bin, count, round(agreement, 6) AS agreement FROM ag")(_agreement)
-_SNAP = f"{_AG}, e AS (SELECT bin AS boundary FROM ag WHERE bin % 7 = 0), sn AS (SELECT ag.*, CASE WHEN bin > (SELECT min(boundary) FROM e) AND bin <= (SELECT max(boundary) FROM e) AND bin - (SELECT max(boundary) FROM e WHERE boundary <= bin) <= 3 THEN (SELECT max(boundary) FROM e WHERE boundary <= bin) END AS snapped FROM ag)"
+_SNAP = f"""{_AG},
+e AS (SELECT bin AS boundary FROM ag WHERE bin % 7 = 0),
+sn AS (SELECT ag.*, CASE WHEN bin > (SELECT min(boundary) FROM e) AND bin <= (SELECT max(boundary) FROM e) AND bin - (SELECT max(boundary) FROM e
+  WHERE boundary <= bin) <= 3 THEN (SELECT max(boundary) FROM e WHERE boundary <= bin) END AS snapped FROM ag)"""
 
 
 def _snapped(s: SparkSession, d: str) -> DataFrame:
@@ -147,7 +216,11 @@ def _series(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("peaks_prominence", f"WITH {_PK} SELECT bin::BIGINT AS bin, round(agreement, 6) AS agreement, round(prominence, 6) AS prominence FROM pk")(lambda s, d: align.peaks(_series(s, d)))
-_query("threshold_sweep", f"WITH {_PK}, g AS (SELECT round((round(quantile_cont(agreement, 0.85), 2) - 0.05) / 0.01)::INT AS lo, round(round(quantile_cont(agreement, 0.95), 2) / 0.01)::INT AS hi FROM (SELECT round(agreement, 9) AS agreement FROM ag)), k AS (SELECT round(unnest(range(lo, hi + 1)) * 0.01::DOUBLE, 2) AS threshold FROM g) SELECT threshold, (SELECT count(*) FROM pk WHERE prominence >= threshold) AS n_peaks FROM k")(
+_query("threshold_sweep", f"""WITH {_PK},
+g AS (SELECT round((round(quantile_cont(agreement, 0.85), 2) - 0.05) / 0.01)::INT AS lo, round(round(quantile_cont(agreement, 0.95), 2) / 0.01)::INT
+  AS hi FROM (SELECT round(agreement, 9) AS agreement FROM ag)),
+k AS (SELECT round(unnest(range(lo, hi + 1)) * 0.01::DOUBLE, 2) AS threshold FROM g)
+SELECT threshold, (SELECT count(*) FROM pk WHERE prominence >= threshold) AS n_peaks FROM k""")(
     lambda s, d: align.threshold_sweep(align.peaks(x := _series(s, d)), x)
 )
 
@@ -156,12 +229,20 @@ def _tagged(s: SparkSession, d: str) -> DataFrame:
     return align.word_flags(align.asof_segment(v_word(s, d), v_seg(s, d)), "user", {"verb": "verb", "noun": "noun"})
 
 
-_AS = f"{WORD}, asw AS (SELECT w.*, g.seg, g.speaker, g.onset_sec, g.speaker IS NOT NULL AS is_dialog, coalesce(contains(lower(g.speaker), 'user'), false) AS user_speaking, w.pos = 'verb' AS is_verb, w.pos = 'noun' AS is_noun FROM w ASOF JOIN seg g ON g.story = w.story AND w.onset >= g.onset_sec)"
+_AS = f"""{WORD},
+asw AS (SELECT w.*, g.seg, g.speaker, g.onset_sec, g.speaker IS NOT NULL AS is_dialog, coalesce(contains(lower(g.speaker), 'user'), false) AS
+  user_speaking, w.pos = 'verb' AS is_verb, w.pos = 'noun' AS is_noun FROM w ASOF JOIN seg g ON g.story = w.story AND w.onset >= g.onset_sec)"""
 _query("asof_segment", f"WITH {_AS} SELECT story, word_id, round(onset, 6) AS onset, speaker, round(onset_sec, 6) AS onset_sec FROM asw")(lambda s, d: _tagged(s, d).select("story", "word_id", "onset", "speaker", "onset_sec"))
 _query("word_flags", f"WITH {_AS} SELECT story, word_id, is_dialog, user_speaking, is_verb, is_noun FROM asw")(lambda s, d: _tagged(s, d).select("story", "word_id", "is_dialog", "user_speaking", "is_verb", "is_noun"))
 _query(
     "bin_majority",
-    f"WITH {_AS}, b AS (SELECT *, floor((onset - min(onset) OVER (PARTITION BY story)) / 6)::BIGINT AS bin FROM asw), m AS (SELECT story, bin, speaker, count(*) AS n, row_number() OVER (PARTITION BY story, bin ORDER BY count(*) DESC, speaker) AS r FROM b GROUP BY 1, 2, 3) SELECT b.story, b.bin, avg(is_verb::INT) > 0.5 AS mostly_is_verb, max(is_verb) AS has_is_verb, sum(is_verb::INT)::BIGINT AS n_is_verb, string_agg(text, ' ' ORDER BY onset, word_id) AS words, arg_min(seg, word_id) AS segment_text, any_value(m.speaker) AS speaker FROM b JOIN m ON m.story = b.story AND m.bin = b.bin AND r = 1 GROUP BY 1, 2",
+    f"""WITH {_AS},
+b AS (SELECT *, floor((onset - min(onset) OVER (PARTITION BY story)) / 6)::BIGINT AS bin FROM asw),
+m AS (SELECT story, bin, speaker, count(*) AS n, row_number() OVER (PARTITION BY story, bin ORDER BY count(*) DESC, speaker) AS r FROM b GROUP BY 1,
+  2, 3)
+SELECT b.story, b.bin, avg(is_verb::INT) > 0.5 AS mostly_is_verb, max(is_verb) AS has_is_verb, sum(is_verb::INT)::BIGINT AS n_is_verb,
+  string_agg(text, ' ' ORDER BY onset, word_id) AS words, arg_min(seg, word_id) AS segment_text, any_value(m.speaker) AS speaker FROM b JOIN m ON
+  m.story = b.story AND m.bin = b.bin AND r = 1 GROUP BY 1, 2""",
 )(lambda s, d: align.bin_majority(_tagged(s, d), ["is_verb"], 6.0))
 _WIN = f"{WORD}, wi AS (SELECT story, coalesce(lag(onset_sec) OVER (PARTITION BY story ORDER BY onset_sec), 0) AS begin, onset_sec AS stop FROM seg WHERE onset_sec > 0)"
 
@@ -170,10 +251,16 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
     return align.windows_between(v_seg(s, d).filter("onset_sec > 0").select("story", F.col("onset_sec").alias("boundary")), "story")
 
 
-_query("events_to_text", f'WITH {_WIN} SELECT wi.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(text, \' \' ORDER BY onset, word_id) AS text FROM wi JOIN w ON w.story = wi.story AND onset >= begin AND onset <= stop GROUP BY 1, 2, 3')(lambda s, d: align.events_to_text(v_word(s, d), _windows(s, d)))
+_query("events_to_text", f"""WITH {_WIN} SELECT wi.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(text, ' ' ORDER BY onset, word_id) AS text FROM wi JOIN w
+  ON w.story = wi.story AND onset >= begin AND onset <= stop GROUP BY 1, 2, 3""")(lambda s, d: align.events_to_text(v_word(s, d), _windows(s, d)))
 _query(
     "events_to_segments",
-    f'WITH {_WIN}, nu AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY onset_sec, seg_id) AS i FROM seg), ed AS (SELECT wi.story, begin, stop, max(i) FILTER (onset_sec <= begin) AS lo, max(i) FILTER (onset_sec < stop) AS hi FROM wi JOIN nu USING (story) GROUP BY 1, 2, 3) SELECT ed.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(seg, \' \' ORDER BY i) AS text, count(*) AS n_segments FROM ed JOIN nu ON nu.story = ed.story AND i >= lo AND i < hi GROUP BY 1, 2, 3',
+    f"""WITH {_WIN},
+nu AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY onset_sec, seg_id) AS i FROM seg),
+ed AS (SELECT wi.story, begin, stop, max(i) FILTER (onset_sec <= begin) AS lo, max(i) FILTER (onset_sec < stop) AS hi FROM wi JOIN nu USING (story)
+  GROUP BY 1, 2, 3)
+SELECT ed.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(seg, ' ' ORDER BY i) AS text, count(*) AS n_segments FROM ed JOIN nu ON
+  nu.story = ed.story AND i >= lo AND i < hi GROUP BY 1, 2, 3""",
 )(lambda s, d: align.events_to_segments(v_seg(s, d), align.windows_between(v_seg(s, d).filter("onset_sec > 0 and length(seg) > 300").select("story", F.col("onset_sec").alias("boundary")), "story")))
 _ORACLES["events_to_segments"] = _ORACLES["events_to_segments"].replace("WHERE onset_sec > 0)", "WHERE onset_sec > 0 AND length(seg) > 300)")
 _query("value_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY 1")(lambda s, d: table(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n")))
@@ -182,19 +269,47 @@ _query("value_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY 1
 _AL = f"{SEQ}, al AS (SELECT x.subject AS a, y.subject AS b, x.t, x.state AS sa, y.state AS sb FROM seq x JOIN seq y ON x.t = y.t AND x.subject < y.subject)"
 _MI = "sum(n / al_n * ln(n * al_n / (na * nb)))"
 _query("pair_overlap", f"WITH {_AL} SELECT a, b, round(avg((sa = sb)::INT), 6) AS overlap, round(corr(sa, sb), 6) + 0.0 AS code_corr FROM al GROUP BY 1, 2")(lambda s, d: pairs.pair_overlap(v_seq(s, d)))
-_query("pair_mi", f"WITH {_AL}, c AS (SELECT a, b, sa, sb, count(*)::DOUBLE AS n FROM al GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a, b) AS al_n, sum(n) OVER (PARTITION BY a, b, sa) AS na, sum(n) OVER (PARTITION BY a, b, sb) AS nb FROM c) SELECT a, b, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1, 2")(lambda s, d: pairs.pair_mi(v_seq(s, d)))
-_query("pair_coupling", f"WITH {SEQ}, r AS (SELECT subject, length, row_number() OVER (PARTITION BY subject ORDER BY state, start) AS i FROM runs) SELECT x.subject AS a, y.subject AS b, round(corr(x.length, y.length), 6) + 0.0 AS coupling, count(*) AS n_runs FROM r x JOIN r y ON x.i = y.i AND x.subject < y.subject GROUP BY 1, 2")(lambda s, d: pairs.pair_coupling(v_seq(s, d)))
-_query("temporal_mi", f"WITH {SEQ}, c AS (SELECT x.t AS t1, y.t AS t2, x.state AS s1, y.state AS s2, count(*)::DOUBLE AS n FROM seq x JOIN seq y ON x.subject = y.subject AND x.t < y.t WHERE x.t % 10 = 0 AND y.t % 10 = 0 GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY t1, t2) AS al_n, sum(n) OVER (PARTITION BY t1, t2, s1) AS na, sum(n) OVER (PARTITION BY t1, t2, s2) AS nb FROM c) SELECT t1, t2, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1, 2")(
+_query("pair_mi", f"""WITH {_AL},
+c AS (SELECT a, b, sa, sb, count(*)::DOUBLE AS n FROM al GROUP BY ALL),
+m AS (SELECT *, sum(n) OVER (PARTITION BY a, b) AS al_n, sum(n) OVER (PARTITION BY a, b, sa) AS na, sum(n) OVER (PARTITION BY a, b, sb) AS nb FROM c)
+SELECT a, b, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1, 2""")(lambda s, d: pairs.pair_mi(v_seq(s, d)))
+_query("pair_coupling", f"""WITH {SEQ},
+r AS (SELECT subject, length, row_number() OVER (PARTITION BY subject ORDER BY state, start) AS i FROM runs)
+SELECT x.subject AS a, y.subject AS b, round(corr(x.length, y.length), 6) + 0.0 AS coupling, count(*) AS n_runs FROM r x JOIN r y ON x.i = y.i AND
+  x.subject < y.subject GROUP BY 1, 2""")(lambda s, d: pairs.pair_coupling(v_seq(s, d)))
+_query("temporal_mi", f"""WITH {SEQ},
+c AS (SELECT x.t AS t1, y.t AS t2, x.state AS s1, y.state AS s2, count(*)::DOUBLE AS n FROM seq x JOIN seq y ON x.subject = y.subject AND x.t < y.t
+  WHERE x.t % 10 = 0 AND y.t % 10 = 0 GROUP BY ALL),
+m AS (SELECT *, sum(n) OVER (PARTITION BY t1, t2) AS al_n, sum(n) OVER (PARTITION BY t1, t2, s1) AS na, sum(n) OVER (PARTITION BY t1, t2, s2) AS nb
+  FROM c)
+SELECT t1, t2, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1, 2""")(
     lambda s, d: pairs.temporal_mi(v_seq(s, d))
 )
 _query(
     "ari_nmi",
-    f"WITH {SEQ}, c AS (SELECT state AS a, (t // 9) AS b, count(*)::DOUBLE AS n FROM seq GROUP BY ALL), ma AS (SELECT a, sum(n) AS n FROM c GROUP BY 1), mb AS (SELECT b, sum(n) AS n FROM c GROUP BY 1), tot AS (SELECT sum(n) AS al FROM c), v AS (SELECT (SELECT sum(c.n / al * ln(c.n * al / (ma.n * mb.n))) FROM c JOIN ma USING (a) JOIN mb USING (b), tot) AS mi, (SELECT -sum(n / al * ln(n / al)) FROM ma, tot) AS ha, (SELECT -sum(n / al * ln(n / al)) FROM mb, tot) AS hb, (SELECT sum(n * (n - 1) / 2) FROM c) AS pc, (SELECT sum(n * (n - 1) / 2) FROM ma) AS pa, (SELECT sum(n * (n - 1) / 2) FROM mb) AS pb, (SELECT al * (al - 1) / 2 FROM tot) AS pn) SELECT round(mi, 6) AS mutual_info, round(mi / ((ha + hb) / 2), 6) AS nmi, round((pc - pa * pb / pn) / ((pa + pb) / 2 - pa * pb / pn), 6) AS ari FROM v",
+    f"""WITH {SEQ},
+c AS (SELECT state AS a, (t // 9) AS b, count(*)::DOUBLE AS n FROM seq GROUP BY ALL),
+ma AS (SELECT a, sum(n) AS n FROM c GROUP BY 1),
+mb AS (SELECT b, sum(n) AS n FROM c GROUP BY 1),
+tot AS (SELECT sum(n) AS al FROM c),
+v AS (SELECT (SELECT sum(c.n / al * ln(c.n * al / (ma.n * mb.n))) FROM c JOIN ma USING (a) JOIN mb USING (b), tot) AS mi, (SELECT -sum(n / al * ln(n /
+  al)) FROM ma, tot) AS ha, (SELECT -sum(n / al * ln(n / al)) FROM mb, tot) AS hb, (SELECT sum(n * (n - 1) / 2) FROM c) AS pc, (SELECT sum(n * (n - 1)
+  / 2) FROM ma) AS pa, (SELECT sum(n * (n - 1) / 2) FROM mb) AS pb, (SELECT al * (al - 1) / 2 FROM tot) AS pn)
+SELECT round(mi, 6) AS mutual_info, round(mi / ((ha + hb) / 2), 6) AS nmi, round((pc - pa * pb / pn) / ((pa + pb) / 2 - pa * pb / pn), 6) AS ari FROM
+  v""",
 )(lambda s, d: pairs.label_agreement(v_seq(s, d).select("state", F.floor(F.col("t") / 9).alias("third")), "state", "third"))
-_query("cosine_pairs", f"WITH {OBS}, m AS (SELECT state, feature, avg(value) AS v FROM obs GROUP BY 1, 2) SELECT x.state::BIGINT AS a, y.state::BIGINT AS b, round(sum(x.v * y.v) / (sqrt(sum(x.v * x.v)) * sqrt(sum(y.v * y.v)) + 1e-12), 6) AS cosine FROM m x JOIN m y ON x.feature = y.feature AND x.state < y.state GROUP BY 1, 2")(
+_query("cosine_pairs", f"""WITH {OBS},
+m AS (SELECT state, feature, avg(value) AS v FROM obs GROUP BY 1, 2)
+SELECT x.state::BIGINT AS a, y.state::BIGINT AS b, round(sum(x.v * y.v) / (sqrt(sum(x.v * x.v)) * sqrt(sum(y.v * y.v)) + 1e-12), 6) AS cosine FROM m x
+  JOIN m y ON x.feature = y.feature AND x.state < y.state GROUP BY 1, 2""")(
     lambda s, d: pairs.cosine_pairs(v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value")))
 )
-_query("spearman_pairs", f"WITH {OBS}, m AS (SELECT state, feature, avg(value) AS v FROM obs GROUP BY 1, 2), r AS (SELECT x.state, x.feature, count(*) FILTER (y.v < x.v) + (count(*) FILTER (y.v = x.v) + 1) / 2.0 AS r FROM m x JOIN m y ON x.state = y.state GROUP BY 1, 2) SELECT x.state::BIGINT AS a, y.state::BIGINT AS b, round(corr(x.r, y.r), 6) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.state < y.state GROUP BY 1, 2")(
+_query("spearman_pairs", f"""WITH {OBS},
+m AS (SELECT state, feature, avg(value) AS v FROM obs GROUP BY 1, 2),
+r AS (SELECT x.state, x.feature, count(*) FILTER (y.v < x.v) + (count(*) FILTER (y.v = x.v) + 1) / 2.0 AS r FROM m x JOIN m y ON x.state = y.state
+  GROUP BY 1, 2)
+SELECT x.state::BIGINT AS a, y.state::BIGINT AS b, round(corr(x.r, y.r), 6) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.state < y.state
+  GROUP BY 1, 2""")(
     lambda s, d: pairs.spearman_pairs(v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value")))
 )
 _PT = f"{OBS}, p AS (SELECT id AS pattern_id, feature FROM obs WHERE value > 0.1)"
@@ -204,21 +319,39 @@ def _patterns(s: SparkSession, d: str, view: Query = v_obs) -> DataFrame:
     return view(s, d).filter("value > 0.1").select(F.col("id").alias("pattern_id"), "feature")
 
 
-_JC = f"{_PT}, z AS (SELECT pattern_id, count(*) AS n FROM p GROUP BY 1), j AS (SELECT x.pattern_id AS a, y.pattern_id AS b, count(*) AS shared FROM p x JOIN p y ON x.feature = y.feature AND x.pattern_id < y.pattern_id GROUP BY 1, 2), jc AS (SELECT a, b, shared, shared / (za.n + zb.n - shared)::DOUBLE AS jaccard FROM j JOIN z za ON za.pattern_id = a JOIN z zb ON zb.pattern_id = b)"
+_JC = f"""{_PT},
+z AS (SELECT pattern_id, count(*) AS n FROM p GROUP BY 1),
+j AS (SELECT x.pattern_id AS a, y.pattern_id AS b, count(*) AS shared FROM p x JOIN p y ON x.feature = y.feature AND x.pattern_id < y.pattern_id GROUP
+  BY 1, 2),
+jc AS (SELECT a, b, shared, shared / (za.n + zb.n - shared)::DOUBLE AS jaccard FROM j JOIN z za ON za.pattern_id = a JOIN z zb ON zb.pattern_id = b)"""
 _query("jaccard_pairs", f"WITH {_JC} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM jc")(lambda s, d: pairs.jaccard_pairs(_patterns(s, d)))
 _query(
     "separation_ratio",
-    f"WITH {OBS}, r AS (SELECT id, state, feature, rank() OVER (PARTITION BY id ORDER BY value) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0::DOUBLE AS r FROM obs), c AS (SELECT x.state = y.state AS own, corr(x.r, y.r) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.id < y.id GROUP BY x.id, y.id, x.state, y.state), m AS (SELECT avg(1 - rho) FILTER (own) AS w, avg(1 - rho) FILTER (NOT own) AS b FROM c) SELECT round(w, 6) AS within, round(b, 6) AS \"between\", round(b / w, 6) AS ratio, round(1 - w, 6) AS within_correlation FROM m",
+    f"""WITH {OBS},
+r AS (SELECT id, state, feature, rank() OVER (PARTITION BY id ORDER BY value) + (count(*) OVER (PARTITION BY id, value) - 1) / 2.0::DOUBLE AS r FROM
+  obs),
+c AS (SELECT x.state = y.state AS own, corr(x.r, y.r) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.id < y.id GROUP BY x.id, y.id, x.state,
+  y.state),
+m AS (SELECT avg(1 - rho) FILTER (own) AS w, avg(1 - rho) FILTER (NOT own) AS b FROM c)
+SELECT round(w, 6) AS within, round(b, 6) AS "between", round(b / w, 6) AS ratio, round(1 - w, 6) AS within_correlation FROM m""",
 )(lambda s, d: pairs.rank_separation(o := v_obs(s, d), o.select("id", F.col("state").alias("cluster")).distinct()))
 _query(
     "jaccard_separation",
-    f"WITH {_JC}, l AS (SELECT vec_id, label FROM embeddings), n AS (SELECT x.label = y.label AS own, count(*) AS n FROM l x JOIN l y ON x.vec_id < y.vec_id GROUP BY 1), k AS (SELECT x.label = y.label AS own, sum(jaccard) AS j FROM jc JOIN l x ON x.vec_id = a JOIN l y ON y.vec_id = jc.b GROUP BY 1), r AS (SELECT max(1 - coalesce(j, 0) / n) FILTER (own) AS w, max(1 - coalesce(j, 0) / n) FILTER (NOT own) AS b FROM n LEFT JOIN k USING (own)) SELECT round(w, 6) AS within, round(b, 6) AS \"between\", round(b / w, 6) AS ratio FROM r",
+    f"""WITH {_JC},
+l AS (SELECT vec_id, label FROM embeddings),
+n AS (SELECT x.label = y.label AS own, count(*) AS n FROM l x JOIN l y ON x.vec_id < y.vec_id GROUP BY 1),
+k AS (SELECT x.label = y.label AS own, sum(jaccard) AS j FROM jc JOIN l x ON x.vec_id = a JOIN l y ON y.vec_id = jc.b GROUP BY 1),
+r AS (SELECT max(1 - coalesce(j, 0) / n) FILTER (own) AS w, max(1 - coalesce(j, 0) / n) FILTER (NOT own) AS b FROM n LEFT JOIN k USING (own))
+SELECT round(w, 6) AS within, round(b, 6) AS "between", round(b / w, 6) AS ratio FROM r""",
 )(lambda s, d: pairs.separation_ratio(pairs.jaccard_pairs(_patterns(s, d)), table(s, d, "embeddings").select(F.col("vec_id").alias("pattern_id"), F.col("label").alias("cluster"))))
 _GD = f"{SEQ}, m AS (SELECT t, avg((state = 1)::INT) FILTER (grp = 'a') AS x, avg((state = 1)::INT) FILTER (grp = 'b') AS z FROM seq GROUP BY 1)"
-_query("group_distance", f"WITH {_GD} SELECT round(sqrt(sum((x - z) ** 2)), 6) AS euclidean, round(avg(abs(x - z)), 6) AS mean_abs, round(1 - corr(x, z), 6) AS one_minus_corr FROM m WHERE x IS NOT NULL AND z IS NOT NULL")(lambda s, d: pairs.group_distance(panel.target_indicator(v_seq(s, d), 1)))
+_query("group_distance", f"""WITH {_GD} SELECT round(sqrt(sum((x - z) ** 2)), 6) AS euclidean, round(avg(abs(x - z)), 6) AS mean_abs, round(1 - corr(x, z), 6) AS one_minus_corr
+  FROM m WHERE x IS NOT NULL AND z IS NOT NULL""")(lambda s, d: pairs.group_distance(panel.target_indicator(v_seq(s, d), 1)))
 
 # patterns
-_SF = f"{OBS}, sf AS (SELECT state::BIGINT AS state, feature, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n FROM obs GROUP BY 1, 2), si AS (SELECT *, coalesce(std / nullif(abs(mean), 0), 0) AS cv, abs(mean) * std AS importance FROM sf)"
+_SF = f"""{OBS},
+sf AS (SELECT state::BIGINT AS state, feature, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n FROM obs GROUP BY 1, 2),
+si AS (SELECT *, coalesce(std / nullif(abs(mean), 0), 0) AS cv, abs(mean) * std AS importance FROM sf)"""
 _query("state_feature_stats", f"WITH {_SF} SELECT state, feature, round(mean, 6) AS mean, round(std, 6) AS std, n, round(cv, 4) AS cv, round(importance, 6) AS importance FROM si")(lambda s, d: patterns.state_feature_stats(v_obs(s, d)).withColumn("cv", F.round("cv", 4)))
 _query("topk_features", f"WITH {_SF} SELECT state, feature, place FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY importance DESC, feature) AS place FROM si) WHERE place <= 3")(lambda s, d: patterns.top_features(patterns.state_feature_stats(v_obs(s, d)), 3).select("state", "feature", "place"))
 
@@ -227,7 +360,9 @@ def _wide(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("label").alias("state"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(WIDTH)])
 
 
-_CV = "w AS (SELECT label::BIGINT AS state, unnest(range(len(embedding))) AS i, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), cv AS (SELECT x.state, 'f' || x.i AS f1, 'f' || y.i AS f2, covar_pop(x.v, y.v) AS cov, corr(x.v, y.v) AS corr FROM w x JOIN w y ON x.vec_id = y.vec_id AND x.i <= y.i GROUP BY 1, 2, 3)"
+_CV = """w AS (SELECT label::BIGINT AS state, unnest(range(len(embedding))) AS i, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings),
+cv AS (SELECT x.state, 'f' || x.i AS f1, 'f' || y.i AS f2, covar_pop(x.v, y.v) AS cov, corr(x.v, y.v) AS corr FROM w x JOIN w y ON x.vec_id = y.vec_id
+  AND x.i <= y.i GROUP BY 1, 2, 3)"""
 _query("state_corr", f"WITH {_CV} SELECT state, f1, f2, round(cov, 6) AS cov, round(greatest(-1, least(1, corr)), 6) AS corr FROM cv")(lambda s, d: patterns.state_covariance(_wide(s, d), [f"f{i}" for i in range(WIDTH)]))
 _query("effective_dim", f"WITH {_CV} SELECT state, round(sum(cov) FILTER (f1 = f2) ** 2 / (sum(CASE WHEN f1 = f2 THEN cov ** 2 ELSE 2 * cov ** 2 END) + 1e-12), 5) AS effective_dim FROM cv GROUP BY 1")(lambda s, d: patterns.effective_dimension(patterns.state_covariance(_wide(s, d), [f"f{i}" for i in range(WIDTH)])).withColumn("effective_dim", F.round("effective_dim", 5)))
 
@@ -238,9 +373,13 @@ def _intervals(s: SparkSession, d: str) -> DataFrame:
 
 
 _IV = f"{_SF}, iv AS (SELECT state AS pattern, feature, mean, mean - 1.96 * std / sqrt(n) AS lo, mean + 1.96 * std / sqrt(n) AS hi, 1 - state / 1000.0 AS stability FROM sf)"
-_query("reliable_patterns", f"WITH {_IV} SELECT pattern, round(max(abs(mean)), 6) AS peak, round(max(hi - lo), 6) AS width, round(max(stability), 6) AS stability FROM iv GROUP BY 1 HAVING max(abs(mean)) >= 0.02 AND max(hi - lo) <= 0.2 AND max(stability) >= 0.5")(lambda s, d: patterns.reliable(_intervals(s, d), 0.02, 0.2, 0.5))
+_query("reliable_patterns", f"""WITH {_IV} SELECT pattern, round(max(abs(mean)), 6) AS peak, round(max(hi - lo), 6) AS width, round(max(stability), 6) AS stability FROM iv GROUP BY 1
+  HAVING max(abs(mean)) >= 0.02 AND max(hi - lo) <= 0.2 AND max(stability) >= 0.5""")(lambda s, d: patterns.reliable(_intervals(s, d), 0.02, 0.2, 0.5))
 _query("significant_features", f"WITH {_IV} SELECT pattern, feature FROM iv WHERE mean > 0.01 AND lo > 0.1 * (1 - stability)")(lambda s, d: patterns.significant_features(_intervals(s, d), 0.01).select("pattern", "feature"))
-_query("sorted_state_index", f"WITH {SEQ}, o AS (SELECT s.subject, st.state, count(*) FILTER (s.state = st.state) / count(*)::DOUBLE AS o FROM seq s, st GROUP BY 1, 2), m AS (SELECT state, avg(o) AS o FROM o GROUP BY 1) SELECT state, round(o, 6) AS occupancy, row_number() OVER (ORDER BY o DESC, state) - 1 AS sorted_index FROM m")(lambda s, d: patterns.sorted_index(q.occupancy(v_seq(s, d), K)))
+_query("sorted_state_index", f"""WITH {SEQ},
+o AS (SELECT s.subject, st.state, count(*) FILTER (s.state = st.state) / count(*)::DOUBLE AS o FROM seq s, st GROUP BY 1, 2),
+m AS (SELECT state, avg(o) AS o FROM o GROUP BY 1)
+SELECT state, round(o, 6) AS occupancy, row_number() OVER (ORDER BY o DESC, state) - 1 AS sorted_index FROM m""")(lambda s, d: patterns.sorted_index(q.occupancy(v_seq(s, d), K)))
 
 
 def _members(s: SparkSession, d: str, by: str = "label") -> DataFrame:
@@ -250,26 +389,50 @@ def _members(s: SparkSession, d: str, by: str = "label") -> DataFrame:
 
 _ME = "me AS (SELECT vec_id AS id, label::BIGINT AS cluster, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, vec_id % 10 / 10.0::DOUBLE AS occupancy FROM embeddings)"
 _query("consensus_mean", f"WITH {OBS}, {_ME} SELECT cluster, feature, round(avg(value), 6) AS mean, avg((value > 0.1)::INT) >= 0.5 AS consensus FROM me JOIN obs USING (id) GROUP BY 1, 2")(lambda s, d: patterns.consensus_mean(v_obs(s, d).withColumn("active", F.col("value") > 0.1), _members(s, d)))
-_query("cluster_summary", f"WITH {_ME} SELECT cluster, count(*) AS size, round(sum(occupancy), 6) AS total_occupancy, string_agg(DISTINCT grp, ',' ORDER BY grp) AS groups, count(*) FILTER (grp = 'a') AS n_a, count(*) FILTER (grp = 'b') AS n_b FROM me GROUP BY 1".replace("AS groups", 'AS "groups"'))(lambda s, d: patterns.cluster_summary(_members(s, d)))
+_query("cluster_summary", f"""WITH {_ME} SELECT cluster, count(*) AS size, round(sum(occupancy), 6) AS total_occupancy, string_agg(DISTINCT grp, ',' ORDER BY grp) AS groups,
+  count(*) FILTER (grp = 'a') AS n_a, count(*) FILTER (grp = 'b') AS n_b FROM me GROUP BY 1""".replace("AS groups", 'AS "groups"'))(lambda s, d: patterns.cluster_summary(_members(s, d)))
 _query("cluster_overlap", f"WITH {_ME} SELECT cluster, count(*) FILTER (grp = 'a') AS n_a, count(*) FILTER (grp = 'b') AS n_b FROM me GROUP BY 1 HAVING count(DISTINCT grp) > 1")(lambda s, d: patterns.cluster_overlap(_members(s, d)))
-_query("best_match", f"WITH {_ME}, c AS (SELECT cluster AS c, count(*) AS nc FROM me GROUP BY 1), p AS (SELECT cluster % 4 AS p, count(*) AS np FROM me GROUP BY 1), k AS (SELECT cluster AS c, cluster % 4 AS p, count(*) AS k FROM me GROUP BY 1, 2), b AS (SELECT c, p, k / (nc + np - k)::DOUBLE AS jaccard FROM k JOIN c USING (c) JOIN p USING (p)) SELECT c, p, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.7 THEN 'stable' WHEN jaccard >= 0.5 THEN 'moderate' ELSE 'unstable' END AS verdict FROM b")(
+_query("best_match", f"""WITH {_ME},
+c AS (SELECT cluster AS c, count(*) AS nc FROM me GROUP BY 1),
+p AS (SELECT cluster % 4 AS p, count(*) AS np FROM me GROUP BY 1),
+k AS (SELECT cluster AS c, cluster % 4 AS p, count(*) AS k FROM me GROUP BY 1, 2),
+b AS (SELECT c, p, k / (nc + np - k)::DOUBLE AS jaccard FROM k JOIN c USING (c) JOIN p USING (p))
+SELECT c, p, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.7 THEN 'stable' WHEN jaccard >= 0.5 THEN 'moderate' ELSE 'unstable' END AS verdict
+  FROM b""")(
     lambda s, d: patterns.best_match(_members(s, d), _members(s, d, "coarse"))
 )
 _query("assign_lost_gained", f"WITH {_ME} SELECT count(*) FILTER (occupancy < 0.6 AND occupancy > 0.2) AS common, count(*) FILTER (occupancy <= 0.2) AS lost, count(*) FILTER (occupancy >= 0.6) AS gained FROM me")(lambda s, d: patterns.lost_gained(_members(s, d).filter("occupancy < 0.6"), _members(s, d).filter("occupancy > 0.2")))
-_query("split_half", f"WITH {OBS}, h AS (SELECT *, row_number() OVER w <= count(*) OVER (PARTITION BY state, feature) // 2 AS f FROM obs WINDOW w AS (PARTITION BY state, feature ORDER BY id)), m AS (SELECT state, feature, avg(value) FILTER (f) AS x, avg(value) FILTER (NOT f) AS y FROM h GROUP BY 1, 2) SELECT state::BIGINT AS state, round(greatest(0, least(1, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12))), 6) AS stability FROM m GROUP BY 1")(lambda s, d: patterns.split_half(v_obs(s, d)))
+_query("split_half", f"""WITH {OBS},
+h AS (SELECT *, row_number() OVER w <= count(*) OVER (PARTITION BY state, feature) // 2 AS f FROM obs WINDOW w AS (PARTITION BY state, feature ORDER
+  BY id)),
+m AS (SELECT state, feature, avg(value) FILTER (f) AS x, avg(value) FILTER (NOT f) AS y FROM h GROUP BY 1, 2)
+SELECT state::BIGINT AS state, round(greatest(0, least(1, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12))), 6) AS stability FROM m GROUP
+  BY 1""")(lambda s, d: patterns.split_half(v_obs(s, d)))
 
 # selection and inference
-_query("avg_rank", "WITH c AS (SELECT c_custkey, c_mktsegment, round(c_acctbal, -2) AS v FROM customer) SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY v) + (count(*) OVER (PARTITION BY c_mktsegment, v) - 1) / 2.0::DOUBLE AS rank FROM c")(
+_query("avg_rank", """WITH c AS (SELECT c_custkey, c_mktsegment, round(c_acctbal, -2) AS v FROM customer)
+SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY v) + (count(*) OVER (PARTITION BY c_mktsegment, v) - 1) / 2.0::DOUBLE AS rank FROM c""")(
     lambda s, d: pairs.average_rank(table(s, d, "customer").select("c_custkey", "c_mktsegment", F.round("c_acctbal", -2).alias("v")), "v", "c_mktsegment").select("c_custkey", "rank")
 )
 _query(
     "model_rank",
-    f"WITH {MODELS}, r AS (SELECT *, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r0, rank() OVER (ORDER BY spread) + (count(*) OVER (PARTITION BY spread) - 1) / 2.0 AS r1 FROM models), f AS (SELECT *, 0.6 * r0 + 0.4 * r1 AS rank_score, 0.6 * greatest(0, least(1, 1 - abs(n / 10.0 - 15) / 30)) + 0.4 * greatest(0, least(1, 1 - abs(k - 7) / 10.0)) AS plausibility FROM r) SELECT model::BIGINT AS model, round(rank_score, 6) AS rank_score, round(plausibility, 6) AS plausibility, round(0.7 * rank_score + 0.3 * (1 - plausibility), 6) AS final FROM f",
+    f"""WITH {MODELS},
+r AS (SELECT *, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r0, rank() OVER (ORDER BY spread) + (count(*) OVER
+  (PARTITION BY spread) - 1) / 2.0 AS r1 FROM models),
+f AS (SELECT *, 0.6 * r0 + 0.4 * r1 AS rank_score, 0.6 * greatest(0, least(1, 1 - abs(n / 10.0 - 15) / 30)) + 0.4 * greatest(0, least(1, 1 - abs(k -
+  7) / 10.0)) AS plausibility FROM r)
+SELECT model::BIGINT AS model, round(rank_score, 6) AS rank_score, round(plausibility, 6) AS plausibility, round(0.7 * rank_score + 0.3 * (1 -
+  plausibility), 6) AS final FROM f""",
 )(lambda s, d: inference.model_rank(v_models(s, d).withColumn("dur", F.col("n") / 10), {"score": (0.6, True), "spread": (0.4, False)}, "dur", "k").select("model", "rank_score", "plausibility", "final"))
-_query("bic", f"WITH {MODELS} SELECT model::BIGINT AS model, (k * (k - 1) + k - 1 + k * 3 + k * 6)::DOUBLE AS n_parameters, round((k * (k - 1) + k - 1 + k * 3 + k * 6) * ln(n) - 2 * score, 5) AS bic FROM models")(lambda s, d: inference.bic(v_models(s, d).withColumns({"d": F.lit(3), "log_likelihood": F.col("score")})).select("model", "n_parameters", F.round("bic", 5).alias("bic")))
-_query("fold_summary", "WITH f AS (SELECT c_nationkey AS model, -c_acctbal AS score FROM customer), m AS (SELECT model, avg(score) AS mean, stddev_pop(score) AS std, max(score) - min(score) AS range, count(*) FILTER (score BETWEEN -9000 AND 0) AS n_kept, avg(score) FILTER (score BETWEEN -9000 AND 0) AS kept_mean, count(*) AS n FROM f GROUP BY 1) SELECT model::BIGINT AS model, round(mean, 5) AS mean, round(std, 5) AS std, round(\"range\", 5) AS \"range\", n_kept, round(kept_mean, 5) AS kept_mean, n, CASE WHEN n_kept = n THEN 'ok' WHEN n_kept > 3 THEN 'filtered' ELSE 'skipped' END AS status FROM m")(
-    lambda s, d: (x := inference.fold_summary(table(s, d, "customer").select(F.col("c_nationkey").alias("model"), (-F.col("c_acctbal")).alias("score")), -9000.0, 0.0)).withColumns({c: F.round(c, 5) for c in ("mean", "std", "range", "kept_mean")})
-)
+_query("bic", f"""WITH {MODELS} SELECT model::BIGINT AS model, (k * (k - 1) + k - 1 + k * 3 + k * 6)::DOUBLE AS n_parameters, round((k * (k - 1) + k - 1 + k * 3 + k *
+  6) * ln(n) - 2 * score, 5) AS bic FROM models""")(lambda s, d: inference.bic(v_models(s, d).withColumns({"d": F.lit(3), "log_likelihood": F.col("score")})).select("model", "n_parameters", F.round("bic", 5).alias("bic")))
+_query("fold_summary", """WITH f AS (SELECT c_nationkey AS model, -round(c_acctbal * 100)::BIGINT AS score FROM customer),
+m AS (SELECT model, avg(score) AS mean, stddev_pop(score) AS std, max(score) - min(score) AS range, count(*) FILTER (score BETWEEN -900000 AND 0) AS n_kept,
+  avg(score) FILTER (score BETWEEN -900000 AND 0) AS kept_mean, count(*) AS n FROM f GROUP BY 1)
+SELECT model::BIGINT AS model, round(mean, 5) AS mean, round(std, 5) AS std, "range", n_kept, round(kept_mean, 5) AS kept_mean, n,
+  CASE WHEN n_kept = n THEN 'ok' WHEN n_kept > 3 THEN 'filtered' ELSE 'skipped' END AS status FROM m""")(
+    lambda s, d: inference.fold_summary(table(s, d, "customer").select(F.col("c_nationkey").alias("model"), (-F.round(F.col("c_acctbal") * 100)).cast("long").alias("score")), -900000.0, 0.0).withColumns({c: F.round(c, 5) for c in ("mean", "std", "kept_mean")})
+)  # whole cents: their sums are the same in any order
 
 
 def _terms(s: SparkSession, d: str, view: Query = v_seq) -> DataFrame:
@@ -279,7 +442,9 @@ def _terms(s: SparkSession, d: str, view: Query = v_seq) -> DataFrame:
     return view(s, d).groupBy(F.col("state").alias("term")).agg(((F.avg(a) - F.avg(b)) / 100).alias("coef"), (F.sqrt(F.var_samp(a) / F.count(a) + F.var_samp(b) / F.count(b)) / 100).alias("sd"))
 
 
-_TERMS = f"{SEQ}, te AS (SELECT state::BIGINT AS term, (avg(x) FILTER (grp = 'a') - avg(x) FILTER (grp = 'b')) / 100 AS coef, sqrt(var_samp(x) FILTER (grp = 'a') / count(*) FILTER (grp = 'a') + var_samp(x) FILTER (grp = 'b') / count(*) FILTER (grp = 'b')) / 100 AS sd FROM seq GROUP BY 1)"
+_TERMS = f"""{SEQ},
+te AS (SELECT state::BIGINT AS term, (avg(x) FILTER (grp = 'a') - avg(x) FILTER (grp = 'b')) / 100 AS coef, sqrt(var_samp(x) FILTER (grp = 'a') /
+  count(*) FILTER (grp = 'a') + var_samp(x) FILTER (grp = 'b') / count(*) FILTER (grp = 'b')) / 100 AS sd FROM seq GROUP BY 1)"""
 
 
 def _phi(z: str) -> str:
@@ -292,46 +457,97 @@ def _phi(z: str) -> str:
 
 _Z = "1.959963984540054::DOUBLE"
 _BAND = "CASE WHEN bf > 100 THEN 'Extreme' WHEN bf > 30 THEN 'Very Strong' WHEN bf > 10 THEN 'Strong' WHEN bf > 3 THEN 'Moderate' WHEN bf > 1 THEN 'Anecdotal' ELSE 'None' END"
-_POST = f"{_TERMS}, zs AS (SELECT *, coef / sd AS z, (0.1 - coef) / sd AS zu, (-0.1 - coef) / sd AS zl FROM te), po AS (SELECT *, {_phi('z')} AS up, {_phi('zu')} AS under, {_phi('zl')} AS below, least(exp(least(z * z / 2, 700)), 1e6) AS bf FROM zs)"
+_POST = f"""{_TERMS},
+zs AS (SELECT *, coef / sd AS z, (0.1 - coef) / sd AS zu, (-0.1 - coef) / sd AS zl FROM te),
+po AS (SELECT *, {_phi('z')} AS up, {_phi('zu')} AS under, {_phi('zl')} AS below, least(exp(least(z * z / 2, 700)), 1e6) AS bf FROM zs)"""
 _query(
     "posterior_summary",
-    f"WITH {_POST} SELECT term, round(coef, 6) AS coef, round(sd, 6) AS sd, round(up, 6) AS prob_positive, round(greatest(up, 1 - up), 6) AS prob_direction, round(coef - {_Z} * sd, 6) AS ci_lower, round(coef + {_Z} * sd, 6) AS ci_upper, round(under - below, 6) AS in_rope, round(1 - under, 6) AS above_rope, round(below, 6) AS below_rope, round(bf, 6) AS bayes_factor, round(exp(coef), 6) AS odds_ratio, {_BAND} AS evidence FROM po",
+    f"""WITH {_POST} SELECT term, round(coef, 6) AS coef, round(sd, 6) AS sd, round(up, 6) AS prob_positive, round(greatest(up, 1 - up), 6) AS prob_direction,
+  round(coef - {_Z} * sd, 6) AS ci_lower, round(coef + {_Z} * sd, 6) AS ci_upper, round(under - below, 6) AS in_rope, round(1 - under, 6) AS
+  above_rope, round(below, 6) AS below_rope, round(bf, 6) AS bayes_factor, round(exp(coef), 6) AS odds_ratio, {_BAND} AS evidence FROM po""",
 )(lambda s, d: inference.posterior_summary(_terms(s, d)))
 _query(
     "ar_evidence",
-    f"WITH {_POST}, e AS (SELECT *, coef - {_Z} * sd > 0 OR coef + {_Z} * sd < 0 OR greatest(up, 1 - up) > 0.95 AS evidence FROM po) SELECT term, round(coef - {_Z} * sd, 6) AS ci_lower, round(coef + {_Z} * sd, 6) AS ci_upper, CASE WHEN coef > 0 THEN 'positive' ELSE 'negative' END AS direction, round(greatest(up, 1 - up), 6) AS prob_direction, round(1 - under + below, 6) AS prob_meaningful, evidence, bool_or(evidence) OVER () AS any_evidence FROM e",
+    f"""WITH {_POST},
+e AS (SELECT *, coef - {_Z} * sd > 0 OR coef + {_Z} * sd < 0 OR greatest(up, 1 - up) > 0.95 AS evidence FROM po)
+SELECT term, round(coef - {_Z} * sd, 6) AS ci_lower, round(coef + {_Z} * sd, 6) AS ci_upper, CASE WHEN coef > 0 THEN 'positive' ELSE 'negative' END AS
+  direction, round(greatest(up, 1 - up), 6) AS prob_direction, round(1 - under + below, 6) AS prob_meaningful, evidence, bool_or(evidence) OVER () AS
+  any_evidence FROM e""",
 )(lambda s, d: inference.ar_evidence(_terms(s, d)))
 _query("effect_sizes", f"WITH {_TERMS} SELECT term, round(coef, 6) AS coef, round(sd, 6) AS sd, round(coef / sd, 6) AS standardised, round(exp(coef), 6) AS odds_ratio FROM te")(lambda s, d: inference.effect_sizes(_terms(s, d)))
-_query("group_effects", f"WITH {_TERMS} SELECT term, round(coef * 3 , 6) AS coef_a, round(-coef, 6) AS coef_b, round(sd * sqrt(2), 6) AS sd_group, round(exp(coef * 3), 6) AS or_a, round(exp(-coef), 6) AS or_b FROM te")(lambda s, d: inference.group_effects(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2)))
-_query("bayes_fdr", f"WITH {SEQ}, te AS (SELECT subject AS term, avg((state < 3)::INT) AS prob_direction FROM seq GROUP BY 1), f AS (SELECT *, avg(1 - prob_direction) OVER (ORDER BY prob_direction DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te) SELECT term, round(prob_direction, 6) AS prob_direction, round(fdr, 6) AS fdr, fdr <= 0.2 AS credible FROM f")(
+_query("group_effects", f"""WITH {_TERMS} SELECT term, round(coef * 3 , 6) AS coef_a, round(-coef, 6) AS coef_b, round(sd * sqrt(2), 6) AS sd_group, round(exp(coef * 3), 6) AS
+  or_a, round(exp(-coef), 6) AS or_b FROM te""")(lambda s, d: inference.group_effects(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2)))
+_query("bayes_fdr", f"""WITH {SEQ},
+te AS (SELECT subject AS term, avg((state < 3)::INT) AS prob_direction FROM seq GROUP BY 1),
+f AS (SELECT *, avg(1 - prob_direction) OVER (ORDER BY prob_direction DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te)
+SELECT term, round(prob_direction, 6) AS prob_direction, round(fdr, 6) AS fdr, fdr <= 0.2 AS credible FROM f""")(
     lambda s, d: inference.bayes_fdr(v_seq(s, d).groupBy(F.col("subject").alias("term")).agg(F.avg((F.col("state") < 3).cast("int")).alias("prob_direction")), 0.2)
 )
 _query(
     "timepoint_t",
-    f"WITH {SEQ}, y AS (SELECT grp, t, (state = 1)::INT AS y FROM seq), m AS (SELECT t, avg(y) FILTER (grp = 'a') AS ma, avg(y) FILTER (grp = 'b') AS mb, var_samp(y) FILTER (grp = 'a') AS va, var_samp(y) FILTER (grp = 'b') AS vb, var_pop(y) FILTER (grp = 'a') AS pa, var_pop(y) FILTER (grp = 'b') AS pb, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb FROM y GROUP BY 1) SELECT t, CASE WHEN na > 1 AND nb > 1 THEN round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na::DOUBLE + 1 / nb::DOUBLE)), 0), 0), 6) END AS t_stat, CASE WHEN na > 1 AND nb > 1 THEN round(coalesce((ma - mb) / nullif(sqrt((pa + pb) / 2), 0), 0), 6) END AS cohen_d FROM m",
+    f"""WITH {SEQ},
+y AS (SELECT grp, t, (state = 1)::INT AS y FROM seq),
+m AS (SELECT t, avg(y) FILTER (grp = 'a') AS ma, avg(y) FILTER (grp = 'b') AS mb, var_samp(y) FILTER (grp = 'a') AS va, var_samp(y) FILTER (grp = 'b')
+  AS vb, var_pop(y) FILTER (grp = 'a') AS pa, var_pop(y) FILTER (grp = 'b') AS pb, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS
+  nb FROM y GROUP BY 1)
+SELECT t, CASE WHEN na > 1 AND nb > 1 THEN round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na::DOUBLE +
+  1 / nb::DOUBLE)), 0), 0), 6) END AS t_stat, CASE WHEN na > 1 AND nb > 1 THEN round(coalesce((ma - mb) / nullif(sqrt((pa + pb) / 2), 0), 0), 6) END
+  AS cohen_d FROM m""",
 )(lambda s, d: inference.timepoint_t(panel.target_indicator(v_seq(s, d), 1)))
-_query("bh_fdr", f"WITH {SEQ}, p AS (SELECT t, avg((state = 1)::INT) AS p FROM seq GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, t) AS rank, count(*) OVER () AS m FROM p) SELECT t, round(p, 6) AS p, round(least(1, min(p * m / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r")(lambda s, d: inference.bh_fdr(v_seq(s, d).groupBy("t").agg(F.avg((F.col("state") == 1).cast("int")).alias("p"))))
-_DRAWS = "y AS (SELECT subject, grp, t, (state = 1)::INT AS y FROM seq), u AS (SELECT DISTINCT subject, grp FROM y), n AS (SELECT count(*) FILTER (grp = 'a') AS na FROM u), dr AS (SELECT subject, draw, row_number() OVER (PARTITION BY draw ORDER BY md5(subject::VARCHAR || ':' || draw::VARCHAR || ':3'), subject) AS place FROM u, range(1, 101) r(draw)), ia AS (SELECT subject, draw FROM dr, n WHERE place <= na UNION ALL SELECT subject, 0 FROM u WHERE grp = 'a'), sm AS (SELECT draw, t, sum(y) AS sa, count(*) AS ca FROM ia JOIN y USING (subject) GROUP BY 1, 2), tt AS (SELECT t, sum(y) AS s, count(*) AS c FROM y GROUP BY 1), co AS (SELECT draw, sa / ca::DOUBLE AS x, (s - sa) / (c - ca)::DOUBLE AS z FROM sm JOIN tt USING (t) WHERE c > ca)"
+_query("bh_fdr", f"""WITH {SEQ},
+p AS (SELECT t, avg((state = 1)::INT) AS p FROM seq GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY p, t) AS rank, count(*) OVER () AS m FROM p)
+SELECT t, round(p, 6) AS p, round(least(1, min(p * m / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r""")(lambda s, d: inference.bh_fdr(v_seq(s, d).groupBy("t").agg(F.avg((F.col("state") == 1).cast("int")).alias("p"))))
+_DRAWS = """y AS (SELECT subject, grp, t, (state = 1)::INT AS y FROM seq),
+u AS (SELECT DISTINCT subject, grp FROM y),
+n AS (SELECT count(*) FILTER (grp = 'a') AS na FROM u),
+dr AS (SELECT subject, draw, row_number() OVER (PARTITION BY draw ORDER BY md5(subject::VARCHAR || ':' || draw::VARCHAR || ':3'), subject) AS place
+  FROM u, range(1, 101) r(draw)),
+ia AS (SELECT subject, draw FROM dr, n WHERE place <= na UNION ALL SELECT subject, 0 FROM u WHERE grp = 'a'),
+sm AS (SELECT draw, t, sum(y) AS sa, count(*) AS ca FROM ia JOIN y USING (subject) GROUP BY 1, 2),
+tt AS (SELECT t, sum(y) AS s, count(*) AS c FROM y GROUP BY 1),
+co AS (SELECT draw, sa / ca::DOUBLE AS x, (s - sa) / (c - ca)::DOUBLE AS z FROM sm JOIN tt USING (t) WHERE c > ca)"""
 for _name, _metric, _sql in (("permutation_test", "euclidean", "sqrt(sum((x - z) ** 2))"), ("permutation_correlation", "correlation", "1 - corr(x, z)"), ("permutation_mean", "absolute_mean", "avg(abs(x - z))")):
     _query(
         _name,
-        f"WITH {SEQ}, {_DRAWS}, dd AS (SELECT draw, {_sql} AS d FROM co GROUP BY 1), o AS (SELECT d AS observed FROM dd WHERE draw = 0) SELECT round(observed, 6) AS observed, round(avg((d >= observed - 1e-12)::INT), 6) AS p_value, round(100 * (avg((d < observed - 1e-12)::INT) + avg((abs(d - observed) <= 1e-12)::INT) / 2), 6) AS percentile, round(avg(d), 6) AS null_mean, round(stddev_pop(d), 6) AS null_std, round((observed - avg(d)) / stddev_pop(d), 6) AS effect, round(CASE WHEN avg(d) > 0 THEN observed / avg(d) END, 6) AS fold_change FROM dd, o WHERE draw > 0 GROUP BY observed",
+        f"""WITH {SEQ}, {_DRAWS},
+dd AS (SELECT draw, {_sql} AS d FROM co GROUP BY 1),
+o AS (SELECT d AS observed FROM dd WHERE draw = 0)
+SELECT round(observed, 6) AS observed, round(avg((d >= observed - 1e-12)::INT), 6) AS p_value, round(100 * (avg((d < observed - 1e-12)::INT) +
+  avg((abs(d - observed) <= 1e-12)::INT) / 2), 6) AS percentile, round(avg(d), 6) AS null_mean, round(stddev_pop(d), 6) AS null_std, round((observed -
+  avg(d)) / stddev_pop(d), 6) AS effect, round(CASE WHEN avg(d) > 0 THEN observed / avg(d) END, 6) AS fold_change FROM dd, o WHERE draw > 0 GROUP BY
+  observed""",
     )(lambda s, d, metric=_metric: inference.permutation_test(panel.target_indicator(v_seq(s, d), 1), 100, 3, metric))
 _query(
     "bootstrap_ci",
-    f"WITH {SEQ}, u AS (SELECT row_number() OVER (ORDER BY subject) - 1 AS unit, avg((state = 1)::INT) AS v FROM seq GROUP BY subject), n AS (SELECT count(*) AS n FROM u), sl AS (SELECT slot, draw, ('0x' || substr(md5(draw::VARCHAR || ':' || slot::VARCHAR || ':5'), 1, 8))::BIGINT % n AS unit FROM n, range(n) s(slot), range(1, 201) r(draw)), m AS (SELECT draw, avg(v) AS m FROM sl JOIN u USING (unit) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper, round(stddev_pop(m), 6) AS std FROM m",
+    f"""WITH {SEQ},
+u AS (SELECT row_number() OVER (ORDER BY subject) - 1 AS unit, avg((state = 1)::INT) AS v FROM seq GROUP BY subject),
+n AS (SELECT count(*) AS n FROM u),
+sl AS (SELECT slot, draw, ('0x' || substr(md5(draw::VARCHAR || ':' || slot::VARCHAR || ':5'), 1, 8))::BIGINT % n AS unit FROM n, range(n) s(slot),
+  range(1, 201) r(draw)),
+m AS (SELECT draw, avg(v) AS m FROM sl JOIN u USING (unit) GROUP BY 1)
+SELECT round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper, round(stddev_pop(m), 6) AS std FROM m""",
 )(lambda s, d: inference.bootstrap_ci(numbered(v_seq(s, d).groupBy("subject").agg(F.avg((F.col("state") == 1).cast("int")).alias("v")), F.col("subject"), name="unit"), 200, seed=5))
 
 
-_query("loo_summary", f"WITH {SEQ}, l AS (SELECT state::BIGINT AS term, grp, subject, avg(x) / 100 AS coef FROM seq GROUP BY 1, 2, 3), m AS (SELECT term, avg(coef) FILTER (grp = 'a') AS mean_a, avg(coef) FILTER (grp = 'b') AS mean_b, stddev_samp(coef) FILTER (grp = 'a') AS sd_a, stddev_samp(coef) FILTER (grp = 'b') AS sd_b FROM l GROUP BY 1) SELECT term, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(sd_a, 6) AS sd_a, round(sd_b, 6) AS sd_b, round(least(sd_a, sd_b) / greatest(sd_a, sd_b), 6) AS stability FROM m")(
+_query("loo_summary", f"""WITH {SEQ},
+l AS (SELECT state::BIGINT AS term, grp, subject, avg(x) / 100 AS coef FROM seq GROUP BY 1, 2, 3),
+m AS (SELECT term, avg(coef) FILTER (grp = 'a') AS mean_a, avg(coef) FILTER (grp = 'b') AS mean_b, stddev_samp(coef) FILTER (grp = 'a') AS sd_a,
+  stddev_samp(coef) FILTER (grp = 'b') AS sd_b FROM l GROUP BY 1)
+SELECT term, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(sd_a, 6) AS sd_a, round(sd_b, 6) AS sd_b, round(least(sd_a, sd_b) /
+  greatest(sd_a, sd_b), 6) AS stability FROM m""")(
     lambda s, d: inference.loo_summary(v_seq(s, d).groupBy(F.col("state").alias("term"), "grp", "subject").agg((F.avg("x") / 100).alias("coef")))
 )
 
 # levels and parsed columns
-_query("mean_of_means", f"WITH {SIGNAL}, p AS (SELECT subject, network, parcel, t, avg(value) AS value FROM sig GROUP BY ALL) SELECT subject, network, t::BIGINT AS t, round(avg(value), 6) AS value, count(*) AS n_parcels FROM p GROUP BY 1, 2, 3")(lambda s, d: hierarchy.mean_of_means(v_signal(s, d)))
+_query("mean_of_means", f"""WITH {SIGNAL},
+p AS (SELECT subject, network, parcel, t, avg(value) AS value FROM sig GROUP BY ALL)
+SELECT subject, network, t::BIGINT AS t, round(avg(value), 6) AS value, count(*) AS n_parcels FROM p GROUP BY 1, 2, 3""")(lambda s, d: hierarchy.mean_of_means(v_signal(s, d)))
 _query("network_lookup", "SELECT l_partkey AS element, p_brand AS parcel, p_type AS network, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3")(lambda s, d: v_signal(s, d).groupBy("element", "parcel", "network").agg(F.count("*").alias("n")))
 _query("network_missing", "SELECT DISTINCT p_type AS network FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') AND p_size < 3)")(lambda s, d: hierarchy.networks_missing(table(s, d, "part").filter("p_brand in ('Brand#1', 'Brand#2') and p_size < 3").select(F.col("p_partkey").alias("parcel")), v_atlas(s, d).select(F.col("element").alias("parcel"), "network")))
-_query("value_to_elements", f"WITH {SIGNAL}, v AS (SELECT network, avg(value) AS value FROM sig GROUP BY 1) SELECT p_partkey AS element, p_brand AS parcel, p_type AS network, round(value, 6) AS value FROM part JOIN v ON network = p_type")(lambda s, d: hierarchy.value_to_elements(v_signal(s, d).groupBy("network").agg(F.avg("value").alias("value")), v_atlas(s, d)))
+_query("value_to_elements", f"""WITH {SIGNAL},
+v AS (SELECT network, avg(value) AS value FROM sig GROUP BY 1)
+SELECT p_partkey AS element, p_brand AS parcel, p_type AS network, round(value, 6) AS value FROM part JOIN v ON network = p_type""")(lambda s, d: hierarchy.value_to_elements(v_signal(s, d).groupBy("network").agg(F.avg("value").alias("value")), v_atlas(s, d)))
 _query("props_json", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")))
 _query("parse_list", "SELECT user_id, round(list_sum(list(value)), 4) AS total FROM events GROUP BY 1")(
     lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.col("value").cast("string")), ", "), F.lit("]")).alias("text")).select("user_id", F.round(F.aggregate(tables.parse_list(F.col("text")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
@@ -378,10 +594,18 @@ def _assigned(s: SparkSession, d: str) -> DataFrame:
 
 
 _ASG = "asg AS (SELECT i, round(0.6::DOUBLE + i / 10.0::DOUBLE, 6) AS threshold, vec_id AS id, label % (i * 3 + 4) AS cluster FROM embeddings, range(3) r(i) WHERE vec_id % (i + 2) <> 0)"
-_query("threshold_stats", f"WITH {_ASG}, z AS (SELECT threshold, cluster, count(*) AS n FROM asg GROUP BY 1, 2) SELECT threshold, count(*) AS n_clusters, sum(n)::BIGINT AS n_patterns, max(n) AS max_size, round(avg(n), 6) AS mean_size, round(count(*) / sum(n)::DOUBLE, 6) AS fragmentation FROM z GROUP BY 1")(lambda s, d: clustering.threshold_stats(_assigned(s, d)))
+_query("threshold_stats", f"""WITH {_ASG},
+z AS (SELECT threshold, cluster, count(*) AS n FROM asg GROUP BY 1, 2)
+SELECT threshold, count(*) AS n_clusters, sum(n)::BIGINT AS n_patterns, max(n) AS max_size, round(avg(n), 6) AS mean_size, round(count(*) /
+  sum(n)::DOUBLE, 6) AS fragmentation FROM z GROUP BY 1""")(lambda s, d: clustering.threshold_stats(_assigned(s, d)))
 _query(
     "lifecycle",
-    f"WITH {_ASG}, z AS (SELECT *, count(*) OVER (PARTITION BY i, cluster) AS size, coalesce((lag(cluster) OVER (PARTITION BY id ORDER BY i) <> cluster)::INT, 0) AS ch FROM asg) SELECT id, count(*) AS persistence, min(threshold) AS first, max(threshold) AS last, max(i) - min(i) + 1 > count(*) AS has_gaps, sum(ch)::BIGINT AS cluster_changes, CASE WHEN arg_max(size, i) > 1.2 * arg_min(size, i) THEN 'growing' WHEN arg_max(size, i) < 0.8 * arg_min(size, i) THEN 'shrinking' ELSE 'stable' END AS size_trend FROM z GROUP BY id".replace("AS first", 'AS "first"').replace("AS last", 'AS "last"'),
+    f"""WITH {_ASG},
+z AS (SELECT *, count(*) OVER (PARTITION BY i, cluster) AS size, coalesce((lag(cluster) OVER (PARTITION BY id ORDER BY i) <> cluster)::INT, 0) AS ch
+  FROM asg)
+SELECT id, count(*) AS persistence, min(threshold) AS first, max(threshold) AS last, max(i) - min(i) + 1 > count(*) AS has_gaps, sum(ch)::BIGINT AS
+  cluster_changes, CASE WHEN arg_max(size, i) > 1.2 * arg_min(size, i) THEN 'growing' WHEN arg_max(size, i) < 0.8 * arg_min(size, i) THEN 'shrinking'
+  ELSE 'stable' END AS size_trend FROM z GROUP BY id""".replace("AS first", 'AS "first"').replace("AS last", 'AS "last"'),
 )(lambda s, d: clustering.lifecycles(_assigned(s, d)))
 _query("first_model", "SELECT label::BIGINT AS cluster, min(vec_id % 20) AS n_states, arg_min(vec_id, (vec_id % 20) * 10000000 + vec_id) AS state FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1")(
     lambda s, d: clustering.first_model(_members(s, d).select("cluster", "grp", (F.col("id") % 20).alias("n_states"), F.col("id").alias("state")), "a")
@@ -389,7 +613,13 @@ _query("first_model", "SELECT label::BIGINT AS cluster, min(vec_id % 20) AS n_st
 _query("annotation_totals", f"WITH {_AS} SELECT count(*) AS n_words, count(DISTINCT story) AS n_stories, sum(is_verb::INT)::BIGINT AS n_is_verb, round(avg(is_verb::INT), 6) AS share_is_verb FROM asw")(lambda s, d: align.annotation_totals(_tagged(s, d), ["is_verb"]))
 _query(
     "format_effects",
-    "WITH e AS (SELECT o_orderkey, (o_orderkey % 1009) / 1009.0::DOUBLE AS p, (o_orderkey % 150 * (CASE WHEN o_orderkey % 7 = 0 THEN 1000 ELSE 1 END))::DOUBLE AS b, o_orderkey % 400 / 128.0::DOUBLE - 1 AS c, (o_orderkey % 50 + 1) / 64.0::DOUBLE AS sd, o_orderkey % 3 = 0 AS credible FROM orders), t AS (SELECT *, CASE WHEN b >= 100 THEN '***' WHEN b >= 10 THEN '**' WHEN b >= 3 THEN '*' ELSE '' END AS stars FROM e) SELECT o_orderkey, CASE WHEN p > 0.999 THEN '>0.999' WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS prob_text, stars, CASE WHEN b > 10000 THEN printf('%.2e', b) ELSE printf('%.2f', b) END AS factor_text, trim(printf('%.3f', c) || ' \u00b1 ' || printf('%.3f', sd) || ' ' || stars) AS effect_text, printf('%.3f', c) || CASE WHEN credible THEN ' \u2020' ELSE '' END AS diff_text FROM t",
+    """WITH e AS (SELECT o_orderkey, (o_orderkey % 1009) / 1009.0::DOUBLE AS p, (o_orderkey % 150 * (CASE WHEN o_orderkey % 7 = 0 THEN 1000 ELSE 1
+  END))::DOUBLE AS b, o_orderkey % 400 / 128.0::DOUBLE - 1 AS c, (o_orderkey % 50 + 1) / 64.0::DOUBLE AS sd, o_orderkey % 3 = 0 AS credible FROM
+  orders),
+t AS (SELECT *, CASE WHEN b >= 100 THEN '***' WHEN b >= 10 THEN '**' WHEN b >= 3 THEN '*' ELSE '' END AS stars FROM e)
+SELECT o_orderkey, CASE WHEN p > 0.999 THEN '>0.999' WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS prob_text, stars, CASE WHEN b > 10000
+  THEN printf('%.2e', b) ELSE printf('%.2f', b) END AS factor_text, trim(printf('%.3f', c) || ' \u00b1 ' || printf('%.3f', sd) || ' ' || stars) AS
+  effect_text, printf('%.3f', c) || CASE WHEN credible THEN ' \u2020' ELSE '' END AS diff_text FROM t""",
 )(
     lambda s, d: inference.format_effects(
         table(s, d, "orders").select(
@@ -398,7 +628,10 @@ _query(
         )
     ).select("o_orderkey", "prob_text", "stars", "factor_text", "effect_text", "diff_text")
 )
-_query("effect_order", f"WITH {SEQ}, e AS (SELECT state::BIGINT AS term, grp, exp(avg(x) / 1000) AS o FROM seq GROUP BY 1, 2), m AS (SELECT term, max(abs(o - 1)) AS size FROM e GROUP BY 1 HAVING count(DISTINCT grp) = 2) SELECT term, round(size, 6) AS size, row_number() OVER (ORDER BY size DESC, term) AS place FROM m")(
+_query("effect_order", f"""WITH {SEQ},
+e AS (SELECT state::BIGINT AS term, grp, exp(avg(x) / 1000) AS o FROM seq GROUP BY 1, 2),
+m AS (SELECT term, max(abs(o - 1)) AS size FROM e GROUP BY 1 HAVING count(DISTINCT grp) = 2)
+SELECT term, round(size, 6) AS size, row_number() OVER (ORDER BY size DESC, term) AS place FROM m""")(
     lambda s, d: inference.effect_order(v_seq(s, d).groupBy(F.col("state").alias("term"), "grp").agg(F.exp(F.avg("x") / 1000).alias("odds_ratio")))
 )
 
@@ -406,16 +639,32 @@ _query("effect_order", f"WITH {SEQ}, e AS (SELECT state::BIGINT AS term, grp, ex
 _query("transition_rate", f"WITH {SEQ} SELECT grp, round(count(*) FILTER (prev <> state) / count(prev)::DOUBLE, 6) AS transition_rate FROM chg GROUP BY 1")(lambda s, d: q.transition_rate(v_seq(s, d), "grp"))
 _query(
     "mutual_info",
-    f"WITH {SEQ}, c AS (SELECT grp, state, t // 9 AS b, count(*)::DOUBLE AS n FROM seq GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY grp) AS al_n, sum(n) OVER (PARTITION BY grp, state) AS na, sum(n) OVER (PARTITION BY grp, b) AS nb FROM c) SELECT grp, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1",
+    f"""WITH {SEQ},
+c AS (SELECT grp, state, t // 9 AS b, count(*)::DOUBLE AS n FROM seq GROUP BY ALL),
+m AS (SELECT *, sum(n) OVER (PARTITION BY grp) AS al_n, sum(n) OVER (PARTITION BY grp, state) AS na, sum(n) OVER (PARTITION BY grp, b) AS nb FROM c)
+SELECT grp, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1""",
 )(lambda s, d: pairs.mutual_information(v_seq(s, d).groupBy("grp", "state", F.floor(F.col("t") / 9).alias("b")).agg(F.count("*").alias("n")), ["grp"], "state", "b"))
 _query(
     "ljung_box",
-    f"WITH {SEQ}, c AS (SELECT subject, t, x - avg(x) OVER (PARTITION BY subject) AS d, count(*) OVER (PARTITION BY subject) AS n FROM seq), v AS (SELECT subject, sum(d * d) AS v FROM c GROUP BY 1), r AS (SELECT a.subject, l.lag, any_value(a.n) AS n, sum(a.d * b.d) / any_value(v.v) AS r FROM range(1, 11) l(lag), c a JOIN c b ON a.subject = b.subject AND a.t = b.t + l.lag JOIN v ON v.subject = a.subject WHERE a.n >= 25 GROUP BY 1, 2) SELECT subject, lag, round(r, 6) AS autocorrelation, round(n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY subject ORDER BY lag), 6) AS statistic FROM r",
+    f"""WITH {SEQ},
+c AS (SELECT subject, t, x - avg(x) OVER (PARTITION BY subject) AS d, count(*) OVER (PARTITION BY subject) AS n FROM seq),
+v AS (SELECT subject, sum(d * d) AS v FROM c GROUP BY 1),
+r AS (SELECT a.subject, l.lag, any_value(a.n) AS n, sum(a.d * b.d) / any_value(v.v) AS r FROM range(1, 11) l(lag), c a JOIN c b ON a.subject =
+  b.subject AND a.t = b.t + l.lag JOIN v ON v.subject = a.subject WHERE a.n >= 25 GROUP BY 1, 2)
+SELECT subject, lag, round(r, 6) AS autocorrelation, round(n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY subject ORDER BY lag), 6) AS
+  statistic FROM r""",
 )(lambda s, d: curves.ljung_box(v_seq(s, d)).select("subject", "lag", "autocorrelation", "statistic"))
 _query("ljung_box_p", None)(lambda s, d: curves.ljung_box(v_seq(s, d)))
 _query(
     "residualise",
-    f"WITH {SEQ}, f AS (SELECT subject, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(state, t) AS bs, regr_intercept(state, t) AS as_ FROM seq GROUP BY 1), r AS (SELECT s.subject, t, x - ax - bx * t AS rx, state - as_ - bs * t AS rs FROM seq s JOIN f USING (subject)), g AS (SELECT subject, sum(rx * rs) / sum(rs * rs) AS b FROM r GROUP BY 1), e AS (SELECT subject, t, rx - b * rs AS residual FROM r JOIN g USING (subject)) SELECT subject, t, round(residual, 6) AS residual, round((residual - avg(residual) OVER w) / stddev_samp(residual) OVER w, 6) AS z FROM e WINDOW w AS (PARTITION BY subject)",
+    f"""WITH {SEQ},
+f AS (SELECT subject, regr_slope(x, t) AS bx, regr_intercept(x, t) AS ax, regr_slope(state, t) AS bs, regr_intercept(state, t) AS as_ FROM seq GROUP
+  BY 1),
+r AS (SELECT s.subject, t, x - ax - bx * t AS rx, state - as_ - bs * t AS rs FROM seq s JOIN f USING (subject)),
+g AS (SELECT subject, sum(rx * rs) / sum(rs * rs) AS b FROM r GROUP BY 1),
+e AS (SELECT subject, t, rx - b * rs AS residual FROM r JOIN g USING (subject))
+SELECT subject, t, round(residual, 6) AS residual, round((residual - avg(residual) OVER w) / stddev_samp(residual) OVER w, 6) AS z FROM e WINDOW w AS
+  (PARTITION BY subject)""",
 )(lambda s, d: curves.residualise(v_seq(s, d), ["t", "state"]).select("subject", "t", "residual", "z"))
 _query(
     "variance_inflation",
@@ -423,7 +672,19 @@ _query(
 )(lambda s, d: curves.variance_inflation(v_seq(s, d), ["state", "t"]))
 _query(
     "knee_point",
-    f"WITH {_PK}, g AS (SELECT round((round(quantile_cont(agreement, 0.85), 2) - 0.05) / 0.01)::INT AS lo, round(round(quantile_cont(agreement, 0.95), 2) / 0.01)::INT AS hi FROM (SELECT round(agreement, 9) AS agreement FROM ag)), k AS (SELECT round(unnest(range(lo, hi + 1)) * 0.01::DOUBLE, 2) AS threshold FROM g), cu AS (SELECT threshold AS x, (SELECT count(*) FROM pk WHERE prominence >= threshold) AS y FROM k), un AS (SELECT x, (x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0) AS u, 1 - (y - min(y) OVER ()) / nullif(max(y) OVER () - min(y) OVER (), 0)::DOUBLE AS v, count(*) OVER () AS n FROM cu), be AS (SELECT *, v - u AS d, lag(v - u) OVER (ORDER BY x) AS bef, lead(v - u) OVER (ORDER BY x) AS aft FROM un), tu AS (SELECT *, CASE WHEN d >= bef AND d >= aft THEN x END AS top, CASE WHEN d >= bef AND d >= aft THEN d - 2.0::DOUBLE / (n - 1) WHEN d <= bef AND d <= aft THEN 0::DOUBLE END AS bar FROM be), st8 AS (SELECT aft, last_value(top IGNORE NULLS) OVER w AS knee, last_value(bar IGNORE NULLS) OVER w AS bar FROM tu WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)) SELECT 'all' AS series, round(min(knee), 6) AS knee FROM st8 WHERE knee IS NOT NULL AND aft < bar HAVING count(*) > 0",
+    f"""WITH {_PK},
+g AS (SELECT round((round(quantile_cont(agreement, 0.85), 2) - 0.05) / 0.01)::INT AS lo, round(round(quantile_cont(agreement, 0.95), 2) / 0.01)::INT
+  AS hi FROM (SELECT round(agreement, 9) AS agreement FROM ag)),
+k AS (SELECT round(unnest(range(lo, hi + 1)) * 0.01::DOUBLE, 2) AS threshold FROM g),
+cu AS (SELECT threshold AS x, (SELECT count(*) FROM pk WHERE prominence >= threshold) AS y FROM k),
+un AS (SELECT x, (x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0) AS u, 1 - (y - min(y) OVER ()) / nullif(max(y) OVER () - min(y)
+  OVER (), 0)::DOUBLE AS v, count(*) OVER () AS n FROM cu),
+be AS (SELECT *, v - u AS d, lag(v - u) OVER (ORDER BY x) AS bef, lead(v - u) OVER (ORDER BY x) AS aft FROM un),
+tu AS (SELECT *, CASE WHEN d >= bef AND d >= aft THEN x END AS top, CASE WHEN d >= bef AND d >= aft THEN d - 2.0::DOUBLE / (n - 1) WHEN d <= bef AND d
+  <= aft THEN 0::DOUBLE END AS bar FROM be),
+st8 AS (SELECT aft, last_value(top IGNORE NULLS) OVER w AS knee, last_value(bar IGNORE NULLS) OVER w AS bar FROM tu WINDOW w AS (ORDER BY x ROWS
+  UNBOUNDED PRECEDING))
+SELECT 'all' AS series, round(min(knee), 6) AS knee FROM st8 WHERE knee IS NOT NULL AND aft < bar HAVING count(*) > 0""",
 )(lambda s, d: curves.knee_point(align.threshold_sweep(align.peaks(x := _series(s, d)), x).select(F.lit("all").alias("series"), F.col("threshold").alias("x"), F.col("n_peaks").alias("y"))))
 _query("timepoint_p", None)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_seq(s, d), 1)))
 
@@ -436,18 +697,28 @@ def _rank_correlation_p(s: SparkSession, d: str) -> DataFrame:
 _query("rank_correlation_p", None)(_rank_correlation_p)
 _query(
     "pattern_cosine",
-    f"WITH {OBS}, o AS (SELECT id % 10 AS subject, state::BIGINT AS state, feature, avg(value) AS x FROM obs GROUP BY ALL), w AS (SELECT state::BIGINT AS state, feature, avg(value) AS y FROM obs GROUP BY ALL) SELECT subject, state, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12), 6) AS cosine FROM o JOIN w USING (state, feature) GROUP BY 1, 2",
+    f"""WITH {OBS},
+o AS (SELECT id % 10 AS subject, state::BIGINT AS state, feature, avg(value) AS x FROM obs GROUP BY ALL),
+w AS (SELECT state::BIGINT AS state, feature, avg(value) AS y FROM obs GROUP BY ALL)
+SELECT subject, state, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12), 6) AS cosine FROM o JOIN w USING (state, feature) GROUP BY 1,
+  2""",
 )(lambda s, d: patterns.pattern_consistency(v_obs(s, d).withColumn("subject", F.col("id") % 10)))
 _query("state_distance", f"WITH {_SF} SELECT x.state AS a, y.state AS b, round(sqrt(sum((x.mean - y.mean) ** 2)), 6) AS distance FROM sf x JOIN sf y ON x.feature = y.feature AND x.state < y.state GROUP BY 1, 2")(
     lambda s, d: patterns.state_distance(patterns.state_feature_stats(v_obs(s, d)))
 )
 _query(
     "consensus_check",
-    f"WITH {OBS}, {_ME}, st1 AS (SELECT cluster, feature, avg((value > 0.1)::INT) >= 0.5 AS stored FROM me JOIN obs USING (id) WHERE grp = 'a' GROUP BY 1, 2), f AS (SELECT cluster, feature, avg((value > 0.1)::INT) AS frequency FROM me JOIN obs USING (id) GROUP BY 1, 2) SELECT f.cluster, f.feature, round(frequency, 6) AS frequency, (frequency >= 0.5) = coalesce(stored, false) AS matches FROM f LEFT JOIN st1 USING (cluster, feature)",
+    f"""WITH {OBS}, {_ME},
+st1 AS (SELECT cluster, feature, avg((value > 0.1)::INT) >= 0.5 AS stored FROM me JOIN obs USING (id) WHERE grp = 'a' GROUP BY 1, 2),
+f AS (SELECT cluster, feature, avg((value > 0.1)::INT) AS frequency FROM me JOIN obs USING (id) GROUP BY 1, 2)
+SELECT f.cluster, f.feature, round(frequency, 6) AS frequency, (frequency >= 0.5) = coalesce(stored, false) AS matches FROM f LEFT JOIN st1 USING
+  (cluster, feature)""",
 )(lambda s, d: patterns.consensus_check(v := v_obs(s, d).select("id", "feature", "value", (F.col("value") > 0.1).alias("active")), m := _members(s, d), patterns.consensus_mean(v, m.filter("grp = 'a'"))))
 _query(
     "model_state_pivot",
-    "SELECT 'a_' || vec_id % 20 || 'states' AS model, vec_id % 20 AS n_states, min(label) FILTER (vec_id // 20 % 4 = 0)::BIGINT AS s0, min(label) FILTER (vec_id // 20 % 4 = 1)::BIGINT AS s1, min(label) FILTER (vec_id // 20 % 4 = 2)::BIGINT AS s2, min(label) FILTER (vec_id // 20 % 4 = 3)::BIGINT AS s3 FROM embeddings GROUP BY 1, 2",
+    """SELECT 'a_' || vec_id % 20 || 'states' AS model, vec_id % 20 AS n_states, min(label) FILTER (vec_id // 20 % 4 = 0)::BIGINT AS s0, min(label) FILTER
+  (vec_id // 20 % 4 = 1)::BIGINT AS s1, min(label) FILTER (vec_id // 20 % 4 = 2)::BIGINT AS s2, min(label) FILTER (vec_id // 20 % 4 = 3)::BIGINT AS s3
+  FROM embeddings GROUP BY 1, 2""",
 )(
     lambda s, d: patterns.model_state_pivot(
         table(s, d, "embeddings").select(F.concat(F.lit("a_"), (F.col("vec_id") % 20).cast("string"), F.lit("states")).alias("model"), (F.floor(F.col("vec_id") / 20) % 4).cast("int").alias("sorted_state"), F.col("label").alias("cluster")), 4
@@ -455,7 +726,11 @@ _query(
 )
 _query(
     "model_consistency",
-    "WITH e AS (SELECT label % 3 AS model, label AS state, vec_id % 10 AS subject, avg((embedding[1] > 0.1)::INT) AS o, avg(embedding[2]::DOUBLE) AS c, avg(abs(embedding[3]::DOUBLE)) AS h FROM embeddings GROUP BY 1, 2, 3), b AS (SELECT model, state, avg(o) AS o, var_pop(c) AS c, avg(h) AS h FROM e GROUP BY 1, 2) SELECT model::BIGINT AS model, round(100 * avg((o < 0.25)::INT), 6) AS pct_low_freq, round(max(c), 6) AS max_pattern_var, round(avg(h), 6) AS mean_stability FROM b GROUP BY 1",
+    """WITH e AS (SELECT label % 3 AS model, label AS state, vec_id % 10 AS subject, avg((embedding[1] > 0.1)::INT) AS o, avg(embedding[2]::DOUBLE) AS c,
+  avg(abs(embedding[3]::DOUBLE)) AS h FROM embeddings GROUP BY 1, 2, 3),
+b AS (SELECT model, state, avg(o) AS o, var_pop(c) AS c, avg(h) AS h FROM e GROUP BY 1, 2)
+SELECT model::BIGINT AS model, round(100 * avg((o < 0.25)::INT), 6) AS pct_low_freq, round(max(c), 6) AS max_pattern_var, round(avg(h), 6) AS
+  mean_stability FROM b GROUP BY 1""",
 )(
     lambda s, d: patterns.model_consistency(
         table(s, d, "embeddings").groupBy((F.col("label") % 3).alias("model"), F.col("label").alias("state"), (F.col("vec_id") % 10).alias("subject"))
@@ -464,21 +739,42 @@ _query(
 )
 _query(
     "model_rank_penalised",
-    f"WITH {MODELS}, r AS (SELECT *, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r0, rank() OVER (ORDER BY spread) + (count(*) OVER (PARTITION BY spread) - 1) / 2.0::DOUBLE AS r1, ln(1 + k) / ln(1 + max(k) OVER ()) AS pen FROM models) SELECT model::BIGINT AS model, round((0.3::DOUBLE * r0 + 0.2::DOUBLE * r1) / 0.5, 6) AS rank_score, round(1 - pen, 6) AS explainability, round((0.3::DOUBLE * r0 + 0.2::DOUBLE * r1) / 0.5 * (1 + 0.2::DOUBLE * pen), 6) AS final FROM r",
+    f"""WITH {MODELS},
+r AS (SELECT *, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r0, rank() OVER (ORDER BY spread) +
+  (count(*) OVER (PARTITION BY spread) - 1) / 2.0::DOUBLE AS r1, ln(1 + k) / ln(1 + max(k) OVER ()) AS pen FROM models)
+SELECT model::BIGINT AS model, round((0.3::DOUBLE * r0 + 0.2::DOUBLE * r1) / 0.5, 6) AS rank_score, round(1 - pen, 6) AS explainability,
+  round((0.3::DOUBLE * r0 + 0.2::DOUBLE * r1) / 0.5 * (1 + 0.2::DOUBLE * pen), 6) AS final FROM r""",
 )(lambda s, d: inference.model_rank_penalised(v_models(s, d), {"score": (0.3, True), "spread": (0.2, False)}, "k").select("model", "rank_score", "explainability", "final"))
-_TK = f"{_ASG}, sz AS (SELECT threshold, cluster::BIGINT AS cluster, count(*) AS size FROM asg GROUP BY 1, 2), tk AS (SELECT *, row_number() OVER (PARTITION BY threshold ORDER BY size DESC, cluster) AS place, count(*) OVER (PARTITION BY threshold) AS n_clusters, sum(size) OVER (PARTITION BY threshold)::BIGINT AS n_patterns FROM sz)"
+_TK = f"""{_ASG},
+sz AS (SELECT threshold, cluster::BIGINT AS cluster, count(*) AS size FROM asg GROUP BY 1, 2),
+tk AS (SELECT *, row_number() OVER (PARTITION BY threshold ORDER BY size DESC, cluster) AS place, count(*) OVER (PARTITION BY threshold) AS
+  n_clusters, sum(size) OVER (PARTITION BY threshold)::BIGINT AS n_patterns FROM sz)"""
 _query("topk_clusters", f"WITH {_TK} SELECT * FROM tk WHERE place <= 5")(lambda s, d: clustering.top_clusters(_assigned(s, d)))
 _query(
     "signature_tracking",
-    f"WITH {_TK}, {OBS}, p AS (SELECT id AS pattern_id, feature FROM obs WHERE value > 0), k AS (SELECT threshold, cluster, feature, count(*) AS k FROM asg JOIN p ON p.pattern_id = asg.id GROUP BY ALL), sg AS (SELECT threshold, cluster, string_agg(feature::VARCHAR, ' ' ORDER BY feature) AS signature FROM k JOIN sz USING (threshold, cluster) WHERE 2 * k.k >= size GROUP BY 1, 2), j AS (SELECT threshold, cluster, place, size, signature FROM tk JOIN sg USING (threshold, cluster) WHERE place <= 5), g AS (SELECT signature, count(*) AS persistence, 'G' || row_number() OVER (ORDER BY count(*) DESC, signature) AS cluster_group FROM j GROUP BY 1), n AS (SELECT threshold, count(DISTINCT signature) AS n_signatures FROM j GROUP BY 1) SELECT threshold, cluster, place, size, signature, persistence, cluster_group, n_signatures FROM j JOIN g USING (signature) JOIN n USING (threshold)",
+    f"""WITH {_TK}, {OBS},
+p AS (SELECT id AS pattern_id, feature FROM obs WHERE value > 0),
+k AS (SELECT threshold, cluster, feature, count(*) AS k FROM asg JOIN p ON p.pattern_id = asg.id GROUP BY ALL),
+sg AS (SELECT threshold, cluster, string_agg(feature::VARCHAR, ' ' ORDER BY feature) AS signature FROM k JOIN sz USING (threshold, cluster) WHERE 2 *
+  k.k >= size GROUP BY 1, 2),
+j AS (SELECT threshold, cluster, place, size, signature FROM tk JOIN sg USING (threshold, cluster) WHERE place <= 5),
+g AS (SELECT signature, count(*) AS persistence, 'G' || row_number() OVER (ORDER BY count(*) DESC, signature) AS cluster_group FROM j GROUP BY 1),
+n AS (SELECT threshold, count(DISTINCT signature) AS n_signatures FROM j GROUP BY 1)
+SELECT threshold, cluster, place, size, signature, persistence, cluster_group, n_signatures FROM j JOIN g USING (signature) JOIN n USING (threshold)""",
 )(lambda s, d: clustering.signature_tracking(clustering.top_clusters(a := _assigned(s, d)), clustering.signatures(a, v_obs(s, d).filter("value > 0").select(F.col("id").alias("pattern_id"), "feature"))))
 _query(
     "lifecycle_xtab",
-    f"WITH c AS ({_ORACLES['lifecycle']}) SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, count(*) FILTER (size_trend = 'growing') AS growing, count(*) FILTER (size_trend = 'shrinking') AS shrinking, count(*) FILTER (size_trend = 'stable') AS stable, count(*) FILTER (has_gaps) AS with_gaps, count(*) FILTER (NOT has_gaps) AS without_gaps FROM c GROUP BY 1",
+    f"""WITH c AS ({_ORACLES['lifecycle']})
+SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS grp, count(*) FILTER (size_trend = 'growing') AS growing, count(*) FILTER (size_trend =
+  'shrinking') AS shrinking, count(*) FILTER (size_trend = 'stable') AS stable, count(*) FILTER (has_gaps) AS with_gaps, count(*) FILTER (NOT
+  has_gaps) AS without_gaps FROM c GROUP BY 1""",
 )(lambda s, d: clustering.lifecycle_xtab(clustering.lifecycles(_assigned(s, d)), _members(s, d).select("id", "grp")))
 _query(
     "feature_summary",
-    f"WITH {SEQ} SELECT state::BIGINT AS feature, round(avg(x) FILTER (grp = 'a') / 1000, 6) AS group_effect, round(avg((x > 100)::INT) FILTER (grp = 'a'), 6) AS group_prob, round(exp(avg(x) FILTER (grp = 'a') / 1000), 6) AS group_odds_ratio, round(avg(x) FILTER (grp = 'b') / 1000, 6) AS interaction_effect, round(avg((x > 100)::INT) FILTER (grp = 'b'), 6) AS interaction_prob, round(exp(avg(x) FILTER (grp = 'b') / 1000), 6) AS interaction_odds_ratio, avg((x > 100)::INT) FILTER (grp = 'b') > 0.4 AS fdr_credible FROM seq GROUP BY 1",
+    f"""WITH {SEQ} SELECT state::BIGINT AS feature, round(avg(x) FILTER (grp = 'a') / 1000, 6) AS group_effect, round(avg((x > 100)::INT) FILTER (grp = 'a'),
+  6) AS group_prob, round(exp(avg(x) FILTER (grp = 'a') / 1000), 6) AS group_odds_ratio, round(avg(x) FILTER (grp = 'b') / 1000, 6) AS
+  interaction_effect, round(avg((x > 100)::INT) FILTER (grp = 'b'), 6) AS interaction_prob, round(exp(avg(x) FILTER (grp = 'b') / 1000), 6) AS
+  interaction_odds_ratio, avg((x > 100)::INT) FILTER (grp = 'b') > 0.4 AS fdr_credible FROM seq GROUP BY 1""",
 )(
     lambda s, d: inference.feature_summary(
         v_seq(s, d).withColumn("term", F.when(F.col("grp") == "a", "group_coded").otherwise(F.concat(F.lit("group_"), F.col("state").cast("string"), F.lit("_interaction"))))
@@ -490,7 +786,9 @@ _query("string_utils", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'su
     lambda s, d: table(s, d, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "sub-").otherwise(""), F.col("o_orderkey").cast("string")).alias("raw"), (F.col("o_orderkey") % 101 / 100).alias("v"))
     .select("o_orderkey", "raw", tables.prefixed(F.col("raw")).alias("name"), tables.threshold_token(F.col("v")).alias("token"))
 )
-_query("array_utils", "SELECT vec_id, array_to_string(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1), ',') AS active, array_to_string(list_transform(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1), lambda i: 'n' || i), ',') AS names, round(len(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1)) / 64.0::DOUBLE, 6) AS share FROM embeddings")(
+_query("array_utils", """SELECT vec_id, array_to_string(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1), ',') AS active,
+  array_to_string(list_transform(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1), lambda i: 'n' || i), ',') AS names,
+  round(len(list_filter(range(64), lambda i: embedding[i + 1]::DOUBLE > 0.1)) / 64.0::DOUBLE, 6) AS share FROM embeddings""")(
     lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     .select("vec_id", F.array_join(arrays.active_indices(F.col("v"), 0.1).cast("array<string>"), ",").alias("active"), F.array_join(arrays.active_names(F.col("v"), [f"n{i}" for i in range(WIDTH)], 0.1), ",").alias("names"), arrays.share_active(F.col("v"), 0.1).alias("share"))
 )
@@ -521,17 +819,31 @@ _query("glmm_folds", None)(_glmm_folds)
 _WEIGHT = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in inference.poisson_steps())
 _query(
     "pair_summary",
-    f"WITH {_AL}, ov AS (SELECT a, b, avg((sa = sb)::INT) AS v FROM al GROUP BY 1, 2), u AS (SELECT d, v, ('0x' || substr(md5(a || ':' || b || ':' || d || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ov, range(1, 51) r(d)), w AS (SELECT d, v, {_WEIGHT} AS w FROM u), m AS (SELECT d, sum(w * v) / sum(w) AS m FROM w GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n, (SELECT round(quantile_cont(m, 0.025), 6) FROM m) AS ci_lower, (SELECT round(quantile_cont(m, 0.975), 6) FROM m) AS ci_upper FROM ov",
+    f"""WITH {_AL},
+ov AS (SELECT a, b, avg((sa = sb)::INT) AS v FROM al GROUP BY 1, 2),
+u AS (SELECT d, v, ('0x' || substr(md5(a || ':' || b || ':' || d || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ov, range(1, 51) r(d)),
+w AS (SELECT d, v, {_WEIGHT} AS w FROM u),
+m AS (SELECT d, sum(w * v) / sum(w) AS m FROM w GROUP BY 1)
+SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n, (SELECT round(quantile_cont(m, 0.025), 6) FROM m) AS ci_lower, (SELECT
+  round(quantile_cont(m, 0.975), 6) FROM m) AS ci_upper FROM ov""",
 )(lambda s, d: inference.weighted_bootstrap(pairs.pair_overlap(v_seq(s, d)), ["a", "b"], "overlap", 50))
 
 # report tables
 _query(
     "effect_table",
-    f"WITH {_TERMS}, b AS (SELECT *, least(exp(least((coef / sd) ** 2 / 2, 700)), 1e6) AS bf FROM te) SELECT term, round(coef, 3) AS coef, round(sd, 3) AS sd, round(exp(coef), 3) AS odds_ratio, round(exp(coef - {_Z} * sd), 3) AS or_lower, round(exp(coef + {_Z} * sd), 3) AS or_upper, round(bf, 2) AS bayes_factor, CASE WHEN bf > 100 THEN 'Extreme' WHEN bf > 30 THEN 'Very Strong' WHEN bf > 10 THEN 'Strong' WHEN bf > 3 THEN 'Moderate' WHEN bf > 1 THEN 'Anecdotal' ELSE 'None' END AS evidence, row_number() OVER (ORDER BY bf DESC, term) AS place FROM b",
+    f"""WITH {_TERMS},
+b AS (SELECT *, least(exp(least((coef / sd) ** 2 / 2, 700)), 1e6) AS bf FROM te)
+SELECT term, round(coef, 3) AS coef, round(sd, 3) AS sd, round(exp(coef), 3) AS odds_ratio, round(exp(coef - {_Z} * sd), 3) AS or_lower,
+  round(exp(coef + {_Z} * sd), 3) AS or_upper, round(bf, 2) AS bayes_factor, CASE WHEN bf > 100 THEN 'Extreme' WHEN bf > 30 THEN 'Very Strong' WHEN bf
+  > 10 THEN 'Strong' WHEN bf > 3 THEN 'Moderate' WHEN bf > 1 THEN 'Anecdotal' ELSE 'None' END AS evidence, row_number() OVER (ORDER BY bf DESC, term)
+  AS place FROM b""",
 )(lambda s, d: reports.effect_table(_terms(s, d)).drop("prob_positive"))
 _query(
     "group_table",
-    f"WITH {_TERMS}, g AS (SELECT term, round(coef * 3, 3) AS coef_a, round(exp(coef * 3), 3) AS or_a, round(-coef, 3) AS coef_b, round(exp(-coef), 3) AS or_b, round(coef * 2, 3) AS diff FROM te) SELECT *, row_number() OVER (ORDER BY abs(diff) DESC, term) AS place FROM g",
+    f"""WITH {_TERMS},
+g AS (SELECT term, round(coef * 3, 3) AS coef_a, round(exp(coef * 3), 3) AS or_a, round(-coef, 3) AS coef_b, round(exp(-coef), 3) AS or_b, round(coef
+  * 2, 3) AS diff FROM te)
+SELECT *, row_number() OVER (ORDER BY abs(diff) DESC, term) AS place FROM g""",
 )(lambda s, d: reports.group_table(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2)).drop("prob_positive_a", "prob_positive_b", "prob_stronger"))
 _GP = {"a": ("coef", "sd"), "b": ("coef * 3", "sd * sqrt(2)")}
 _query(
@@ -539,20 +851,40 @@ _query(
     f"WITH {_TERMS}, g AS (SELECT term, coef * 2 AS diff, sd AS sd_diff, "
     + ", ".join(f"{c} AS coef_{g}, {sd} AS sd_{g}, {c} / ({sd}) AS z_{g}" for g, (c, sd) in _GP.items())
     + ", coef * 2 / sd AS zd FROM te) SELECT term, "
-    + ", ".join(f"round(coef_{g}, 6) AS coef_{g}, round(sd_{g}, 6) AS sd_{g}, round(exp(coef_{g}), 6) AS or_{g}, round(exp(coef_{g} - {_Z} * sd_{g}), 6) AS or_lower_{g}, round(exp(coef_{g} + {_Z} * sd_{g}), 6) AS or_upper_{g}, round({_phi(f'z_{g}')}, 6) AS prob_positive_{g}" for g in _GP)
+    + ", ".join(f"""round(coef_{g}, 6) AS coef_{g}, round(sd_{g}, 6) AS sd_{g}, round(exp(coef_{g}), 6) AS or_{g}, round(exp(coef_{g} - {_Z} * sd_{g}), 6) AS
+  or_lower_{g}, round(exp(coef_{g} + {_Z} * sd_{g}), 6) AS or_upper_{g}, round({_phi(f'z_{g}')}, 6) AS prob_positive_{g}""" for g in _GP)
     + f", round(diff, 6) AS diff, round(sd_diff, 6) AS sd_diff, round({_phi('zd')}, 6) AS prob_stronger FROM g",
 )(lambda s, d: reports.group_posteriors(t := _terms(s, d), t.withColumn("coef", F.col("coef") * 2), "treatment"))
 _query(
     "comparison_table",
-    f"WITH {SEQ}, te AS (SELECT subject AS term, avg((state < 3)::INT) AS p FROM seq GROUP BY 1), f AS (SELECT *, avg(1 - p) OVER (ORDER BY p DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te) SELECT term, round(p, 3) AS prob_direction, round(fdr, 3) AS fdr, fdr <= 0.2 AS credible, row_number() OVER (ORDER BY p DESC, term) AS place FROM f",
+    f"""WITH {SEQ},
+te AS (SELECT subject AS term, avg((state < 3)::INT) AS p FROM seq GROUP BY 1),
+f AS (SELECT *, avg(1 - p) OVER (ORDER BY p DESC, term ROWS UNBOUNDED PRECEDING) AS fdr FROM te)
+SELECT term, round(p, 3) AS prob_direction, round(fdr, 3) AS fdr, fdr <= 0.2 AS credible, row_number() OVER (ORDER BY p DESC, term) AS place FROM f""",
 )(lambda s, d: reports.comparison_table(v_seq(s, d).groupBy(F.col("subject").alias("term")).agg(F.avg((F.col("state") < 3).cast("int")).alias("prob_direction")), 0.2))
 _query(
     "fold_table",
-    f"WITH {SEQ}, l AS (SELECT state::BIGINT AS term, grp, subject, avg(x) / 100 AS coef FROM seq GROUP BY 1, 2, 3), m AS (SELECT term, avg(coef) FILTER (grp = 'a') AS mean_a, avg(coef) FILTER (grp = 'b') AS mean_b, stddev_samp(coef) FILTER (grp = 'a') AS sd_a, stddev_samp(coef) FILTER (grp = 'b') AS sd_b FROM l GROUP BY 1), r AS (SELECT term, round(mean_a, 4) AS mean_a, round(sd_a, 4) AS sd_a, round(mean_b, 4) AS mean_b, round(sd_b, 4) AS sd_b, round(least(sd_a, sd_b) / greatest(sd_a, sd_b), 4) AS stability FROM m) SELECT *, row_number() OVER (ORDER BY stability DESC NULLS LAST, term) AS place FROM r",
+    f"""WITH {SEQ},
+l AS (SELECT state::BIGINT AS term, grp, subject, avg(x) / 100 AS coef FROM seq GROUP BY 1, 2, 3),
+m AS (SELECT term, avg(coef) FILTER (grp = 'a') AS mean_a, avg(coef) FILTER (grp = 'b') AS mean_b, stddev_samp(coef) FILTER (grp = 'a') AS sd_a,
+  stddev_samp(coef) FILTER (grp = 'b') AS sd_b FROM l GROUP BY 1),
+r AS (SELECT term, round(mean_a, 4) AS mean_a, round(sd_a, 4) AS sd_a, round(mean_b, 4) AS mean_b, round(sd_b, 4) AS sd_b, round(least(sd_a, sd_b) /
+  greatest(sd_a, sd_b), 4) AS stability FROM m)
+SELECT *, row_number() OVER (ORDER BY stability DESC NULLS LAST, term) AS place FROM r""",
 )(lambda s, d: reports.fold_table(v_seq(s, d).groupBy(F.col("state").alias("term"), "grp", "subject").agg((F.avg("x") / 100).alias("coef"))))
 _query(
     "split_half_interval",
-    f"WITH {OBS}, h AS (SELECT *, row_number() OVER w <= count(*) OVER (PARTITION BY state, feature) // 2 AS f FROM obs WINDOW w AS (PARTITION BY state, feature ORDER BY id)), u AS (SELECT h.*, d, ('0x' || substr(md5(state || ':' || id || ':' || d || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM h, range(1, 101) r(d)), w AS (SELECT *, {_WEIGHT} AS w FROM u), m AS (SELECT state, d, feature, sum(w * value) FILTER (f) / sum(w) FILTER (f) AS x, sum(w * value) FILTER (NOT f) / sum(w) FILTER (NOT f) AS y FROM w GROUP BY 1, 2, 3), c AS (SELECT state, d, greatest(0, least(1, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12))) AS c FROM m GROUP BY 1, 2) SELECT state::BIGINT AS state, round(quantile_cont(c, 0.025), 6) AS ci_lower, round(quantile_cont(c, 0.975), 6) AS ci_upper, round(stddev_pop(c), 6) AS std FROM c GROUP BY 1",
+    f"""WITH {OBS},
+h AS (SELECT *, row_number() OVER w <= count(*) OVER (PARTITION BY state, feature) // 2 AS f FROM obs WINDOW w AS (PARTITION BY state, feature ORDER
+  BY id)),
+u AS (SELECT h.*, d, ('0x' || substr(md5(state || ':' || id || ':' || d || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM h, range(1, 101)
+  r(d)),
+w AS (SELECT *, {_WEIGHT} AS w FROM u),
+m AS (SELECT state, d, feature, sum(w * value) FILTER (f) / sum(w) FILTER (f) AS x, sum(w * value) FILTER (NOT f) / sum(w) FILTER (NOT f) AS y FROM w
+  GROUP BY 1, 2, 3),
+c AS (SELECT state, d, greatest(0, least(1, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) + 1e-12))) AS c FROM m GROUP BY 1, 2)
+SELECT state::BIGINT AS state, round(quantile_cont(c, 0.025), 6) AS ci_lower, round(quantile_cont(c, 0.975), 6) AS ci_upper, round(stddev_pop(c), 6)
+  AS std FROM c GROUP BY 1""",
 )(lambda s, d: patterns.split_half_interval(v_obs(s, d)))
 
 # ranges, products, lookups and round trips
@@ -568,7 +900,10 @@ def _step_features(seq: DataFrame) -> DataFrame:
 _query("feature_products", f"WITH {SEQ}, {_FEATS} SELECT t, p, q, p * q AS p_q, q * p AS q_p FROM f")(lambda s, d: panel.feature_products(_step_features(v_seq(s, d)), [("p", "q"), ("q", "p")]))
 _query(
     "design_products",
-    f"WITH {SEQ}, {_FEATS}, y AS (SELECT subject, grp, t, (state = 1)::BIGINT AS y, CASE grp WHEN 'b' THEN 0 ELSE 1 END::BIGINT AS g FROM seq) SELECT subject, grp, t, y, lag(y, 1, 0) OVER w AS y_lag1, g AS group_coded, p, q, p * q AS p_q, g * p AS group_p_interaction, g * q AS group_q_interaction, g * p * q AS group_p_q_interaction FROM y JOIN f USING (t) WINDOW w AS (PARTITION BY subject ORDER BY t)",
+    f"""WITH {SEQ}, {_FEATS},
+y AS (SELECT subject, grp, t, (state = 1)::BIGINT AS y, CASE grp WHEN 'b' THEN 0 ELSE 1 END::BIGINT AS g FROM seq)
+SELECT subject, grp, t, y, lag(y, 1, 0) OVER w AS y_lag1, g AS group_coded, p, q, p * q AS p_q, g * p AS group_p_interaction, g * q AS
+  group_q_interaction, g * p * q AS group_p_q_interaction FROM y JOIN f USING (t) WINDOW w AS (PARTITION BY subject ORDER BY t)""",
 )(lambda s, d: panel.design_matrix(panel.target_indicator(x := v_seq(s, d), 1).select("subject", "grp", "t", "y"), _step_features(x), ["p", "q"], lags=1, coding="treatment", groups=("b", "a"), products=[("p", "q")]))
 _query("fill_defaults", "SELECT c_custkey, coalesce(round(sum(o_totalprice), 2), 0) AS total, coalesce(max(o_orderstatus), 'none') AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")(
     lambda s, d: panel.fill_defaults(
@@ -577,25 +912,46 @@ _query("fill_defaults", "SELECT c_custkey, coalesce(round(sum(o_totalprice), 2),
 )
 _query(
     "paired_series",
-    f"WITH {SEQ} SELECT 'sub-' || subject AS subject, grp, t, (state = CASE grp WHEN 'a' THEN 1 ELSE 3 END)::BIGINT AS y, round(avg((state = CASE grp WHEN 'a' THEN 1 ELSE 3 END)::INT) OVER (PARTITION BY subject), 6) AS mean_occupancy FROM seq",
+    f"""WITH {SEQ} SELECT 'sub-' || subject AS subject, grp, t, (state = CASE grp WHEN 'a' THEN 1 ELSE 3 END)::BIGINT AS y, round(avg((state = CASE grp WHEN
+  'a' THEN 1 ELSE 3 END)::INT) OVER (PARTITION BY subject), 6) AS mean_occupancy FROM seq""",
 )(lambda s, d: panel.paired_series({"a": v_seq(s, d), "b": v_seq(s, d)}, {"a": 1, "b": 3}))
-_query("word_presence", f"WITH {_AS} SELECT story, word_id, coalesce(contains(lower(actor), 'user') AND contains(lower(actor), 'assistant'), false) AS both_present, coalesce(contains(lower(actor), 'user'), false) AS user_present FROM asw".replace("g.seg, g.speaker", "g.seg, g.actor, g.speaker"))(
+_query("word_presence", f"""WITH {_AS} SELECT story, word_id, coalesce(contains(lower(actor), 'user') AND contains(lower(actor), 'assistant'), false) AS both_present,
+  coalesce(contains(lower(actor), 'user'), false) AS user_present FROM asw""".replace("g.seg, g.speaker", "g.seg, g.actor, g.speaker"))(
     lambda s, d: align.word_flags(align.asof_segment(v_word(s, d), v_seg(s, d)), "user", {}, {"both_present": ("User", "assistant"), "user_present": ("user",)}).select("story", "word_id", "both_present", "user_present")
 )
 _query(
     "bin_annotations",
-    f"WITH {_AS}, b AS (SELECT *, floor((onset - min(onset) OVER (PARTITION BY story)) / 6)::BIGINT AS bin FROM asw), g AS (SELECT story, bin, avg(is_verb::INT) > 0.5 AS mostly_is_verb, max(is_verb) AS has_is_verb, sum(is_verb::INT)::BIGINT AS n_is_verb, string_agg(text, ' ' ORDER BY onset, word_id) AS words, coalesce(string_agg(text, ' ' ORDER BY onset, word_id) FILTER (is_verb), '') AS verbs, coalesce(string_agg(text, ' ' ORDER BY onset, word_id) FILTER (is_noun), '') AS nouns, arg_min(seg, word_id) AS segment_text FROM b GROUP BY 1, 2), m AS (SELECT story, bin, arg_min(said_by, (-n, said_by)) AS said_by FROM (SELECT story, bin, said_by, count(*) AS n FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2), a AS (SELECT story, bin, arg_min(actor, (-n, actor)) AS actor FROM (SELECT story, bin, actor, count(*) AS n FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2), c AS (SELECT DISTINCT story, unnest(range(12)) AS bin FROM g) SELECT c.story, c.bin, coalesce(mostly_is_verb, false) AS mostly_is_verb, coalesce(has_is_verb, false) AS has_is_verb, coalesce(n_is_verb, 0) AS n_is_verb, coalesce(words, '') AS words, coalesce(verbs, 'none') AS verbs, coalesce(nouns, 'none') AS nouns, coalesce(segment_text, '') AS segment_text, coalesce(said_by, 'none') AS said_by, coalesce(actor, 'none') AS actor FROM c LEFT JOIN g ON g.story = c.story AND g.bin = c.bin LEFT JOIN m ON m.story = c.story AND m.bin = c.bin LEFT JOIN a ON a.story = c.story AND a.bin = c.bin".replace("g.seg, g.speaker", "g.seg, g.actor, g.speaker"),
+    f"""WITH {_AS},
+b AS (SELECT *, floor((onset - min(onset) OVER (PARTITION BY story)) / 6)::BIGINT AS bin FROM asw),
+g AS (SELECT story, bin, avg(is_verb::INT) > 0.5 AS mostly_is_verb, max(is_verb) AS has_is_verb, sum(is_verb::INT)::BIGINT AS n_is_verb,
+  string_agg(text, ' ' ORDER BY onset, word_id) AS words, coalesce(string_agg(text, ' ' ORDER BY onset, word_id) FILTER (is_verb), '') AS verbs,
+  coalesce(string_agg(text, ' ' ORDER BY onset, word_id) FILTER (is_noun), '') AS nouns, arg_min(seg, word_id) AS segment_text FROM b GROUP BY 1, 2),
+m AS (SELECT story, bin, arg_min(said_by, (-n, said_by)) AS said_by FROM (SELECT story, bin, said_by, count(*) AS n FROM b GROUP BY 1, 2, 3) GROUP BY
+  1, 2),
+a AS (SELECT story, bin, arg_min(actor, (-n, actor)) AS actor FROM (SELECT story, bin, actor, count(*) AS n FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c AS (SELECT DISTINCT story, unnest(range(12)) AS bin FROM g)
+SELECT c.story, c.bin, coalesce(mostly_is_verb, false) AS mostly_is_verb, coalesce(has_is_verb, false) AS has_is_verb, coalesce(n_is_verb, 0) AS
+  n_is_verb, coalesce(words, '') AS words, coalesce(verbs, 'none') AS verbs, coalesce(nouns, 'none') AS nouns, coalesce(segment_text, '') AS
+  segment_text, coalesce(said_by, 'none') AS said_by, coalesce(actor, 'none') AS actor FROM c LEFT JOIN g ON g.story = c.story AND g.bin = c.bin LEFT
+  JOIN m ON m.story = c.story AND m.bin = c.bin LEFT JOIN a ON a.story = c.story AND a.bin = c.bin""".replace("g.seg, g.speaker", "g.seg, g.actor, g.speaker"),
 )(lambda s, d: align.dense_bins(align.bin_majority(_tagged(s, d), ["is_verb"], 6.0, lists={"verbs": "is_verb", "nouns": "is_noun"}, modes=("said_by", "actor")), 12, force=True))
 _query(
     "window_text_left",
-    f'WITH {_WIN} SELECT wi.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(text, \' \' ORDER BY onset, word_id) AS text FROM wi JOIN w ON w.story = wi.story AND onset >= begin AND onset < stop GROUP BY 1, 2, 3',
+    f"""WITH {_WIN} SELECT wi.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(text, ' ' ORDER BY onset, word_id) AS text FROM wi JOIN w
+  ON w.story = wi.story AND onset >= begin AND onset < stop GROUP BY 1, 2, 3""",
 )(lambda s, d: align.events_to_text(v_word(s, d), _windows(s, d), closed="left", width=7.0))
 _query("significant_features_fixed", f"WITH {_IV} SELECT pattern, feature FROM iv WHERE mean > 0.01 AND lo > 0.005")(lambda s, d: patterns.significant_features(_intervals(s, d), 0.01, fixed=0.005).select("pattern", "feature"))
 _query(
     "state_stats_dense",
-    f"WITH {_SF}, c AS (SELECT DISTINCT feature, unnest(range(13)) AS state FROM sf) SELECT c.state::BIGINT AS state, c.feature, coalesce(round(mean, 6), 0) AS mean, coalesce(round(std, 6), 0) AS std, coalesce(n, 0) AS n, coalesce(round(importance, 6), 0) AS importance FROM c LEFT JOIN si ON si.state = c.state AND si.feature = c.feature",
+    f"""WITH {_SF},
+c AS (SELECT DISTINCT feature, unnest(range(13)) AS state FROM sf)
+SELECT c.state::BIGINT AS state, c.feature, coalesce(round(mean, 6), 0) AS mean, coalesce(round(std, 6), 0) AS std, coalesce(n, 0) AS n,
+  coalesce(round(importance, 6), 0) AS importance FROM c LEFT JOIN si ON si.state = c.state AND si.feature = c.feature""",
 )(lambda s, d: patterns.state_feature_stats(v_obs(s, d), k=13).drop("cv"))
-_METRIC = "m AS (SELECT c_nationkey AS model, avg(c_acctbal) AS score FROM customer GROUP BY 1), v AS (SELECT c_nationkey AS model, avg(o_totalprice) AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1), k AS (SELECT s_nationkey AS model, count(*) AS n_suppliers FROM supplier GROUP BY 1)"
+_METRIC = """m AS (SELECT c_nationkey AS model, avg(c_acctbal) AS score FROM customer GROUP BY 1),
+v AS (SELECT c_nationkey AS model, avg(o_totalprice) AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY
+  1),
+k AS (SELECT s_nationkey AS model, count(*) AS n_suppliers FROM supplier GROUP BY 1)"""
 
 
 def _metric_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -609,11 +965,18 @@ _query("complete_models", f"WITH {_METRIC} SELECT model::BIGINT AS model, round(
 _query("metric_enrichment", f"WITH {_METRIC} SELECT model::BIGINT AS model, round(score, 6) AS score, round(price, 6) AS price, n_suppliers FROM m LEFT JOIN v USING (model) LEFT JOIN k USING (model)")(lambda s, d: tables.enriched(*_metric_tables(s, d), on=["model"]))
 _query(
     "best_models",
-    f"WITH {MODELS}, b AS (SELECT model, score, spread, n FROM models) SELECT 'score' AS metric, (SELECT model FROM b ORDER BY score DESC, model LIMIT 1)::BIGINT AS model, round(max(score), 6) AS value FROM b UNION ALL SELECT 'spread', (SELECT model FROM b ORDER BY spread, model LIMIT 1), round(min(spread), 6) FROM b UNION ALL SELECT 'n', (SELECT model FROM b ORDER BY n DESC, model LIMIT 1), max(n)::DOUBLE FROM b",
+    f"""WITH {MODELS},
+b AS (SELECT model, score, spread, n FROM models)
+SELECT 'score' AS metric, (SELECT model FROM b ORDER BY score DESC, model LIMIT 1)::BIGINT AS model, round(max(score), 6) AS value FROM b UNION ALL
+  SELECT 'spread', (SELECT model FROM b ORDER BY spread, model LIMIT 1), round(min(spread), 6) FROM b UNION ALL SELECT 'n', (SELECT model FROM b ORDER
+  BY n DESC, model LIMIT 1), max(n)::DOUBLE FROM b""",
 )(lambda s, d: inference.best_models(v_models(s, d), {"score": True, "spread": False, "n": True}))
 _query(
     "cluster_renumber",
-    f"WITH {_ME}, t AS (SELECT cluster, sum(occupancy) AS total, min(id) AS least FROM me GROUP BY 1), p AS (SELECT cluster, row_number() OVER (ORDER BY round(total, 6) DESC, least) AS number FROM t) SELECT id, cluster, number FROM me JOIN p USING (cluster)",
+    f"""WITH {_ME},
+t AS (SELECT cluster, sum(occupancy) AS total, min(id) AS least FROM me GROUP BY 1),
+p AS (SELECT cluster, row_number() OVER (ORDER BY round(total, 6) DESC, least) AS number FROM t)
+SELECT id, cluster, number FROM me JOIN p USING (cluster)""",
 )(lambda s, d: patterns.renumbered(_members(s, d)).select("id", "cluster", "number"))
 
 
@@ -624,7 +987,10 @@ def _member_lookup(s: SparkSession, d: str) -> DataFrame:
     return patterns.find_member(members, top["cluster"], "a", top["model"]).select("id", "cluster", "model")
 
 
-_query("member_lookup", f"WITH {_ME}, x AS (SELECT id, cluster, grp, 'm' || id % 7 AS model FROM me), t AS (SELECT cluster, model FROM x WHERE grp = 'a' GROUP BY 1, 2 ORDER BY count(*) DESC, cluster, model LIMIT 1) SELECT id, x.cluster, x.model FROM x JOIN t ON t.cluster = x.cluster AND t.model = x.model WHERE grp = 'a'")(_member_lookup)
+_query("member_lookup", f"""WITH {_ME},
+x AS (SELECT id, cluster, grp, 'm' || id % 7 AS model FROM me),
+t AS (SELECT cluster, model FROM x WHERE grp = 'a' GROUP BY 1, 2 ORDER BY count(*) DESC, cluster, model LIMIT 1)
+SELECT id, x.cluster, x.model FROM x JOIN t ON t.cluster = x.cluster AND t.model = x.model WHERE grp = 'a'""")(_member_lookup)
 _query(
     "top_interactions",
     f"WITH {SEQ} SELECT state::VARCHAR AS feature, round(avg((x > 100)::INT), 6) AS prob_positive FROM seq WHERE grp = 'b' GROUP BY 1 ORDER BY prob_positive DESC, feature LIMIT 3",
@@ -635,18 +1001,33 @@ _query(
 )
 _AGREE = "SELECT step, sum(n / al * ln(n * al / (nx * ny))) AS mi, any_value(al) AS al, sum(n * (n - 1) / 2) AS pc FROM {c} GROUP BY 1"
 _ARI = "(pc - px * py / (al * (al - 1) / 2)) / nullif((px + py) / 2 - px * py / (al * (al - 1) / 2), 0)"
-_TABLE = "SELECT step, x, y, n::DOUBLE AS n, sum(n) OVER (PARTITION BY step)::DOUBLE AS al, sum(n) OVER (PARTITION BY step, x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY step, y)::DOUBLE AS ny FROM {of}"
+_TABLE = """SELECT step, x, y, n::DOUBLE AS n, sum(n) OVER (PARTITION BY step)::DOUBLE AS al, sum(n) OVER (PARTITION BY step, x)::DOUBLE AS nx, sum(n) OVER
+  (PARTITION BY step, y)::DOUBLE AS ny FROM {of}"""
 _SIDE = "SELECT step, -sum(m / al * ln(m / al)) AS h, sum(m * (m - 1) / 2) AS p FROM (SELECT step, {v}, sum(n) AS m, any_value(al) AS al FROM {c} GROUP BY 1, 2) GROUP BY 1"
 
 
 def _agreed(name: str, of: str) -> str:
     """SQL of both measures from a table of label pairs by step."""
-    return f"{name}c AS ({_TABLE.format(of=of)}), {name}x AS ({_SIDE.format(v='x', c=name + 'c')}), {name}y AS ({_SIDE.format(v='y', c=name + 'c')}), {name}s AS ({_AGREE.format(c=name + 'c')}), {name} AS (SELECT s.step, {_ARI.replace('px', 'a.p').replace('py', 'b.p')} AS ari, mi / nullif((a.h + b.h) / 2, 0) AS nmi FROM {name}s s JOIN {name}x a ON a.step = s.step JOIN {name}y b ON b.step = s.step)"
+    return f"""{name}c AS ({_TABLE.format(of=of)}), {name}x AS ({_SIDE.format(v='x', c=name + 'c')}), {name}y AS ({_SIDE.format(v='y', c=name + 'c')}), {name}s AS
+  ({_AGREE.format(c=name + 'c')}), {name} AS (SELECT s.step, {_ARI.replace('px', 'a.p').replace('py', 'b.p')} AS ari, mi / nullif((a.h + b.h) / 2, 0)
+  AS nmi FROM {name}s s JOIN {name}x a ON a.step = s.step JOIN {name}y b ON b.step = s.step)"""
 
 
 _query(
     "threshold_agreement",
-    f"WITH {_ASG}, i AS (SELECT DISTINCT id FROM asg), dn AS (SELECT i.id, r.s AS step, cluster FROM i CROSS JOIN range(3) r(s) LEFT JOIN asg ON asg.id = i.id AND asg.i = r.s), mv AS (SELECT a.step, a.cluster AS x, b.cluster AS y, count(*) AS n FROM dn a JOIN dn b ON b.id = a.id AND b.step = a.step + 1 GROUP BY 1, 2, 3), kn AS (SELECT * FROM mv WHERE x IS NOT NULL AND y IS NOT NULL), {_agreed('co', 'kn')}, {_agreed('fu', 'mv')}, z AS (SELECT step, coalesce(sum(n) FILTER (x IS NOT NULL AND y IS NOT NULL), 0)::BIGINT AS common, coalesce(sum(n) FILTER (x IS NOT NULL AND y IS NULL), 0)::BIGINT AS lost, coalesce(sum(n) FILTER (x IS NULL AND y IS NOT NULL), 0)::BIGINT AS gained, coalesce(sum(n) FILTER (x IS NOT NULL), 0)::BIGINT AS patterns1, coalesce(sum(n) FILTER (y IS NOT NULL), 0)::BIGINT AS patterns2, count(DISTINCT x) AS clusters1, count(DISTINCT y) AS clusters2 FROM mv GROUP BY 1) SELECT round(0.6::DOUBLE + z.step / 10.0::DOUBLE, 6) AS threshold1, round(0.7::DOUBLE + z.step / 10.0::DOUBLE, 6) AS threshold2, round(coalesce(co.ari, CASE WHEN co.step IS NULL THEN 0 ELSE 1 END), 6) AS ari, round(coalesce(co.nmi, CASE WHEN co.step IS NULL THEN 0 ELSE 1 END), 6) AS nmi, round(coalesce(fu.ari, 1), 6) AS ari_full, round(coalesce(fu.nmi, 1), 6) AS nmi_full, common, lost, gained, patterns1, patterns2, clusters1, clusters2 FROM z LEFT JOIN co ON co.step = z.step JOIN fu ON fu.step = z.step",
+    f"""WITH {_ASG},
+i AS (SELECT DISTINCT id FROM asg),
+dn AS (SELECT i.id, r.s AS step, cluster FROM i CROSS JOIN range(3) r(s) LEFT JOIN asg ON asg.id = i.id AND asg.i = r.s),
+mv AS (SELECT a.step, a.cluster AS x, b.cluster AS y, count(*) AS n FROM dn a JOIN dn b ON b.id = a.id AND b.step = a.step + 1 GROUP BY 1, 2, 3),
+kn AS (SELECT * FROM mv WHERE x IS NOT NULL AND y IS NOT NULL), {_agreed('co', 'kn')}, {_agreed('fu', 'mv')},
+z AS (SELECT step, coalesce(sum(n) FILTER (x IS NOT NULL AND y IS NOT NULL), 0)::BIGINT AS common, coalesce(sum(n) FILTER (x IS NOT NULL AND y IS
+  NULL), 0)::BIGINT AS lost, coalesce(sum(n) FILTER (x IS NULL AND y IS NOT NULL), 0)::BIGINT AS gained, coalesce(sum(n) FILTER (x IS NOT NULL),
+  0)::BIGINT AS patterns1, coalesce(sum(n) FILTER (y IS NOT NULL), 0)::BIGINT AS patterns2, count(DISTINCT x) AS clusters1, count(DISTINCT y) AS
+  clusters2 FROM mv GROUP BY 1)
+SELECT round(0.6::DOUBLE + z.step / 10.0::DOUBLE, 6) AS threshold1, round(0.7::DOUBLE + z.step / 10.0::DOUBLE, 6) AS threshold2,
+  round(coalesce(co.ari, CASE WHEN co.step IS NULL THEN 0 ELSE 1 END), 6) AS ari, round(coalesce(co.nmi, CASE WHEN co.step IS NULL THEN 0 ELSE 1 END),
+  6) AS nmi, round(coalesce(fu.ari, 1), 6) AS ari_full, round(coalesce(fu.nmi, 1), 6) AS nmi_full, common, lost, gained, patterns1, patterns2,
+  clusters1, clusters2 FROM z LEFT JOIN co ON co.step = z.step JOIN fu ON fu.step = z.step""",
 )(lambda s, d: pairs.threshold_agreement(_assigned(s, d)))
 
 
@@ -656,7 +1037,16 @@ def _mean_vectors(s: SparkSession, d: str) -> DataFrame:
 
 _query(
     "correlation_groups",
-    f"WITH {OBS}, m AS (SELECT state AS id, CASE WHEN state % 2 = 0 THEN 'even' ELSE 'odd' END AS grp, feature, avg(value) AS v FROM obs GROUP BY 1, 2, 3), r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY v) + (count(*) OVER (PARTITION BY id, v) - 1) / 2.0::DOUBLE AS r FROM m), c AS (SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, corr(x.r, y.r) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.id < y.id GROUP BY x.id, y.id, x.grp, y.grp), g AS (SELECT grp, feature, avg(v) AS v FROM m GROUP BY 1, 2), q AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY v) + (count(*) OVER (PARTITION BY grp, v) - 1) / 2.0::DOUBLE AS r FROM g), b AS (SELECT x.grp AS a, y.grp AS b, corr(x.r, y.r) AS rho FROM q x JOIN q y ON x.feature = y.feature AND x.grp < y.grp GROUP BY 1, 2) SELECT c.a, c.b, round(any_value(b.rho), 6) AS rho, round(avg(c.rho), 6) AS mean_rho, count(c.rho) AS n_pairs FROM c LEFT JOIN b ON b.a = c.a AND b.b = c.b GROUP BY 1, 2",
+    f"""WITH {OBS},
+m AS (SELECT state AS id, CASE WHEN state % 2 = 0 THEN 'even' ELSE 'odd' END AS grp, feature, avg(value) AS v FROM obs GROUP BY 1, 2, 3),
+r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY v) + (count(*) OVER (PARTITION BY id, v) - 1) / 2.0::DOUBLE AS r FROM m),
+c AS (SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, corr(x.r, y.r) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.id < y.id
+  GROUP BY x.id, y.id, x.grp, y.grp),
+g AS (SELECT grp, feature, avg(v) AS v FROM m GROUP BY 1, 2),
+q AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY v) + (count(*) OVER (PARTITION BY grp, v) - 1) / 2.0::DOUBLE AS r FROM g),
+b AS (SELECT x.grp AS a, y.grp AS b, corr(x.r, y.r) AS rho FROM q x JOIN q y ON x.feature = y.feature AND x.grp < y.grp GROUP BY 1, 2)
+SELECT c.a, c.b, round(any_value(b.rho), 6) AS rho, round(avg(c.rho), 6) AS mean_rho, count(c.rho) AS n_pairs FROM c LEFT JOIN b ON b.a = c.a AND b.b
+  = c.b GROUP BY 1, 2""",
 )(lambda s, d: pairs.correlation_groups(x := _mean_vectors(s, d), x.select("id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("grp")).distinct()))
 
 

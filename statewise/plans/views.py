@@ -72,7 +72,8 @@ chg AS (SELECT *, coalesce(state <> lag(state) OVER (PARTITION BY subject ORDER
 runs AS (SELECT subject, run, any_value(state) AS state, min(t) AS start, count(*) AS length, count(*) * 1.5::DOUBLE AS duration
   FROM (SELECT *, sum(c) OVER (PARTITION BY subject ORDER BY t) AS run FROM chg) GROUP BY subject, run),
 st AS (SELECT unnest(range({K})) AS state)"""
-RT = "rt AS (SELECT user_id AS participant, epoch(ts) - 1704067200 AS rt FROM events WHERE event_type = 'error'), resp AS (SELECT DISTINCT participant, round_even(rt / 21600, 0)::INT AS bin FROM rt)"
+RT = """rt AS (SELECT user_id AS participant, epoch(ts) - 1704067200 AS rt FROM events WHERE event_type = 'error'),
+resp AS (SELECT DISTINCT participant, round_even(rt / 21600, 0)::INT AS bin FROM rt)"""
 WORD = """word AS (SELECT conv_id AS story, turn, role AS said_by, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS word_id, text, i FROM
   (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS i FROM conversations)),
 w AS (SELECT story, turn, said_by, word_id, word_id * 0.4::DOUBLE AS onset, text, (['noun','verb','adj','adv','other'])[length(text) % 5 + 1] AS pos FROM word),
