@@ -188,8 +188,8 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def _units(wanted: DataFrame, bands: int, block_rows: int, block_bytes: int) -> DataFrame:
-    """(node, component, n_shingles, bands) of the candidates -> (node, homes): the units that compare it, each with band, block and blocks."""
+def _units(wanted: DataFrame, signs: DataFrame, bands: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """(node, component, n_shingles) of the candidates, (node, bands) -> (node, homes, bands): the units that compare it, each with band, block and blocks, and its band hashes where they are needed."""
 
     def blocks(of: DataFrame, *key: str) -> DataFrame:
         sizes = of.groupBy(*key).agg(F.count("*").alias("members"), F.sum("n_shingles").alias("words"))
@@ -200,9 +200,11 @@ def _units(wanted: DataFrame, bands: int, block_rows: int, block_bytes: int) ->
     known = wanted.join(blocks(wanted, "component"), "component")
     home = lambda unit, band: F.struct(unit.alias("unit"), band.cast("int").alias("band"), block, F.col("blocks"))
     groups = known.filter(F.col("blocks") <= bands).select("node", F.array(home(F.col("component"), F.lit(-1))).alias("homes"))
-    chained = known.filter(F.col("blocks") > bands).select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    signed = known.filter(F.col("blocks") > bands).select("node", "n_shingles").join(signs, "node")
+    chained = signed.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     in_bucket = chained.join(blocks(chained, "band", "bucket"), ["band", "bucket"])
-    return groups.unionByName(in_bucket.groupBy("node").agg(F.collect_list(home(F.col("bucket"), F.col("band"))).alias("homes")))
+    homes = in_bucket.groupBy("node").agg(F.collect_list(home(F.col("bucket"), F.col("band"))).alias("homes"))
+    return groups.unionByName(homes.join(signs, "node"), allowMissingColumns=True)
 
 
 def _classes(
@@ -223,14 +225,14 @@ def _classes(
     candidates = connected_components(ties).withColumnRenamed("id", "node")
 
     # texts of the candidates, one row for each representative, dealt into bounded tasks
-    wanted = candidates.join(classes.select("node", F.col("lead.id").alias("of"), F.col("lead.code").alias("code"), "copies", "n_shingles", "bands"), "node")
-    wanted = wanted.join(_units(wanted, bands, block_rows, block_bytes), "node")
+    wanted = candidates.join(classes.select("node", F.col("lead.id").alias("of"), F.col("lead.code").alias("code"), "copies", "n_shingles"), "node")
+    wanted = wanted.join(_units(wanted, classes.select("node", "bands"), bands, block_rows, block_bytes), "node")
     texts = _slim(docs, id_col, text_col).withColumnRenamed("code", "own")
     lone = texts.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("own") == F.col("code"))).dropDuplicates(["node"])  # a row may be repeated
     homes = lone.select("node", "copies", "text", "bands", F.explode("homes").alias("h")).select("node", "copies", "text", "bands", "h.*")
     dealt = homes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, last = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
-    dealt = dealt.select("unit", "band", first, last, F.col("node").alias("id"), "copies", "block", F.when(F.col("band") >= 0, F.col("bands")).alias("bands"), "text")
+    dealt = dealt.select("unit", "band", first, last, F.col("node").alias("id"), "copies", "block", "bands", "text")
     verified = dealt.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(_verify(n, num, den), "id long, least long, links long")
     verified = written(verified)
     links = verified.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "node")
