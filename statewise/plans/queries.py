@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -194,14 +195,16 @@ def _agreement(s: SparkSession, d: str) -> DataFrame:
 
 _query("agreement", f"WITH {_AG} SELECT bin::BIGINT AS bin, count, round(agreement, 6) AS agreement FROM ag")(_agreement)
 _SNAP = f"""{_AG},
-e AS (SELECT bin AS boundary FROM ag WHERE bin % 7 = 0),
+e AS (SELECT bin AS boundary FROM (SELECT bin, count > 1.1::DOUBLE * lag(count) OVER (ORDER BY bin) AS rises FROM ag) WHERE rises),
 sn AS (SELECT ag.*, CASE WHEN bin > (SELECT min(boundary) FROM e) AND bin <= (SELECT max(boundary) FROM e) AND bin - (SELECT max(boundary) FROM e
   WHERE boundary <= bin) <= 3 THEN (SELECT max(boundary) FROM e WHERE boundary <= bin) END AS snapped FROM ag)"""
 
 
 def _snapped(s: SparkSession, d: str) -> DataFrame:
+    """Bins snapped to the bins where the count rises by more than a tenth."""
     a = _agreement(s, d)
-    return align.boundary_snap(a, a.filter("bin % 7 = 0").select(F.col("bin").alias("boundary")), 3)
+    rises = F.col("count") > F.lit(1.1) * F.lag("count").over(W.orderBy("bin"))
+    return align.boundary_snap(a, a.select(F.col("bin").alias("boundary"), rises.alias("rises")).filter("rises").drop("rises"), 3)
 
 
 _query("boundary_snap", f"WITH {_SNAP} SELECT bin::BIGINT AS bin, count, round(agreement, 6) AS agreement, snapped::BIGINT AS snapped FROM sn")(_snapped)
@@ -589,11 +592,12 @@ _query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patter
 
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "embeddings").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("vec_id % (i + 2) <> 0")
+    """A vector stands at a threshold where its component of that number is positive, so vectors come, go and return."""
+    e = table(s, d, "embeddings").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("embedding[i] > 0")
     return e.select((0.6 + F.col("i") / 10).alias("threshold"), F.col("vec_id").alias("id"), (F.col("label") % (F.col("i") * 3 + 4)).alias("cluster"))
 
 
-_ASG = "asg AS (SELECT i, round(0.6::DOUBLE + i / 10.0::DOUBLE, 6) AS threshold, vec_id AS id, label % (i * 3 + 4) AS cluster FROM embeddings, range(3) r(i) WHERE vec_id % (i + 2) <> 0)"
+_ASG = "asg AS (SELECT i, round(0.6::DOUBLE + i / 10.0::DOUBLE, 6) AS threshold, vec_id AS id, label % (i * 3 + 4) AS cluster FROM embeddings, range(3) r(i) WHERE embedding[i + 1] > 0)"
 _query("threshold_stats", f"""WITH {_ASG},
 z AS (SELECT threshold, cluster, count(*) AS n FROM asg GROUP BY 1, 2)
 SELECT threshold, count(*) AS n_clusters, sum(n)::BIGINT AS n_patterns, max(n) AS max_size, round(avg(n), 6) AS mean_size, round(count(*) /
