@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import free_names, numbered, shared_dir  # noqa: F401
@@ -17,3 +17,9 @@ def spread_of(spark: SparkSession) -> int:
 def spread_key(*columns, ranges: int):
     """Hash range of a row: a hot key's rows go to `ranges` groups, whose totals are then laid end to end."""
     return F.pmod(F.xxhash64(*columns), F.lit(ranges)).cast("int")
+
+
+def over_cores(docs: DataFrame) -> DataFrame:
+    """The same rows, dealt anew where the scan has fewer parts than the session has cores (a single small file); other scans stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs

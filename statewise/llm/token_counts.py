@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import over_cores, written
 from .textscan import slices
 
 #: Fixed value: the pre-token expression that the byte-level rule stands for.
@@ -148,12 +148,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
     spark = docs.sparkSession
-    dictionary = dictionary_of(docs, definition, text_col)
+    slim = over_cores(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
+    dictionary = dictionary_of(slim, definition)
     total = dictionary.agg(F.sum("n")).first()[0] or 0
     is_hot = F.octet_length("token") * F.lit(float(total)) <= F.col("n") * F.lit(float(hot_bytes))
     hot = spark.sparkContext.broadcast({r["token"]: r["pieces"] for r in dictionary.filter(is_hot).select("token", "pieces").toLocalIterator()})
 
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     met = written(slim.mapInArrow(_met(definition, hot), f"row long, id {kind}, n_bytes long, hot long, tokens array<string>, counts array<long>"))
     cold = met.select("row", F.explode(F.arrays_zip("tokens", "counts")).alias("c")).select("row", "c.tokens", "c.counts").withColumnRenamed("tokens", "token")
