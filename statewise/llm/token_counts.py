@@ -94,8 +94,8 @@ def _pieces(definition: str):
 
         tokenizer = Tokenizer.from_str(definition)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4_000):
-                some = batch.slice(at, 4_000)
+            for at in range(0, batch.num_rows, 1_000):
+                some = batch.slice(at, 1_000)
                 found = tokenizer.encode_batch(some.column("token").to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([len(e) for e in found], pa.int64())], names=["token", "n", "pieces"])
 
@@ -131,7 +131,7 @@ def _met(definition: str, hot):
     return run
 
 
-def dictionary_of(docs: DataFrame, definition: str, text_col: str = "text", most_held: int = 300_000) -> DataFrame:
+def dictionary_of(docs: DataFrame, definition: str, text_col: str = "text", most_held: int = 100_000) -> DataFrame:
     """(token, n, pieces): every distinct pre-token of the texts, its occurrences and its number of pieces."""
     texts = docs.select(docs[text_col].alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given by number: pieces are work, however few bytes the vocabulary has
