@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, mixing, quality_crf, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from . import chat_format, decontamination, infill, jaccard_join, merkle, mixing, quality_crf, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
 
 #: File of the production vocabulary among the public tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,8 +63,27 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_preferences(*chat_format.reply_pairs(_table(spark, sf_dir, "conversations")))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    upper = "".join(map(chr, range(65, 91)))
+    tampered = F.when(F.crc32(docs["doc_id"].cast("string")) % 5 == 0, F.translate(docs["text"], upper, upper.lower()))
+    made = merkle.manifest(docs, changed=tampered).withColumn("folded_root", merkle.folded(F.col("changed_leaf"), F.col("path")))
+    proof = F.sha2(F.array_join(F.transform("path", lambda at: at["siblings"]), ""), 256)
+    return made.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restore(infill.fill_in_middle(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_bin_packing, op4_mixing, op5_secret_scan, op6_quality_rules, op7_decontamination, op8_quality_crf, op9_token_counts, op10_chat_format)}
+    found = (op1_suffix_dedup, op2_jaccard_join, op3_bin_packing, op4_mixing, op5_secret_scan, op6_quality_rules, op7_decontamination, op8_quality_crf, op9_token_counts, op10_chat_format)
+    return {f.__name__: f for f in (*found, op11_simhash, op12_merkle_manifest, op13_fill_in_middle)}
 
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -145,6 +164,48 @@ SELECT pair_id, d.n_common::INTEGER AS n_common, (n - d.n_common)::INTEGER AS n_
 FROM p JOIN d USING (pair_id) GROUP BY pair_id, d.n_common, n, m
 """
 
+# the polynomial division of CRC-32, bit by bit, over the bytes of a decimal number
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, range(8 * length({s}))), lambda c, i:
+  CASE WHEN xor(c, CASE WHEN i % 8 = 0 THEN ascii({s}[i // 8 + 1]) ELSE 0 END) & 1 = 1
+  THEN xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii({s}[i // 8 + 1]) ELSE 0 END) >> 1, 3988292384) ELSE xor(c, CASE WHEN i % 8 = 0 THEN ascii({s}[i // 8 + 1]) ELSE 0 END) >> 1 END))"""
+
+
+def _part(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(_part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_OP12 = f"""
+WITH RECURSIVE d AS (SELECT *, {_CRC.format(s="(doc_id::VARCHAR)")} % 5 = 0 AS hit FROM documents),
+l AS (SELECT doc_id, source, sha256({_HEAD} || {_part("text")}) AS h,
+  sha256({_HEAD} || {_part("CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS t FROM d),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS slot, count(*) OVER (PARTITION BY source) AS n FROM l),
+up(tree, lvl, slot, h, n) AS (SELECT tree, 0, slot, h, n FROM p
+  UNION ALL SELECT tree, lvl + 1, slot // 16, sha256(string_agg(h, '' ORDER BY slot)), (any_value(n) + 15) // 16 FROM up WHERE n > 1 GROUP BY tree, lvl, slot // 16),
+tops AS (SELECT tree, lvl, h FROM up WHERE n = 1),
+over_(lvl, slot, h, n) AS (SELECT 0, tree, h, (SELECT count(*) FROM tops) FROM tops
+  UNION ALL SELECT lvl + 1, slot // 16, sha256(string_agg(h, '' ORDER BY slot)), (any_value(n) + 15) // 16 FROM over_ WHERE n > 1 GROUP BY lvl, slot // 16),
+nodes AS (SELECT tree, lvl, slot, h FROM up WHERE n > 1 UNION ALL SELECT t.tree, t.lvl + o.lvl, o.slot, o.h FROM tops t, over_ o WHERE o.n > 1),
+fold(doc_id, tree, lvl, slot, acc, proof) AS (
+  SELECT doc_id, tree, 0, CASE WHEN n > 1 THEN slot ELSE tree END, t, '' FROM p
+  UNION ALL SELECT f.doc_id, f.tree, f.lvl + 1, CASE WHEN any_value(t.lvl) = f.lvl + 1 THEN f.tree ELSE f.slot // 16 END,
+    sha256(string_agg(CASE WHEN u.slot = f.slot THEN f.acc ELSE u.h END, '' ORDER BY u.slot)), f.proof || coalesce(string_agg(u.h, '' ORDER BY u.slot) FILTER (u.slot <> f.slot), '')
+  FROM fold f JOIN nodes u ON u.tree = f.tree AND u.lvl = f.lvl AND u.slot // 16 = f.slot // 16 JOIN tops t ON t.tree = f.tree GROUP BY f.doc_id, f.tree, f.lvl, f.slot, f.acc, f.proof)
+SELECT p.doc_id, p.h AS leaf, t.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.acc AS folded_root, f.acc = r.h AS verified
+FROM p JOIN tops t USING (tree) JOIN (SELECT doc_id, arg_max(acc, lvl) AS acc, arg_max(proof, lvl) AS proof FROM fold GROUP BY doc_id) f USING (doc_id), (SELECT h FROM over_ WHERE n = 1) r
+"""
+
+_OP13 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS x FROM documents),
+k AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS a, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (len(a) + 1), h2 % (len(a) + 1)) AS lo, greatest(h1 % (len(a) + 1), h2 % (len(a) + 1)) AS hi FROM k),
+s AS (SELECT *, array_to_string(a[1:lo], '') AS p, array_to_string(a[lo + 1:hi], '') AS m, array_to_string(a[hi + 1:], '') AS s,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, len(a)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": _OP2, "op6_quality_rules": _OP6, "op7_decontamination": _OP7, "op10_chat_format": _OP10}
+    return {"op2_jaccard_join": _OP2, "op6_quality_rules": _OP6, "op7_decontamination": _OP7, "op10_chat_format": _OP10, "op12_merkle_manifest": _OP12, "op13_fill_in_middle": _OP13}
