@@ -1,16 +1,17 @@
 """Token counts of whole texts from pre-token frequencies.
 
-1.  Every task counts the pre-tokens of its texts in bounded tables; Spark sums
-    them to the corpus vocabulary.
-2.  The tokenizer counts the pieces of each distinct pre-token once; vocabulary
-    and pieces are written as the dictionary.
-3.  Per document the pre-token frequencies meet the dictionary.  Frequent
-    pre-tokens, those whose share of all occurrences is at least their length
-    over `hot_bytes`, are joined in the task that reads the text: since shares
-    sum to 1, their lengths sum to at most `hot_bytes`, whatever the corpus.
-    All others are joined by pre-token in a shuffle, in which none of them can
-    be a hot key, and their pieces are summed per document.  Ids of a document
-    are never materialised.
+1.  One pass over the texts: every text's pre-token frequencies.  Pre-tokens
+    that the tokenizer's own list of pieces names, at most as many as the tokenizer
+    has, are counted by the driver once and summed where the text is read; the
+    other frequencies are written, one row a text.
+2.  Spark sums them to the vocabulary; the tokenizer counts the pieces of each
+    distinct pre-token once, and vocabulary and pieces are written as the dictionary.
+3.  The written frequencies are joined to the dictionary by pre-token and summed
+    per text.  Frequent pre-tokens, those whose share of all (text, pre-token)
+    rows is at least their length over `hot_bytes`, are joined in place: since
+    shares sum to 1, their lengths sum to at most `hot_bytes`, whatever the
+    corpus.  All others are joined in a shuffle, in which none of them can be a
+    hot key.  Ids of a document are never materialised.
 
 The rule that splits a text and the special strings are read from the tokenizer
 file; a file with a rule that is not known here is an error.
@@ -23,7 +24,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -69,77 +72,89 @@ def counter_of(definition: str) -> Callable[[str], tuple[Counter, int]]:
     return count
 
 
-def _vocabulary(definition: str, most_held: int):
-    """Texts -> (token, n): tables of at most about `most_held` pre-tokens, added up by Spark."""
+@functools.lru_cache(maxsize=2)
+def _tokenizer(definition: str):
+    """The library's tokenizer, built once in a process; calls stay in the task's own thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, held = counter_of(definition), Counter()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for text in part.column("text"):
-                    held.update(count(text.as_py() or "")[0])
-                if len(held) > most_held:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+    return Tokenizer.from_str(definition)
 
-    return run
+
+def _lengths(definition: str, tokens: list[str]) -> list[int]:
+    return [len(e) for e in _tokenizer(definition).encode_batch_fast(tokens, add_special_tokens=False)]
+
+
+def named_pieces(definition: str) -> dict[str, int]:
+    """Pre-tokens among the strings of the tokenizer's own pieces, and how many pieces each of them takes."""
+    tokenizer, count = _tokenizer(definition), counter_of(definition)
+    names = sorted({tokenizer.decode([i], skip_special_tokens=False) for i in tokenizer.get_vocab().values()})
+    alone = [t for t in names if "\ufffd" not in t and count(t) == (Counter({t: 1}), 0)]
+    return dict(zip(alone, _lengths(definition, alone)))
 
 
 def _pieces(definition: str):
     """(token, n) of distinct pre-tokens -> adds `pieces`: each is given to the tokenizer once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(definition)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                some = batch.slice(at, 1_000)
-                found = tokenizer.encode_batch(some.column("token").to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([len(e) for e in found], pa.int64())], names=["token", "n", "pieces"])
+            for some in slices(batch, "token", 1 << 16):
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(_lengths(definition, some.column("token").to_pylist()), pa.int64())], names=["token", "n", "pieces"])
 
     return run
 
 
-def _met(definition: str, hot):
-    """Texts -> a row each: key of the row, id, bytes, pieces of its hot pre-tokens, its other pre-tokens and their counts."""
+def _frequencies(definition: str, known):
+    """Texts -> a row each: key of the row, id, bytes, pieces of its known pre-tokens, its other pre-tokens and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known = counter_of(definition), hot.value
+        count, pieces = counter_of(definition), known.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text"):
-                sums, tokens, counts = [], [], []
+                sums, tokens, counts, ends = [], [], [], [0]
                 for text in part.column("text"):
                     found, total = count(text.as_py() or "")
-                    rest = []
                     for t, n in found.items():
-                        p = known.get(t)
+                        p = pieces.get(t)
                         if p is None:
-                            rest.append(t)
+                            tokens.append(t)
+                            counts.append(n)
                         else:
                             total += p * n
                     sums.append(total)
-                    tokens.append(rest)
-                    counts.append([found[t] for t in rest])
+                    ends.append(len(tokens))
                 size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 keys = pa.array(range(row, row + part.num_rows), pa.int64())
                 row += part.num_rows
-                yield pa.RecordBatch.from_arrays([keys, part.column("id"), size, pa.array(sums, pa.int64()), pa.array(tokens, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["row", "id", "n_bytes", "hot", "tokens", "counts"])
+                at = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(tokens, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([keys, part.column("id"), size, pa.array(sums, pa.int64()), *lists], names=["row", "id", "n_bytes", "known", "tokens", "counts"])
 
     return run
 
 
-def dictionary_of(docs: DataFrame, definition: str, text_col: str = "text", most_held: int = 100_000) -> DataFrame:
-    """(token, n, pieces): every distinct pre-token of the texts, its occurrences and its number of pieces."""
-    texts = docs.select(docs[text_col].alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given by number: pieces are work, however few bytes the vocabulary has
-    counted = texts.mapInArrow(_vocabulary(definition, most_held), "token string, n long").repartition(parts, "token").groupBy("token").agg(F.sum("n").alias("n"))
+def frequencies(docs: DataFrame, definition: str, known: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, n_bytes, known, tokens, counts), written: each text's pieces of `known` pre-tokens and the frequencies of its others."""
+    slim = over_cores(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
+    kind = slim.schema["id"].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    return written(slim.mapInArrow(_frequencies(definition, held), f"row long, id {kind}, n_bytes long, known long, tokens array<string>, counts array<long>"))
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    """(row, token, count) of the written frequencies."""
+    return met.select("row", F.explode(F.arrays_zip("tokens", "counts")).alias("c")).select("row", F.col("c.tokens").alias("token"), F.col("c.counts").alias("count"))
+
+
+def dictionary_of(pairs: DataFrame, definition: str) -> DataFrame:
+    """(token, n, pieces), written: every distinct pre-token, the texts it stands in and its number of pieces."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given by number: pieces are work, however few bytes the vocabulary has
+    counted = pairs.groupBy("token").agg(F.count("*").alias("n")).repartition(parts)
     return written(counted.mapInArrow(_pieces(definition), "token string, n long, pieces long"))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = 8 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = 1 << 20) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
     The tokenizer file is read once, on the driver.  `hot_bytes` bounds the
@@ -147,18 +162,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
-    spark = docs.sparkSession
-    slim = over_cores(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    dictionary = dictionary_of(slim, definition)
+    met = frequencies(docs, definition, named_pieces(definition), id_col, text_col)
+    pairs = pairs_of(met)
+    dictionary = dictionary_of(pairs, definition)
     total = dictionary.agg(F.sum("n")).first()[0] or 0
     is_hot = F.octet_length("token") * F.lit(float(total)) <= F.col("n") * F.lit(float(hot_bytes))
-    hot = spark.sparkContext.broadcast({r["token"]: r["pieces"] for r in dictionary.filter(is_hot).select("token", "pieces").toLocalIterator()})
-
-    kind = slim.schema["id"].dataType.simpleString()
-    met = written(slim.mapInArrow(_met(definition, hot), f"row long, id {kind}, n_bytes long, hot long, tokens array<string>, counts array<long>"))
-    cold = met.select("row", F.explode(F.arrays_zip("tokens", "counts")).alias("c")).select("row", "c.tokens", "c.counts").withColumnRenamed("tokens", "token")
-    joined = cold.join(dictionary.filter(~is_hot).select("token", "pieces").hint("merge"), "token")  # both grow with the corpus
-    sums = joined.groupBy("row").agg(F.sum(F.col("counts") * F.col("pieces")).alias("cold"))
-    tokens = (F.col("hot") + F.coalesce("cold", F.lit(0))).cast("long")
-    out = met.select("row", "id", "n_bytes", "hot").join(sums.hint("merge"), "row", "left")
+    hot = F.broadcast(dictionary.filter(is_hot).select("token", "pieces"))
+    rest = dictionary.filter(~is_hot).select("token", "pieces").hint("merge")  # grows with the corpus, like the pairs
+    joined = pairs.join(hot, "token").unionByName(pairs.join(hot, "token", "left_anti").join(rest, "token"))
+    sums = joined.groupBy("row").agg(F.sum(F.col("count") * F.col("pieces")).alias("other"))
+    tokens = (F.col("known") + F.coalesce("other", F.lit(0))).cast("long")
+    out = met.select("row", "id", "n_bytes", "known").join(sums.hint("merge"), "row", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))

@@ -11,25 +11,39 @@ from statewise.llm import token_counts
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def test_dictionary_holds_each_pre_token_once(spark):
+def _definition():
     with open(PATH, encoding="utf-8") as f:
-        definition = f.read()
+        return f.read()
+
+
+def test_every_pre_token_is_counted_once(spark):
+    definition = _definition()
     rows = [(i, f"the cat and w{i % 7} the dog\n{'-' * 200} <|endoftext|>") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    found = {r["token"]: r["n"] for r in token_counts.dictionary_of(docs, definition, most_held=3).collect()}
     count = token_counts.counter_of(definition)
-    want: dict[str, int] = {}
-    for _, text in rows:
-        for token, n in count(text)[0].items():
-            want[token] = want.get(token, 0) + n
-    assert found == want and token_counts.dictionary_of(docs, definition).count() == len(want)
+    for known in ({}, {" cat": 1, "the": 1}, token_counts.named_pieces(definition)):
+        met = token_counts.frequencies(docs, definition, known)
+        want: dict[str, int] = {}
+        for _, text in rows:
+            for token in count(text)[0]:
+                if token not in known:
+                    want[token] = want.get(token, 0) + 1
+        found = [(r["token"], r["n"]) for r in token_counts.dictionary_of(token_counts.pairs_of(met), definition).collect()]
+        assert sorted(found) == sorted(want.items())
+
+
+def test_named_pieces_are_the_librarys_counts():
+    from tokenizers import Tokenizer
+
+    tokenizer, named = Tokenizer.from_file(PATH), token_counts.named_pieces(_definition())
+    assert 40_000 < len(named) <= tokenizer.get_vocab_size() and "<|endoftext|>" not in named
+    assert all(len(tokenizer.encode(t, add_special_tokens=False)) == named[t] for t in list(named)[::500])
 
 
 def test_frequent_pre_tokens_are_bounded(spark):
-    with open(PATH, encoding="utf-8") as f:
-        definition = f.read()
+    definition = _definition()
     docs = spark.createDataFrame([(i, "a " * 50 + f"x{i} y{i * i}") for i in range(200)], "doc_id long, text string")
-    table = token_counts.dictionary_of(docs, definition)
+    table = token_counts.dictionary_of(token_counts.pairs_of(token_counts.frequencies(docs, definition, {})), definition)
     total = table.agg(F.sum("n")).first()[0]
     for bound in (10, 100, 1000):
         hot = table.filter(F.octet_length("token") * F.lit(total) <= F.col("n") * F.lit(bound))
