@@ -1,17 +1,20 @@
 """Token counts of whole texts from pre-token frequencies.
 
-1.  One pass over the texts: every text's pre-token frequencies.  Pre-tokens
-    that the tokenizer's own list of pieces names, at most as many as the tokenizer
-    has, are counted by the driver once and summed where the text is read; the
-    other frequencies are written, one row a text.
-2.  Spark sums them to the vocabulary; the tokenizer counts the pieces of each
-    distinct pre-token once, and vocabulary and pieces are written as the dictionary.
-3.  The written frequencies are joined to the dictionary by pre-token and summed
-    per text.  Frequent pre-tokens, those whose share of all (text, pre-token)
-    rows is at least their length over `hot_bytes`, are joined in place: since
-    shares sum to 1, their lengths sum to at most `hot_bytes`, whatever the
-    corpus.  All others are joined in a shuffle, in which none of them can be a
-    hot key.  Ids of a document are never materialised.
+1.  Pre-tokens that the tokenizer's own list of pieces names, at most as many as
+    the tokenizer has, are counted by the driver once and sent to every task.
+2.  Every task counts the other pre-tokens of its texts in bounded tables; Spark
+    sums them to the vocabulary, the tokenizer counts the pieces of each distinct
+    pre-token once, and vocabulary and pieces are written as the dictionary.
+3.  Per text the pre-token frequencies meet the dictionary.  Frequent
+    pre-tokens, those whose share of all occurrences is at least their size (their
+    bytes and `ENTRY` more) over `hot_bytes`, are joined in the task that reads the
+    text: since shares sum to 1, their sizes sum to at most `hot_bytes`, whatever
+    the corpus.  All others are joined by pre-token in a shuffle, in which none
+    of them can be a hot key, and their pieces are summed per text.  Ids of a
+    document are never materialised.
+
+Texts are split twice.  Frequencies of one pass, written and read for both the vocabulary and the
+join, need more disk than a pass takes time: they are nearly as large as the texts.
 
 The rule that splits a text and the special strings are read from the tokenizer
 file; a file with a rule that is not known here is an error.
@@ -43,6 +46,9 @@ from .textscan import slices
 #: Fixed value: the pre-token expression that the byte-level rule stands for.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: What an entry of a table in a worker takes besides the bytes of its pre-token.
+ENTRY = 64
+
 
 def splitting(definition: str) -> tuple[str, list[str]]:
     """(pre-token expression, special strings) of a tokenizer file's text."""
@@ -93,6 +99,28 @@ def named_pieces(definition: str) -> dict[str, int]:
     return dict(zip(alone, _lengths(definition, alone)))
 
 
+def _vocabulary(definition: str, known, most_held: int):
+    """Texts -> (token, n) of pre-tokens that are not known: tables of at most about `most_held` pre-tokens, added up by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, held = counter_of(definition), Counter()
+
+        def emit() -> pa.RecordBatch:
+            found = [t for t in held if t not in known.value]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([held[t] for t in found], pa.int64())], names=["token", "n"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for text in part.column("text"):
+                    held.update(count(text.as_py() or "")[0])
+                if len(held) > most_held:
+                    yield emit()
+                    held.clear()
+        yield emit()
+
+    return run
+
+
 def _pieces(definition: str):
     """(token, n) of distinct pre-tokens -> adds `pieces`: each is given to the tokenizer once."""
 
@@ -134,42 +162,38 @@ def _frequencies(definition: str, known):
     return run
 
 
-def frequencies(docs: DataFrame, definition: str, known: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, n_bytes, known, tokens, counts), written: each text's pieces of `known` pre-tokens and the frequencies of its others."""
-    slim = over_cores(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    kind = slim.schema["id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(known)
-    return written(slim.mapInArrow(_frequencies(definition, held), f"row long, id {kind}, n_bytes long, known long, tokens array<string>, counts array<long>"))
-
-
-def pairs_of(met: DataFrame) -> DataFrame:
-    """(row, token, count) of the written frequencies."""
-    return met.select("row", F.explode(F.arrays_zip("tokens", "counts")).alias("c")).select("row", F.col("c.tokens").alias("token"), F.col("c.counts").alias("count"))
+def dictionary_of(texts: DataFrame, definition: str, known, most_held: int = 100_000) -> DataFrame:
+    """(token, n, pieces), written: every distinct pre-token of (text) that is not known, its occurrences and its number of pieces."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given by number: pieces are work, however few bytes the vocabulary has
+    found = texts.select("text").mapInArrow(_vocabulary(definition, known, most_held), "token string, n long")
+    counted = found.repartition(parts, "token").groupBy("token").agg(F.sum("n").alias("n"))  # a task adds a row for a table of it, so none is hot
+    return written(counted.mapInArrow(_pieces(definition), "token string, n long, pieces long"))
 
 
-def dictionary_of(pairs: DataFrame, definition: str) -> DataFrame:
-    """(token, n, pieces), written: every distinct pre-token, the texts it stands in and its number of pieces."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given by number: pieces are work, however few bytes the vocabulary has
-    counted = pairs.groupBy("token").agg(F.count("*").alias("n")).repartition(parts)
-    return written(counted.mapInArrow(_pieces(definition), "token string, n long, pieces long"))
+def is_frequent(total: int, hot_bytes: int):
+    """Whether a pre-token's share of `total` occurrences is at least its size over `hot_bytes`."""
+    return (F.octet_length("token") + ENTRY) * F.lit(float(total)) <= F.col("n") * F.lit(float(hot_bytes))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = 1 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
     The tokenizer file is read once, on the driver.  `hot_bytes` bounds the
-    bytes of the pre-tokens that are sent to every task.
+    size of the frequent pre-tokens that are sent to every task.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
-    met = frequencies(docs, definition, named_pieces(definition), id_col, text_col)
-    pairs = pairs_of(met)
-    dictionary = dictionary_of(pairs, definition)
-    total = dictionary.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.octet_length("token") * F.lit(float(total)) <= F.col("n") * F.lit(float(hot_bytes))
-    hot = F.broadcast(dictionary.filter(is_hot).select("token", "pieces"))
-    rest = dictionary.filter(~is_hot).select("token", "pieces").hint("merge")  # grows with the corpus, like the pairs
-    joined = pairs.join(hot, "token").unionByName(pairs.join(hot, "token", "left_anti").join(rest, "token"))
+    context = docs.sparkSession.sparkContext
+    named = named_pieces(definition)
+    slim = over_cores(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
+    dictionary = dictionary_of(slim, definition, context.broadcast(named))
+    frequent = is_frequent(dictionary.agg(F.sum("n")).first()[0] or 0, hot_bytes)
+    hot = {r["token"]: r["pieces"] for r in dictionary.filter(frequent).select("token", "pieces").toLocalIterator()}
+
+    kind = slim.schema["id"].dataType.simpleString()
+    met = written(slim.mapInArrow(_frequencies(definition, context.broadcast(named | hot)), f"row long, id {kind}, n_bytes long, known long, tokens array<string>, counts array<long>"))
+    cold = met.select("row", F.explode(F.arrays_zip("tokens", "counts")).alias("c")).select("row", F.col("c.tokens").alias("token"), F.col("c.counts").alias("count"))
+    joined = cold.join(dictionary.filter(~frequent).select("token", "pieces").hint("merge"), "token")  # both grow with the corpus
     sums = joined.groupBy("row").agg(F.sum(F.col("count") * F.col("pieces")).alias("other"))
     tokens = (F.col("known") + F.coalesce("other", F.lit(0))).cast("long")
     out = met.select("row", "id", "n_bytes", "known").join(sums.hint("merge"), "row", "left")

@@ -22,14 +22,14 @@ def test_every_pre_token_is_counted_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     count = token_counts.counter_of(definition)
     for known in ({}, {" cat": 1, "the": 1}, token_counts.named_pieces(definition)):
-        met = token_counts.frequencies(docs, definition, known)
         want: dict[str, int] = {}
         for _, text in rows:
-            for token in count(text)[0]:
+            for token, n in count(text)[0].items():
                 if token not in known:
-                    want[token] = want.get(token, 0) + 1
-        found = [(r["token"], r["n"]) for r in token_counts.dictionary_of(token_counts.pairs_of(met), definition).collect()]
-        assert sorted(found) == sorted(want.items())
+                    want[token] = want.get(token, 0) + n
+        for held in (3, 100_000):
+            found = token_counts.dictionary_of(docs, definition, spark.sparkContext.broadcast(known), held).collect()
+            assert sorted((r["token"], r["n"]) for r in found) == sorted(want.items())
 
 
 def test_named_pieces_are_the_librarys_counts():
@@ -41,13 +41,15 @@ def test_named_pieces_are_the_librarys_counts():
 
 
 def test_frequent_pre_tokens_are_bounded(spark):
-    definition = _definition()
     docs = spark.createDataFrame([(i, "a " * 50 + f"x{i} y{i * i}") for i in range(200)], "doc_id long, text string")
-    table = token_counts.dictionary_of(token_counts.pairs_of(token_counts.frequencies(docs, definition, {})), definition)
-    total = table.agg(F.sum("n")).first()[0]
-    for bound in (10, 100, 1000):
-        hot = table.filter(F.octet_length("token") * F.lit(total) <= F.col("n") * F.lit(bound))
-        assert (hot.agg(F.sum(F.octet_length("token"))).first()[0] or 0) <= bound
+    table = token_counts.dictionary_of(docs, _definition(), spark.sparkContext.broadcast({}))
+    total, most = table.agg(F.sum("n")).first()[0], 0
+    for bound in (10, 100, 1000, 10_000):
+        hot = table.filter(token_counts.is_frequent(total, bound))
+        size = hot.agg(F.sum(F.octet_length("token") + token_counts.ENTRY)).first()[0] or 0
+        assert most <= size <= bound
+        most = size
+    assert most > 0
 
 
 def test_other_rules_are_errors(spark):
