@@ -175,7 +175,7 @@ def is_frequent(total: int, hot_bytes: int):
     return (F.octet_length("token") + ENTRY) * F.lit(float(total)) <= F.col("n") * F.lit(float(hot_bytes))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = 8 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", hot_bytes: int = 64 << 20) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
     The tokenizer file is read once, on the driver.  `hot_bytes` bounds the
