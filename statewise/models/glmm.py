@@ -4,11 +4,20 @@ In each step a subject's own intercept is set to its mode and eliminated inside
 the task that holds the subject's rows; Spark sums p + p^2 numbers per model,
 and the driver solves a p x p system.  Models (features, folds) are keys of the
 same job.
+
+Models whose Newton steps do not settle (separated data under a wide prior) fall
+back to a variational fit: the logistic terms are replaced by their quadratic
+lower bound, whose local parameters (one a row) are set inside the subject's
+task.  Under the bound coefficients and intercepts are jointly normal with one
+arrow of correlations a subject, so intercepts are eliminated exactly in the
+same way; Spark sums 2 (p + p^2) + 3 numbers and the bound of the evidence rises in
+every round.  Both fits give a log evidence, so a model can be held against a
+simpler one that is one more key of the job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +40,7 @@ def _intercept(eta: np.ndarray, y: np.ndarray, var: float) -> float:
 
 
 def subject_stats(x: np.ndarray, y: np.ndarray, beta: np.ndarray, var: float) -> np.ndarray:
-    """Gradient, Hessian after elimination of the intercept, penalised log-likelihood, second moment of the intercept, 1."""
+    """Gradient, Hessian after elimination of the intercept, the intercept's share of Laplace's log evidence, penalised log-likelihood, second moment of the intercept, 1."""
     eta = x @ beta
     b = _intercept(eta, y, var)
     p = 1 / (1 + np.exp(-(eta + b)))
@@ -40,7 +49,36 @@ def subject_stats(x: np.ndarray, y: np.ndarray, beta: np.ndarray, var: float) ->
     own = w.sum() + 1 / var
     hessian = (x * w[:, None]).T @ x - np.outer(xw, xw) / own
     ll = (y * np.log(p + 1e-300) + (1 - y) * np.log(1 - p + 1e-300)).sum() - b * b / (2 * var)
-    return np.concatenate([x.T @ (y - p), hessian.ravel(), [ll, b * b + 1 / own, 1.0]])
+    return np.concatenate([x.T @ (y - p), hessian.ravel(), [-0.5 * np.log(var * own), ll, b * b + 1 / own, 1.0]])
+
+
+def _half_slope(xi: np.ndarray) -> np.ndarray:
+    """Curvature of the quadratic bound of log(1 / (1 + exp(-z))) that touches it at -xi and xi."""
+    small = np.abs(xi) < 1e-6
+    return np.where(small, 0.125, np.tanh(xi / 2) / np.where(small, 1.0, 4 * xi))
+
+
+def subject_bound(x: np.ndarray, y: np.ndarray, mean: np.ndarray, cov: np.ndarray, var: float, inner: int = 100, tol: float = 1e-9) -> np.ndarray:
+    """A subject's part of the bound, its intercept integrated out, as a quadratic in the coefficients: slope, curvature; the intercept's second moment as one, alike; both constants, 1.
+
+    The local parameters are the root mean squares of the linear predictor under
+    coefficients of `mean` and `cov` and the intercept given them, to a fixed point.
+    """
+    half, eta, spread = y - 0.5, x @ mean, np.einsum("ij,jk,ik->i", x, cov, x)
+    r, xi = half.sum(), np.sqrt(eta**2 + spread + var)
+    for _ in range(inner):
+        lam = _half_slope(xi)
+        d, c = 1 / var + 2 * lam.sum(), 2 * x.T @ lam
+        b, sc = (r - c @ mean) / d, cov @ c
+        new = np.sqrt(np.maximum((eta + b) ** 2 + spread - 2 * x @ sc / d + 1 / d + c @ sc / d**2, 0.0))
+        moved, xi = np.abs(new - xi).max(initial=0.0), new
+        if moved < tol:
+            break
+    lam = _half_slope(xi)
+    d, c = 1 / var + 2 * lam.sum(), 2 * x.T @ lam
+    constant = r * r / (2 * d) - 0.5 * np.log(var * d) + (lam * xi**2 - xi / 2 - np.logaddexp(0.0, -xi)).sum()
+    curvature = (x * (2 * lam)[:, None]).T @ x - np.outer(c, c) / d
+    return np.concatenate([x.T @ half - c * r / d, curvature.ravel(), -2 * r * c / d**2, (np.outer(c, c) / d**2).ravel(), [constant, 1 / d + (r / d) ** 2, 1.0]])
 
 
 def _ahead(path: list[float]) -> float:
@@ -50,14 +88,43 @@ def _ahead(path: list[float]) -> float:
     return max(path[-1] * float(np.exp(np.clip(second * rate / (1 - rate), -2, 2))), 1e-4) if 0 < rate < 1 else path[-1]
 
 
-def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rounds: int = 25, tol: float = 1e-6, left_out: dict[str, int] | None = None) -> dict[str, dict]:
-    """(subject, y, features) -> model -> coef, sd, random_sd, log_likelihood, gradient, converged; each model has an intercept first.
+def _packed(data: DataFrame, terms: dict[str, list[str]], left_out: dict[str, int]) -> tuple[DataFrame, dict[str, int]]:
+    """One row a subject, (fold, rows): its responses and all features end to end, written; and each feature's place in a row."""
+    at = {f: i for i, f in enumerate(dict.fromkeys(f for names in terms.values() for f in names))}
+    row = F.array(*[F.col(c).cast("double") for c in ("y", *at)])
+    fold = F.min("fold") if left_out else F.lit(None)
+    return staged(data.groupBy("subject").agg(fold.cast("int").alias("fold"), F.flatten(F.collect_list(row)).alias("rows")).select("fold", "rows")), at
+
+
+def _round(packed: DataFrame, at: dict[str, int], now: dict[str, tuple], terms: dict[str, list[str]], left_out: dict[str, int], part: Callable[..., np.ndarray]) -> dict[str, np.ndarray]:
+    """Sum over subjects of part(x, y, *now[model]) for every model in `now`."""
+    columns = {m: [at[f] + 1 for f in terms[m]] for m in now}
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for own, flat in zip(pdf["fold"], pdf["rows"]):
+                table = np.asarray(flat, float).reshape(-1, len(at) + 1)
+                for m, values in now.items():
+                    if left_out.get(m, -1) != own:
+                        x = np.column_stack([np.ones(len(table)), table[:, columns[m]]])
+                        sums[m] = sums.get(m, 0.0) + part(x, table[:, 0], *values)
+        yield pd.DataFrame(list(sums.items()), columns=["model", "stats"])
+
+    return summed(packed.mapInPandas(step, "model string, stats array<double>"))
+
+
+def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rounds: int = 25, tol: float = 1e-6, left_out: dict[str, int] | None = None, fallback: bool = False) -> dict[str, dict]:
+    """(subject, y, features) -> model -> coef, sd, random_sd, log_likelihood, log_evidence, gradient, converged, method; each model has an intercept first.
 
     Fixed effects have N(0, prior_sd^2) priors; the intercepts' variance is
     moved to the mean second moment of their posteriors in each round, and in
     every second round as far ahead as the last moves point.  `converged` tells
     whether a model's steps fell under the tolerance within `rounds`.  A
-    model in `left_out` is fitted without the subjects of that `fold`.
+    model in `left_out` is fitted without the subjects of that `fold`.  With
+    `fallback` models that did not settle are fitted by `variational` instead
+    (method "variational", others "newton"), and so are all others' evidences
+    then, as those of two methods cannot be compared.
     """
     left_out = left_out or {}
     beta = {m: np.zeros(len(f) + 1) for m, f in terms.items()}
@@ -65,34 +132,20 @@ def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rou
     trail = {m: [1.0] for m in terms}
     out: dict[str, dict] = {}
     live = set(terms)
-    at = {f: i for i, f in enumerate(dict.fromkeys(f for names in terms.values() for f in names))}
-    row = F.array(*[F.col(c).cast("double") for c in ("y", *at)])
-    packed = staged(data.groupBy("subject").agg((F.min("fold") if left_out else F.lit(None)).cast("int").alias("fold"), F.flatten(F.collect_list(row)).alias("rows")).select("fold", "rows"))
+    packed, at = _packed(data, terms, left_out)
     for _ in range(rounds):
-        now = {m: (beta[m], var[m], [at[f] + 1 for f in terms[m]]) for m in live}
-
-        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[str, np.ndarray] = {}
-            for pdf in batches:
-                for own, flat in zip(pdf["fold"], pdf["rows"]):
-                    table = np.asarray(flat, float).reshape(-1, len(at) + 1)
-                    for m, (b, v, columns) in now.items():
-                        if left_out.get(m, -1) != own:
-                            x = np.column_stack([np.ones(len(table)), table[:, columns]])
-                            sums[m] = sums.get(m, 0.0) + subject_stats(x, table[:, 0], b, v)
-            yield pd.DataFrame(list(sums.items()), columns=["model", "stats"])
-
-        for m, s in summed(packed.mapInPandas(step, "model string, stats array<double>")).items():
+        for m, s in _round(packed, at, {m: (beta[m], var[m]) for m in live}, terms, left_out, subject_stats).items():
             n = len(beta[m])
             gradient = s[:n] - beta[m] / prior_sd**2
             hessian = s[n : n + n * n].reshape(n, n) + np.eye(n) / prior_sd**2
             move = np.linalg.solve(hessian, gradient)
-            out[m] = {"coef": beta[m].copy(), "sd": np.sqrt(np.diag(np.linalg.inv(hessian))), "random_sd": float(np.sqrt(var[m])), "log_likelihood": float(s[-3]), "gradient": gradient, "converged": False}
+            evidence = s[-3] + s[-4] - beta[m] @ beta[m] / (2 * prior_sd**2) - 0.5 * np.linalg.slogdet(hessian * prior_sd**2)[1]
+            out[m] = {"coef": beta[m].copy(), "sd": np.sqrt(np.diag(np.linalg.inv(hessian))), "random_sd": float(np.sqrt(var[m])), "log_likelihood": float(s[-3]), "log_evidence": float(evidence), "gradient": gradient, "converged": False, "method": "newton"}
             moved = s[-2] / s[-1]
             if np.abs(move).max() < tol and abs(moved - var[m]) < 1e-4:
                 out[m]["converged"] = True
                 live.discard(m)
-            beta[m] = beta[m] + move * min(1.0, 2.0 / np.abs(move).max())
+            beta[m] = beta[m] + move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-300))
             trail[m].append(max(float(moved), 1e-4))
             var[m] = trail[m][-1]
             if len(trail[m]) == 3:
@@ -100,6 +153,43 @@ def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rou
                 trail[m] = [var[m]]
         if not live:
             break
+    if fallback and live:
+        bound = _variational(packed, at, terms, left_out, prior_sd)
+        for m, found in bound.items():
+            out[m] = found if m in live else out[m] | {"log_evidence": found["log_evidence"]}
+    return out
+
+
+def variational(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rounds: int = 300, tol: float = 1e-6, left_out: dict[str, int] | None = None) -> dict[str, dict]:
+    """As `fit`, by the variational bound: normal posterior of the coefficients, `log_evidence` is the bound, `bounds` its value in each round.
+
+    `converged` tells whether the bound rose by less than `tol` (of its size)
+    within `rounds`.
+    """
+    packed, at = _packed(data, terms, left_out or {})
+    return _variational(packed, at, terms, left_out or {}, prior_sd, rounds, tol)
+
+
+def _variational(packed: DataFrame, at: dict[str, int], terms: dict[str, list[str]], left_out: dict[str, int], prior_sd: float, rounds: int = 300, tol: float = 1e-6) -> dict[str, dict]:
+    now = {m: (np.zeros(len(f) + 1), np.eye(len(f) + 1), 1.0) for m, f in terms.items()}
+    out: dict[str, dict] = {m: {"bounds": []} for m in terms}
+    live = set(terms)
+    for _ in range(rounds):
+        for m, s in _round(packed, at, {m: now[m] for m in live}, terms, left_out, subject_bound).items():
+            n = len(now[m][0])
+            precision = s[n : n + n * n].reshape(n, n) + np.eye(n) / prior_sd**2
+            cov = np.linalg.inv(precision)
+            mean = cov @ s[:n]
+            bound = float(s[-3] + 0.5 * s[:n] @ mean - 0.5 * np.linalg.slogdet(precision * prior_sd**2)[1])
+            bounds = [*out[m]["bounds"], bound]
+            settled = len(bounds) > 1 and abs(bounds[-1] - bounds[-2]) < tol * (1 + abs(bound))
+            out[m] = {"coef": mean, "sd": np.sqrt(np.diag(cov)), "random_sd": float(np.sqrt(now[m][2])), "log_likelihood": None, "log_evidence": bound, "converged": settled, "method": "variational", "bounds": bounds}
+            moment = s[-2] + s[n + n * n : 2 * n + n * n] @ mean + (s[2 * n + n * n : -3].reshape(n, n) * (cov + np.outer(mean, mean))).sum()
+            now[m] = (mean, cov, max(float(moment / s[-1]), 1e-4))
+            if settled:
+                live.discard(m)
+        if not live:
+            break
     return out
 
 
@@ -109,6 +199,20 @@ def term_table(spark, fitted: dict[str, dict], terms: dict[str, list[str]]) -> D
     return spark.createDataFrame(rows, "model_id string, term string, coef double, sd double, converged boolean")
 
 
+def evidence_table(spark, fitted: dict[str, dict], terms: dict[str, list[str]], null: str) -> DataFrame:
+    """The term table with method, log_evidence and evidence_gain, a model's log evidence less that of the simpler model `null`."""
+    rows = [(m, r["method"], r["log_evidence"], r["log_evidence"] - fitted[null]["log_evidence"]) for m, r in fitted.items()]
+    known = spark.createDataFrame(rows, "model_id string, method string, log_evidence double, evidence_gain double")
+    return term_table(spark, fitted, terms).join(F.broadcast(known), "model_id")  # a row for each model
+
+
+def feature_sweep(features: list[str], lags: list[str], group: str = "group_coded") -> dict[str, list[str]]:
+    """Terms of one model for each feature with its interaction with the group, of one with all, and of the group alone ("null")."""
+    single = {f: [group, f, f"group_{f}_interaction", *lags] for f in features}
+    everything = [group, *features, *[f"group_{f}_interaction" for f in features], *lags]
+    return single | {"all": everything, "null": [group]}
+
+
 def leave_out(data: DataFrame, names: list[str], folds: list[int], **options) -> DataFrame:
     """Coefficients of one model refitted without each fold (column `fold`, from 0): fold, term, coef, sd, converged, all folds in the same jobs."""
     models = {str(f): f for f in folds}
