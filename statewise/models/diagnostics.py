@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.pairs import blocked
 from .hmm import Params
 
 
@@ -44,23 +47,65 @@ def confusion_entropy(probability: np.ndarray) -> float:
 
 
 def best_matching(gain: np.ndarray) -> np.ndarray:
-    """Column for each row so that the summed gain is largest: exact, over subsets of columns (2^k k steps, k to 20)."""
+    """Column for each row so that the summed gain is largest: exact, by shortest augmenting paths (k^3 steps)."""
     k = len(gain)
-    subsets = np.arange(1 << k)
-    filled = np.array([int(s).bit_count() for s in subsets])
-    best, choice = np.full(1 << k, -np.inf), np.zeros(1 << k, np.int8)
-    best[0] = 0.0
+    cost = gain.max(initial=0.0) - gain
+    row_price, col_price, row_of = np.zeros(k), np.zeros(k), np.full(k, -1)
     for row in range(k):
-        now = subsets[filled == row + 1]
-        options = np.stack([np.where(now >> c & 1, best[now & ~(1 << c)] + gain[row, c], -np.inf) for c in range(k)])
-        choice[now], best[now] = options.argmax(0), options.max(0)
-    out, left = np.empty(k, int), (1 << k) - 1
-    for row in range(k - 1, -1, -1):
-        out[row] = choice[left]
-        left &= ~(1 << out[row])
+        far, came, done = np.full(k, np.inf), np.full(k, -1), np.zeros(k, bool)
+        now, at, length = row, -1, 0.0
+        while True:  # grow a tree of tight edges from `row` until it meets a free column
+            step = length + cost[now] - row_price[now] - col_price
+            nearer = ~done & (step < far)
+            far[nearer], came[nearer] = step[nearer], at
+            at = int(np.argmin(np.where(done, np.inf, far)))
+            length = far[at]
+            done[at] = True
+            if row_of[at] < 0:
+                break
+            now = int(row_of[at])
+        for c in np.flatnonzero(done):
+            if row_of[c] >= 0:
+                row_price[row_of[c]] += length - far[c]
+            col_price[c] -= length - far[c]
+        row_price[row] += length
+        while at >= 0:  # turn the path round
+            before = int(came[at])
+            row_of[at] = row if before < 0 else row_of[before]
+            at = before
+    out = np.empty(k, int)
+    out[row_of] = np.arange(k)
     return out
 
 
+def fold_reliability(means: DataFrame, floor: float = 1e-12, block_rows: int = 256) -> DataFrame:
+    """(fold, state, x array) -> fold, reliability, n_pairs: mean cosine of a fold's states with those of every other fold, best matched.
+
+    A fold is one row, dealt to the tasks of its block with every other block;
+    a task gives one row for each of its folds, never one for a pair.  The mean over
+    folds, weighted by n_pairs, is that over all pairs.
+    """
+    row = F.sort_array(F.collect_list(F.struct("state", "x")))
+    vectors = means.groupBy(F.col("fold").alias("id")).agg(row.alias("r")).select("id", F.col("r.state").alias("at"), F.flatten("r.x").alias("v"))
+
+    def run(ids, at, v, i, j) -> pd.DataFrame:
+        pattern = [np.asarray(x, float).reshape(len(s), -1) for s, x in zip(at, v)]
+        pattern = [x / (np.linalg.norm(x, axis=1, keepdims=True) + floor) for x in pattern]
+        total, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for x in i:
+            for y in j:
+                if x < y or not np.array_equal(i, j) and x != y:
+                    cosine = pattern[x] @ pattern[y].T
+                    matched = cosine[np.arange(len(cosine)), best_matching(cosine)].mean()
+                    total[[x, y]] += matched
+                    n[[x, y]] += 1
+        seen = np.flatnonzero(n)
+        return pd.DataFrame({"a": ids[seen], "b": ids[seen], "total": total[seen], "n": n[seen]})
+
+    sums = blocked(vectors, run, "total double, n long", block_rows)
+    return sums.groupBy(F.col("a").alias("fold")).agg((F.sum("total") / F.sum("n")).alias("reliability"), F.sum("n").alias("n_pairs"))
+
+
 def reliability(means: Sequence[np.ndarray], floor: float = 1e-12) -> float:
     """Mean over pairs of folds of the cosine of their best matched states; 1 for a single fold."""
     found = []

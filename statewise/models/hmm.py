@@ -94,8 +94,8 @@ def _sizes(k: int, d: int) -> list[tuple[int, ...]]:
     return [(k,), (k, k), (k,), (k, d), (k, d, d)]
 
 
-def _statistics(series: list[np.ndarray], p: Params) -> np.ndarray:
-    """Sum over series of likelihood and expected statistics: padded to the longest and run side by side, steps past an end weigh nothing."""
+def _each(series: list[np.ndarray], p: Params) -> np.ndarray:
+    """Likelihood and expected statistics of every series, one row each: padded to the longest and run side by side, steps past an end weigh nothing."""
     n = np.array([len(x) for x in series])
     x = np.zeros((len(series), n.max(), series[0].shape[1]))
     for i, one in enumerate(series):
@@ -111,11 +111,17 @@ def _statistics(series: list[np.ndarray], p: Params) -> np.ndarray:
         backward[:, t] = np.where(on[:, t + 1, None], _lse(a + (b[:, t + 1] + backward[:, t + 1])[:, None, :], 2), 0.0)
     ll = _lse(forward[:, -1], 1)
     g = np.where(on[..., None], np.exp(forward + backward - ll[:, None, None]), 0.0)
-    move = np.zeros((p.k, p.k))
+    move = np.zeros((len(series), p.k, p.k))
     for t in range(1, steps):
         pair = forward[:, t - 1, :, None] + a + (b[:, t] + backward[:, t])[:, None, :] - ll[:, None, None]
-        move += np.exp(pair[on[:, t]]).sum(0)
-    return np.concatenate([[ll.sum()], g[:, 0].sum(0), move.ravel(), g.sum((0, 1)), np.einsum("stk,sti->ki", g, x).ravel(), np.einsum("stk,sti,stj->kij", g, x, x, optimize=True).ravel()])
+        move += np.where(on[:, t, None, None], np.exp(pair), 0.0)
+    rows = [ll[:, None], g[:, 0], move, g.sum(1), np.einsum("stk,sti->ski", g, x), np.einsum("stk,sti,stj->skij", g, x, x, optimize=True)]
+    return np.concatenate([r.reshape(len(series), -1) for r in rows], 1)
+
+
+def _statistics(series: list[np.ndarray], p: Params) -> np.ndarray:
+    """Sum over series of likelihood and expected statistics."""
+    return _each(series, p).sum(0)
 
 
 def _chunks(series: list[np.ndarray], cells: int) -> Iterator[list[np.ndarray]]:
@@ -215,6 +221,104 @@ def cross_validate(data: DataFrame, full: Params, most_rounds: int = 100, tol: f
     return params, data.groupBy("subject").applyInPandas(score, f"subject {kind}, fold int, n long, log_likelihood double, converged boolean")
 
 
+def _flat(p: Params) -> np.ndarray:
+    return np.concatenate([p.start, p.transition.ravel(), p.mean.ravel(), p.cov.ravel()])
+
+
+def unflatten(values: np.ndarray, k: int, d: int) -> Params:
+    cut = np.cumsum([k, k * k, k * d])
+    start, move, mean, cov = np.split(np.asarray(values, float), cut)
+    return Params(start, move.reshape(k, k), mean.reshape(k, d), cov.reshape(k, d, d))
+
+
+def _directions(k: int, d: int) -> list[np.ndarray]:
+    """Unit steps of the parameters' coordinates, a covariance's two equal entries in one."""
+    size, first = k + k * k + k * d, k + k * k + k * d
+    out = [np.eye(1, first + k * d * d, i)[0] for i in range(size)]
+    for j in range(k):
+        for r in range(d):
+            for c in range(r, d):
+                step = np.zeros(first + k * d * d)
+                step[[first + (j * d + r) * d + c, first + (j * d + c) * d + r]] = 1.0
+                out.append(step)
+    return out
+
+
+def leave_out(data: DataFrame, full: Params, ridge: float = 1e-3, most_rounds: int = 5000, tol: float = 1e-9, width: float = 1e-4) -> DataFrame:
+    """(subject, t, x, fold) -> fold, params (array), converged: a model for each fold, without its subjects, as a written table.
+
+    No refit passes over the data.  Every subject's statistics under `full` and
+    their slopes in the parameters are taken once, 2 P + 1 passes of its own
+    series for P free parameters, whatever the number of folds.  The statistics
+    without a fold are the total less its own; the fold's model is the fixed
+    point of EM with statistics that move along their slopes, found in the task
+    that holds the fold.  It differs from a refit by the square of the fold's
+    pull on the parameters.  The driver holds the total alone.
+    """
+    k, d = full.mean.shape
+    origin, steps = _flat(full), _directions(k, d)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            order = np.argsort([len(x) for x in pdf["x"]], kind="stable")
+            series, fold = [np.stack(pdf["x"].iloc[i]) for i in order], pdf["fold"].to_numpy()[order]
+            at = 0
+            for some in _chunks(series, _CELLS // k**2):  # in order of length, like `series`
+                base = _each(some, full)
+                slopes = [(_each(some, unflatten(origin + width * s, k, d)) - _each(some, unflatten(origin - width * s, k, d))) / (2 * width) for s in steps]
+                yield pd.DataFrame({"fold": fold[at : at + len(some)], "stats": list(np.stack([base, *slopes], 1).reshape(len(some), -1))})
+                at += len(some)
+
+    each = staged(_packed(data, True).mapInPandas(own, "fold long, stats array<double>"))
+    held = each.select("fold", F.posexplode("stats").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v"))
+    by_fold = staged(held.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("stats")))
+    total = summed(by_fold.select(F.lit(0).alias("model"), "stats"))[0].reshape(len(steps) + 1, -1)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for fold, stats in zip(pdf["fold"], pdf["stats"]):
+                rest = total - np.asarray(stats).reshape(total.shape)
+                p, settled = full, False
+                for _ in range(most_rounds):
+                    gap = _flat(p) - origin
+                    move = np.array([gap[np.flatnonzero(s)[0]] for s in steps])
+                    new = _m_step(rest[0] + move @ rest[1:], p, ridge)
+                    settled = bool(np.abs(_flat(new) - _flat(p)).max() < tol)
+                    p = new
+                    if settled:
+                        break
+                rows.append((fold, _flat(p), settled))
+            yield pd.DataFrame(rows, columns=["fold", "params", "converged"])
+
+    return staged(by_fold.mapInPandas(solve, "fold long, params array<double>, converged boolean"))
+
+
+def fold_means(models: DataFrame, k: int, d: int) -> DataFrame:
+    """(fold, params) -> fold, state, x (the state's mean)."""
+    first = k + k * k
+    states = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("state")
+    return models.select("fold", "params", states).select("fold", "state", F.slice("params", F.lit(first + 1) + F.col("state") * d, d).alias("x"))
+
+
+def score_folds(data: DataFrame, models: DataFrame, k: int) -> DataFrame:
+    """(subject, t, x, fold) and the folds' models -> each subject's likelihood and most likely path under the model of its own fold: subject, fold, n, log_likelihood, path, converged."""
+    kind = data.schema["subject"].dataType.simpleString()
+    d = len(data.select("x").first()["x"])
+    values = F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda r: r["x"]).alias("x")
+    packed = data.groupBy("subject").agg(F.min("fold").cast("long").alias("fold"), values).join(models.hint("merge"), "fold")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                p, x = unflatten(r.params, k, d), np.stack(r.x)
+                rows.append((r.subject, r.fold, len(x), posteriors(x, p)[0], viterbi(x, p), r.converged))
+            yield pd.DataFrame(rows, columns=["subject", "fold", "n", "log_likelihood", "path", "converged"])
+
+    return packed.select("subject", "fold", "x", "params", "converged").mapInPandas(run, f"subject {kind}, fold long, n long, log_likelihood double, path array<int>, converged boolean")
+
+
 def confusion(data: DataFrame, p: Params) -> DataFrame:
     """Mean posterior of every state over the steps decoded as each: decoded, state, probability (0 for a state never decoded)."""
 

@@ -22,7 +22,7 @@ from .sequences import entropy, state_runs
 _SUMS = "n long, sum_a double, sum_b double, square_a double, square_b double, product double, equal long"
 
 
-def _blocked(vectors: DataFrame, run: Callable[[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray], pd.DataFrame], schema: str, block_rows: int) -> DataFrame:
+def blocked(vectors: DataFrame, run: Callable[[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray], pd.DataFrame], schema: str, block_rows: int) -> DataFrame:
     """(id, at array, v array) -> what `run` gives for each two blocks: ids, places, values, and the rows of the first and the second block."""
     n = vectors.count()
     blocks = max(1, -(-n // block_rows))
@@ -81,7 +81,7 @@ def pair_sums(vectors: DataFrame, equal: bool = False, block_rows: int = 512) ->
             "product": (dense[i] @ dense[j].T)[x, y], "equal": same[x, y].round().astype(np.int64),
         })
 
-    return _blocked(packed, run, _SUMS, block_rows)
+    return blocked(packed, run, _SUMS, block_rows)
 
 
 def pair_counts(labels: DataFrame, block_rows: int = 512) -> DataFrame:
@@ -106,7 +106,7 @@ def pair_counts(labels: DataFrame, block_rows: int = 512) -> DataFrame:
                 parts.append(pd.DataFrame({"a": a[keep], "b": b[keep], "x": s, "y": t, "n": n[keep].round().astype(np.int64)}))
         return pd.concat(parts, ignore_index=True)
 
-    return _blocked(packed, run, "x long, y long, n long", block_rows)
+    return blocked(packed, run, "x long, y long, n long", block_rows)
 
 
 def _pearson() -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.special import bin_half_even
-from ..models import glmm, hmm
+from ..models import diagnostics, glmm, hmm
 from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
 from ..sources import tables
@@ -816,6 +816,59 @@ def _glmm_folds(s: SparkSession, d: str) -> DataFrame:
     return glmm.leave_out(design.withColumn("fold", (F.col("subject") % 3).cast("int")), ["group_coded", "f"], [0, 1, 2])
 
 
+def _hmm_leave_one_out(s: SparkSession, d: str) -> DataFrame:
+    """One subject a fold: likelihood and share of state 0 of each subject under the model of the others, and how well its states match those of all other folds."""
+    data, full = _fitted(s, d)
+    data = data.withColumn("fold", F.col("subject").cast("long"))
+    models = hmm.leave_out(data, full)
+    matched = diagnostics.fold_reliability(hmm.fold_means(models, 2, 1)).select("fold", "reliability")
+    scores = hmm.score_folds(data, models, 2)
+    share = F.size(F.filter("path", lambda state: state == 0)) / F.col("n")
+    return scores.join(matched, "fold", "left").select("subject", "n", "log_likelihood", share.alias("share_state_0"), "reliability", "converged")
+
+
+def _sweep_design(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Features: at which steps each state but the target's is frequent."""
+    seq, states = v_seq(s, d), [0, 2, 3, 4]
+    names = [f"often_{k}" for k in states]
+    often = seq.groupBy("t").agg(*[(F.avg((F.col("state") == k).cast("int")) > 0.2).cast("long").alias(f) for k, f in zip(states, names)])
+    return panel.design_matrix(panel.target_indicator(seq, 1).select("subject", "grp", "t", "y"), often, names), names
+
+
+def _glmm_sweep(s: SparkSession, d: str) -> DataFrame:
+    design, names = _sweep_design(s, d)
+    terms = glmm.feature_sweep(names, ["y_lag1", "y_lag2"])
+    fitted = glmm.fit(design, terms, fallback=True)
+    return inference.posterior_summary(glmm.evidence_table(s, fitted, terms, "null"))
+
+
+def _glmm_leave_one_out(s: SparkSession, d: str) -> DataFrame:
+    design, names = _sweep_design(s, d)
+    return glmm.leave_one_out(design.withColumn("fold", F.col("subject").cast("int")), ["group_coded", *names[:3]])
+
+
+def _fold_states(s: SparkSession, d: str) -> DataFrame:
+    """Mean vectors of five states in eight folds of the vectors."""
+    means = v_obs(s, d).groupBy((F.col("id") % 8).alias("fold"), (F.col("state") % 5).alias("state"), "feature").agg(F.avg("value").alias("v"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("feature", "v"))), lambda r: r["v"])
+    return means.groupBy("fold", "state").agg(values.alias("x"))
+
+
+_query("hmm_leave_one_out", None)(_hmm_leave_one_out)
+_query("glmm_sweep", None)(_glmm_sweep)
+_query("glmm_leave_one_out", None)(_glmm_leave_one_out)
+_query(
+    "state_reliability",
+    f"""WITH {OBS},
+m AS (SELECT id % 8 AS fold, state % 5 AS state, feature, avg(value) AS v FROM obs GROUP BY 1, 2, 3),
+c AS (SELECT x.fold AS a, y.fold AS b, x.state AS s, y.state AS r, sum(x.v * y.v) / ((sqrt(sum(x.v * x.v)) + 1e-12) * (sqrt(sum(y.v * y.v)) + 1e-12)) AS cosine
+  FROM m x JOIN m y ON x.feature = y.feature AND x.fold <> y.fold GROUP BY 1, 2, 3, 4),
+st5 AS (SELECT unnest(range(5)) AS s),
+pm AS (SELECT [p.s, q.s, r.s, t.s, u.s] AS order_ FROM st5 p, st5 q, st5 r, st5 t, st5 u WHERE len(list_distinct([p.s, q.s, r.s, t.s, u.s])) = 5),
+g AS (SELECT a, b, order_, avg(cosine) AS matched FROM pm, c WHERE order_[s + 1] = r GROUP BY 1, 2, 3),
+best AS (SELECT a, b, max(matched) AS matched FROM g GROUP BY 1, 2)
+SELECT a AS fold, round(avg(matched), 6) AS reliability, count(*) AS n_pairs FROM best GROUP BY 1""",
+)(lambda s, d: diagnostics.fold_reliability(_fold_states(s, d)))
 _query("hmm_cross_validation", None)(_hmm_cross_validation)
 _query("hmm_confusion", None)(_hmm_confusion)
 _query("glmm_folds", None)(_glmm_folds)
