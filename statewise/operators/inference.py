@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import Z975, clip, normal_cdf
 from ..functions.tails import correlation_p, t_two_sided
-from ..sources.shared import free_names, running
+from ..sources.shared import free_names, numbered, running
 from .pairs import average_rank, course_distance
 from .panel import two_groups
 
@@ -92,37 +93,67 @@ def bh_fdr(tests: DataFrame, p: str = "p") -> DataFrame:
 METRICS = {"euclidean": "euclidean", "correlation": "one_minus_corr", "absolute_mean": "mean_abs"}
 
 
-def permutation_test(panel: DataFrame, draws: int, seed: int = 0, metric: str = "euclidean", groups: tuple[str, str] | None = None) -> DataFrame:
+#: Modulus of the keyed permutations' round function, 2^31 - 1.
+_PRIME = 2147483647
+ROUNDS = 24
+
+
+def keyed_places(at: np.ndarray, draws: range, n: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Places (draws x elements) of the elements `at` of 0..n-1 under a permutation for each draw, by arithmetic on its keys.
+
+    A round pairs each element with another (their sum is the round's key modulo
+    n) and exchanges the pair where a hash of its larger element says so, so any
+    element's place is found without those of the others.
+    """
+    digests = [[hashlib.md5(f"{d}:{r}:{seed}".encode()).hexdigest() for d in draws] for r in range(rounds)]
+    place = np.tile(np.asarray(at, np.int64), (len(draws), 1))
+    for of_round in digests:
+        a, b, key = (np.array([int(x[8 * i : 8 * i + 8], 16) for x in of_round], np.int64)[:, None] for i in range(3))
+        other = (key % n - place + n) % n
+        h = (a % (_PRIME - 1) + 1) * (np.maximum(place, other) + 1) + b % _PRIME
+        h %= _PRIME
+        place = np.where(h * h % _PRIME // 1024 % 2 == 1, other, place)
+    return place
+
+
+def permutation_test(
+    panel: DataFrame, draws: int, seed: int = 0, metric: str = "euclidean", groups: tuple[str, str] | None = None, step_block: int = 256, draw_block: int = 1000, subject_block: int = 4096,
+) -> DataFrame:
     """Distance of two groups' mean courses against relabelled subjects: observed, p, percentile, null mean and deviation, effect, fold change.
 
-    Each draw gives the first n_a subjects in order of a hash to the first
-    group.  A subject's series meets the list of its draws once; tasks add
-    series into a table of draws by steps, whose sums are shuffled.  A step
-    counts in a draw if both groups reach it.
+    Each draw gives the first n_a places of a keyed permutation of the numbered
+    subjects to the first group.  Subjects, steps and draws are cut into blocks; a task
+    holds the series of one block of each, works the members of its draws out
+    from their keys and adds the series up by one product, so there is no row
+    for a subject and a draw, and no sort for a draw.  Work grows with draws x
+    subjects, memory of a task with the blocks.  A step counts in a draw if both
+    groups reach it; a missing value is not a step.
     """
     a, b = two_groups(panel, groups)
-    panel = panel.filter(F.col("grp").isin(a, b))
-    subjects = panel.select("subject", "grp").distinct()
-    n = subjects.agg(F.count_if(F.col("grp") == a).alias("na"))
-    order = F.md5(F.concat_ws(":", F.col("subject").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))
-    drawn = subjects.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("place", F.row_number().over(W.partitionBy("draw").orderBy(order, "subject")))
-    observed = subjects.filter(F.col("grp") == a).select("subject", F.lit(0).alias("draw"))
-    in_a = drawn.join(F.broadcast(n)).filter("place <= na").select("subject", "draw").unionByName(observed)
-    series = panel.groupBy("subject").agg(F.collect_list(F.struct(F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"))).alias("r"))
-    met = series.join(in_a.groupBy("subject").agg(F.collect_list("draw").alias("draws")), "subject").select("draws", F.col("r.t").alias("t"), F.col("r.y").alias("y"))
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((draws + 1, 0, 2))
-        for pdf in batches:
-            for own, t, y in zip(pdf["draws"], pdf["t"], pdf["y"]):
-                if len(t) and max(t) >= held.shape[1]:
-                    held = np.concatenate([held, np.zeros((draws + 1, int(max(t)) + 1 - held.shape[1], 2))], 1)
-                at = np.ix_(np.asarray(own), np.asarray(t))
-                held[at] += np.stack([y, np.ones(len(y))], 1)[None]
-        draw, t = np.nonzero(held[:, :, 1])
-        yield pd.DataFrame({"draw": draw, "t": t, "sa": held[draw, t, 0], "ca": held[draw, t, 1]})
-
-    sums = met.mapInPandas(add, "draw long, t long, sa double, ca double").groupBy("draw", "t").agg(F.sum("sa").alias("sa"), F.sum("ca").alias("ca"))
+    panel = panel.filter(F.col("grp").isin(a, b) & F.col("y").isNotNull())
+    subjects = numbered(panel.select("subject", "grp").distinct(), F.col("subject"), name="number")
+    n, na = subjects.agg(F.count("*"), F.count_if(F.col("grp") == a)).first()
+    steps = panel.select("subject", F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y")).join(subjects, "subject")
+    steps = steps.withColumn("at", F.pmod("t", F.lit(step_block))).withColumn("block", F.floor(F.col("t") / step_block))
+    parts = steps.groupBy("block", "number", (F.col("grp") == a).alias("own")).agg(F.collect_list(F.struct("at", "y")).alias("r"))
+    dealt = parts.withColumn("some", F.floor(F.col("number") / subject_block)).withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(draws), F.lit(draw_block))))
+    dealt = dealt.select("block", "some", "first", "number", "own", F.col("r.at").alias("at"), F.col("r.y").alias("y"))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, block = int(pdf["first"].iloc[0]), int(pdf["block"].iloc[0])
+        value, seen = np.zeros((len(pdf), step_block)), np.zeros((len(pdf), step_block))
+        for i, (at, y) in enumerate(zip(pdf["at"], pdf["y"])):
+            np.add.at(value[i], at, y)
+            np.add.at(seen[i], at, 1.0)
+        drawn = range(first, min(first + draw_block, draws + 1))
+        member, draw = (keyed_places(pdf["number"].to_numpy(), drawn, n, seed) < na).astype(float), np.array(drawn)
+        if first == 1:  # draw 0: as it was seen
+            member, draw = np.concatenate([pdf["own"].to_numpy(float)[None], member]), np.concatenate([[0], draw])
+        sums, counts = member @ value, member @ seen
+        d, t = np.nonzero(counts)
+        return pd.DataFrame({"draw": draw[d], "t": t + block * step_block, "sa": sums[d, t], "ca": counts[d, t]})
+
+    sums = dealt.groupBy("block", "some", "first").applyInPandas(add, "draw long, t long, sa double, ca double").groupBy("draw", "t").agg(F.sum("sa").alias("sa"), F.sum("ca").alias("ca"))
     total = panel.groupBy("t").agg(F.sum("y").alias("s"), F.count("y").alias("c"))
     courses = sums.join(total, "t").filter("c > ca").select("draw", (F.col("sa") / F.col("ca")).alias("x"), ((F.col("s") - F.col("sa")) / (F.col("c") - F.col("ca"))).alias("z"))
     stat = course_distance(courses, ["draw"]).select("draw", F.col(METRICS[metric]).alias("d"))
@@ -135,12 +166,18 @@ def permutation_test(panel: DataFrame, draws: int, seed: int = 0, metric: str =
 
 
 def bootstrap_ci(units: DataFrame, draws: int, value: str = "v", unit: str = "unit", seed: int = 0) -> DataFrame:
-    """Percentile interval and deviation of the mean over units drawn with replacement; units are numbered from 0."""
-    n = units.agg(F.count("*").alias("n"))
-    slots = n.select("n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("slot")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    """Percentile interval and deviation of the mean over units drawn with replacement; units are numbered from 0.
+
+    Slots are dealt over the session's partitions and each makes its own draws,
+    which are counted by draw and unit before they meet the units.
+    """
+    spark = units.sparkSession
+    n = units.count()
+    slots = spark.range(0, n, 1, max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))).withColumnRenamed("id", "slot")
+    drawn = slots.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     code = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("slot").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    picked = slots.withColumn(unit, F.pmod(code, F.col("n"))).join(units, unit)
-    means = picked.groupBy("draw").agg(F.avg(value).alias("m"))
+    picked = drawn.groupBy("draw", F.pmod(code, F.lit(n)).alias(unit)).agg(F.count("*").alias("times")).join(units, unit)
+    means = picked.groupBy("draw").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"), F.stddev_pop("m").alias("std"))
 
 

@@ -504,9 +504,14 @@ SELECT t, round(p, 6) AS p, round(least(1, min(p * m / rank) OVER (ORDER BY rank
 _DRAWS = """y AS (SELECT subject, grp, t, (state = 1)::INT AS y FROM seq),
 u AS (SELECT DISTINCT subject, grp FROM y),
 n AS (SELECT count(*) FILTER (grp = 'a') AS na FROM u),
-dr AS (SELECT subject, draw, row_number() OVER (PARTITION BY draw ORDER BY md5(subject::VARCHAR || ':' || draw::VARCHAR || ':3'), subject) AS place
-  FROM u, range(1, 101) r(draw)),
-ia AS (SELECT subject, draw FROM dr, n WHERE place <= na UNION ALL SELECT subject, 0 FROM u WHERE grp = 'a'),
+nu AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS i, count(*) OVER () AS m FROM u),
+ke AS (SELECT draw, r, md5(draw::VARCHAR || ':' || r::VARCHAR || ':3') AS k FROM range(1, 10001) d(draw), range(24) q(r)),
+ks AS (SELECT draw, list(('0x' || substr(k, 1, 8))::BIGINT % 2147483646 + 1 ORDER BY r) AS a, list(('0x' || substr(k, 9, 8))::BIGINT % 2147483647 ORDER BY r) AS b,
+  list(('0x' || substr(k, 17, 8))::BIGINT ORDER BY r) AS c FROM ke GROUP BY 1),
+dr AS (SELECT subject, draw, list_reduce(list_prepend(i, range(24)), lambda p, r:
+  CASE WHEN (((a[r + 1] * (greatest(p, (c[r + 1] % m - p + m) % m) + 1) + b[r + 1]) % 2147483647) * ((a[r + 1] * (greatest(p, (c[r + 1] % m - p + m) % m) + 1) + b[r + 1]) % 2147483647)
+  % 2147483647) // 1024 % 2 = 1 THEN (c[r + 1] % m - p + m) % m ELSE p END) AS place FROM nu, ks),
+ia AS (SELECT subject, draw FROM dr, n WHERE place < na UNION ALL SELECT subject, 0 FROM u WHERE grp = 'a'),
 sm AS (SELECT draw, t, sum(y) AS sa, count(*) AS ca FROM ia JOIN y USING (subject) GROUP BY 1, 2),
 tt AS (SELECT t, sum(y) AS s, count(*) AS c FROM y GROUP BY 1),
 co AS (SELECT draw, sa / ca::DOUBLE AS x, (s - sa) / (c - ca)::DOUBLE AS z FROM sm JOIN tt USING (t) WHERE c > ca)"""
@@ -520,17 +525,17 @@ SELECT round(observed, 6) AS observed, round(avg((d >= observed - 1e-12)::INT),
   avg((abs(d - observed) <= 1e-12)::INT) / 2), 6) AS percentile, round(avg(d), 6) AS null_mean, round(stddev_pop(d), 6) AS null_std, round((observed -
   avg(d)) / stddev_pop(d), 6) AS effect, round(CASE WHEN avg(d) > 0 THEN observed / avg(d) END, 6) AS fold_change FROM dd, o WHERE draw > 0 GROUP BY
   observed""",
-    )(lambda s, d, metric=_metric: inference.permutation_test(panel.target_indicator(v_seq(s, d), 1), 100, 3, metric))
+    )(lambda s, d, metric=_metric: inference.permutation_test(panel.target_indicator(v_seq(s, d), 1), 10_000, 3, metric))
 _query(
     "bootstrap_ci",
     f"""WITH {SEQ},
 u AS (SELECT row_number() OVER (ORDER BY subject) - 1 AS unit, avg((state = 1)::INT) AS v FROM seq GROUP BY subject),
 n AS (SELECT count(*) AS n FROM u),
 sl AS (SELECT slot, draw, ('0x' || substr(md5(draw::VARCHAR || ':' || slot::VARCHAR || ':5'), 1, 8))::BIGINT % n AS unit FROM n, range(n) s(slot),
-  range(1, 201) r(draw)),
+  range(1, 1001) r(draw)),
 m AS (SELECT draw, avg(v) AS m FROM sl JOIN u USING (unit) GROUP BY 1)
 SELECT round(quantile_cont(m, 0.025), 6) AS ci_lower, round(quantile_cont(m, 0.975), 6) AS ci_upper, round(stddev_pop(m), 6) AS std FROM m""",
-)(lambda s, d: inference.bootstrap_ci(numbered(v_seq(s, d).groupBy("subject").agg(F.avg((F.col("state") == 1).cast("int")).alias("v")), F.col("subject"), name="unit"), 200, seed=5))
+)(lambda s, d: inference.bootstrap_ci(numbered(v_seq(s, d).groupBy("subject").agg(F.avg((F.col("state") == 1).cast("int")).alias("v")), F.col("subject"), name="unit"), 1000, seed=5))
 
 
 _query("loo_summary", f"""WITH {SEQ},
