@@ -7,7 +7,8 @@ threshold; representatives meet on band hashes.  Links within a band's bucket
 are never listed: each member is tied to the bucket's least, so the buckets'
 overlaps form candidate components, and every pair that shares a bucket lies
 inside one.  A component's texts come together once and all its pairs are
-verified on their full sets by products of incidence blocks, dealt into
+verified on their full sets (shingles as hashes of their words' bytes, which are
+taken modulo two primes) by products of incidence blocks, dealt into
 (block, block) tasks of bounded size.  A component of more blocks than there are
 bands is a chain of buckets rather than a group: there only pairs that share a
 bucket are compared, bucket by bucket, each in the first bucket that it shares,

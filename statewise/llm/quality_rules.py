@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textscan import SpanHash, Words, in_row_order, ngrams, pack, slices
+from .textscan import SpanHash, Words, in_row_order, ngrams, pack, same_bytes, slices
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -77,7 +77,12 @@ def measure(column: pa.Array, limits: RuleLimits) -> dict[str, np.ndarray]:
     held = np.searchsorted(words.start, stop) > np.searchsorted(words.start, begin)
     begin, stop, row = begin[held], stop[held], row[held]
     order, same = in_row_order(row, spans(begin, stop))
-    again = order[same]
+    near = np.flatnonzero(same)  # of equal hash: equal in bytes too
+    one, other = order[near - 1], order[near]
+    size = stop - begin
+    equal = (row[one] == row[other]) & (size[one] == size[other])
+    equal[equal] = same_bytes(buf, begin[one[equal]], begin[other[equal]], size[one[equal]])
+    again = other[equal]
     n_dup_lines = np.bincount(row[again], minlength=rows)
     line_edge = np.zeros(len(words.start) + 1, np.int64)
     np.add.at(line_edge, np.searchsorted(words.start, begin[again]), 1)

@@ -2,20 +2,21 @@
 
 A byte goes if a string of `length` bytes that covers it also starts earlier
 (smaller id, or earlier in the same document).  Windows of that length are told
-apart in three steps, each exact:
+apart in three steps, all on the input:
 
 1.  Every window has an anchor, the least-hashed short gram inside it, so equal
     windows have equal anchors at equal places.  Consecutive windows with one
     anchor are a segment.  Segments meet by anchor; an anchor that occurs once
-    holds no repeat, and of segments with the same bytes all but the first are
-    repeats as a whole (pre-aggregation: one of them goes on).
+    holds no repeat, and of segments with the same bytes (by a hash of 62 bits
+    modulo two primes) all but the first are repeats as a whole
+    (pre-aggregation: one of them goes on).
 2.  Different segments of one anchor may share some windows.  They are cut from
     the texts and dealt into tasks by anchor; a task builds the
     Burrows-Wheeler transforms of several shards of its segments, merges them
     by interleave refinement and reads the repeated intervals (bwt_merge).
 3.  An anchor with more than `hot_segments` different segments (the edge of a
     passage that very many documents share) is not put into one task: its
-    windows are grouped one by one by a 128-bit hash of their bytes.
+    windows are grouped one by one by two such hashes of their bytes.
 
 Defined cases: null counts as empty; a text shorter than `length` keeps all
 bytes; matches never cross documents; rows that repeat an id (or have none, in
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bwt_merge import repeated_windows
 from .shared import written
-from .textscan import SpanHash, mix, pack, slices
+from .textscan import SpanHash, pack, slices
 
 _U = np.uint64
 #: Places are start << 16 | number of windows.
@@ -49,7 +50,7 @@ def _segments(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     spans = SpanHash(buf)
-    grams = mix((spans.prefix[gram:] - spans.prefix[:-gram]) * spans.inverse[: n - gram + 1])
+    grams = spans.all_of(gram)
     low = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     have = 1
     while have * 2 <= wide:

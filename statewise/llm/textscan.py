@@ -20,10 +20,11 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_POWERS: dict[int, np.ndarray] = {}
+#: Two prime moduli under 2^31, each with a base of its own, and a value for each byte.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1540483477, 1103515245)
+_BYTES = np.random.default_rng(20240101).integers(1, 2147483629, (2, 256)).astype(np.uint64)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 _MOST_KEPT = 4 << 20
 
 
@@ -60,31 +61,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next slice unless a very long row asked for it."""
-    have = _POWERS.get(base)
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo a prime, kept for the next slice unless a very long row asked for it."""
+    have = _POWERS.get((base, prime))
     if have is None or len(have) < n:
         size = -(-n // 65536) * 65536
         have = np.ones(1, np.uint64)
         while len(have) < size:
-            have = np.concatenate([have, have[: size - len(have)] * _U(pow(base, len(have), 1 << 64))])
+            have = np.concatenate([have, have[: size - len(have)] * _U(pow(base, len(have), prime)) % _U(prime)])
         if size <= _MOST_KEPT:
-            _POWERS[base] = have
+            _POWERS[base, prime] = have
     return have[:n]
 
 
 class SpanHash:
-    """64-bit content hash of any byte span of `buf`, from one prefix sum."""
+    """Content hash of any byte span of `buf`: residues of one polynomial modulo two primes, 62 bits, from prefix sums.
+
+    A prime modulus leaves no texts that collide whatever the base, as a power
+    of two does; for given texts of n bytes a collision has odds of about n^2 in 2^62.
+    """
 
     def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * powers(_BASE, n), out=self.prefix[1:])
-        self.inverse = powers(_BASE_INV, n + 1)
+        self.sums = []
+        for prime, base, value in zip(_PRIMES, _BASES, _BYTES):
+            prefix = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum(value[buf] * powers(base, prime, len(buf)) % _U(prime), out=prefix[1:])  # terms under 2^31: no overflow to 2^33 bytes
+            self.sums.append((prefix, powers(pow(base, -1, prime), prime, len(buf) + 1), _U(prime)))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        value = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(value + (end - start).astype(np.uint64) * _MUL)
+        low, high = ((prefix[end] - prefix[start]) % prime * inverse[start] % prime for prefix, inverse, prime in self.sums)
+        return mix((high << _U(31) | low) + (end - start).astype(np.uint64) * _MUL)
+
+    def all_of(self, size: int) -> np.ndarray:
+        """The hash of every span of `size` bytes, by its start."""
+        low, high = ((prefix[size:] - prefix[:-size]) % prime * inverse[: len(prefix) - size] % prime for prefix, inverse, prime in self.sums)
+        return mix((high << _U(31) | low) + _U(size) * _MUL)
+
+
+def same_bytes(buf: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans that begin at `one` and at `other` hold the same `size` bytes."""
+    if not len(size):
+        return np.zeros(0, bool)
+    begin = np.cumsum(size) - size
+    step = np.arange(size.sum()) - np.repeat(begin, size)
+    differ = np.concatenate([[0], np.cumsum(buf[np.repeat(one, size) + step] != buf[np.repeat(other, size) + step])])
+    return differ[begin + size] == differ[begin]
 
 
 class Words:
