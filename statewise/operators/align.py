@@ -54,9 +54,11 @@ def boundary_snap(points: DataFrame, boundaries: DataFrame, delta: int, p: str =
     return found.select("row.*", F.when(inside, F.col("before")).alias("snapped"))
 
 
-def agreement_snapped(snapped: DataFrame, n: int) -> DataFrame:
-    """Counts summed at the snapped bins."""
-    return snapped.filter("snapped is not null").groupBy("snapped").agg(F.sum("count").alias("count")).withColumn("agreement", F.col("count") / F.lit(float(n)))
+def agreement_snapped(snapped: DataFrame, responses: DataFrame) -> DataFrame:
+    """Counts summed at the snapped bins, as a share of the participants with a response."""
+    n = responses.agg(F.count_distinct("participant").cast("double").alias("n"))
+    sums = snapped.filter("snapped is not null").groupBy("snapped").agg(F.sum("count").alias("count"))
+    return sums.join(F.broadcast(n)).select("snapped", "count", (F.col("count") / F.col("n")).alias("agreement"))  # n is one row
 
 
 def asof_segment(words: DataFrame, segments: DataFrame, key: str = "story") -> DataFrame:
@@ -100,17 +102,21 @@ def bin_majority(words: DataFrame, flags: list[str], width: float, key: str = "s
     return grouped.withColumns({"words": texts(F.col("held"))} | chosen).drop("held")
 
 
-def dense_bins(binned: DataFrame, size: int, key: str = "story", tolerance: int = 10, force: bool = False) -> DataFrame:
-    """Every (key, bin 0..size-1): bins without a word have false flags, counts of 0, empty lists of words and "none" for names; later bins are cut.
+def dense_bins(binned: DataFrame, size: int | DataFrame, key: str = "story", tolerance: int = 10, force: bool = False) -> DataFrame:
+    """Every (key, bin 0..size-1): bins without a word have false flags, counts of 0, empty lists of words and "none" for names.
 
-    A story whose own number of bins is more than `tolerance` away from `size`
-    is an error unless `force` is given.
+    `size` is one number for all or a table (key, size).  A story whose own number
+    of bins is more than `tolerance` away from it is an error unless `force` is
+    given; within it, bins past the expected ones stay.
     """
+    own = binned.groupBy(key).agg((F.max("bin") + 1).alias("n"))
+    sizes = own.withColumn("size", F.lit(size)) if isinstance(size, int) else own.join(size.select(key, "size"), key, "left")
     if not force:
-        off = binned.groupBy(key).agg((F.max("bin") + 1).alias("n")).filter(F.abs(F.col("n") - size) > tolerance).limit(1).collect()
+        off = sizes.filter(F.coalesce(F.abs(F.col("n") - F.col("size")) > tolerance, F.lit(True))).limit(1).collect()
         if off:
-            raise ValueError(f"{off[0][key]} has {off[0]['n']} bins, {size} are expected")
-    cells = binned.select(key).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+            raise ValueError(f"{off[0][key]} has {off[0]['n']} bins, {off[0]['size']} are expected")
+    last = F.greatest("n", "size") - 1
+    cells = sizes.select(key, F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("bin"))
     kinds = dict(binned.dtypes)
     empty = {"boolean": False, "string": "none", "int": 0, "bigint": 0, "double": 0.0}
     fill = {c: "" if c in ("words", "segment_text") else empty[kinds[c]] for c in binned.columns if c not in (key, "bin") and kinds[c] in empty}

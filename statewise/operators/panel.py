@@ -47,12 +47,12 @@ def densify_binary(marks: DataFrame, keys: DataFrame, size: int, key: str = "par
 
 
 def panel_checks(panel: DataFrame, labels: list[int], features: list[str]) -> DataFrame:
-    """Violations of the panel: unequal lengths, values not finite, labels outside the set, features not 0/1."""
+    """Violations of the panel: unequal lengths, values not finite, labels outside the set, features not 0/1; a missing value is a violation."""
     per = panel.groupBy("subject").agg(
         F.count("*").alias("n"),
         F.sum((F.isnan("x") | F.col("x").isNull() | (F.abs("x") == float("inf"))).cast("int")).alias("bad_x"),
-        F.sum((~F.col("state").isin(labels)).cast("int")).alias("bad_state"),
-        F.sum(sum(((~F.col(f).isin(0, 1)).cast("int") for f in features), F.lit(0))).alias("bad_feature"),
+        F.sum(F.coalesce((~F.col("state").isin(labels)).cast("int"), F.lit(1))).alias("bad_state"),
+        F.sum(sum((F.coalesce((~F.col(f).isin(0, 1)).cast("int"), F.lit(1)) for f in features), F.lit(0))).alias("bad_feature"),
     )
     return per.agg(
         F.count("*").alias("n_subjects"), (F.max("n") - F.min("n")).alias("length_gap"),

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.special import bin_half_even
+from ..functions.special import bin_floor, bin_half_even
 from ..models import diagnostics, glmm, hmm
 from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
@@ -154,7 +154,7 @@ SELECT k.participant, b.bin, (m.bin IS NOT NULL)::BIGINT AS y FROM k CROSS JOIN
     lambda s, d: panel.densify_binary(r := align.response_bins(v_rt(s, d), BIN), r, 120)
 )
 _query("panel_checks", f"""WITH {SEQ},
-p AS (SELECT subject, count(*) AS n, count(*) FILTER (isnan(x) OR x IS NULL OR isinf(x)) AS bx, count(*) FILTER (state NOT IN (0,1,2)) AS bs, count(*)
+p AS (SELECT subject, count(*) AS n, count(*) FILTER (isnan(x) OR x IS NULL OR isinf(x)) AS bx, count(*) FILTER (state IS NULL OR state NOT IN (0,1,2)) AS bs, count(*)
   FILTER (state NOT IN (0, 1)) + count(*) FILTER (t % 3 = 2) AS bf FROM seq GROUP BY 1)
 SELECT count(*) AS n_subjects, max(n) - min(n) AS length_gap, sum(bx)::BIGINT AS not_finite, sum(bs)::BIGINT AS bad_labels, sum(bf)::BIGINT AS
   not_binary FROM p""")(
@@ -208,7 +208,7 @@ def _snapped(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("boundary_snap", f"WITH {_SNAP} SELECT bin::BIGINT AS bin, count, round(agreement, 6) AS agreement, snapped::BIGINT AS snapped FROM sn")(_snapped)
-_query("agreement_snapped", f"WITH {_SNAP} SELECT snapped::BIGINT AS snapped, sum(count)::BIGINT AS count, round(sum(count) / 100.0::DOUBLE, 6) AS agreement FROM sn WHERE snapped IS NOT NULL GROUP BY 1")(lambda s, d: align.agreement_snapped(_snapped(s, d), 100))
+_query("agreement_snapped", f"WITH {_SNAP} SELECT snapped::BIGINT AS snapped, sum(count)::BIGINT AS count, round(sum(count) / (SELECT count(DISTINCT participant) FROM resp)::DOUBLE, 6) AS agreement FROM sn WHERE snapped IS NOT NULL GROUP BY 1")(lambda s, d: align.agreement_snapped(_snapped(s, d), align.response_bins(v_rt(s, d), BIN)))
 _PK = f"""{_AG}, ix AS (SELECT bin, round(agreement, 9) AS v, row_number() OVER (ORDER BY bin) - 1 AS i FROM ag), rn AS (SELECT *, sum(ch) OVER (ORDER BY i) AS run FROM (SELECT *, coalesce(v <> lag(v) OVER (ORDER BY i), true)::INT AS ch FROM ix)),
 fl AS (SELECT run, any_value(v) AS v, min(i) AS i0, max(i) AS i1 FROM rn GROUP BY 1), tp AS (SELECT * FROM (SELECT *, lag(v) OVER (ORDER BY run) AS l, lead(v) OVER (ORDER BY run) AS n FROM fl) WHERE v > l AND v > n),
 pk AS (SELECT ix.bin, tp.v AS agreement, tp.v - greatest((SELECT min(v) FROM fl WHERE fl.run < tp.run AND fl.run > coalesce((SELECT max(h.run) FROM fl h WHERE h.run < tp.run AND h.v > tp.v), 0)), (SELECT min(v) FROM fl WHERE fl.run > tp.run AND fl.run < coalesce((SELECT min(h.run) FROM fl h WHERE h.run > tp.run AND h.v > tp.v), 1000000))) AS prominence FROM tp JOIN ix ON ix.i = (tp.i0 + tp.i1) // 2)"""
@@ -264,8 +264,7 @@ ed AS (SELECT wi.story, begin, stop, max(i) FILTER (onset_sec <= begin) AS lo, m
   GROUP BY 1, 2, 3)
 SELECT ed.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(seg, ' ' ORDER BY i) AS text, count(*) AS n_segments FROM ed JOIN nu ON
   nu.story = ed.story AND i >= lo AND i < hi GROUP BY 1, 2, 3""",
-)(lambda s, d: align.events_to_segments(v_seg(s, d), align.windows_between(v_seg(s, d).filter("onset_sec > 0 and length(seg) > 300").select("story", F.col("onset_sec").alias("boundary")), "story")))
-_ORACLES["events_to_segments"] = _ORACLES["events_to_segments"].replace("WHERE onset_sec > 0)", "WHERE onset_sec > 0 AND length(seg) > 300)")
+)(lambda s, d: align.events_to_segments(v_seg(s, d), _windows(s, d)))
 _query("value_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY 1")(lambda s, d: table(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n")))
 
 # pairs
@@ -597,12 +596,12 @@ _query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patter
 
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
-    """A vector stands at a threshold where its component of that number is positive, so vectors come, go and return."""
-    e = table(s, d, "embeddings").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("embedding[i] > 0")
-    return e.select((0.6 + F.col("i") / 10).alias("threshold"), F.col("vec_id").alias("id"), (F.col("label") % (F.col("i") * 3 + 4)).alias("cluster"))
+    """A threshold for each component: a vector stands where its own is positive, so vectors come, go and return."""
+    e = v_obs(s, d).filter("value > 0")
+    return e.select((F.col("feature") / 64).alias("threshold"), "id", (F.col("state") % (F.col("feature") % 7 + 4)).alias("cluster"))
 
 
-_ASG = "asg AS (SELECT i, round(0.6::DOUBLE + i / 10.0::DOUBLE, 6) AS threshold, vec_id AS id, label % (i * 3 + 4) AS cluster FROM embeddings, range(3) r(i) WHERE embedding[i + 1] > 0)"
+_ASG = "asg AS (SELECT i, round(i / 64.0::DOUBLE, 6) AS threshold, vec_id AS id, label % (i % 7 + 4) AS cluster FROM embeddings, range(64) r(i) WHERE embedding[i + 1] > 0)"
 _query("threshold_stats", f"""WITH {_ASG},
 z AS (SELECT threshold, cluster, count(*) AS n FROM asg GROUP BY 1, 2)
 SELECT threshold, count(*) AS n_clusters, sum(n)::BIGINT AS n_patterns, max(n) AS max_size, round(avg(n), 6) AS mean_size, round(count(*) /
@@ -735,15 +734,15 @@ _query(
 )
 _query(
     "model_consistency",
-    """WITH e AS (SELECT label % 3 AS model, label AS state, vec_id % 10 AS subject, avg((embedding[1] > 0.1)::INT) AS o, avg(embedding[2]::DOUBLE) AS c,
-  avg(abs(embedding[3]::DOUBLE)) AS h FROM embeddings GROUP BY 1, 2, 3),
+    f"""WITH {OBS},
+e AS (SELECT state % 3 AS model, state, id % 10 AS subject, avg((value > 0.1)::INT) AS o, avg(value) AS c, avg(abs(value)) AS h FROM obs GROUP BY 1, 2, 3),
 b AS (SELECT model, state, avg(o) AS o, var_pop(c) AS c, avg(h) AS h FROM e GROUP BY 1, 2)
 SELECT model::BIGINT AS model, round(100 * avg((o < 0.25)::INT), 6) AS pct_low_freq, round(max(c), 6) AS max_pattern_var, round(avg(h), 6) AS
   mean_stability FROM b GROUP BY 1""",
 )(
     lambda s, d: patterns.model_consistency(
-        table(s, d, "embeddings").groupBy((F.col("label") % 3).alias("model"), F.col("label").alias("state"), (F.col("vec_id") % 10).alias("subject"))
-        .agg(F.avg((F.col("embedding")[0] > 0.1).cast("double")).alias("occupancy"), F.avg(F.col("embedding")[1].cast("double")).alias("cosine"), F.avg(F.abs(F.col("embedding")[2].cast("double"))).alias("stability")), 0.25
+        v_obs(s, d).groupBy((F.col("state") % 3).alias("model"), "state", (F.col("id") % 10).alias("subject"))
+        .agg(F.avg((F.col("value") > 0.1).cast("double")).alias("occupancy"), F.avg("value").alias("cosine"), F.avg(F.abs("value")).alias("stability")), 0.25
     )
 )
 _query(
@@ -981,6 +980,14 @@ _query("word_presence", f"""WITH {_AS} SELECT story, word_id, coalesce(contains(
   coalesce(contains(lower(actor), 'user'), false) AS user_present FROM asw""".replace("g.seg, g.speaker", "g.seg, g.actor, g.speaker"))(
     lambda s, d: align.word_flags(align.asof_segment(v_word(s, d), v_seg(s, d)), "user", {}, {"both_present": ("User", "assistant"), "user_present": ("user",)}).select("story", "word_id", "both_present", "user_present")
 )
+
+
+def _expected_bins(s: SparkSession, d: str) -> DataFrame:
+    """Number of bins of each story from its turns' numbers of words, for the check of its own bins against them."""
+    words = table(s, d, "conversations").groupBy(F.col("conv_id").alias("story")).agg(F.sum(F.size(F.split("text", " "))).alias("n"))
+    return words.select("story", (bin_floor((F.col("n") - 1) * F.lit(0.4), 6.0) + 1).alias("size"))
+
+
 _query(
     "bin_annotations",
     f"""WITH {_AS},
@@ -991,12 +998,12 @@ g AS (SELECT story, bin, avg(is_verb::INT) > 0.5 AS mostly_is_verb, max(is_verb)
 m AS (SELECT story, bin, arg_min(said_by, (-n, said_by)) AS said_by FROM (SELECT story, bin, said_by, count(*) AS n FROM b GROUP BY 1, 2, 3) GROUP BY
   1, 2),
 a AS (SELECT story, bin, arg_min(actor, (-n, actor)) AS actor FROM (SELECT story, bin, actor, count(*) AS n FROM b GROUP BY 1, 2, 3) GROUP BY 1, 2),
-c AS (SELECT DISTINCT story, unnest(range(12)) AS bin FROM g)
+c AS (SELECT story, unnest(range(max(bin) + 1)) AS bin FROM g GROUP BY 1)
 SELECT c.story, c.bin, coalesce(mostly_is_verb, false) AS mostly_is_verb, coalesce(has_is_verb, false) AS has_is_verb, coalesce(n_is_verb, 0) AS
   n_is_verb, coalesce(words, '') AS words, coalesce(verbs, 'none') AS verbs, coalesce(nouns, 'none') AS nouns, coalesce(segment_text, '') AS
   segment_text, coalesce(said_by, 'none') AS said_by, coalesce(actor, 'none') AS actor FROM c LEFT JOIN g ON g.story = c.story AND g.bin = c.bin LEFT
   JOIN m ON m.story = c.story AND m.bin = c.bin LEFT JOIN a ON a.story = c.story AND a.bin = c.bin""".replace("g.seg, g.speaker", "g.seg, g.actor, g.speaker"),
-)(lambda s, d: align.dense_bins(align.bin_majority(_tagged(s, d), ["is_verb"], 6.0, lists={"verbs": "is_verb", "nouns": "is_noun"}, modes=("said_by", "actor")), 12, force=True))
+)(lambda s, d: align.dense_bins(align.bin_majority(_tagged(s, d), ["is_verb"], 6.0, lists={"verbs": "is_verb", "nouns": "is_noun"}, modes=("said_by", "actor")), _expected_bins(s, d)))
 _query(
     "window_text_left",
     f"""WITH {_WIN} SELECT wi.story, round(begin, 6) AS begin, round(stop, 6) AS "end", string_agg(text, ' ' ORDER BY onset, word_id) AS text FROM wi JOIN w
@@ -1079,14 +1086,14 @@ _query(
     "threshold_agreement",
     f"""WITH {_ASG},
 i AS (SELECT DISTINCT id FROM asg),
-dn AS (SELECT i.id, r.s AS step, cluster FROM i CROSS JOIN range(3) r(s) LEFT JOIN asg ON asg.id = i.id AND asg.i = r.s),
+dn AS (SELECT i.id, r.s AS step, cluster FROM i CROSS JOIN range(64) r(s) LEFT JOIN asg ON asg.id = i.id AND asg.i = r.s),
 mv AS (SELECT a.step, a.cluster AS x, b.cluster AS y, count(*) AS n FROM dn a JOIN dn b ON b.id = a.id AND b.step = a.step + 1 GROUP BY 1, 2, 3),
 kn AS (SELECT * FROM mv WHERE x IS NOT NULL AND y IS NOT NULL), {_agreed('co', 'kn')}, {_agreed('fu', 'mv')},
 z AS (SELECT step, coalesce(sum(n) FILTER (x IS NOT NULL AND y IS NOT NULL), 0)::BIGINT AS common, coalesce(sum(n) FILTER (x IS NOT NULL AND y IS
   NULL), 0)::BIGINT AS lost, coalesce(sum(n) FILTER (x IS NULL AND y IS NOT NULL), 0)::BIGINT AS gained, coalesce(sum(n) FILTER (x IS NOT NULL),
   0)::BIGINT AS patterns1, coalesce(sum(n) FILTER (y IS NOT NULL), 0)::BIGINT AS patterns2, count(DISTINCT x) AS clusters1, count(DISTINCT y) AS
   clusters2 FROM mv GROUP BY 1)
-SELECT round(0.6::DOUBLE + z.step / 10.0::DOUBLE, 6) AS threshold1, round(0.7::DOUBLE + z.step / 10.0::DOUBLE, 6) AS threshold2,
+SELECT round(z.step / 64.0::DOUBLE, 6) AS threshold1, round((z.step + 1) / 64.0::DOUBLE, 6) AS threshold2,
   round(coalesce(co.ari, CASE WHEN co.step IS NULL THEN 0 ELSE 1 END), 6) AS ari, round(coalesce(co.nmi, CASE WHEN co.step IS NULL THEN 0 ELSE 1 END),
   6) AS nmi, round(coalesce(fu.ari, 1), 6) AS ari_full, round(coalesce(fu.nmi, 1), 6) AS nmi_full, common, lost, gained, patterns1, patterns2,
   clusters1, clusters2 FROM z LEFT JOIN co ON co.step = z.step JOIN fu ON fu.step = z.step""",

@@ -180,3 +180,19 @@ def test_top_interactions_and_best_models(spark):
     assert [r["feature"] for r in inference.top_interactions(terms, 2).collect()] == ["c", "a_b"]
     models = spark.createDataFrame([(3, 1.0, 5.0), (2, 1.0, None), (4, float("nan"), 2.0)], "model int, score double, loss double")
     assert {(r["metric"], r["model"], r["value"]) for r in inference.best_models(models, {"score": True, "loss": False}).collect()} == {("score", 2, 1.0), ("loss", 4, 2.0)}
+
+
+def test_missing_values_are_violations(spark):
+    rows = [(1, 0, 1.0, 0, 1, None), (1, 1, 2.0, None, None, 5), (2, 0, 1.0, 2, 0, 0)]
+    got = panel.panel_checks(spark.createDataFrame(rows, "subject long, t long, x double, state int, f int, g int"), [0, 1, 2], ["f", "g"]).first()
+    assert (got["n_subjects"], got["length_gap"], got["not_finite"], got["bad_labels"], got["not_binary"]) == (2, 1, 0, 1, 3)
+
+
+def test_bins_past_and_short_of_the_expected_ones_stay(spark):
+    binned = spark.createDataFrame([("p", 0, True, "x"), ("p", 4, True, "y"), ("q", 1, False, "z")], "story string, bin int, has_f boolean, words string")
+    sizes = spark.createDataFrame([("p", 3), ("q", 6)], "story string, size int")
+    got = align.dense_bins(binned, sizes)
+    assert {r["story"]: r["n"] for r in got.groupBy("story").agg(F.count("*").alias("n")).collect()} == {"p": 5, "q": 6}
+    for wrong in (spark.createDataFrame([("p", 30), ("q", 6)], "story string, size int"), sizes.filter("story = 'p'")):
+        with pytest.raises(ValueError):
+            align.dense_bins(binned, wrong)
