@@ -1,102 +1,81 @@
-"""Tail probabilities of the t and chi-square distributions and of rank correlations.
+"""Tail probabilities of the t and chi-square distributions and of rank correlations, as column expressions.
 
-They run over rows that are aggregated already (a test per step, lag or pair),
-in Arrow batches; both need an iteration to convergence that column
-expressions lack.  Null or undefined arguments give null.
+The continued fractions and series are folds over a sequence of term numbers,
+evaluated from the last term inwards; the number of terms follows from the
+degrees of freedom (it grows with their root).  Null, infinite or undefined
+arguments, and degrees of freedom of 0 or less, give null.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_TINY, _EPS, _STEPS = 1e-300, 1e-15, 20_000
-
-
-def _fraction(first: np.ndarray, numerator, denominator) -> np.ndarray:
-    """first + n1 / (d1 + n2 / (d2 + ...)) by the modified Lentz method, all elements at once."""
-    value = np.where(first == 0, _TINY, first)
-    c, d = value.copy(), np.zeros_like(value)
-    for m in range(1, _STEPS):
-        n, b = numerator(m), denominator(m)
-        d = b + n * d
-        c = b + n / c
-        d, c = 1 / np.where(d == 0, _TINY, d), np.where(c == 0, _TINY, c)
-        value = value * c * d
-        if np.all(np.abs(c * d - 1) < _EPS):
-            break
-    return value
-
-
-def _beta_part(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    def numerator(step: int) -> np.ndarray:
-        if step == 1:
-            return np.ones_like(x)
-        m, odd = divmod(step - 2, 2)
-        if odd:
-            m += 1
-            return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-
-    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(np.maximum(x, _TINY)) + b * np.log1p(-np.minimum(x, 1 - 1e-16))) / a
-    return front * _fraction(np.zeros_like(x), numerator, lambda m: np.ones_like(x))
-
-
-def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function, 0 <= x <= 1; the fraction is taken on the side where it converges fast."""
-    direct = x < (a + 1) / (a + b + 2)
-    part = _beta_part(np.where(direct, a, b), np.where(direct, b, a), np.where(direct, x, 1 - x))
-    return np.where(direct, part, 1 - part)
-
-
-def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised upper incomplete gamma function: series below x = a + 1, fraction above."""
-    low = x < a + 1
-    near = np.where(low, x, 0.0)
-    term, total = 1 / a, 1 / a
-    for m in range(1, _STEPS):
-        term = term * near / (a + m)
-        total = total + term
-        if np.all(term <= _EPS * total):
-            break
-    far = np.where(low, a + 1, x)
-    front = lambda y: np.exp(a * np.log(np.maximum(y, _TINY)) - y - _lgamma(a))
-    fraction = _fraction(np.zeros_like(x), lambda m: np.ones_like(x) if m == 1 else -(m - 1.0) * (m - 1 - a), lambda m: far + 2 * m - 1 - a)
-    return np.where(low, 1 - front(near) * total, front(far) * fraction)
-
-
-def _over(function, first: pd.Series, second: pd.Series) -> pd.Series:
-    x, y = first.to_numpy(float, na_value=np.nan), second.to_numpy(float, na_value=np.nan)
-    known = np.isfinite(x) & np.isfinite(y) & (y > 0)
-    out = np.full(len(x), np.nan)
-    if known.any():
-        out[known] = function(x[known], y[known])
-    return pd.Series(out).where(known, None)
+_SHIFT = 10
 
 
-def t_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|) with df degrees of freedom."""
+def _series(z: Column, terms: list[float]) -> Column:
+    """Sum of terms[i] / z^(2 i + 1)."""
+    inner = reduce(lambda total, c: total / (z * z) + c, reversed(terms), F.lit(0.0))
+    return inner / z
 
-    @F.pandas_udf("double")
-    def p(t: pd.Series, df: pd.Series) -> pd.Series:
-        return _over(lambda x, n: incomplete_beta(n / 2, np.full_like(n, 0.5), n / (n + x * x)), t, df)
 
-    return p(t.cast("double"), df.cast("double"))
+def _product(z: Column) -> Column:
+    return reduce(lambda p, i: p * (z + float(i)), range(1, _SHIFT), z)
 
 
-def chi2_tail(x: Column, df: Column) -> Column:
-    """P(X >= x) of chi-square with df degrees of freedom."""
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z > 0: Stirling's series at z + 10, taken back by the recurrence."""
+    w = z + float(_SHIFT)
+    far = (w - 0.5) * F.log(w) - w + 0.5 * math.log(2 * math.pi) + _series(w, [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188])
+    return far - F.log(_product(z))
+
+
+def _half_step(z: Column) -> Column:
+    """Gamma(z + 1/2) / Gamma(z) for z > 0, without the loss of digits that a difference of two logarithms has."""
+    w = z + float(_SHIFT)
+    far = _series(w, [-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432])
+    return F.sqrt(w) * F.exp(far) * _product(z) / _product(z + 0.5)
+
+
+def _fold(steps: Column, start: Column, inward) -> Column:
+    """inward(value, m) for m from `steps` down to 1."""
+    return F.aggregate(F.sequence(steps, F.lit(1).cast("long"), F.lit(-1).cast("long")), start, lambda value, m: inward(value, m.cast("double")))
 
-    @F.pandas_udf("double")
-    def p(x: pd.Series, df: pd.Series) -> pd.Series:
-        return _over(lambda v, n: upper_gamma(n / 2, np.maximum(v, 0) / 2), x, df)
 
-    return p(x.cast("double"), df.cast("double"))
+def _known(*args: Column) -> Column:
+    return reduce(lambda a, b: a & b, [c.isNotNull() & (F.abs(c) < math.inf) for c in args])
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) with df degrees of freedom."""
+    t, n = t.cast("double"), df.cast("double")
+    half = n / 2
+    x, y = n / (n + t * t), t * t / (n + t * t)
+    direct = x < (half + 1) / (half + 2.5)
+    a, b, z = F.when(direct, half).otherwise(0.5), F.when(direct, 0.5).otherwise(half), F.when(direct, x).otherwise(y)
+    even = lambda m: m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m))
+    odd = lambda m: -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))
+    steps = (60 + 4 * F.sqrt(half)).cast("long")
+    inner = _fold(steps, F.lit(1.0), lambda value, m: 1 + even(m) / (1 + odd(m) / value))
+    front = F.exp(-half * F.log1p(t * t / n)) * F.sqrt(y) * _half_step(half) / math.sqrt(math.pi)
+    part = front / a / (1 + odd(F.lit(0.0)) / inner)
+    return F.when(_known(t, n) & (n > 0), F.when(direct, part).otherwise(1 - part))
+
+
+def chi2_tail(x: Column, df: Column) -> Column:
+    """P(X >= x) of chi-square with df degrees of freedom: series below the mean, continued fraction above."""
+    v, n = F.greatest(x.cast("double"), F.lit(0.0)) / 2, df.cast("double")
+    a = n / 2
+    steps = (200 + 12 * F.sqrt(a)).cast("long")
+    front = F.when(v > 0, F.exp(a * F.log(v) - v - log_gamma(a))).otherwise(0.0)
+    series = _fold(steps, F.lit(1.0), lambda value, m: 1 + value * v / (a + m)) / a
+    below = _fold(steps, v + 2 * steps.cast("double") + 1 - a, lambda value, m: v + 2 * m - 1 - a + m * (a - m) / value)
+    tail = F.when(v < a + 1, 1 - front * series).otherwise(front / below)
+    return F.when(_known(x.cast("double"), n) & (n > 0), tail)
 
 
 def correlation_p(rho: Column, n: Column) -> Column:
