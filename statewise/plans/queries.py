@@ -306,12 +306,12 @@ SELECT x.state::BIGINT AS a, y.state::BIGINT AS b, round(sum(x.v * y.v) / (sqrt(
   JOIN m y ON x.feature = y.feature AND x.state < y.state GROUP BY 1, 2""")(
     lambda s, d: pairs.cosine_pairs(v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value")))
 )
-_query("spearman_pairs", f"""WITH {OBS},
+_SP = f"""{OBS},
 m AS (SELECT state, feature, avg(value) AS v FROM obs GROUP BY 1, 2),
 r AS (SELECT x.state, x.feature, count(*) FILTER (y.v < x.v) + (count(*) FILTER (y.v = x.v) + 1) / 2.0 AS r FROM m x JOIN m y ON x.state = y.state
-  GROUP BY 1, 2)
-SELECT x.state::BIGINT AS a, y.state::BIGINT AS b, round(corr(x.r, y.r), 6) AS rho FROM r x JOIN r y ON x.feature = y.feature AND x.state < y.state
-  GROUP BY 1, 2""")(
+  GROUP BY 1, 2),
+sp AS (SELECT x.state::BIGINT AS a, y.state::BIGINT AS b, corr(x.r, y.r) AS rho, count(*) - 2 AS df FROM r x JOIN r y ON x.feature = y.feature AND x.state < y.state GROUP BY 1, 2)"""
+_query("spearman_pairs", f"WITH {_SP} SELECT a, b, round(rho, 6) AS rho FROM sp")(
     lambda s, d: pairs.spearman_pairs(v_obs(s, d).groupBy(F.col("state").alias("id"), "feature").agg(F.avg("value").alias("value")))
 )
 _PT = f"{OBS}, p AS (SELECT id AS pattern_id, feature FROM obs WHERE value > 0.1)"
@@ -485,16 +485,15 @@ f AS (SELECT *, avg(1 - prob_direction) OVER (ORDER BY prob_direction DESC, term
 SELECT term, round(prob_direction, 6) AS prob_direction, round(fdr, 6) AS fdr, fdr <= 0.2 AS credible FROM f""")(
     lambda s, d: inference.bayes_fdr(v_seq(s, d).groupBy(F.col("subject").alias("term")).agg(F.avg((F.col("state") < 3).cast("int")).alias("prob_direction")), 0.2)
 )
-_query(
-    "timepoint_t",
-    f"""WITH {SEQ},
-y AS (SELECT grp, t, (state = 1)::INT AS y FROM seq),
+_TP = """y AS (SELECT grp, t, (state = 1)::INT AS y FROM seq),
 m AS (SELECT t, avg(y) FILTER (grp = 'a') AS ma, avg(y) FILTER (grp = 'b') AS mb, var_samp(y) FILTER (grp = 'a') AS va, var_samp(y) FILTER (grp = 'b')
   AS vb, var_pop(y) FILTER (grp = 'a') AS pa, var_pop(y) FILTER (grp = 'b') AS pb, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS
-  nb FROM y GROUP BY 1)
-SELECT t, CASE WHEN na > 1 AND nb > 1 THEN round(coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na::DOUBLE +
-  1 / nb::DOUBLE)), 0), 0), 6) END AS t_stat, CASE WHEN na > 1 AND nb > 1 THEN round(coalesce((ma - mb) / nullif(sqrt((pa + pb) / 2), 0), 0), 6) END
-  AS cohen_d FROM m""",
+  nb FROM y GROUP BY 1),
+tp AS (SELECT t, na + nb - 2 AS df, CASE WHEN na > 1 AND nb > 1 THEN coalesce((ma - mb) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na::DOUBLE +
+  1 / nb::DOUBLE)), 0), 0) END AS t_stat, CASE WHEN na > 1 AND nb > 1 THEN coalesce((ma - mb) / nullif(sqrt((pa + pb) / 2), 0), 0) END AS cohen_d FROM m)"""
+_query(
+    "timepoint_t",
+    f"WITH {SEQ}, {_TP} SELECT t, round(t_stat, 6) AS t_stat, round(cohen_d, 6) AS cohen_d FROM tp",
 )(lambda s, d: inference.timepoint_t(panel.target_indicator(v_seq(s, d), 1)))
 _query("bh_fdr", f"""WITH {SEQ},
 p AS (SELECT t, avg((state = 1)::INT) AS p FROM seq GROUP BY 1),
@@ -652,17 +651,26 @@ c AS (SELECT grp, state, t // 9 AS b, count(*)::DOUBLE AS n FROM seq GROUP BY AL
 m AS (SELECT *, sum(n) OVER (PARTITION BY grp) AS al_n, sum(n) OVER (PARTITION BY grp, state) AS na, sum(n) OVER (PARTITION BY grp, b) AS nb FROM c)
 SELECT grp, round({_MI}, 6) AS mutual_info FROM m GROUP BY 1""",
 )(lambda s, d: pairs.mutual_information(v_seq(s, d).groupBy("grp", "state", F.floor(F.col("t") / 9).alias("b")).agg(F.count("*").alias("n")), ["grp"], "state", "b"))
-_query(
-    "ljung_box",
-    f"""WITH {SEQ},
-c AS (SELECT subject, t, x - avg(x) OVER (PARTITION BY subject) AS d, count(*) OVER (PARTITION BY subject) AS n FROM seq),
+_LJ = """c AS (SELECT subject, t, x - avg(x) OVER (PARTITION BY subject) AS d, count(*) OVER (PARTITION BY subject) AS n FROM seq),
 v AS (SELECT subject, sum(d * d) AS v FROM c GROUP BY 1),
 r AS (SELECT a.subject, l.lag, any_value(a.n) AS n, sum(a.d * b.d) / any_value(v.v) AS r FROM range(1, 11) l(lag), c a JOIN c b ON a.subject =
-  b.subject AND a.t = b.t + l.lag JOIN v ON v.subject = a.subject WHERE a.n >= 25 GROUP BY 1, 2)
-SELECT subject, lag, round(r, 6) AS autocorrelation, round(n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY subject ORDER BY lag), 6) AS
-  statistic FROM r""",
+  b.subject AND a.t = b.t + l.lag JOIN v ON v.subject = a.subject WHERE a.n >= 25 GROUP BY 1, 2),
+lb AS (SELECT *, n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY subject ORDER BY lag) AS statistic FROM r)"""
+_query(
+    "ljung_box",
+    f"WITH {SEQ}, {_LJ} SELECT subject, lag, round(r, 6) AS autocorrelation, round(statistic, 6) AS statistic FROM lb",
 )(lambda s, d: curves.ljung_box(v_seq(s, d)).select("subject", "lag", "autocorrelation", "statistic"))
-_query("ljung_box_p", None)(lambda s, d: curves.ljung_box(v_seq(s, d)))
+# tails in SQL: the series of the lower gamma function, and the finite sums of the t distribution for whole degrees of freedom
+_CHI_SUM = "(SELECT sum(exp((lag / 2.0 + m) * ln(statistic / 2) - statistic / 2 - lgamma(lag / 2.0 + m + 1))) FROM range(600) g(m))"
+_T_SUM = """list_sum(list_transform(range((df + 1) // 2), lambda k: CASE WHEN df % 2 = 0 THEN exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1::DOUBLE)) / sqrt(pi()) * c ** (2 * k)
+  WHEN 2 * k + 1 < df THEN exp(lgamma(k + 1::DOUBLE) - lgamma(k + 1.5::DOUBLE)) / sqrt(pi()) * c ** (2 * k + 1) ELSE 0 END))"""
+_T_TAIL = f"1 - CASE WHEN df % 2 = 0 THEN sqrt(1 - c * c) * {_T_SUM} ELSE 2 / pi() * acos(c) + sqrt(1 - c * c) * {_T_SUM} END"
+_query(
+    "ljung_box_p",
+    f"""WITH {SEQ}, {_LJ},
+p AS (SELECT *, CASE WHEN statistic > 400 THEN 0.0 WHEN statistic <= 0 THEN 1.0 ELSE 1 - {_CHI_SUM} END AS p FROM lb)
+SELECT subject, lag, round(r, 6) AS autocorrelation, round(statistic, 6) AS statistic, round(p, 6) AS p_value, min(p) OVER (PARTITION BY subject) < 0.05 AS serial FROM p""",
+)(lambda s, d: curves.ljung_box(v_seq(s, d)))
 _query(
     "residualise",
     f"""WITH {SEQ},
@@ -694,7 +702,15 @@ st8 AS (SELECT aft, last_value(top IGNORE NULLS) OVER w AS knee, last_value(bar
   UNBOUNDED PRECEDING))
 SELECT 'all' AS series, round(min(knee), 6) AS knee FROM st8 WHERE knee IS NOT NULL AND aft < bar HAVING count(*) > 0""",
 )(lambda s, d: curves.knee_point(align.threshold_sweep(align.peaks(x := _series(s, d)), x).select(F.lit("all").alias("series"), F.col("threshold").alias("x"), F.col("n_peaks").alias("y"))))
-_query("timepoint_p", None)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_seq(s, d), 1)))
+_query(
+    "timepoint_p",
+    f"""WITH {SEQ}, {_TP},
+g AS (SELECT *, sqrt(df / (df + t_stat * t_stat)) AS c FROM tp),
+p AS (SELECT *, CASE WHEN t_stat IS NOT NULL THEN {_T_TAIL} END AS p FROM g),
+k AS (SELECT *, row_number() OVER (ORDER BY p, t) AS rank, count(*) OVER () AS m FROM p WHERE p IS NOT NULL),
+q AS (SELECT t, least(1, min(p * m / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS q FROM k)
+SELECT t, round(t_stat, 6) AS t_stat, round(cohen_d, 6) AS cohen_d, df, round(p, 6) AS p, round(q, 6) AS q FROM p LEFT JOIN q USING (t)""",
+)(lambda s, d: inference.timepoint_p(panel.target_indicator(v_seq(s, d), 1)))
 
 
 def _rank_correlation_p(s: SparkSession, d: str) -> DataFrame:
@@ -702,7 +718,13 @@ def _rank_correlation_p(s: SparkSession, d: str) -> DataFrame:
     return inference.rank_correlation_p(pairs.spearman_pairs(means), means.agg(F.count_distinct("feature")).first()[0])
 
 
-_query("rank_correlation_p", None)(_rank_correlation_p)
+_query(
+    "rank_correlation_p",
+    f"""WITH {_SP},
+g AS (SELECT *, sqrt(1 - least(1, rho * rho)) AS c FROM sp)
+SELECT a, b, round(rho, 6) AS rho, round(CASE WHEN df > 0 THEN {_T_TAIL} END, 6) AS p_value,
+  CASE WHEN abs(rho) >= 0.7 THEN 'strong' WHEN abs(rho) >= 0.4 THEN 'moderate' ELSE 'weak' END AS strength FROM g""",
+)(_rank_correlation_p)
 _query(
     "pattern_cosine",
     f"""WITH {OBS},
