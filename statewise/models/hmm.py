@@ -137,7 +137,10 @@ def _chunks(series: list[np.ndarray], cells: int) -> Iterator[list[np.ndarray]]:
 
 
 def _packed(data: DataFrame, held_out: bool) -> DataFrame:
-    """One row a series, its values in order of t."""
+    """One row a series, its values in order of t; dealt to at least as many files as cores, since rounds are long and rows few."""
+    spark = data.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    data = data.repartition(parts, "subject")
     values = F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda r: r["x"]).alias("x")
     return staged(data.groupBy("subject").agg((F.min("fold") if held_out else F.lit(None)).cast("int").alias("fold"), values).select("fold", "x"))
 
@@ -158,22 +161,27 @@ def _m_step(s: np.ndarray, p: Params, ridge: float) -> Params:
     return Params(first / first.sum(), np.where(rows > 1e-8, move / np.maximum(rows, 1e-300), p.transition), mean, np.where(kept[:, None, None], cov, p.cov))
 
 
-def _em(data: DataFrame, params: dict[int, Params], most_rounds: int, tol: float, ridge: float, held_out: bool = False) -> dict[int, list[float]]:
-    """Refines `params` in place, all keys in one job a round, and gives their likelihoods; with `held_out` a series is left out of the model of its own `fold`."""
+def _em(data: DataFrame, params: dict[int, Params], most_rounds: int, tol: float, ridge: float, left_out: dict[int, set[int]] | None = None) -> dict[int, list[float]]:
+    """Refines `params` in place, all keys in one job a round whatever their numbers of states, and gives their likelihoods.
+
+    `left_out` names for a key the values of the column `fold` whose series its
+    model does not see.  A model that has settled leaves the job.
+    """
     history: dict[int, list[float]] = {r: [] for r in params}
     live = set(params)
-    series = _packed(data, held_out)
+    skip = left_out or {}
+    series = _packed(data, bool(skip))
     for _ in range(most_rounds):
         now = {r: params[r] for r in live}
 
         def e_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums: dict[int, np.ndarray] = {}
             for pdf in batches:
-                own = pdf["fold"].to_numpy() if held_out else np.full(len(pdf), None)
+                own = pdf["fold"].to_numpy() if skip else np.full(len(pdf), None)
                 for fold in set(own):
-                    of_fold = [np.stack(x) for x in pdf["x"][own == fold if held_out else slice(None)]]
+                    of_fold = [np.stack(x) for x in pdf["x"][own == fold if skip else slice(None)]]
                     for r, p in now.items():
-                        if r != fold:
+                        if fold not in skip.get(r, ()):
                             for some in _chunks(of_fold, _CELLS // p.k**2):
                                 sums[r] = sums.get(r, 0.0) + _statistics(some, p)
             yield pd.DataFrame(list(sums.items()), columns=["model", "stats"])
@@ -196,11 +204,11 @@ def settled(*params: Params) -> None:
 
 
 def fit(data: DataFrame, k: int, restarts: int = 5, most_rounds: int = 1000, tol: float = 1e-3, ridge: float = 1e-6, seed: int = 0) -> tuple[Params, list[float]]:
-    """(subject, t, x array) -> the restart with the best likelihood and its likelihoods by round.  A state without weight keeps its parameters."""
+    """(subject, t, x array) -> the restart with the best likelihood among those that settled (among all where none did) and its likelihoods by round.  A state without weight keeps its parameters."""
     d = len(data.select("x").first()["x"])
     params = {r: initial(k, d, seed + r) for r in range(restarts)}
     history = _em(data, params, most_rounds, tol, ridge)
-    best = max(history, key=lambda r: history[r][-1])
+    best = max(history, key=lambda r: (params[r].converged, history[r][-1]))
     return params[best], history[best]
 
 
@@ -211,7 +219,7 @@ def cross_validate(data: DataFrame, full: Params, most_rounds: int = 100, tol: f
     numbers a fold, so the number of folds is the caller's bound.
     """
     params = {int(r["fold"]): full for r in data.select("fold").distinct().collect()}
-    _em(data, params, most_rounds, tol, ridge, held_out=True)
+    _em(data, params, most_rounds, tol, ridge, left_out={r: {r} for r in params})
     kind = data.schema["subject"].dataType.simpleString()
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:

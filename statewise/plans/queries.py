@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.special import bin_floor, bin_half_even
-from ..models import diagnostics, glmm, hmm
+from ..models import diagnostics, glmm, grid, hmm
 from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
 from ..sources import tables
@@ -587,6 +587,14 @@ def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
     return inference.posterior_summary(glmm.term_table(s, glmm.fit(design, terms), terms))
 
 
+def _hmm_grid(s: SparkSession, d: str) -> DataFrame:
+    """2 to 7 states for either group and both together: likelihood, BIC and place of each number of states; at most 100 rounds, `converged` says which settled."""
+    data = staged(_standardised(s, d).join(v_seq(s, d).select("subject", "t", "grp"), ["subject", "t"]))
+    chosen = grid.selected(grid.fit_grid(data, list(range(2, 8)), {"a": ["a"], "b": ["b"], "both": ["a", "b"]}, restarts=2, most_rounds=100))
+    return chosen.drop("start", "transition", "mean", "cov", "d")
+
+
+_query("hmm_grid", None)(_hmm_grid)
 _query("hmm_decode", None)(_hmm_decode)
 _query("glmm_terms", None)(_glmm_terms)
 _query("pattern_clusters", None)(lambda s, d: clustering.average_linkage(_patterns(s, d), 0.6))
