@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.special import bin_floor, bin_half_even
-from ..models import diagnostics, glmm, grid, hmm
+from ..models import diagnostics, glmm, grid, hmm, linear
 from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
 from ..sources import tables
@@ -744,6 +744,31 @@ SELECT subject, state, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)) +
 _query("state_distance", f"WITH {_SF} SELECT x.state AS a, y.state AS b, round(sqrt(sum((x.mean - y.mean) ** 2)), 6) AS distance FROM sf x JOIN sf y ON x.feature = y.feature AND x.state < y.state GROUP BY 1, 2")(
     lambda s, d: patterns.state_distance(patterns.state_feature_stats(v_obs(s, d)))
 )
+_query(
+    "state_separability",
+    f"""WITH {SEQ},
+m AS (SELECT subject, state, count(*) AS n, avg(x) AS mx, avg(t) AS mt, covar_pop(x, x) AS xx, covar_pop(x, t) AS xt, covar_pop(t, t) AS tt FROM seq GROUP BY 1, 2),
+p AS (SELECT subject, sum(n * xx) / sum(n) AS xx, sum(n * xt) / sum(n) AS xt, sum(n * tt) / sum(n) AS tt FROM m GROUP BY 1),
+r AS (SELECT *, CASE WHEN (xx + tt - sqrt((xx - tt) ** 2 + 4 * xt * xt)) / 2 < 1e-6 THEN 1e-6::DOUBLE ELSE 0 END AS ridge FROM p)
+SELECT a.subject, a.state::BIGINT AS a, b.state::BIGINT AS b, round(sqrt((a.mx - b.mx) ** 2 + (a.mt - b.mt) ** 2), 6) AS euclidean,
+  round(sqrt(((a.mx - b.mx) ** 2 * (r.tt + ridge) - 2 * (a.mx - b.mx) * (a.mt - b.mt) * r.xt + (a.mt - b.mt) ** 2 * (r.xx + ridge)) / ((r.xx + ridge) * (r.tt + ridge) - r.xt * r.xt)), 6) AS mahalanobis
+FROM m a JOIN m b ON a.subject = b.subject AND a.state < b.state JOIN r ON r.subject = a.subject""",
+)(lambda s, d: linear.separability(linear.state_moments(v_seq(s, d).withColumn("x", F.array("x", F.col("t").cast("double"))), 2)))
+
+
+def _mixing(s: SparkSession, d: str) -> DataFrame:
+    """Of every subject's chain of the target state and all others."""
+    on = (F.col("state") == 1).cast("int")
+    step = v_seq(s, d).select("subject", F.lag(on).over(W.partitionBy("subject").orderBy("t")).alias("before"), on.alias("after")).filter("before is not null")
+    return linear.mixing(step.groupBy("subject", "before", "after").agg(F.count("*").alias("n")), 2)
+
+
+_query(
+    "mixing_rate",
+    f"""WITH {SEQ},
+p AS (SELECT subject, coalesce(avg((state = 1)::INT) FILTER (prev = 1), 1) AS stay, coalesce(avg((state <> 1)::INT) FILTER (prev <> 1), 1) AS away FROM chg WHERE prev IS NOT NULL GROUP BY 1)
+SELECT subject, round(abs(stay + away - 1), 6) AS second, round(1 - abs(stay + away - 1), 6) AS mixing_rate FROM p""",
+)(_mixing)
 _query(
     "consensus_check",
     f"""WITH {OBS}, {_ME},
