@@ -9,6 +9,8 @@ loosest threshold holds the clusters of all stricter ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,36 +26,68 @@ def distinct_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, sets.join(items, "features").select("pattern_id", "item")
 
 
-def linkage_sweep(patterns: DataFrame, thresholds: list[float], most_rounds: int = 500) -> DataFrame:
-    """(threshold, pattern_id, cluster) by threshold: clusters whose mean Jaccard similarity reaches it, named by their least member.
+def linkage_merges(patterns: DataFrame, least: float, most_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The dendrogram down to mean similarity `least` as a table: items (item, n, features) and merges (old, new, height, size, round).
 
-    Patterns without a feature are not part of the input and of no cluster.
-    Raises if clusters are still merging after `most_rounds`.
+    `old` joins `new`, the cluster with the lesser least member, at the mean
+    similarity `height` and makes a cluster of `size` patterns; an item is `old`
+    once at most.  Heights never rise along a path, so a cut at any threshold of
+    at least `least` needs no further run.  A round writes the pairs and sizes
+    of the clusters that are left.  Raises if clusters are still merging after
+    `most_rounds`.
     """
-    items, member = distinct_patterns(patterns)
+    items, _ = distinct_patterns(patterns)
+    items = staged(items)
     flat = items.select(F.col("item").alias("pattern_id"), F.explode("features").alias("feature"))
     a, b = (items.select(F.col("item").alias(c), F.col("n").alias(f"n{c}"), F.size("features").alias(f"k{c}")) for c in ("a", "b"))
     shared = jaccard_pairs(flat).join(a, "a").join(b, "b")
     pairs = staged(shared.select("a", "b", (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared")) * F.col("na") * F.col("nb")).alias("total")))
-    home = staged(items.select("item", "n", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), F.col("item").alias("cluster")))
-    size = lambda c: home.filter(F.col("threshold") == min(thresholds)).groupBy(F.col("cluster").alias(c)).agg(F.sum("n").alias(f"n{c}"))
-    for _ in range(most_rounds):
-        mean = pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", (F.col("total") / (F.col("na") * F.col("nb"))).alias("mean")).filter(F.col("mean") >= min(thresholds) - 1e-12)
-        both = mean.unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean"))
-        nearest = both.groupBy("a").agg(F.min(F.struct((-F.round("mean", 12)).alias("d"), "b")).alias("m")).select("a", "m.b", (-F.col("m.d")).alias("mean"))
+    sizes, tables = items.select(F.col("item").alias("cluster"), "n"), []
+    for at in range(most_rounds):
+        sized = lambda c: sizes.select(F.col("cluster").alias(c), F.col("n").alias(f"n{c}"))  # noqa: E731, B023
+        mean = pairs.join(sized("a"), "a").join(sized("b"), "b").select("a", "b", (F.col("total") / (F.col("na") * F.col("nb"))).alias("mean"), (F.col("na") + F.col("nb")).alias("size")).filter(F.col("mean") >= least - 1e-12)
+        both = mean.unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean", "size"))
+        nearest = both.groupBy("a").agg(F.min(F.struct((-F.round("mean", 12)).alias("d"), "b", "mean", "size")).alias("m")).select("a", "m.b", "m.mean", "m.size")
         back = nearest.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        merges = staged(nearest.filter("a < b").join(back, ["a", "b"]).select(F.col("b").alias("old"), F.col("a").alias("new"), "mean"))
-        if not merges.take(1):
-            return member.join(home, "item").select("threshold", "pattern_id", "cluster")
-        to = lambda c: merges.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new"))
+        merges = staged(nearest.filter("a < b").join(back, ["a", "b"]).select(F.col("b").alias("old"), F.col("a").alias("new"), F.col("mean").alias("height"), "size", F.lit(at).alias("round")))
+        if tables and not merges.take(1):
+            return items, reduce(DataFrame.unionByName, tables)
+        tables.append(merges)
+        to = lambda c: merges.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new"))  # noqa: E731, B023
         moved = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_new", "a").alias("x"), F.coalesce("b_new", "b").alias("y"), "total").filter("x <> y")
         pairs = staged(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("total").alias("total")))
-        near = merges.select(F.col("old").alias("cluster"), "new", "mean")
-        follows = F.col("mean") >= F.col("threshold") - 1e-12
-        home = staged(home.join(near, "cluster", "left").select("item", "n", "threshold", F.when(follows, F.col("new")).otherwise(F.col("cluster")).alias("cluster")))
+        joined = sizes.join(merges.select(F.col("old").alias("cluster"), "new"), "cluster", "left")
+        sizes = staged(joined.groupBy(F.coalesce("new", "cluster").alias("cluster")).agg(F.sum("n").alias("n")))
     raise RuntimeError(f"clusters still merge after {most_rounds} rounds")
 
 
+def cut(items: DataFrame, merges: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, item, cluster) of a dendrogram at each threshold, by pointer jumping: rounds grow with the logarithm of its depth.
+
+    An item's pointer leads to the cluster that it joined at or above the threshold, doubled until none moves.
+    """
+    at = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    link = merges.select("old", "new", "height", at).filter(F.col("height") >= F.col("threshold") - 1e-12)
+    pointer = staged(link.select("threshold", F.col("old").alias("item"), F.col("new").alias("cluster")))
+    while True:
+        onward = pointer.select("threshold", F.col("item").alias("cluster"), F.col("cluster").alias("next"))
+        step = staged(pointer.join(onward, ["threshold", "cluster"], "left").select("threshold", "item", F.coalesce("next", "cluster").alias("cluster"), F.col("next").isNotNull().alias("moved")))
+        pointer = step.drop("moved")
+        if not step.filter("moved").take(1):
+            return items.select("item", at).join(pointer, ["threshold", "item"], "left").select("threshold", "item", F.coalesce("cluster", "item").alias("cluster"))
+
+
+def linkage_sweep(patterns: DataFrame, thresholds: list[float], most_rounds: int = 500) -> DataFrame:
+    """(threshold, pattern_id, cluster) by threshold: clusters whose mean Jaccard similarity reaches it, named by their least member.
+
+    Patterns without a feature are not part of the input and of no cluster.
+    Raises if clusters are still merging after `most_rounds`.
+    """
+    items, merges = linkage_merges(patterns, min(thresholds), most_rounds)
+    _, member = distinct_patterns(patterns)
+    return member.join(cut(items, merges, thresholds), "item").select("threshold", "pattern_id", "cluster")
+
+
 def average_linkage(patterns: DataFrame, threshold: float) -> DataFrame:
     """(pattern_id, cluster) at one threshold."""
     return linkage_sweep(patterns, [threshold]).drop("threshold")

@@ -855,6 +855,25 @@ _query("array_utils", """SELECT vec_id, array_to_string(list_filter(range(64), l
     lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     .select("vec_id", F.array_join(arrays.active_indices(F.col("v"), 0.1).cast("array<string>"), ",").alias("active"), F.array_join(arrays.active_names(F.col("v"), [f"n{i}" for i in range(WIDTH)], 0.1), ",").alias("names"), arrays.share_active(F.col("v"), 0.1).alias("share"))
 )
+#: Fixed value: the thresholds of the sweep.
+LINKAGE = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+
+
+def _usage(s: SparkSession, d: str) -> DataFrame:
+    """Patterns of the subjects: states that take more than an even share of the first, and of the second half of the subject's steps."""
+    own = W.partitionBy("subject")
+    seq = v_seq(s, d).withColumn("half", (2 * F.col("t") >= F.count("*").over(own)).cast("int"))
+    share = seq.groupBy("subject", "half", "state").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy("subject", "half")))
+    return share.filter(F.col("n") * K > F.col("all")).select(F.col("subject").alias("pattern_id"), (F.col("half") * K + F.col("state")).alias("feature"))
+
+
+def _usage_clusters(s: SparkSession, d: str) -> DataFrame:
+    return clustering.linkage_sweep(_usage(s, d), LINKAGE).withColumnRenamed("pattern_id", "id")
+
+
+_query("usage_dendrogram", None)(lambda s, d: clustering.linkage_merges(_usage(s, d), min(LINKAGE))[1])
+_query("usage_sweep", None)(lambda s, d: clustering.threshold_stats(_usage_clusters(s, d)))
+_query("usage_lifecycle", None)(lambda s, d: clustering.lifecycles(staged(_usage_clusters(s, d))))
 _query("pattern_sweep", None)(lambda s, d: clustering.linkage_sweep(_patterns(s, d), [0.6, 0.7, 0.8, 0.9]))
 _query("pattern_pca", None)(lambda s, d: patterns.embed(table(s, d, "embeddings").select("vec_id", "label", "embedding")).drop("embedding"))
 
