@@ -1,9 +1,9 @@
 """Average-linkage clustering of binary patterns by rounds of reciprocal nearest neighbours, and clusters over thresholds.
 
-Equal patterns are one item with a weight.  Only pairs that share a feature are
-kept, with the sum of their members' similarities, which merging adds up; a
-missing pair has sum 0.  In a round every two clusters that are each other's
-nearest are merged.  Average linkage has no inversions, so one run down to the
+Equal patterns are one item with a weight.  Only clusters that a pair of similar
+members links are held, with the sum of their known members' similarities, which
+merging adds up.  In a round every two clusters that are each other's nearest are
+merged.  Average linkage has no inversions, so one run down to the
 loosest threshold holds the clusters of all stricter ones.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import staged
-from .pairs import jaccard_pairs
+from .pairs import similar_patterns
 
 
 def distinct_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,26 +26,58 @@ def distinct_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, sets.join(items, "features").select("pattern_id", "item")
 
 
-def linkage_merges(patterns: DataFrame, least: float, most_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+def _totals(links: DataFrame, sizes: DataFrame, owner: DataFrame, member_rows: int = 4096) -> DataFrame:
+    """(a, b, total, made): the sum of all members' similarities of each link (a, b, na, nb), from the members' sets, and their number.
+
+    Members of a cluster are dealt to parts of about `member_rows`; each part of one side meets each of the other.
+    """
+    last = lambda n: F.floor(F.col(n) / member_rows)
+    part = F.pmod(F.xxhash64("item"), last("size") + 1)
+    held = owner.join(sizes.select("cluster", F.col("n").alias("size")), "cluster").withColumn("part", part)
+    side = lambda c: held.select(F.col("cluster").alias(c), F.col("part").alias(f"part_{c}"), F.col("features").alias(f"f_{c}"), F.col("n").alias(f"w_{c}"))
+    laid = links.select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), last("na"))).alias("part_a"), "nb").withColumn("part_b", F.explode(F.sequence(F.lit(0).cast("long"), last("nb"))))
+    met = laid.join(side("a"), ["a", "part_a"]).join(side("b"), ["b", "part_b"]).withColumn("shared", F.size(F.array_intersect("f_a", "f_b")))
+    alike = F.col("shared") / (F.size("f_a") + F.size("f_b") - F.col("shared"))
+    return met.groupBy("a", "b").agg(F.sum(alike * F.col("w_a") * F.col("w_b")).alias("total"), F.count("*").alias("made"))
+
+
+def linkage_merges(patterns: DataFrame, least: float, most_rounds: int = 500, made: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """The dendrogram down to mean similarity `least` as a table: items (item, n, features) and merges (old, new, height, size, round).
 
     `old` joins `new`, the cluster with the lesser least member, at the mean
     similarity `height` and makes a cluster of `size` patterns; an item is `old`
     once at most.  Heights never rise along a path, so a cut at any threshold of
-    at least `least` needs no further run.  A round writes the pairs and sizes
-    of the clusters that are left.  Raises if clusters are still merging after
-    `most_rounds`.
+    at least `least` needs no further run.  A round writes the links, sizes and
+    owners of the clusters that are left.  Raises if clusters are still merging
+    after `most_rounds`.
+
+    Pairs of items under `least` are made only where they count.  Clusters whose
+    mean reaches it have a pair of members that does, so only linked clusters are
+    held, each link with the sum over its known pairs of members.  The unknown
+    ones are all under `least`; while the known ones' mean is so too, the link
+    cannot merge and stays as it is, otherwise its sum is taken over all members.
+    The number of pairs made goes to `made`: those linked at first, then a round's.
     """
     items, _ = distinct_patterns(patterns)
     items = staged(items)
-    flat = items.select(F.col("item").alias("pattern_id"), F.explode("features").alias("feature"))
-    a, b = (items.select(F.col("item").alias(c), F.col("n").alias(f"n{c}"), F.size("features").alias(f"k{c}")) for c in ("a", "b"))
-    shared = jaccard_pairs(flat).join(a, "a").join(b, "b")
-    pairs = staged(shared.select("a", "b", (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared")) * F.col("na") * F.col("nb")).alias("total")))
-    sizes, tables = items.select(F.col("item").alias("cluster"), "n"), []
+    n = lambda c: items.select(F.col("item").alias(c), F.col("n").alias(f"n{c}"))
+    alike = similar_patterns(items, least).join(n("a"), "a").join(n("b"), "b").withColumn("known", F.col("na") * F.col("nb"))
+    links = staged(alike.select("a", "b", (F.col("similarity") * F.col("known")).alias("total"), "known"))
+    sizes, owner, tables = items.select(F.col("item").alias("cluster"), "n"), items.select("item", "n", "features", F.col("item").alias("cluster")), []
+    if made is not None:
+        made.append(links.count())
     for at in range(most_rounds):
         sized = lambda c: sizes.select(F.col("cluster").alias(c), F.col("n").alias(f"n{c}"))  # noqa: E731, B023
-        mean = pairs.join(sized("a"), "a").join(sized("b"), "b").select("a", "b", (F.col("total") / (F.col("na") * F.col("nb"))).alias("mean"), (F.col("na") + F.col("nb")).alias("size")).filter(F.col("mean") >= least - 1e-12)
+        state = links.join(sized("a"), "a").join(sized("b"), "b").withColumn("all", F.col("na") * F.col("nb"))
+        unsure = staged(state.filter((F.col("known") < F.col("all")) & (F.col("total") >= (least - 1e-9) * F.col("known"))))
+        if unsure.take(1):
+            whole = staged(_totals(unsure, sizes, owner))
+            if made is not None:
+                made.append(whole.agg(F.sum("made")).first()[0])
+            now = state.join(whole.select("a", "b", F.col("total").alias("exact")), ["a", "b"], "left")
+            state = now.withColumn("known", F.when(F.col("exact").isNull(), F.col("known")).otherwise(F.col("all"))).withColumn("total", F.coalesce("exact", "total")).drop("exact")
+        links = staged(state)
+        mean = links.filter("known = all").select("a", "b", (F.col("total") / F.col("all")).alias("mean"), (F.col("na") + F.col("nb")).alias("size")).filter(F.col("mean") >= least - 1e-12)
         both = mean.unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean", "size"))
         nearest = both.groupBy("a").agg(F.min(F.struct((-F.round("mean", 12)).alias("d"), "b", "mean", "size")).alias("m")).select("a", "m.b", "m.mean", "m.size")
         back = nearest.select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -54,10 +86,11 @@ def linkage_merges(patterns: DataFrame, least: float, most_rounds: int = 500) ->
             return items, reduce(DataFrame.unionByName, tables)
         tables.append(merges)
         to = lambda c: merges.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new"))  # noqa: E731, B023
-        moved = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_new", "a").alias("x"), F.coalesce("b_new", "b").alias("y"), "total").filter("x <> y")
-        pairs = staged(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("total").alias("total")))
-        joined = sizes.join(merges.select(F.col("old").alias("cluster"), "new"), "cluster", "left")
-        sizes = staged(joined.groupBy(F.coalesce("new", "cluster").alias("cluster")).agg(F.sum("n").alias("n")))
+        moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_new", "a").alias("x"), F.coalesce("b_new", "b").alias("y"), "total", "known").filter("x <> y")
+        links = staged(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("total").alias("total"), F.sum("known").alias("known")))
+        renamed = lambda df: df.join(merges.select(F.col("old").alias("cluster"), "new"), "cluster", "left").withColumn("cluster", F.coalesce("new", "cluster")).drop("new")  # noqa: E731, B023
+        owner = staged(renamed(owner))
+        sizes = staged(renamed(sizes).groupBy("cluster").agg(F.sum("n").alias("n")))
     raise RuntimeError(f"clusters still merge after {most_rounds} rounds")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
 from .sequences import entropy, state_runs
 
 _SUMS = "n long, sum_a double, sum_b double, square_a double, square_b double, product double, equal long"
@@ -249,6 +250,42 @@ def jaccard_pairs(patterns: DataFrame) -> DataFrame:
     return sized.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
+def similar_patterns(items: DataFrame, least: float, list_rows: int = 4096) -> DataFrame:
+    """items (item, features: distinct values) -> (a, b, similarity) of the pairs whose Jaccard similarity is at least `least` (over 0).
+
+    A set's features are put rarest first.  Two sets that are alike enough share
+    one of their first k - ceil(least * k) + 1 features, and neither size is under
+    `least` times the other, so a set looks only into the lists of those
+    features, size by size.  A pair is met in the list of the first feature
+    that it shares, and only compared where what follows can still reach
+    `least`.  Lists of more than `list_rows` sets are cut on both sides, so no
+    task holds all pairs of a frequent feature.  No pair is left out.
+    """
+    if least <= 0:
+        raise ValueError(f"least is {least}; pairs without a shared feature have no list")
+    flat = items.select("item", F.explode("features").alias("feature"))
+    held = flat.join(flat.groupBy("feature").agg(F.count("*").alias("n")), "feature")
+    rare = staged(held.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("n", "feature"))).alias("f")).withColumn("k", F.size("f")))
+    first = F.slice("f", F.lit(1), F.col("k") - F.ceil(F.col("k") * F.lit(least) - 1e-9).cast("int") + 1)
+    entry = rare.select("item", "f", "k", first.alias("first"), F.posexplode(first).alias("at", "key"))
+    lists = staged(entry.groupBy("key", "k").agg(F.count("*").alias("n")))
+    cut = lambda n: F.floor((F.col(n) - 1) / list_rows).cast("int")
+    parts = lists.select("key", F.col("k").alias("size"), cut("n").alias("last"))
+    whole = lists.groupBy("key").agg(F.sum("n").alias("n")).select("key", cut("n").alias("most"))
+    dealt = lambda c: F.pmod(F.xxhash64("item"), F.col(c) + 1).cast("int")
+    of = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("item", "f", "k", "first", "at")]
+    looking = entry.withColumn("size", F.explode(F.sequence("k", F.floor(F.col("k") / F.lit(least) + 1e-9).cast("int")))).join(parts, ["key", "size"]).join(whole, "key")
+    a = looking.select("key", "size", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"), dealt("most").alias("j"), *of("a"))
+    listed = entry.withColumn("size", F.col("k")).join(parts, ["key", "size"]).join(whole, "key")
+    b = listed.select("key", "size", dealt("last").alias("i"), F.explode(F.sequence(F.lit(0), F.col("most"))).alias("j"), *of("b"))
+    once = (F.col("k_a") < F.col("k_b")) | (F.col("item_a") < F.col("item_b"))
+    needed = F.lit(least / (1 + least)) * (F.col("k_a") + F.col("k_b")) - 1e-9
+    may = F.least(F.col("k_a") - F.col("at_a"), F.col("k_b") - F.col("at_b")) >= needed
+    met = a.join(b, ["key", "size", "i", "j"]).filter(once & may).filter(F.array_intersect("first_a", "first_b")[0] == F.col("key"))
+    shared = met.withColumn("shared", F.size(F.array_intersect("f_a", "f_b"))).withColumn("similarity", F.col("shared") / (F.col("k_a") + F.col("k_b") - F.col("shared")))
+    return shared.filter(F.col("similarity") >= least - 1e-12).select(F.least("item_a", "item_b").alias("a"), F.greatest("item_a", "item_b").alias("b"), "similarity")
+
+
 def group_distance(panel: DataFrame, groups: tuple[str, str] | None = None) -> DataFrame:
     """Distances between the mean courses of two groups over the steps that both reach: Euclidean, mean absolute, 1 - correlation."""
     from .panel import two_groups
