@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.special import bin_floor, bin_half_even
-from ..sources.shared import free_names
+from ..sources.shared import free_names, scanned
 
 
 def response_bins(rt: DataFrame, width: float, key: str = "participant") -> DataFrame:
@@ -42,14 +42,13 @@ def agreement(bins: DataFrame, key: str = "participant", within: tuple[int, int]
 def boundary_snap(points: DataFrame, boundaries: DataFrame, delta: int, p: str = "bin", b: str = "boundary") -> DataFrame:
     """Each point to the boundary at or before it: exact, or at most delta after it.
 
-    Null at or before the first boundary and after the last.  As-of by one
-    window over the union of both sides.
+    Null at or before the first boundary and after the last.  As-of by one scan
+    over the sorted parts of the union of both sides.
     """
     edges = boundaries.agg(F.min(b).alias("first"), F.max(b).alias("last"))
     both = points.select(F.col(p).alias("at"), F.lit(None).cast("int").alias("edge"), F.struct(*points.columns).alias("row"))
     both = both.unionByName(boundaries.select(F.col(b).cast("int").alias("at"), F.col(b).cast("int").alias("edge")).distinct(), allowMissingColumns=True)
-    w = W.orderBy("at", F.col("edge").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("before", F.last("edge", ignorenulls=True).over(w)).filter("row is not null").join(F.broadcast(edges))
+    found = scanned(both, {"before": ("last", F.col("edge"))}, F.col("at"), F.col("edge").isNull()).filter("row is not null").join(F.broadcast(edges))  # one row
     inside = (F.col("at") > F.col("first")) & (F.col("at") <= F.col("last")) & (F.col("at") - F.col("before") <= delta)
     return found.select("row.*", F.when(inside, F.col("before")).alias("snapped"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import Z975, clip, normal_cdf
 from ..functions.tails import correlation_p, t_two_sided
-from ..sources.shared import free_names, numbered, running
+from ..sources.shared import free_names, numbered, running, scanned
 from .pairs import average_rank, course_distance
 from .panel import two_groups
 
@@ -84,9 +84,11 @@ def timepoint_t(panel: DataFrame, groups: tuple[str, str] | None = None) -> Data
 
 def bh_fdr(tests: DataFrame, p: str = "p") -> DataFrame:
     """Benjamini-Hochberg q: least p * m / rank among this and all larger p."""
-    ranked = tests.withColumn("rank", F.row_number().over(W.orderBy(p, "t"))).withColumn("m", F.count("*").over(W.partitionBy()))
-    w = W.orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("rank")).over(w))).drop("rank", "m")
+    m, after = free_names(tests, "m", "after")
+    order = [F.desc(p), F.desc("t")]
+    ranked = numbered(tests, *order, name=after).join(F.broadcast(tests.agg(F.count("*").alias(m))))  # one row
+    ratio = F.col(p) * F.col(m) / (F.col(m) - F.col(after))
+    return scanned(ranked, {"q": ("min", ratio)}, F.col(after)).withColumn("q", F.least(F.lit(1.0), F.col("q"))).drop(m, after)
 
 
 #: Columns of `course_distance` by the name of the metric.

@@ -15,7 +15,7 @@ from ..models import diagnostics, glmm, grid, hmm, linear
 from ..operators import align, clustering, curves, hierarchy, inference, pairs, panel, patterns, reports
 from ..operators import sequences as q
 from ..sources import tables
-from ..sources.shared import numbered, shared_dir, staged
+from ..sources.shared import numbered, scanned, shared_dir, staged
 from .views import BIN, K, MODELS, OBS, RT, SEQ, SIGNAL, WIDTH, WORD, table, v_atlas, v_models, v_obs, v_rt, v_seg, v_seq, v_signal, v_word
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,8 +203,8 @@ sn AS (SELECT ag.*, CASE WHEN bin > (SELECT min(boundary) FROM e) AND bin <= (SE
 def _snapped(s: SparkSession, d: str) -> DataFrame:
     """Bins snapped to the bins where the count rises by more than a tenth."""
     a = _agreement(s, d)
-    rises = F.col("count") > F.lit(1.1) * F.lag("count").over(W.orderBy("bin"))
-    return align.boundary_snap(a, a.select(F.col("bin").alias("boundary"), rises.alias("rises")).filter("rises").drop("rises"), 3)
+    rises = scanned(a, {"before": ("previous", F.col("count"))}, F.col("bin")).filter(F.col("count") > F.lit(1.1) * F.col("before"))
+    return align.boundary_snap(a, rises.select(F.col("bin").alias("boundary")), 3)
 
 
 _query("boundary_snap", f"WITH {_SNAP} SELECT bin::BIGINT AS bin, count, round(agreement, 6) AS agreement, snapped::BIGINT AS snapped FROM sn")(_snapped)
@@ -871,6 +871,13 @@ def _usage_clusters(s: SparkSession, d: str) -> DataFrame:
     return clustering.linkage_sweep(_usage(s, d), LINKAGE).withColumnRenamed("pattern_id", "id")
 
 
+_query("usage_join", f"""WITH {SEQ},
+h AS (SELECT subject, state, (2 * t >= count(*) OVER (PARTITION BY subject))::INT AS half FROM seq),
+c AS (SELECT subject, half * {K} + state AS feature, count(*) AS n, sum(count(*)) OVER (PARTITION BY subject, half) AS m FROM h GROUP BY subject, half, state),
+sets AS (SELECT subject, list(feature ORDER BY feature) AS fs FROM c WHERE n * {K} > m GROUP BY 1),
+it AS (SELECT min(subject) AS item, fs FROM sets GROUP BY fs),
+j AS (SELECT x.item AS a, y.item AS b, len(list_intersect(x.fs, y.fs)) AS s, len(x.fs) + len(y.fs) AS k FROM it x JOIN it y ON x.item < y.item)
+SELECT a, b, round(s / (k - s)::DOUBLE, 6) AS similarity FROM j WHERE s / (k - s)::DOUBLE >= {min(LINKAGE)} - 1e-12""")(lambda s, d: pairs.similar_patterns(clustering.distinct_patterns(_usage(s, d))[0], min(LINKAGE)))
 _query("usage_dendrogram", None)(lambda s, d: clustering.linkage_merges(_usage(s, d), min(LINKAGE))[1])
 _query("usage_sweep", None)(lambda s, d: clustering.threshold_stats(_usage_clusters(s, d)))
 _query("usage_lifecycle", None)(lambda s, d: clustering.lifecycles(staged(_usage_clusters(s, d))))

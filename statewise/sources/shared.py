@@ -72,3 +72,30 @@ def running(df: DataFrame, value: Column, *order: Column, total: str = "running"
     ahead = sums.select(part, (F.sum("n").over(before) - F.col("n")).alias("n"), (F.sum("s").over(before) - F.col("s")).alias("s"))
     inside = W.partitionBy(part).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
     return placed.join(ahead, part).select(*df.columns, (F.col("s") + F.sum(v).over(inside)).alias(total), (F.col("n") + F.col(at) + 1).alias(count))
+
+
+def scanned(df: DataFrame, found: dict[str, tuple[str, Column]], *order: Column) -> DataFrame:
+    """`df` with columns (name -> (kind, value)) carried along the order over the whole table, each row itself included.
+
+    Kinds: "last" (not null), "min", "max", and "previous", the row before's
+    value.  Parts of a range sort are scanned each by itself; what the parts
+    before one add is a row for each part.
+    """
+    names = free_names(df, "at", "part", *found)
+    (at, part), values = names[:2], dict(zip(found, names[2:], strict=True))
+    kinds = {name: kind for name, (kind, _) in found.items()}
+    placed = _sorted_parts(df.withColumns({values[name]: value for name, (_, value) in found.items()}), at, part, *order)
+    of_part = {
+        "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.col(at))), "min": F.min, "max": F.max,
+        "previous": lambda v: F.max_by(v, at),
+    }
+    before, inside, near = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(part).orderBy(at).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(part).orderBy(at)
+    of_before = {"last": lambda c: F.last(c, ignorenulls=True).over(before), "min": lambda c: F.min(c).over(before), "max": lambda c: F.max(c).over(before), "previous": lambda c: F.lag(c).over(W.orderBy(part))}
+    ends = placed.groupBy(part).agg(*[of_part[kinds[name]](v).alias(v) for name, v in values.items()])
+    ahead = ends.select(part, *[of_before[kinds[name]](v).alias(f"{v}_ahead") for name, v in values.items()])
+    combined = {
+        "last": lambda v: F.coalesce(F.last(v, ignorenulls=True).over(inside), f"{v}_ahead"),
+        "min": lambda v: F.least(F.min(v).over(inside), f"{v}_ahead"), "max": lambda v: F.greatest(F.max(v).over(inside), f"{v}_ahead"),
+        "previous": lambda v: F.when(F.col(at) == 0, F.col(f"{v}_ahead")).otherwise(F.lag(v).over(near)),
+    }
+    return placed.join(ahead, part).select(*df.columns, *[combined[kinds[name]](v).alias(name) for name, v in values.items()])
