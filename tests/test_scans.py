@@ -2,13 +2,23 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from statewise.operators import inference
 from statewise.sources.shared import scanned
 
 
-def test_scans_equal_loops(spark):
+@pytest.fixture
+def small_parts(spark):
+    """Parts of few rows, which Spark would otherwise join."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_scans_equal_loops(spark, small_parts):
     rng = random.Random(2)
     rows = [(i, rng.choice([None, *range(9)])) for i in rng.sample(range(500), 200)]
     df = spark.createDataFrame(rows, "k int, v int").repartition(5)
@@ -24,7 +34,7 @@ def test_scans_equal_loops(spark):
     assert scanned(df.filter("k < 0"), kinds, F.col("k")).count() == 0
 
 
-def test_bh_fdr_equals_the_definition(spark):
+def test_bh_fdr_equals_the_definition(spark, small_parts):
     rng = random.Random(5)
     p = [round(rng.random() ** 2, 2) for _ in range(120)]  # with ties
     df = spark.createDataFrame([(t, v) for t, v in enumerate(p)], "t int, p double").repartition(4)
