@@ -15,64 +15,88 @@ turns; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: The marks around a turn.
 HEAD, AFTER_ROLE, END = "<|", "|>\n", "<|end|>\n"
 ASSISTANT = "assistant"
 
 
-def _side(turns: DataFrame, name: str) -> DataFrame:
-    row = F.struct(F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.groupBy("pair_id").agg(F.array_sort(F.collect_list(row)).alias(name))
-
-
-def _rendered(turn: Column) -> Column:
-    return F.concat(F.lit(HEAD), turn["role"], F.lit(AFTER_ROLE), turn["text"], F.lit(END))
+CHOSEN, REJECTED = 0, 1
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Number of leading turns with the same role and text."""
-    pairs = F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(b))), F.slice(b, 1, F.least(F.size(a), F.size(b))), lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))
-    differ = F.array_position(pairs, False)
-    return F.when(differ > 0, differ - 1).otherwise(F.size(pairs)).cast("int")
+def _numbered(chosen: DataFrame, rejected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of both sides in sorted parts, written, and for each part and side of a pair in it: how many turns and code points of the side lie in earlier parts."""
+    side = lambda df, n: df.select("pair_id", F.lit(n).alias("side"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    both = side(chosen, CHOSEN).unionByName(side(rejected, REJECTED))
+    # parts are cut by the short columns, texts only settle ties inside a part
+    keys = ["pair_id", "side", "turn", "role"]
+    placed = written(both.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").withColumn("at", F.monotonically_increasing_id()))
+    width = F.length("role") + F.length("text") + F.lit(len(HEAD) + len(AFTER_ROLE) + len(END))
+    turns = placed.withColumns({"part": F.shiftright("at", 33), "width": width.cast("long")})
+    earlier = W.partitionBy("pair_id", "side").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    heads = turns.groupBy("part", "pair_id", "side").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum("width").alias("wide"))
+    zero = F.lit(0).cast("long")
+    return turns, written(heads.select("part", "pair_id", "side", "first", F.coalesce(F.sum("n").over(earlier), zero).alias("turns_ahead"), F.coalesce(F.sum("wide").over(earlier), zero).alias("wide_ahead")))
 
 
-def _after(turns: Column, n: Column) -> Column:
-    return F.slice(turns, n + 1, F.greatest(F.size(turns) - n, F.lit(0)))
+def _placed(turns: DataFrame, heads: DataFrame) -> DataFrame:
+    """`turns` with `place` on its side and `before`, the code points rendered ahead of it there; a key is a side of a pair in one part, so no larger than a part."""
+    h = heads.withColumnsRenamed({"part": "h_part", "side": "h_side", "pair_id": "h_pair"})
+    joined = turns.join(h, (F.col("part") == F.col("h_part")) & (F.col("side") == F.col("h_side")) & F.col("pair_id").eqNullSafe(F.col("h_pair"))).drop("h_part", "h_side", "h_pair")
+    inside = W.partitionBy("part", "pair_id", "side").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    return joined.withColumns({"place": F.col("at") - F.col("first") + F.col("turns_ahead"), "before": F.sum("width").over(inside) - F.col("width") + F.col("wide_ahead")})
 
 
-def _mask(turns: Column) -> Column:
-    """start:end of the assistant's text and end mark in the rendered turns, in code points."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+def preference_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(pair_id, turn, role, text) of both sides -> one row per rendered turn: pair_id, section, place, rendered, start, end.
 
-    def step(state: Column, turn: Column) -> Column:
-        start = state["at"] + F.lit(len(HEAD) + len(AFTER_ROLE)) + F.length(turn["role"])
-        end = start + F.length(turn["text"]) + F.lit(len(END))
-        span = F.concat_ws(":", start.cast("string"), (end - 1).cast("string"))
-        return F.struct(end.alias("at"), F.when(turn["role"] == ASSISTANT, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    return F.array_join(F.aggregate(turns, empty, step, lambda s: s["spans"]), ",")
+    Section is "prompt" (the common turns, once), "chosen" or "rejected"; place
+    counts a side's turns from 0; start and end are the code points of an
+    assistant's text and end mark in its completion (null elsewhere).  A
+    conversation is cut at the parts of one sorted order: its turns are numbered
+    and measured by prefix sums over parts, the first turn that differs is the
+    least over (pair, place) groups of two, and no task holds a whole side.
+    """
+    turns, heads = _numbered(chosen, rejected)
+    digest = F.sha2(F.concat_ws(":", F.length("role").cast("string"), F.concat("role", "text")), 256).alias("digest")
+    narrow = _placed(turns.select("part", "pair_id", "side", "at", "width", digest), heads)
+    met = narrow.groupBy("pair_id", "place").agg(((F.count("*") == 2) & (F.min("digest") == F.max("digest"))).alias("same"), F.min("before").alias("before"))
+    parting = met.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.struct("place", "before"))).alias("p")).select(F.col("pair_id").alias("p_id"), "p.place", "p.before")
+    # no differing turn: everything is prompt
+    known = heads.join(parting.toDF("p_id", "parting", "prompt_width"), F.col("pair_id").eqNullSafe(F.col("p_id")), "left").drop("p_id")
+    rows = _placed(turns, known)
+    common = F.col("parting").isNull() | (F.col("place") < F.col("parting"))
+    start = F.col("before") - F.col("prompt_width") + F.lit(len(HEAD) + len(AFTER_ROLE)) + F.length("role")
+    masked = ~common & (F.col("role") == ASSISTANT)
+    section = F.when(common, "prompt").when(F.col("side") == CHOSEN, "chosen").otherwise("rejected")
+    return rows.filter(~common | (F.col("side") == CHOSEN)).select(
+        "pair_id", section.alias("section"), "place", F.concat(F.lit(HEAD), "role", F.lit(AFTER_ROLE), "text", F.lit(END)).alias("rendered"),
+        F.when(masked, start).alias("start"), F.when(masked, start + F.length("text") + F.lit(len(END) - 1)).alias("end"),
+    )
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(pair_id, turn, role, text) of both sides -> one row per pair.
+    """(pair_id, turn, role, text) of both sides -> one row per pair, put together from `preference_turns`.
 
     pair_id, n_common, n_chosen, n_rejected (turns), prompt, chosen, rejected,
     chosen_mask, rejected_mask (spans start:end in the completion; the line
-    break after an end mark is not in them).
+    break after an end mark is not in them).  A pair's row holds its rendered
+    turns once; conversations beyond what a row can hold stay in the long form.
     """
-    c_side, r_side = _side(chosen, "c"), _side(rejected, "r").withColumnRenamed("pair_id", "other_id")
-    both = c_side.join(r_side, F.col("pair_id").eqNullSafe(F.col("other_id")), "full_outer")
-    none = F.array().cast(both.schema["c"].dataType)
-    both = both.select(F.coalesce("pair_id", "other_id").alias("pair_id"), F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r")).withColumn("n_common", _common(F.col("c"), F.col("r")))
-    text = lambda turns: F.array_join(F.transform(turns, _rendered), "")
-    c, r, n = F.col("c"), F.col("r"), F.col("n_common")
-    return both.select(
-        "pair_id", "n_common", (F.size(c) - n).alias("n_chosen"), (F.size(r) - n).alias("n_rejected"),
-        text(F.slice(c, F.lit(1), n)).alias("prompt"), text(_after(c, n)).alias("chosen"), text(_after(r, n)).alias("rejected"),
-        _mask(_after(c, n)).alias("chosen_mask"), _mask(_after(r, n)).alias("rejected_mask"),
+    turns = preference_turns(chosen, rejected)
+    held = lambda name: F.array_sort(F.collect_list(F.when(F.col("section") == name, F.struct("place", "rendered", "start", "end")))).alias(f"{name}_turns")
+    rows = turns.groupBy("pair_id").agg(held("prompt"), held("chosen"), held("rejected"))
+    text = lambda name: F.array_join(F.transform(f"{name}_turns", lambda x: x["rendered"]), "").alias(name)
+    spans = lambda name: F.transform(F.filter(f"{name}_turns", lambda x: x["start"].isNotNull()), lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return rows.select(
+        "pair_id", F.size("prompt_turns").alias("n_common"), F.size("chosen_turns").alias("n_chosen"), F.size("rejected_turns").alias("n_rejected"),
+        text("prompt"), text("chosen"), text("rejected"),
+        F.array_join(spans("chosen"), ",").alias("chosen_mask"), F.array_join(spans("rejected"), ",").alias("rejected_mask"),
     )
 
 

@@ -1,8 +1,54 @@
 """Preference pairs with ids that are missing or are not numbers."""
 
+import random
+
+import pytest
+
 from statewise.llm import chat_format
 
 
+def _plain(c, r):
+    """The pair by the definition, over whole lists of turns."""
+    render = lambda ts: "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in ts)
+    n = next((i for i, (x, y) in enumerate(zip(c, r)) if x != y), min(len(c), len(r)))
+
+    def mask(ts):
+        out, at = [], 0
+        for role, text in ts:
+            start = at + len(role) + 5
+            out += [f"{start}:{start + len(text) + 7}"] * (role == "assistant")
+            at = start + len(text) + 8
+        return ",".join(out)
+
+    return n, len(c) - n, len(r) - n, render(c[:n]), render(c[n:]), render(r[n:]), mask(c[n:]), mask(r[n:])
+
+
+@pytest.fixture
+def small_parts(spark):
+    """Parts of few rows, which Spark would otherwise join."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_a_conversation_over_many_parts_equals_the_definition(spark, small_parts):
+    rng = random.Random(3)
+    turn = lambda: (rng.choice(["user", "assistant"]), "é" * rng.randrange(4) + rng.choice("ab"))
+    sides = {}
+    for pair, n in ((None, 900), (1, 700), (2, 3), (3, 0), (4, 5)):  # two of them hold nearly all rows
+        c = [turn() for _ in range(n)]
+        at = {None: 640, 1: 700, 2: 0, 3: 0, 4: 5}[pair]
+        sides[pair] = c, c[:at] + [turn() for _ in range(rng.randrange(1, 300))]
+    table = lambda k: spark.createDataFrame([(p, i, *t) for p, s in sides.items() for i, t in enumerate(s[k])], "pair_id long, turn long, role string, text string").repartition(5)
+    chosen, rejected = table(0), table(1)
+    turns, heads = chat_format._numbered(chosen, rejected)
+    assert heads.filter("pair_id is null").select("part").distinct().count() > 1  # cut, not one task
+    got = {r["pair_id"]: tuple(r)[1:] for r in chat_format.format_preferences(chosen, rejected).collect()}
+    assert got == {p: _plain(*s) for p, s in sides.items()}
+    assert chat_format.preference_turns(chosen, rejected).count() == sum(sum(_plain(*s)[:3]) for s in sides.values())
+
+
 def test_a_missing_id_is_one_pair(spark):
     s = "pair_id string, turn long, role string, text string"
     chosen = spark.createDataFrame([(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), ("x", 0, "user", "q")], s)
