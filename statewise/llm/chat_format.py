@@ -31,24 +31,24 @@ CHOSEN, REJECTED = 0, 1
 
 def _numbered(chosen: DataFrame, rejected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns of both sides in sorted parts, written, and for each part and side of a pair in it: how many turns and code points of the side lie in earlier parts."""
-    side = lambda df, n: df.select("pair_id", F.lit(n).alias("side"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    side = lambda df, n: df.select(F.struct("pair_id").alias("pair"), F.lit(n).alias("side"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # a struct is equal to itself with a null inside, so joins, windows and groups share one partitioning
     both = side(chosen, CHOSEN).unionByName(side(rejected, REJECTED))
     # parts are cut by the short columns, texts only settle ties inside a part
-    keys = ["pair_id", "side", "turn", "role"]
+    keys = ["pair", "side", "turn", "role"]
     placed = written(both.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").withColumn("at", F.monotonically_increasing_id()))
     width = F.length("role") + F.length("text") + F.lit(len(HEAD) + len(AFTER_ROLE) + len(END))
     turns = placed.withColumns({"part": F.shiftright("at", 33), "width": width.cast("long")})
-    earlier = W.partitionBy("pair_id", "side").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    heads = turns.groupBy("part", "pair_id", "side").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum("width").alias("wide"))
+    earlier = W.partitionBy("pair", "side").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    heads = turns.groupBy("part", "side", "pair").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum("width").alias("wide"))
     zero = F.lit(0).cast("long")
-    return turns, written(heads.select("part", "pair_id", "side", "first", F.coalesce(F.sum("n").over(earlier), zero).alias("turns_ahead"), F.coalesce(F.sum("wide").over(earlier), zero).alias("wide_ahead")))
+    return turns, written(heads.select("part", "side", "pair", "first", F.coalesce(F.sum("n").over(earlier), zero).alias("turns_ahead"), F.coalesce(F.sum("wide").over(earlier), zero).alias("wide_ahead")))
 
 
 def _placed(turns: DataFrame, heads: DataFrame) -> DataFrame:
     """`turns` with `place` on its side and `before`, the code points rendered ahead of it there; a key is a side of a pair in one part, so no larger than a part."""
-    h = heads.withColumnsRenamed({"part": "h_part", "side": "h_side", "pair_id": "h_pair"})
-    joined = turns.join(h, (F.col("part") == F.col("h_part")) & (F.col("side") == F.col("h_side")) & F.col("pair_id").eqNullSafe(F.col("h_pair"))).drop("h_part", "h_side", "h_pair")
-    inside = W.partitionBy("part", "pair_id", "side").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    joined = turns.join(heads, ["part", "side", "pair"])
+    inside = W.partitionBy("part", "side", "pair").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     return joined.withColumns({"place": F.col("at") - F.col("first") + F.col("turns_ahead"), "before": F.sum("width").over(inside) - F.col("width") + F.col("wide_ahead")})
 
 
@@ -64,18 +64,18 @@ def preference_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """
     turns, heads = _numbered(chosen, rejected)
     digest = F.sha2(F.concat_ws(":", F.length("role").cast("string"), F.concat("role", "text")), 256).alias("digest")
-    narrow = _placed(turns.select("part", "pair_id", "side", "at", "width", digest), heads)
-    met = narrow.groupBy("pair_id", "place").agg(((F.count("*") == 2) & (F.min("digest") == F.max("digest"))).alias("same"), F.min("before").alias("before"))
-    parting = met.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.struct("place", "before"))).alias("p")).select(F.col("pair_id").alias("p_id"), "p.place", "p.before")
+    narrow = _placed(turns.select("part", "side", "pair", "at", "width", digest), heads)
+    met = narrow.groupBy("pair", "place").agg(((F.count("*") == 2) & (F.min("digest") == F.max("digest"))).alias("same"), F.min("before").alias("before"))
+    parting = met.groupBy("pair").agg(F.min(F.when(~F.col("same"), F.struct("place", "before"))).alias("p")).select("pair", F.col("p.place").alias("parting"), F.col("p.before").alias("prompt_width"))
     # no differing turn: everything is prompt
-    known = heads.join(parting.toDF("p_id", "parting", "prompt_width"), F.col("pair_id").eqNullSafe(F.col("p_id")), "left").drop("p_id")
+    known = heads.join(parting, "pair", "left")
     rows = _placed(turns, known)
     common = F.col("parting").isNull() | (F.col("place") < F.col("parting"))
     start = F.col("before") - F.col("prompt_width") + F.lit(len(HEAD) + len(AFTER_ROLE)) + F.length("role")
     masked = ~common & (F.col("role") == ASSISTANT)
     section = F.when(common, "prompt").when(F.col("side") == CHOSEN, "chosen").otherwise("rejected")
     return rows.filter(~common | (F.col("side") == CHOSEN)).select(
-        "pair_id", section.alias("section"), "place", F.concat(F.lit(HEAD), "role", F.lit(AFTER_ROLE), "text", F.lit(END)).alias("rendered"),
+        "pair.pair_id", section.alias("section"), "place", F.concat(F.lit(HEAD), "role", F.lit(AFTER_ROLE), "text", F.lit(END)).alias("rendered"),
         F.when(masked, start).alias("start"), F.when(masked, start + F.length("text") + F.lit(len(END) - 1)).alias("end"),
     )
 

@@ -43,7 +43,7 @@ def test_a_conversation_over_many_parts_equals_the_definition(spark, small_parts
     table = lambda k: spark.createDataFrame([(p, i, *t) for p, s in sides.items() for i, t in enumerate(s[k])], "pair_id long, turn long, role string, text string").repartition(5)
     chosen, rejected = table(0), table(1)
     turns, heads = chat_format._numbered(chosen, rejected)
-    assert heads.filter("pair_id is null").select("part").distinct().count() > 1  # cut, not one task
+    assert heads.filter("pair.pair_id is null").select("part").distinct().count() > 1  # cut, not one task
     got = {r["pair_id"]: tuple(r)[1:] for r in chat_format.format_preferences(chosen, rejected).collect()}
     assert got == {p: _plain(*s) for p, s in sides.items()}
     assert chat_format.preference_turns(chosen, rejected).count() == sum(sum(_plain(*s)[:3]) for s in sides.values())
