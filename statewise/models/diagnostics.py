@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import permutations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.pairs import blocked
+from ..operators.pairs import blocked, tiles
 from .hmm import Params
 
 
@@ -78,7 +79,7 @@ def best_matching(gain: np.ndarray) -> np.ndarray:
     return out
 
 
-def fold_reliability(means: DataFrame, floor: float = 1e-12, block_rows: int = 256) -> DataFrame:
+def fold_reliability(means: DataFrame, floor: float = 1e-12, block_rows: int | None = None) -> DataFrame:
     """(fold, state, x array) -> fold, reliability, n_pairs: mean cosine of a fold's states with those of every other fold, best matched.
 
     A fold is one row, dealt to the tasks of its block with every other block;
@@ -88,19 +89,31 @@ def fold_reliability(means: DataFrame, floor: float = 1e-12, block_rows: int = 2
     row = F.sort_array(F.collect_list(F.struct("state", "x")))
     vectors = means.groupBy(F.col("fold").alias("id")).agg(row.alias("r")).select("id", F.col("r.state").alias("at"), F.flatten("r.x").alias("v"))
 
-    def run(ids, at, v, i, j) -> pd.DataFrame:
+    def run(ids, at, v, i, j) -> Iterator[dict]:
+        states = {len(s) for s in at}
         pattern = [np.asarray(x, float).reshape(len(s), -1) for s, x in zip(at, v)]
         pattern = [x / (np.linalg.norm(x, axis=1, keepdims=True) + floor) for x in pattern]
         total, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-        for x in i:
-            for y in j:
-                if x < y or not np.array_equal(i, j) and x != y:
-                    cosine = pattern[x] @ pattern[y].T
-                    matched = cosine[np.arange(len(cosine)), best_matching(cosine)].mean()
-                    total[[x, y]] += matched
-                    n[[x, y]] += 1
+        if len(states) == 1 and (k := states.pop()) <= 4:  # all matchings of all pairs side by side
+            stacked = np.stack(pattern)
+            for some in tiles(i, j):
+                cosine = [[stacked[some, r] @ stacked[j, c].T for c in range(k)] for r in range(k)]
+                matched = reduce(np.maximum, (sum(cosine[r][c] for r, c in enumerate(order)) for order in permutations(range(k)))) / k
+                once = some[:, None] < j[None, :] if np.array_equal(i, j) else np.ones(matched.shape, bool)
+                matched = np.where(once, matched, 0.0)
+                for axis, rows in ((1, some), (0, j)):
+                    total[rows] += matched.sum(axis)
+                    n[rows] += once.sum(axis)
+        else:
+            for x in i:
+                for y in j:
+                    if x < y or not np.array_equal(i, j) and x != y:
+                        cosine = pattern[x] @ pattern[y].T
+                        matched = cosine[np.arange(len(cosine)), best_matching(cosine)].mean()
+                        total[[x, y]] += matched
+                        n[[x, y]] += 1
         seen = np.flatnonzero(n)
-        return pd.DataFrame({"a": ids[seen], "b": ids[seen], "total": total[seen], "n": n[seen]})
+        yield {"a": ids[seen], "b": ids[seen], "total": total[seen], "n": n[seen]}
 
     sums = blocked(vectors, run, "total double, n long", block_rows)
     return sums.groupBy(F.col("a").alias("fold")).agg((F.sum("total") / F.sum("n")).alias("reliability"), F.sum("n").alias("n_pairs"))
