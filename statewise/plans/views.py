@@ -31,19 +31,26 @@ def v_rt(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("participant"), seconds().alias("rt"))
 
 
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns with their number of words and `first`, the number of their first word in the conversation: numbers of words summed over turns, no window over words."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.when(F.col("text").isNotNull(), F.size(F.split("text", " "))).otherwise(0).alias("n_words"))
+    n = F.col("n_words")
+    own = W.partitionBy("conv_id").orderBy("turn")
+    return c.withColumns({"first": F.sum(n).over(own.rowsBetween(W.unboundedPreceding, 0)) - n, "before": F.lag("role").over(own)})
+
+
 def v_word(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", " ")).alias("pos_in_turn", "text"))
-    n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "pos_in_turn")) - 1
+    c = _turns(spark, sf).select("conv_id", "turn", "role", "first", F.posexplode(F.split("text", " ")).alias("pos_in_turn", "text"))
     tag = F.get(F.array(*map(F.lit, ["noun", "verb", "adj", "adv", "other"])), F.length("text") % 5)
-    return c.withColumn("word_id", n).select(F.col("conv_id").alias("story"), "turn", F.col("role").alias("said_by"), "word_id", (F.col("word_id") * F.lit(0.4)).alias("onset"), "text", tag.alias("pos"))
+    c = c.withColumn("word_id", (F.col("first") + F.col("pos_in_turn")).cast("int"))
+    return c.select(F.col("conv_id").alias("story"), "turn", F.col("role").alias("said_by"), "word_id", (F.col("word_id") * F.lit(0.4)).alias("onset"), "text", tag.alias("pos"))
 
 
 def v_seg(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of a story; `actor` names who speaks in the turn and in the one before."""
-    onset = v_word(spark, sf).groupBy("story", "turn").agg(F.min("onset").alias("onset_sec"))
-    actor = F.concat_ws(",", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")), "role").alias("actor")
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("story"), "turn", F.col("role").alias("speaker"), F.col("text").alias("seg"), actor)
-    return onset.join(c, ["story", "turn"]).withColumnRenamed("turn", "seg_id")
+    """Turns of a story, from their first word on; `actor` names who speaks in the turn and in the one before."""
+    actor = F.concat_ws(",", "before", "role").alias("actor")
+    c = _turns(spark, sf).filter("text is not null and turn is not null and conv_id is not null").withColumn("onset_sec", F.col("first").cast("int") * F.lit(0.4))
+    return c.select(F.col("conv_id").alias("story"), F.col("turn").alias("seg_id"), "onset_sec", F.col("role").alias("speaker"), F.col("text").alias("seg"), actor)
 
 
 def v_obs(spark: SparkSession, sf: str) -> DataFrame:
