@@ -1,7 +1,7 @@
 """Binomial mixed model with a random intercept per subject, by penalised Newton steps.
 
 In each step a subject's own intercept is set to its mode and eliminated inside
-the task that holds the subject's rows; Spark sums p + p^2 numbers per model,
+the task that holds the subject's rows, many subjects side by side; Spark sums p + p^2 numbers per model,
 and the driver solves a p x p system.  Models (features, folds) are keys of the
 same job.
 
@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,28 +29,40 @@ from ..sources.shared import staged
 from .sums import summed
 
 
-def _intercept(eta: np.ndarray, y: np.ndarray, var: float) -> float:
-    b = 0.0
+#: Rows of one matrix of a task: subjects are worked on side by side up to so many.
+_ROWS = 1 << 14
+
+
+def _intercepts(eta: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray, var: float) -> np.ndarray:
+    """Modes of the intercepts of subjects whose rows lie end to end, each with Newton steps of its own until they settle."""
+    b, live = np.zeros(len(first)), np.ones(len(first), bool)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(eta + b)))
-        step = ((y - p).sum() - b / var) / ((p * (1 - p)).sum() + 1 / var)
-        b += float(np.clip(step, -4, 4))
-        if abs(step) < 1e-10:
+        p = 1 / (1 + np.exp(-(eta + np.repeat(b, size))))
+        step = (np.add.reduceat(y - p, first) - b / var) / (np.add.reduceat(p * (1 - p), first) + 1 / var)
+        b = np.where(live, b + np.clip(step, -4, 4), b)
+        live &= np.abs(step) >= 1e-10
+        if not live.any():
             break
     return b
 
 
-def subject_stats(x: np.ndarray, y: np.ndarray, beta: np.ndarray, var: float) -> np.ndarray:
-    """Gradient, Hessian after elimination of the intercept, the intercept's share of Laplace's log evidence, penalised log-likelihood, second moment of the intercept, 1."""
-    eta = x @ beta
-    b = _intercept(eta, y, var)
-    p = 1 / (1 + np.exp(-(eta + b)))
+def batch_stats(x: np.ndarray, y: np.ndarray, first: np.ndarray, beta: np.ndarray, var: float, each: bool = False) -> np.ndarray:
+    """Gradient, Hessian after elimination of the intercept, the intercept's share of Laplace's log evidence, penalised log-likelihood, second moment of the intercept, 1.
+
+    Subjects' rows lie end to end and begin at `first`; their sum, or a row for `each`.
+    """
+    eta, size = x @ beta, np.diff(first, append=len(y))
+    b = _intercepts(eta, y, first, size, var)
+    p = 1 / (1 + np.exp(-(eta + np.repeat(b, size))))
     w = p * (1 - p)
-    xw = x.T @ w
-    own = w.sum() + 1 / var
-    hessian = (x * w[:, None]).T @ x - np.outer(xw, xw) / own
-    ll = (y * np.log(p + 1e-300) + (1 - y) * np.log(1 - p + 1e-300)).sum() - b * b / (2 * var)
-    return np.concatenate([x.T @ (y - p), hessian.ravel(), [-0.5 * np.log(var * own), ll, b * b + 1 / own, 1.0]])
+    xw = np.add.reduceat(x * w[:, None], first)
+    own = np.add.reduceat(w, first) + 1 / var
+    ll = np.add.reduceat(y * np.log(p + 1e-300) + (1 - y) * np.log(1 - p + 1e-300), first) - b * b / (2 * var)
+    rest = np.column_stack([-0.5 * np.log(var * own), ll, b * b + 1 / own, np.ones(len(b))])
+    if not each:
+        return np.concatenate([x.T @ (y - p), ((x * w[:, None]).T @ x - (xw / own[:, None]).T @ xw).ravel(), rest.sum(0)])
+    hessian = np.add.reduceat((x * w[:, None])[:, :, None] * x[:, None, :], first) - xw[:, :, None] * xw[:, None, :] / own[:, None, None]
+    return np.column_stack([np.add.reduceat(x * (y - p)[:, None], first), hessian.reshape(len(b), -1), rest])
 
 
 def _half_slope(xi: np.ndarray) -> np.ndarray:
@@ -58,27 +71,43 @@ def _half_slope(xi: np.ndarray) -> np.ndarray:
     return np.where(small, 0.125, np.tanh(xi / 2) / np.where(small, 1.0, 4 * xi))
 
 
-def subject_bound(x: np.ndarray, y: np.ndarray, mean: np.ndarray, cov: np.ndarray, var: float, inner: int = 100, tol: float = 1e-9) -> np.ndarray:
-    """A subject's part of the bound, its intercept integrated out, as a quadratic in the coefficients: slope, curvature; the intercept's second moment as one, alike; both constants, 1.
+def batch_bound(x: np.ndarray, y: np.ndarray, first: np.ndarray, mean: np.ndarray, cov: np.ndarray, var: float, inner: int = 100, tol: float = 1e-9) -> np.ndarray:
+    """Sum of subjects' parts of the bound, their intercepts integrated out, as a quadratic in the coefficients: slope, curvature; the intercept's second moment as one, alike; both constants, 1.
 
-    The local parameters are the root mean squares of the linear predictor under
-    coefficients of `mean` and `cov` and the intercept given them, to a fixed point.
+    Subjects' rows lie end to end and begin at `first`.  The local parameters are
+    the root mean squares of the linear predictor under coefficients of `mean` and
+    `cov` and the intercept given them, each subject's to a fixed point; those that
+    have settled are left out of further steps.
     """
-    half, eta, spread = y - 0.5, x @ mean, np.einsum("ij,jk,ik->i", x, cov, x)
-    r, xi = half.sum(), np.sqrt(eta**2 + spread + var)
+    n, size = len(first), np.diff(first, append=len(y))
+    half, eta, spread = y - 0.5, x @ mean, np.einsum("ij,ij->i", x @ cov, x)
+    r, xi = np.add.reduceat(half, first), np.sqrt(eta**2 + spread + var)
+    summed_over = lambda lam, x, first: (1 / var + 2 * np.add.reduceat(lam, first), 2 * np.add.reduceat(x * lam[:, None], first))
+    live, rows = np.arange(n), np.arange(len(y))
     for _ in range(inner):
-        lam = _half_slope(xi)
-        d, c = 1 / var + 2 * lam.sum(), 2 * x.T @ lam
-        b, sc = (r - c @ mean) / d, cov @ c
-        new = np.sqrt(np.maximum((eta + b) ** 2 + spread - 2 * x @ sc / d + 1 / d + c @ sc / d**2, 0.0))
-        moved, xi = np.abs(new - xi).max(initial=0.0), new
-        if moved < tol:
+        own = size[live]
+        begin = np.cumsum(own) - own
+        some, lam = x[rows], _half_slope(xi[rows])
+        d, c = summed_over(lam, some, begin)
+        b, sc = (r[live] - c @ mean) / d, c @ cov
+        linear = np.einsum("ij,ij->i", some, np.repeat(sc / d[:, None], own, axis=0))
+        level = 1 / d + np.einsum("ij,ij->i", c, sc) / d**2
+        new = np.sqrt(np.maximum((eta[rows] + np.repeat(b, own)) ** 2 + spread[rows] - 2 * linear + np.repeat(level, own), 0.0))
+        moving = np.maximum.reduceat(np.abs(new - xi[rows]), begin) >= tol
+        xi[rows] = new
+        rows, live = rows[np.repeat(moving, own)], live[moving]
+        if not len(live):
             break
     lam = _half_slope(xi)
-    d, c = 1 / var + 2 * lam.sum(), 2 * x.T @ lam
-    constant = r * r / (2 * d) - 0.5 * np.log(var * d) + (lam * xi**2 - xi / 2 - np.logaddexp(0.0, -xi)).sum()
-    curvature = (x * (2 * lam)[:, None]).T @ x - np.outer(c, c) / d
-    return np.concatenate([x.T @ half - c * r / d, curvature.ravel(), -2 * r * c / d**2, (np.outer(c, c) / d**2).ravel(), [constant, 1 / d + (r / d) ** 2, 1.0]])
+    d, c = summed_over(lam, x, first)
+    constant = (r * r / (2 * d) - 0.5 * np.log(var * d)).sum() + (lam * xi**2 - xi / 2 - np.logaddexp(0.0, -xi)).sum()
+    curvature = (x * (2 * lam)[:, None]).T @ x - (c / d[:, None]).T @ c
+    return np.concatenate([x.T @ half - (r / d) @ c, curvature.ravel(), -2 * (r / d**2) @ c, ((c / d[:, None] ** 2).T @ c).ravel(), [constant, (1 / d + (r / d) ** 2).sum(), n]])
+
+
+def subject_bound(x: np.ndarray, y: np.ndarray, mean: np.ndarray, cov: np.ndarray, var: float, inner: int = 100, tol: float = 1e-9) -> np.ndarray:
+    """`batch_bound` of one subject."""
+    return batch_bound(x, y, np.zeros(1, int), mean, cov, var, inner, tol)
 
 
 def _ahead(path: list[float]) -> float:
@@ -96,22 +125,38 @@ def _packed(data: DataFrame, terms: dict[str, list[str]], left_out: dict[str, in
     return staged(data.groupBy("subject").agg(fold.cast("int").alias("fold"), F.flatten(F.collect_list(row)).alias("rows")).select("fold", "rows")), at
 
 
+def _tables(batch: pa.RecordBatch, width: int, rows: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(fold, first row, rows x width table) of some of a batch's subjects at a time: as many as have `rows` rows together, one at least; a fold of -1 is none."""
+    column, rows = batch.column("rows"), rows or _ROWS
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), (column.offsets.to_numpy() - column.offsets[0].as_py()) // width
+    fold = batch.column("fold").fill_null(-1).to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(fold):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + rows, "right")) - 1)
+        yield fold[i:j], ends[i:j] - ends[i], flat[ends[i] : ends[j]]
+        i = j
+
+
 def _round(packed: DataFrame, at: dict[str, int], now: dict[str, tuple], terms: dict[str, list[str]], left_out: dict[str, int], part: Callable[..., np.ndarray]) -> dict[str, np.ndarray]:
-    """Sum over subjects of part(x, y, *now[model]) for every model in `now`."""
+    """Sum over subjects of part(x, y, first rows, *now[model]) for every model in `now`."""
     columns = {m: [at[f] + 1 for f in terms[m]] for m in now}
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for own, flat in zip(pdf["fold"], pdf["rows"]):
-                table = np.asarray(flat, float).reshape(-1, len(at) + 1)
+        for batch in batches:
+            for fold, first, table in _tables(batch, len(at) + 1):
                 for m, values in now.items():
-                    if left_out.get(m, -1) != own:
-                        x = np.column_stack([np.ones(len(table)), table[:, columns[m]]])
-                        sums[m] = sums.get(m, 0.0) + part(x, table[:, 0], *values)
-        yield pd.DataFrame(list(sums.items()), columns=["model", "stats"])
+                    begin, own = first, table
+                    if m in left_out and (out := fold == left_out[m]).any():
+                        size = np.diff(first, append=len(table))
+                        own, size = table[~np.repeat(out, size)], size[~out]
+                        begin = np.cumsum(size) - size
+                    if len(begin):
+                        x = np.column_stack([np.ones(len(own)), own[:, columns[m]]])
+                        sums[m] = sums.get(m, 0.0) + part(x, own[:, 0], begin, *values)
+        yield pa.RecordBatch.from_pydict({"model": pa.array(list(sums), pa.string()), "stats": pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))})
 
-    return summed(packed.mapInPandas(step, "model string, stats array<double>"))
+    return summed(packed.mapInArrow(step, "model string, stats array<double>"))
 
 
 def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rounds: int = 25, tol: float = 1e-6, left_out: dict[str, int] | None = None, fallback: bool = False) -> dict[str, dict]:
@@ -134,7 +179,7 @@ def fit(data: DataFrame, terms: dict[str, list[str]], prior_sd: float = 2.0, rou
     live = set(terms)
     packed, at = _packed(data, terms, left_out)
     for _ in range(rounds):
-        for m, s in _round(packed, at, {m: (beta[m], var[m]) for m in live}, terms, left_out, subject_stats).items():
+        for m, s in _round(packed, at, {m: (beta[m], var[m]) for m in live}, terms, left_out, batch_stats).items():
             n = len(beta[m])
             gradient = s[:n] - beta[m] / prior_sd**2
             hessian = s[n : n + n * n].reshape(n, n) + np.eye(n) / prior_sd**2
@@ -175,7 +220,7 @@ def _variational(packed: DataFrame, at: dict[str, int], terms: dict[str, list[st
     out: dict[str, dict] = {m: {"bounds": []} for m in terms}
     live = set(terms)
     for _ in range(rounds):
-        for m, s in _round(packed, at, {m: now[m] for m in live}, terms, left_out, subject_bound).items():
+        for m, s in _round(packed, at, {m: now[m] for m in live}, terms, left_out, batch_bound).items():
             n = len(now[m][0])
             precision = s[n : n + n * n].reshape(n, n) + np.eye(n) / prior_sd**2
             cov = np.linalg.inv(precision)
@@ -235,13 +280,13 @@ def leave_one_out(data: DataFrame, names: list[str], prior_sd: float = 2.0, **op
     packed, at = _packed(data, terms, {"all": -1})
     beta, var, columns = full["coef"], full["random_sd"] ** 2, [at[f] + 1 for f in names]
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            tables = [np.asarray(flat, float).reshape(-1, len(at) + 1) for flat in pdf["rows"]]
-            stats = [subject_stats(np.column_stack([np.ones(len(t)), t[:, columns]]), t[:, 0], beta, var) for t in tables]
-            yield pd.DataFrame({"fold": pdf["fold"].astype("int64"), "stats": stats})
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold, first, table in _tables(batch, len(at) + 1):
+                stats = batch_stats(np.column_stack([np.ones(len(table)), table[:, columns]]), table[:, 0], first, beta, var, each=True)
+                yield pa.RecordBatch.from_pydict({"fold": pa.array(fold, pa.int64()), "stats": pa.array(stats.tolist(), pa.list_(pa.float64()))})
 
-    each = staged(packed.mapInPandas(own, "fold long, stats array<double>"))
+    each = staged(packed.mapInArrow(own, "fold long, stats array<double>"))
     held = each.select("fold", F.posexplode("stats").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v"))
     by_fold = staged(held.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("stats")))
     total, n = summed(by_fold.select(F.lit(0).alias("model"), "stats"))[0], len(beta)
