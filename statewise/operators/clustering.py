@@ -26,14 +26,14 @@ def distinct_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, sets.join(items, "features").select("pattern_id", "item")
 
 
-def _totals(links: DataFrame, sizes: DataFrame, owner: DataFrame, member_rows: int = 4096) -> DataFrame:
+def _totals(links: DataFrame, owner: DataFrame, member_rows: int = 4096) -> DataFrame:
     """(a, b, total, made): the sum of all members' similarities of each link (a, b, na, nb), from the members' sets, and their number.
 
     Members of a cluster are dealt to parts of about `member_rows`; each part of one side meets each of the other.
     """
     last = lambda n: F.floor(F.col(n) / member_rows)
     part = F.pmod(F.xxhash64("item"), last("size") + 1)
-    held = owner.join(sizes.select("cluster", F.col("n").alias("size")), "cluster").withColumn("part", part)
+    held = owner.withColumn("part", part)
     side = lambda c: held.select(F.col("cluster").alias(c), F.col("part").alias(f"part_{c}"), F.col("features").alias(f"f_{c}"), F.col("n").alias(f"w_{c}"))
     laid = links.select("a", "b", F.explode(F.sequence(F.lit(0).cast("long"), last("na"))).alias("part_a"), "nb").withColumn("part_b", F.explode(F.sequence(F.lit(0).cast("long"), last("nb"))))
     met = laid.join(side("a"), ["a", "part_a"]).join(side("b"), ["b", "part_b"]).withColumn("shared", F.size(F.array_intersect("f_a", "f_b")))
@@ -47,8 +47,8 @@ def linkage_merges(patterns: DataFrame, least: float, most_rounds: int = 500, ma
     `old` joins `new`, the cluster with the lesser least member, at the mean
     similarity `height` and makes a cluster of `size` patterns; an item is `old`
     once at most.  Heights never rise along a path, so a cut at any threshold of
-    at least `least` needs no further run.  A round writes the links, sizes and
-    owners of the clusters that are left.  Raises if clusters are still merging
+    at least `least` needs no further run.  A round writes the links and owners of
+    the clusters that are left, which carry their sizes.  Raises if clusters are still merging
     after `most_rounds`.
 
     Pairs of items under `least` are made only where they count.  Clusters whose
@@ -62,35 +62,35 @@ def linkage_merges(patterns: DataFrame, least: float, most_rounds: int = 500, ma
     items = staged(items)
     n = lambda c: items.select(F.col("item").alias(c), F.col("n").alias(f"n{c}"))
     alike = similar_patterns(items, least).join(n("a"), "a").join(n("b"), "b").withColumn("known", F.col("na") * F.col("nb"))
-    links = staged(alike.select("a", "b", (F.col("similarity") * F.col("known")).alias("total"), "known"))
-    sizes, owner, tables = items.select(F.col("item").alias("cluster"), "n"), items.select("item", "n", "features", F.col("item").alias("cluster")), []
+    links = staged(alike.select("a", "b", (F.col("similarity") * F.col("known")).alias("total"), "known", "na", "nb"))
+    owner, tables = items.select("item", "n", "features", F.col("item").alias("cluster"), F.col("n").alias("size")), []
     if made is not None:
         made.append(links.count())
     for at in range(most_rounds):
-        sized = lambda c: sizes.select(F.col("cluster").alias(c), F.col("n").alias(f"n{c}"))  # noqa: E731, B023
-        state = links.join(sized("a"), "a").join(sized("b"), "b").withColumn("all", F.col("na") * F.col("nb"))
-        unsure = staged(state.filter((F.col("known") < F.col("all")) & (F.col("total") >= (least - 1e-9) * F.col("known"))))
+        every = F.col("na") * F.col("nb")
+        unsure = links.filter((F.col("known") < every) & (F.col("total") >= (least - 1e-9) * F.col("known")))
         if unsure.take(1):
-            whole = staged(_totals(unsure, sizes, owner))
+            whole = staged(_totals(unsure, owner))
             if made is not None:
                 made.append(whole.agg(F.sum("made")).first()[0])
-            now = state.join(whole.select("a", "b", F.col("total").alias("exact")), ["a", "b"], "left")
-            state = now.withColumn("known", F.when(F.col("exact").isNull(), F.col("known")).otherwise(F.col("all"))).withColumn("total", F.coalesce("exact", "total")).drop("exact")
-        links = staged(state)
-        mean = links.filter("known = all").select("a", "b", (F.col("total") / F.col("all")).alias("mean"), (F.col("na") + F.col("nb")).alias("size")).filter(F.col("mean") >= least - 1e-12)
+            now = links.join(whole.select("a", "b", F.col("total").alias("exact")), ["a", "b"], "left")
+            links = staged(now.withColumn("known", F.when(F.col("exact").isNull(), F.col("known")).otherwise(every)).withColumn("total", F.coalesce("exact", "total")).drop("exact"))
+        mean = links.filter(F.col("known") == every).select("a", "b", (F.col("total") / every).alias("mean"), (F.col("na") + F.col("nb")).alias("size")).filter(F.col("mean") >= least - 1e-12)
         both = mean.unionByName(mean.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean", "size"))
         nearest = both.groupBy("a").agg(F.min(F.struct((-F.round("mean", 12)).alias("d"), "b", "mean", "size")).alias("m")).select("a", "m.b", "m.mean", "m.size")
-        back = nearest.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        merges = staged(nearest.filter("a < b").join(back, ["a", "b"]).select(F.col("b").alias("old"), F.col("a").alias("new"), F.col("mean").alias("height"), "size", F.lit(at).alias("round")))
+        mutual = nearest.groupBy(F.greatest("a", "b").alias("old"), F.least("a", "b").alias("new")).agg(F.max("mean").alias("height"), F.max("size").alias("size"), F.count("*").alias("sides")).filter("sides = 2")
+        merges = staged(mutual.select("old", "new", "height", "size", F.lit(at).alias("round")))
         if tables and not merges.take(1):
             return items, reduce(DataFrame.unionByName, tables)
         tables.append(merges)
-        to = lambda c: merges.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new"))  # noqa: E731, B023
-        moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_new", "a").alias("x"), F.coalesce("b_new", "b").alias("y"), "total", "known").filter("x <> y")
-        links = staged(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("total").alias("total"), F.sum("known").alias("known")))
-        renamed = lambda df: df.join(merges.select(F.col("old").alias("cluster"), "new"), "cluster", "left").withColumn("cluster", F.coalesce("new", "cluster")).drop("new")  # noqa: E731, B023
-        owner = staged(renamed(owner))
-        sizes = staged(renamed(sizes).groupBy("cluster").agg(F.sum("n").alias("n")))
+        grown = merges.select(F.explode(F.array("old", "new")).alias("cluster"), F.col("new").alias("cluster_new"), F.col("size").alias("size_new"))
+        to = lambda c: grown.toDF(c, f"{c}_new", f"n{c}_new")  # noqa: E731, B023
+        ends = {"x": ("a_new", "a"), "y": ("b_new", "b"), "nx": ("na_new", "na"), "ny": ("nb_new", "nb")}
+        moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(*[F.coalesce(*c).alias(name) for name, c in ends.items()], "total", "known").filter("x <> y")
+        first = F.col("x") < F.col("y")
+        turned = moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"), "total", "known")
+        links = staged(turned.groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("known").alias("known"), F.max("na").alias("na"), F.max("nb").alias("nb")))
+        owner = staged(owner.join(grown, "cluster", "left").select("item", "n", "features", F.coalesce("cluster_new", "cluster").alias("cluster"), F.coalesce("size_new", "size").alias("size")))
     raise RuntimeError(f"clusters still merge after {most_rounds} rounds")
 
 
