@@ -1,9 +1,10 @@
 """Binomial mixed model with a random intercept per subject, by penalised Newton steps.
 
-In each step a subject's own intercept is set to its mode and eliminated inside
-the task that holds the subject's rows, many subjects side by side; Spark sums p + p^2 numbers per model,
-and the driver solves a p x p system.  Models (features, folds) are keys of the
-same job.
+A subject's rows with the same features count as one row of so many trials, as
+nothing else enters the likelihood.  In each step a subject's own intercept is
+set to its mode and eliminated inside the task that holds the subject's rows,
+many subjects side by side; Spark sums p + p^2 numbers per model, and the driver
+solves a p x p system.  Models (features, folds) are keys of the same job.
 
 Models whose Newton steps do not settle (separated data under a wide prior) fall
 back to a variational fit: the logistic terms are replaced by their quadratic
@@ -33,12 +34,12 @@ from .sums import summed
 _ROWS = 1 << 14
 
 
-def _intercepts(eta: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray, var: float) -> np.ndarray:
+def _intercepts(eta: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray, var: float, trials: np.ndarray) -> np.ndarray:
     """Modes of the intercepts of subjects whose rows lie end to end, each with Newton steps of its own until they settle."""
     b, live = np.zeros(len(first)), np.ones(len(first), bool)
     for _ in range(50):
         p = 1 / (1 + np.exp(-(eta + np.repeat(b, size))))
-        step = (np.add.reduceat(y - p, first) - b / var) / (np.add.reduceat(p * (1 - p), first) + 1 / var)
+        step = (np.add.reduceat(y - trials * p, first) - b / var) / (np.add.reduceat(trials * p * (1 - p), first) + 1 / var)
         b = np.where(live, b + np.clip(step, -4, 4), b)
         live &= np.abs(step) >= 1e-10
         if not live.any():
@@ -46,23 +47,25 @@ def _intercepts(eta: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndar
     return b
 
 
-def batch_stats(x: np.ndarray, y: np.ndarray, first: np.ndarray, beta: np.ndarray, var: float, each: bool = False) -> np.ndarray:
+def batch_stats(x: np.ndarray, y: np.ndarray, first: np.ndarray, beta: np.ndarray, var: float, each: bool = False, trials: np.ndarray | None = None) -> np.ndarray:
     """Gradient, Hessian after elimination of the intercept, the intercept's share of Laplace's log evidence, penalised log-likelihood, second moment of the intercept, 1.
 
-    Subjects' rows lie end to end and begin at `first`; their sum, or a row for `each`.
+    Subjects' rows lie end to end and begin at `first`; their sum, or a row for
+    `each`.  y is what the `trials` of a row add up to; without them a row is one.
     """
+    trials = np.ones(len(y)) if trials is None else trials
     eta, size = x @ beta, np.diff(first, append=len(y))
-    b = _intercepts(eta, y, first, size, var)
+    b = _intercepts(eta, y, first, size, var, trials)
     p = 1 / (1 + np.exp(-(eta + np.repeat(b, size))))
-    w = p * (1 - p)
+    w = trials * p * (1 - p)
     xw = np.add.reduceat(x * w[:, None], first)
     own = np.add.reduceat(w, first) + 1 / var
-    ll = np.add.reduceat(y * np.log(p + 1e-300) + (1 - y) * np.log(1 - p + 1e-300), first) - b * b / (2 * var)
+    ll = np.add.reduceat(y * np.log(p + 1e-300) + (trials - y) * np.log(1 - p + 1e-300), first) - b * b / (2 * var)
     rest = np.column_stack([-0.5 * np.log(var * own), ll, b * b + 1 / own, np.ones(len(b))])
     if not each:
-        return np.concatenate([x.T @ (y - p), ((x * w[:, None]).T @ x - (xw / own[:, None]).T @ xw).ravel(), rest.sum(0)])
+        return np.concatenate([x.T @ (y - trials * p), ((x * w[:, None]).T @ x - (xw / own[:, None]).T @ xw).ravel(), rest.sum(0)])
     hessian = np.add.reduceat((x * w[:, None])[:, :, None] * x[:, None, :], first) - xw[:, :, None] * xw[:, None, :] / own[:, None, None]
-    return np.column_stack([np.add.reduceat(x * (y - p)[:, None], first), hessian.reshape(len(b), -1), rest])
+    return np.column_stack([np.add.reduceat(x * (y - trials * p)[:, None], first), hessian.reshape(len(b), -1), rest])
 
 
 def _half_slope(xi: np.ndarray) -> np.ndarray:
@@ -71,16 +74,18 @@ def _half_slope(xi: np.ndarray) -> np.ndarray:
     return np.where(small, 0.125, np.tanh(xi / 2) / np.where(small, 1.0, 4 * xi))
 
 
-def batch_bound(x: np.ndarray, y: np.ndarray, first: np.ndarray, mean: np.ndarray, cov: np.ndarray, var: float, inner: int = 100, tol: float = 1e-9) -> np.ndarray:
+def batch_bound(x: np.ndarray, y: np.ndarray, first: np.ndarray, mean: np.ndarray, cov: np.ndarray, var: float, inner: int = 100, tol: float = 1e-9, trials: np.ndarray | None = None) -> np.ndarray:
     """Sum of subjects' parts of the bound, their intercepts integrated out, as a quadratic in the coefficients: slope, curvature; the intercept's second moment as one, alike; both constants, 1.
 
     Subjects' rows lie end to end and begin at `first`.  The local parameters are
     the root mean squares of the linear predictor under coefficients of `mean` and
     `cov` and the intercept given them, each subject's to a fixed point; those that
-    have settled are left out of further steps.
+    have settled are left out of further steps.  Rows are of `trials` as in
+    `batch_stats`; those of one row share its local parameter.
     """
+    trials = np.ones(len(y)) if trials is None else trials
     n, size = len(first), np.diff(first, append=len(y))
-    half, eta, spread = y - 0.5, x @ mean, np.einsum("ij,ij->i", x @ cov, x)
+    half, eta, spread = y - trials / 2, x @ mean, np.einsum("ij,ij->i", x @ cov, x)
     r, xi = np.add.reduceat(half, first), np.sqrt(eta**2 + spread + var)
     summed_over = lambda lam, x, first: (1 / var + 2 * np.add.reduceat(lam, first), 2 * np.add.reduceat(x * lam[:, None], first))
     live, rows = np.arange(n), np.arange(len(y))
@@ -88,7 +93,7 @@ def batch_bound(x: np.ndarray, y: np.ndarray, first: np.ndarray, mean: np.ndarra
         own = size[live]
         begin = np.cumsum(own) - own
         some, lam = x[rows], _half_slope(xi[rows])
-        d, c = summed_over(lam, some, begin)
+        d, c = summed_over(trials[rows] * lam, some, begin)
         b, sc = (r[live] - c @ mean) / d, c @ cov
         linear = np.einsum("ij,ij->i", some, np.repeat(sc / d[:, None], own, axis=0))
         level = 1 / d + np.einsum("ij,ij->i", c, sc) / d**2
@@ -99,9 +104,9 @@ def batch_bound(x: np.ndarray, y: np.ndarray, first: np.ndarray, mean: np.ndarra
         if not len(live):
             break
     lam = _half_slope(xi)
-    d, c = summed_over(lam, x, first)
-    constant = (r * r / (2 * d) - 0.5 * np.log(var * d)).sum() + (lam * xi**2 - xi / 2 - np.logaddexp(0.0, -xi)).sum()
-    curvature = (x * (2 * lam)[:, None]).T @ x - (c / d[:, None]).T @ c
+    d, c = summed_over(trials * lam, x, first)
+    constant = (r * r / (2 * d) - 0.5 * np.log(var * d)).sum() + (trials * (lam * xi**2 - xi / 2 - np.logaddexp(0.0, -xi))).sum()
+    curvature = (x * (2 * trials * lam)[:, None]).T @ x - (c / d[:, None]).T @ c
     return np.concatenate([x.T @ half - (r / d) @ c, curvature.ravel(), -2 * (r / d**2) @ c, ((c / d[:, None] ** 2).T @ c).ravel(), [constant, (1 / d + (r / d) ** 2).sum(), n]])
 
 
@@ -118,11 +123,15 @@ def _ahead(path: list[float]) -> float:
 
 
 def _packed(data: DataFrame, terms: dict[str, list[str]], left_out: dict[str, int]) -> tuple[DataFrame, dict[str, int]]:
-    """One row a subject, (fold, rows): its responses and all features end to end, written; and each feature's place in a row."""
-    at = {f: i for i, f in enumerate(dict.fromkeys(f for names in terms.values() for f in names))}
-    row = F.array(*[F.col(c).cast("double") for c in ("y", *at)])
+    """One row a subject, (fold, rows), written: for each combination of features that it has, the sum of its responses (null if one is), their number and the features, end to end; and each feature's place there."""
+    at = {f: i for i, f in enumerate(dict.fromkeys(f for names in terms.values() for f in names), 2)}
     fold = F.min("fold") if left_out else F.lit(None)
-    return staged(data.groupBy("subject").agg(fold.cast("int").alias("fold"), F.flatten(F.collect_list(row)).alias("rows")).select("fold", "rows")), at
+    names = [f"f{i}" for i in at.values()]
+    of_subject = data.select("subject", F.col("y").cast("double").alias("y"), *["fold"][: bool(left_out)], *[F.col(f).cast("double").alias(name) for f, name in zip(at, names, strict=True)])
+    y = F.when(F.count("y") == F.count("*"), F.sum("y"))
+    alike = of_subject.groupBy("subject", *names).agg(fold.cast("int").alias("fold"), y.alias("y"), F.count("*").cast("double").alias("trials"))
+    rows = F.flatten(F.collect_list(F.array("y", "trials", *names)))
+    return staged(alike.groupBy("subject").agg(F.min("fold").alias("fold"), rows.alias("rows")).select("fold", "rows")), at
 
 
 def _tables(batch: pa.RecordBatch, width: int, rows: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -138,13 +147,13 @@ def _tables(batch: pa.RecordBatch, width: int, rows: int | None = None) -> Itera
 
 
 def _round(packed: DataFrame, at: dict[str, int], now: dict[str, tuple], terms: dict[str, list[str]], left_out: dict[str, int], part: Callable[..., np.ndarray]) -> dict[str, np.ndarray]:
-    """Sum over subjects of part(x, y, first rows, *now[model]) for every model in `now`."""
-    columns = {m: [at[f] + 1 for f in terms[m]] for m in now}
+    """Sum over subjects of part(x, y, first rows, *now[model], trials) for every model in `now`."""
+    columns = {m: [at[f] for f in terms[m]] for m in now}
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for fold, first, table in _tables(batch, len(at) + 1):
+            for fold, first, table in _tables(batch, len(at) + 2):
                 for m, values in now.items():
                     begin, own = first, table
                     if m in left_out and (out := fold == left_out[m]).any():
@@ -153,7 +162,7 @@ def _round(packed: DataFrame, at: dict[str, int], now: dict[str, tuple], terms:
                         begin = np.cumsum(size) - size
                     if len(begin):
                         x = np.column_stack([np.ones(len(own)), own[:, columns[m]]])
-                        sums[m] = sums.get(m, 0.0) + part(x, own[:, 0], begin, *values)
+                        sums[m] = sums.get(m, 0.0) + part(x, own[:, 0], begin, *values, trials=own[:, 1])
         yield pa.RecordBatch.from_pydict({"model": pa.array(list(sums), pa.string()), "stats": pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))})
 
     return summed(packed.mapInArrow(step, "model string, stats array<double>"))
@@ -278,12 +287,12 @@ def leave_one_out(data: DataFrame, names: list[str], prior_sd: float = 2.0, **op
     terms = {"all": names}
     full = fit(data, terms, prior_sd, **options)["all"]
     packed, at = _packed(data, terms, {"all": -1})
-    beta, var, columns = full["coef"], full["random_sd"] ** 2, [at[f] + 1 for f in names]
+    beta, var, columns = full["coef"], full["random_sd"] ** 2, [at[f] for f in names]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fold, first, table in _tables(batch, len(at) + 1):
-                stats = batch_stats(np.column_stack([np.ones(len(table)), table[:, columns]]), table[:, 0], first, beta, var, each=True)
+            for fold, first, table in _tables(batch, len(at) + 2):
+                stats = batch_stats(np.column_stack([np.ones(len(table)), table[:, columns]]), table[:, 0], first, beta, var, each=True, trials=table[:, 1])
                 yield pa.RecordBatch.from_pydict({"fold": pa.array(fold, pa.int64()), "stats": pa.array(stats.tolist(), pa.list_(pa.float64()))})
 
     each = staged(packed.mapInArrow(own, "fold long, stats array<double>"))

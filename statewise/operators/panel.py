@@ -116,7 +116,7 @@ def design_matrix(panel: DataFrame, features: DataFrame, names: list[str], lags:
     low, high = (1, -1) if coding == "deviation" else (0, 1)
     coded = ar_lags(panel, lags).withColumn("group_coded", F.when(F.col("grp") == first, low).when(F.col("grp") == second, high))
     made = feature_products(features.select("t", *names), products or [])
-    joined = coded.join(made, "t")
+    joined = coded.join(F.broadcast(made), "t")  # a row for each step, no more than the longest series has in its window's task; subjects are not dealt anew
     return joined.withColumns({f"group_{f}_interaction": F.col("group_coded") * F.col(f) for f in made.columns if f != "t"})
 
 

@@ -20,11 +20,12 @@ def seconds() -> Column:
 
 def v_seq(spark: SparkSession, sf: str) -> DataFrame:
     """Every event of every user, series of unequal length."""
-    e = table(spark, sf, "events")
-    t = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("t")
+    # named before the window, and all else made after it: later windows and groups by subject stay in its partitions
+    e = table(spark, sf, "events").select(F.col("user_id").alias("subject"), "ts", "event_id", "event_type", "value")
+    placed = e.withColumn("t", F.row_number().over(W.partitionBy("subject").orderBy("ts", "event_id")) - 1)
     state = (F.array_position(F.array(*map(F.lit, STATES)), F.col("event_type")) - 1).cast("int").alias("state")
-    grp = F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("grp")
-    return e.select(F.col("user_id").alias("subject"), t, state, grp, F.col("value").alias("x"))
+    grp = F.when(F.col("subject") % 2 == 0, "a").otherwise("b").alias("grp")
+    return placed.select("subject", "t", state, grp, F.col("value").alias("x"))
 
 
 def v_rt(spark: SparkSession, sf: str) -> DataFrame:
