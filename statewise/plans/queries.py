@@ -597,7 +597,7 @@ def _glmm_terms(s: SparkSession, d: str) -> DataFrame:
 
 def _hmm_grid(s: SparkSession, d: str) -> DataFrame:
     """2 to 7 states for either group and both together: likelihood, BIC and place of each number of states; at most 100 rounds, `converged` says which settled."""
-    data = staged(_standardised(s, d).join(v_seq(s, d).select("subject", "t", "grp"), ["subject", "t"]))
+    data = staged(q.zscore(v_seq(s, d)).select("subject", "t", F.array(F.coalesce("z", F.lit(0.0))).alias("x"), "grp"))
     chosen = grid.selected(grid.fit_grid(data, list(range(2, 8)), {"a": ["a"], "b": ["b"], "both": ["a", "b"]}, restarts=2, most_rounds=100))
     return chosen.drop("start", "transition", "mean", "cov", "d")
 
