@@ -21,31 +21,44 @@ def laid(texts: list[bytes], at: int) -> np.ndarray:
     return np.ascontiguousarray(block.reshape(len(texts), 16).T)
 
 
-def _steps(state: list[np.ndarray], spare: list[np.ndarray], steps: range, head: list[np.ndarray], fixed: np.ndarray) -> list[np.ndarray]:
-    """MD5's steps in place; the block's words are those of `head` (the first ones) plus `fixed`."""
-    (a, b, c, d), (t, u) = state, spare
+_TURN = {n: np.array(n, np.uint32) for row in _TURNS for turn in row for n in (turn, 32 - turn)}
+
+
+def _steps(state: list[np.ndarray], spare: list[np.ndarray], steps: range, keyed: dict[int, np.ndarray], fixed: np.ndarray) -> list[np.ndarray]:
+    """MD5's steps in place; `keyed` holds for a step the block's word, as far as it differs between texts, plus the step's constant, `fixed` the rest of the words."""
+    (a, b, c, d), (t, u, e) = state, spare
     for i in steps:
         kind, word = i // 16, _PLACE[i // 16](i)
         if kind == 0:
-            np.bitwise_and(np.bitwise_xor(c, d, out=t), b, out=t)
-            t ^= d
+            np.bitwise_xor(c, d, t)
+            np.bitwise_and(t, b, t)
+            np.bitwise_xor(t, d, t)
         elif kind == 1:
-            np.bitwise_and(np.bitwise_xor(b, c, out=t), d, out=t)
-            t ^= c
+            np.bitwise_xor(b, c, t)
+            np.bitwise_and(t, d, t)
+            np.bitwise_xor(t, c, t)
+        elif kind == 2 and i % 2 and i > steps.start:
+            np.bitwise_xor(e, b, t)  # c and d are the b and c of the step before
         elif kind == 2:
-            np.bitwise_xor(np.bitwise_xor(b, c, out=t), d, out=t)
+            np.bitwise_xor(b, c, e)
+            np.bitwise_xor(e, d, t)
+        else:
+            np.invert(d, t)
+            np.bitwise_or(t, b, t)
+            np.bitwise_xor(t, c, t)
+        np.add(t, a, t)
+        rest = int(fixed[word])
+        if i in keyed:
+            np.add(t, keyed[i], t)
         else:
-            np.bitwise_or(np.invert(d, out=t), b, out=t)
-            t ^= c
-        t += a
-        t += np.uint32((_SINES[i] + int(fixed[word])) % 2**32)
-        if word < len(head):
-            t += head[word]
+            rest += _SINES[i]
+        if rest:
+            np.add(t, np.array(rest % 2**32, np.uint32), t)
         turn = _TURNS[kind][i % 4]
-        np.left_shift(t, np.uint32(turn), out=u)
-        t >>= np.uint32(32 - turn)
-        t |= u
-        np.add(t, b, out=a)
+        np.left_shift(t, _TURN[turn], u)
+        np.right_shift(t, _TURN[32 - turn], t)
+        np.bitwise_or(t, u, t)
+        np.add(t, b, a)
         a, b, c, d = d, a, b, c
     return [a, b, c, d]
 
@@ -56,16 +69,17 @@ def leads(head: list[np.ndarray], size: int, tails: Iterable[bytes]) -> Iterator
     Steps that no tail reaches are taken once.  Texts and tails have 55 bytes together at most, one block.
     """
     n = len(head[0])
-    state, now, spare = ([np.empty(n, np.uint32) for _ in range(k)] for k in (4, 4, 2))
+    state, now, spare = ([np.empty(n, np.uint32) for _ in range(k)] for k in (4, 4, 3))
+    keyed = {i: head[word] + np.uint32(_SINES[i]) for i in range(_STEPS) if (word := _PLACE[i // 16](i)) < len(head)}
     for s, v in zip(state, _START):
         s.fill(v)
-    state = _steps(state, spare, range(size // 4), head, np.zeros(16, "<u4"))
+    state = _steps(state, spare, range(size // 4), keyed, np.zeros(16, "<u4"))
     for tail in tails:
         if size + len(tail) > 55:
             raise ValueError(f"{size + len(tail)} bytes are more than a block")
         fixed = np.frombuffer((bytes(size) + tail + b"\x80").ljust(56, b"\0") + (8 * (size + len(tail))).to_bytes(8, "little"), "<u4")
         for s, v in zip(now, state):
             np.copyto(s, v)
-        last = _steps(list(now), spare, range(size // 4, _STEPS), head, fixed)[1]
+        last = _steps(list(now), spare, range(size // 4, _STEPS), keyed, fixed)[1]
         last += np.uint32(_START[0])
         yield last.byteswap()
